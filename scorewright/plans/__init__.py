@@ -1 +1,12 @@
 """Registered queries over the provided tables, with their SQL."""
+
+from __future__ import annotations
+
+from scorewright.plans.scores import ORACLES as _SCORES_SQL
+from scorewright.plans.scores import QUERIES as _SCORES
+from scorewright.plans.scores import flagship
+
+QUERIES = {**_SCORES}
+ORACLES = {**_SCORES_SQL}
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
