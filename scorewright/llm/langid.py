@@ -39,6 +39,9 @@ PER_LANGUAGE = 400
 MOST_LANGUAGES = 200
 #: Trigrams that a text of any length counts as at most.
 TEMPER = 60.0
+#: Share of even trigrams in each language: a text with words that the sample
+#: lacks is not taken for no language because of them.
+EVEN = 0.2
 #: Weight, in rows, of the domain in a host's prior and of the table in a domain's.
 SMOOTH = 20.0
 DECLARED_RIGHT = 0.9
@@ -121,7 +124,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         part = counts[counts["lang"] == lang]
         table[part["bucket"].to_numpy(), k] += part["n"].to_numpy()
     if languages:
-        table = np.log(table / table.sum(axis=0))
+        table = np.log((1 - EVEN) * table / table.sum(axis=0) + EVEN / BUCKETS)
     return TextModel(languages, table.astype(np.float32))
 
 

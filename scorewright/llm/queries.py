@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import decontam, langid, packing, secrets, simhash
+from scorewright.llm import chat, decontam, fingerprints, langid, lmscore, packing, secrets, sharding, simhash, warc
+from scorewright.sources.staging import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +17,30 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of nearly equal bytes."""
+    found = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), 8)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives, and what the archives hold."""
+    path = fresh_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -34,16 +55,130 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(page_id, declared, "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "host", "n_trigrams")
 
 
+#: A conversation of control strings only, beside those of the table.
+MARKED = "</s>[INST] ok [/INST]"
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.sql(
+        "select cast(-1 as bigint) conv_id, cast(k as bigint) turn, r role, t text from values (0, 'user', :t), (1, 'assistant', :t) as v(k, r, t)",
+        {"t": MARKED},
+    )
+    return chat.read_back(chat.format_conversations(given.union(marked)))
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lmscore.score_documents(_table(spark, sf_dir, "documents"))
+    return found.withColumn("log_score", F.round("log_score", 4))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_sharding": op2_sharding,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_warc_revisits": op4_warc_revisits,
+    "op5_fingerprints": op5_fingerprints,
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
+    "op8_chat_format": op8_chat_format,
+    "op9_lm_scores": op9_lm_scores,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+_WARC_SQL = """
+with p as (
+  select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages
+), d as (
+  select page_id, octet_length(encode(body)) as payload_bytes, min(page_id) over (partition by body) as first_id,
+         [('0x' || substr(h, 5 * k + 1, 5))::integer for k in range(8)] as parts,
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' as letters
+  from p
+)
+select page_id, payload_bytes,
+       array_to_string([letters[1 + v // 32768] || letters[1 + v // 1024 % 32] || letters[1 + v // 32 % 32] || letters[1 + v % 32]
+                        for v in parts], '') as payload_digest,
+       case when page_id = first_id then 'response' else 'revisit' end as record_type,
+       case when page_id = first_id then null else first_id end as refers_to
+from d"""
+
+_CHAT_SQL = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e as (
+  select *, regexp_matches(role || chr(10) || text, '</?s>|\[/?INST\]') or regexp_matches(role, '(?s)\\.')
+            or regexp_matches(text, '(?s)\\.') as conflict,
+         length(regexp_replace(replace(role, '\', '\\'), '([<\[])(/?(s>|INST\]))', '\1\\\2', 'g')) as safe_role,
+         length(regexp_replace(replace(text, '\', '\\'), '([<\[])(/?(s>|INST\]))', '\1\\\2', 'g')) as safe_text
+  from c
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(22 + case when conflict then safe_role + safe_text else length(role) + length(text) end)::bigint as formatted_chars
+from e group by conv_id"""
+
+_WORDS = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_DECONTAM_SQL = r"""
+with docs as (
+  select doc_id, row_number() over () as r, regexp_extract_all(%s, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), items as (
+  select item_id::varchar as item, regexp_extract_all(%s, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), windows as (
+  select distinct item, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') as gram, least(10, len(w)) as n
+  from (select item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as k from items where len(w) > 0)
+), sizes as (select distinct n from windows
+), found as (
+  select r, k, p.n, item from (
+    select r, n, k, array_to_string(w[k : k + n - 1], ' ') as gram
+    from (select r, w, n, unnest(range(1, len(w) - n + 2)) as k from docs, sizes where len(w) >= n)) p
+  join windows using (gram, n)
+), hit as (select r, count(distinct pos) as n_hit from (select r, unnest(range(k, k + n)) as pos from found) group by r
+), named as (
+  select r, count(distinct item) as n_items, sha256(array_to_string(list_sort(list(distinct item)), ',')) as h from found group by r
+)
+select doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       coalesce(h, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hit using (r) left join named using (r)""" % (_WORDS.format("text"), _WORDS.format("text"))
+
+_LM_SQL = r"""
+with docs as (
+  select doc_id, row_number() over () as r, regexp_extract_all(%s, '[^\x20\x09-\x0D]+') as w from documents
+), t as (
+  select r, i, w[i] as a, case when i > 1 then w[i - 1] || ' ' || w[i] end as b,
+         case when i > 2 then w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] end as c
+  from (select r, w, unnest(range(1, len(w) + 1)) as i from docs)
+), k as (
+  select r, i, count(*) over (partition by a) - count(*) over (partition by a, r) as n1,
+         case when b is null then 0 else count(*) over (partition by b) - count(*) over (partition by b, r) end as n2,
+         case when c is null then 0 else count(*) over (partition by c) - count(*) over (partition by c, r) end as n3
+  from t
+), p as (
+  select *, lag(n1) over (partition by r order by i) as m1, lag(n2) over (partition by r order by i) as m2,
+         count(*) over () - count(*) over (partition by r) as rest
+  from k
+), s as (
+  select r, case when n3 > 0 then ln(n3 / m2)
+                 when n2 > 0 then ln(n2 / m1) + (least(i, 3) - 2) * ln(0.4)
+                 else ln(greatest(n1, 0.5) / greatest(rest, 1)) + (least(i, 3) - 1) * ln(0.4) end as score, n3 > 0 as seen
+  from p
+)
+select doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_seen, 0)::bigint as n_seen, round(coalesce(total, 0), 4) as log_score
+from docs left join (select r, sum(score::double) as total, count(*) filter (where seen) as n_seen from s group by r) using (r)""" % (
+    _WORDS.format("text"),
+)
+
+ORACLES: dict[str, str] = {
+    "op4_warc_revisits": _WARC_SQL,
+    "op8_chat_format": _CHAT_SQL,
+    "op9_lm_scores": _LM_SQL,
+    "op10_decontamination": _DECONTAM_SQL,
+}
