@@ -70,10 +70,11 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def grams(words: np.ndarray, lengths: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order from 1: hash of the n-gram that ends at each position,
-    and whether it lies within one document."""
+    and whether it lies within one document.  ``words`` has hashes of
+    ``HASH_BITS`` bits."""
     starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
     place = np.arange(len(words)) - starts
-    made, now = [(words >> _U(64 - HASH_BITS), place >= 0)], words
+    made, now = [(words, place >= 0)], words
     for n in range(2, order + 1):
         longer = np.zeros_like(words)
         longer[1:] = _mix(now[:-1], words[1:])
@@ -89,8 +90,13 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, batch_words: int) -> D
     """Documents in batches, words as numbers of the batch's vocabulary."""
 
     def rows(doc_ids: list, lengths: list, ids: list, vocabulary: dict, name: str) -> pa.RecordBatch:
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocabulary), _U, len(vocabulary))
-        values = [[name], [len(ids)], [doc_ids], [lengths], [pack(np.array(ids, "<u8"), 4)], [hashes.tobytes()]]
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocabulary), _U, len(vocabulary)) >> _U(64 - HASH_BITS)
+        number = np.array(ids, np.int64)  # frequent words get small numbers, which compress
+        order = np.argsort(-np.bincount(number, minlength=len(hashes)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        packed = pack(rank[number], 4), pack(hashes[order], HASH_BITS // 8)
+        values = [[name], [len(ids)], [doc_ids], [lengths], [packed[0]], [packed[1]]]
         kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         names = [x.split()[0] for x in _BATCH.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
@@ -118,7 +124,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, batch_words: int) -> D
 def _exploded(ids: bytes, vocabulary: bytes, lengths: list[int], order: int) -> list[tuple]:
     """For each order: distinct hashes, their counts in the batch, the number
     of the distinct hash at each position, and which positions have one."""
-    words = np.frombuffer(vocabulary, "<u8")[unpack(ids, 4).astype(np.int64)]
+    words = unpack(vocabulary, HASH_BITS // 8)[unpack(ids, 4).astype(np.int64)]
     out = []
     for hashes, whole in grams(words, np.asarray(lengths, np.int64), order):
         distinct, back, counts = np.unique(hashes[whole], return_inverse=True, return_counts=True)
@@ -150,10 +156,9 @@ def _requests(batches: DataFrame, order: int, parts: int) -> DataFrame:
                             continue
                         steps = np.diff(some)
                         width = STEP_BYTES if not len(steps) or int(steps.max()) >> (8 * STEP_BYTES) == 0 else 8
-                        raw = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
                         often = np.flatnonzero(count > 1)
                         more = pack(np.concatenate([np.diff(often, prepend=0), count[often]]), 5)
-                        rows.append((row.batch, n, part, int(some[0]), width, raw, more))
+                        rows.append((row.batch, n, part, int(some[0]), width, pack(steps, width), more))
                     yield pd.DataFrame(rows, columns=[x.split()[0] for x in _ASKED.split(", ")])
 
     return batches.select("batch", "lengths", "ids", "vocabulary").mapInPandas(run, _ASKED)
@@ -161,10 +166,7 @@ def _requests(batches: DataFrame, order: int, parts: int) -> DataFrame:
 
 def _asked(row) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and counts of a request."""
-    raw = np.frombuffer(row.steps, np.uint8).reshape(-1, row.width)
-    steps = np.zeros((len(raw), 8), np.uint8)
-    steps[:, : row.width] = raw
-    hashes = np.concatenate([np.array([row.first], _U), steps.view("<u8").ravel()])
+    hashes = np.concatenate([np.array([row.first], _U), unpack(row.steps, row.width)])
     hashes = np.cumsum(hashes, dtype=_U)
     counts = np.ones(len(hashes), np.int64)
     at, often = np.split(unpack(row.more, 5).astype(np.int64), 2)
