@@ -6,7 +6,12 @@ functions, which run on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable, Iterator
+from statistics import NormalDist
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,3 +42,193 @@ def clustered_stderr(df: DataFrame, by: list[str], value: str, cluster: str) ->
         F.sqrt(var / n).alias("stderr"),
         F.sqrt(F.greatest(var / n + (squares - dev) / (n * n), F.lit(0.0))).alias("stderr_clustered"),
     )
+
+
+# --- distribution functions of one-row results -----------------------------------
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function, from its tail."""
+    value = 0.0
+    for m in reversed(range(1, 400)):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        value = even / (1 + odd / (1 + value))
+    first = -(a + b) * x / (a + 1)
+    return 1 / (1 + first / (1 + value))
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
+    if x < (a + 1) / (a + b + 2):
+        return front * _beta_fraction(a, b, x) / a
+    return 1 - front * _beta_fraction(b, a, 1 - x) / b
+
+
+def t_cdf(t: float, df: float) -> float:
+    """Distribution function of Student's t."""
+    tail = 0.5 * incomplete_beta(df / 2, 0.5, df / (df + t * t))
+    return 1 - tail if t > 0 else tail
+
+
+def t_ppf(p: float, df: float) -> float:
+    """Quantile of Student's t by bisection."""
+    lo, hi = -1.0, 1.0
+    while t_cdf(lo, df) > p:
+        lo *= 2
+    while t_cdf(hi, df) < p:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if t_cdf(mid, df) < p else (lo, mid)
+    return (lo + hi) / 2
+
+
+# --- standard errors ---------------------------------------------------------------
+
+
+def spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Mean, sample and population deviation, standard error, n."""
+    v = F.col(value)
+    return df.groupBy(*by).agg(
+        F.avg(v).alias("mean"), F.stddev_samp(v).alias("stddev"), F.stddev_pop(v).alias("stddev_pop"),
+        (F.stddev_samp(v) / F.sqrt(F.count(v))).alias("stderr"), F.count(v).alias("n"),
+    )
+
+
+def pooled_stderr(results: DataFrame, by: list[str], stderr: str = "stderr", n: str = "n") -> DataFrame:
+    """Standard error of subtasks taken as one sample."""
+    size = F.col(n)
+    variance = F.sum((size - 1) * F.pow(stderr, 2) * size) / (F.sum(n) - F.count("*"))
+    return results.groupBy(*by).agg(F.sqrt(variance / F.sum(n)).alias("pooled_stderr"), F.sum(n).alias("n"))
+
+
+def combined_stderr(results: DataFrame, by: list[str], order: str, mean: str = "mean", stderr: str = "stderr", n: str = "n") -> DataFrame:
+    """Standard error with the spread between subtasks, folded in ``order``.
+
+    The fold depends on the order; it runs over the array of a group's
+    subtasks (one row per subtask, not per sample).
+    """
+    item = F.struct(order, F.col(mean).cast("double").alias("m"), F.pow(stderr, 2).alias("v"), F.col(n).cast("double").alias("n"))
+    rows = results.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("_xs"))
+    start = F.struct(F.get("_xs", 0)["m"].alias("m"), F.get("_xs", 0)["v"].alias("v"), F.get("_xs", 0)["n"].alias("n"))
+
+    def step(a: Column, x: Column) -> Column:
+        total = a["n"] + x["n"]
+        within = ((a["n"] - 1) * a["v"] + (x["n"] - 1) * x["v"]) / (total - 1)
+        between = a["n"] * x["n"] / (total * (total - 1)) * F.pow(a["m"] - x["m"], 2)
+        return F.struct(((a["m"] * a["n"] + x["m"] * x["n"]) / total).alias("m"), (within + between).alias("v"), total.alias("n"))
+
+    rest = F.slice("_xs", F.lit(2), F.greatest(F.size("_xs") - 1, F.lit(0)))
+    return rows.select(*by, F.sqrt(F.aggregate(rest, start, step)["v"]).alias("combined_stderr"))
+
+
+# --- bootstrap ---------------------------------------------------------------------
+
+
+def poisson_weights(df: DataFrame, keys: list[str], iters: int, seed: int) -> DataFrame:
+    """``df`` once for each replicate, with ``replicate`` and a Poisson(1)
+    weight drawn from a hash of the keys; rows of weight 0 are left out.
+
+    The draw belongs to the row, not to its place, so it is the same however
+    the table is partitioned and after a lost executor.
+    """
+    steps, p, total = [], math.exp(-1.0), 0.0
+    for k in range(12):
+        total += p
+        steps.append(total)
+        p /= k + 1
+    rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))))
+    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", *keys), F.lit(1 << 40)) / float(1 << 40)
+    weight = sum(((u >= s).cast("int") for s in steps), F.lit(0))
+    return rows.withColumn("weight", weight).where("weight > 0")
+
+
+def bootstrap(df: DataFrame, by: list[str], value: str, keys: list[str], iters: int = 200, seed: int = 7, share: float = 0.95) -> DataFrame:
+    """Bootstrap of the mean: ``by..., boot_mean, boot_stderr, low, high``."""
+    drawn = poisson_weights(df.select(*dict.fromkeys([*by, *keys, value])), keys, iters, seed)
+    per = drawn.groupBy(*by, "replicate").agg((F.sum(F.col(value) * F.col("weight")) / F.sum("weight")).alias("_m"))
+    return _summed_up(per, by, share)
+
+
+def bootstrap_aggregate(df: DataFrame, by: list[str], keys: list[str], aggregate: Callable[[DataFrame, list[str]], DataFrame], name: str, iters: int = 100, seed: int = 7, share: float = 0.95) -> DataFrame:
+    """Bootstrap of any aggregate: ``aggregate(rows, by)`` gives column
+    ``name``; a row of weight w stands w times."""
+    drawn = poisson_weights(df, keys, iters, seed)
+    rows = drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("weight")))).drop("_copy", "weight")
+    return _summed_up(aggregate(rows, [*by, "replicate"]).withColumnRenamed(name, "_m"), by, share)
+
+
+def _summed_up(per: DataFrame, by: list[str], share: float) -> DataFrame:
+    tail = (1 - share) / 2
+    return per.groupBy(*by).agg(
+        F.avg("_m").alias("boot_mean"), F.stddev_samp("_m").alias("boot_stderr"),
+        F.percentile("_m", tail).alias("low"), F.percentile("_m", 1 - tail).alias("high"),
+    )
+
+
+# --- two runs -----------------------------------------------------------------------
+
+
+def paired_moments(cur: DataFrame, base: DataFrame, on: str, by: list[str], value: str = "score") -> DataFrame:
+    """n, mean and standard error of the differences of matched rows, and the
+    moments of both sides."""
+    rows = cur.select(*by, on, F.col(value).cast("double").alias("_a")).join(base.select(on, F.col(value).cast("double").alias("_b")), on)
+    d = F.col("_a") - F.col("_b")
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(d).alias("diff"), (F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("stderr"),
+        F.stddev_samp("_a").alias("std_a"), F.stddev_samp("_b").alias("std_b"), F.corr("_a", "_b").alias("corr"),
+    )
+
+
+def paired_ttest(cur: DataFrame, base: DataFrame, on: str, by: list[str], value: str = "score", share: float = 0.95) -> DataFrame:
+    """Paired t-test by group: ``by..., n, diff, stderr, t, p, low, high``.
+
+    Rows without a partner are left out.  A standard error of 0 gives p = 1
+    for no difference and p = 0 for one.  One row per group meets the
+    distribution functions, in Arrow batches.
+    """
+    moments = paired_moments(cur, base, on, by, value)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for n, diff, err in zip(pdf["n"], pdf["diff"], pdf["stderr"], strict=True):
+                if n < 2 or err != err:
+                    out.append((None, None, None, None))
+                elif err == 0:
+                    out.append((0.0 if diff == 0 else math.copysign(math.inf, diff), 1.0 if diff == 0 else 0.0, diff, diff))
+                else:
+                    t = diff / err
+                    far = t_ppf(0.5 + share / 2, n - 1) * err
+                    out.append((t, 2 * (1 - t_cdf(abs(t), n - 1)), diff - far, diff + far))
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=["t", "p", "low", "high"], dtype="float64")], axis=1)
+
+    kept = moments.select(*by, "n", "diff", "stderr")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", t double, p double, low double, high double"
+    return kept.mapInPandas(run, schema)
+
+
+def power(cur: DataFrame, base: DataFrame, on: str, effect: float, alpha: float = 0.05, target: float = 0.8, value: str = "score") -> DataFrame:
+    """One row: required n for the effect, achieved power at the present n,
+    smallest effect found at ``target`` power; spread and correlation come
+    from the two score tables."""
+    m = paired_moments(cur, base, on, [], value).first()
+    z = NormalDist().inv_cdf
+    a, b, c = m["std_a"] or 0.0, m["std_b"] or 0.0, m["corr"] if m["corr"] is not None else 0.0
+    spread_ = math.sqrt(max(a * a + b * b - 2 * c * a * b, 0.0))
+    both = z(1 - alpha / 2) + z(target)
+    need = math.ceil((both * spread_ / effect) ** 2)
+    err = spread_ / math.sqrt(m["n"]) if m["n"] else math.inf
+    reach = 1.0 if err == 0 else NormalDist().cdf(abs(effect) / err - z(1 - alpha / 2))
+    return cur.sparkSession.createDataFrame([(m["n"], spread_, need, reach, both * err)], "n long, std_diff double, required_n long, power double, detectable double")
+
+
+def run_differences(a: DataFrame, b: DataFrame, on: list[str], value: str = "value") -> DataFrame:
+    """Both values and their difference for each task; tasks of one run only
+    have nulls on the other side."""
+    both = a.select(*on, F.col(value).alias("value_a")).join(b.select(*on, F.col(value).alias("value_b")), on, "full_outer")
+    return both.withColumn("difference", F.col("value_a") - F.col("value_b"))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from scorewright.plans.scores import ORACLES as _SCORES_SQL
-from scorewright.plans.scores import QUERIES as _SCORES
-from scorewright.plans.scores import flagship
+from scorewright.plans import scores
+from scorewright.plans.base import ORACLES, QUERIES
 
-QUERIES = {**_SCORES}
-ORACLES = {**_SCORES_SQL}
+flagship = scores.flagship
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
