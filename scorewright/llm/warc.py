@@ -3,17 +3,19 @@
 Writing: payload digests and lengths (headers only) are shuffled by digest to
 find the original of each payload; revisits are joined to their originals and
 every record gets fresh headers.  A payload is stored once.  Archives are
-plain WARC/1.1 files: a record ends with CR LF CR LF, of which the last LF is
-the line end of Spark's text writer, so any file system that Spark reaches
+gzipped WARC/1.1 files: a record ends with CR LF CR LF, of which the last LF
+is the line end of Spark's text writer, so any file system that Spark reaches
 will do.
 
-Reading: archives are read whole (their size is bounded at writing) and cut
-into records by Content-Length, never by searching for separators.
+Reading: archives are read whole (their size is bounded at writing),
+unzipped, and cut into records by Content-Length, never by searching for
+separators.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -75,7 +77,7 @@ def _header(*lines: tuple[str, Column]) -> Column:
 
 
 def records(resolved: DataFrame, date: str) -> DataFrame:
-    """One string per record, without its last LF, and the archive it goes to.
+    """One string per record, without its last LF.
 
     The block of a response is an HTTP response with the payload; that of a
     revisit has the same HTTP headers, so the full length of its payload, and
@@ -107,15 +109,16 @@ def records(resolved: DataFrame, date: str) -> DataFrame:
     )
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     record = F.concat(F.lit(f"WARC/1.1{CRLF}"), head, F.lit(CRLF), http, body, F.lit("\r\n\r"))
-    return resolved.select(record.alias("value"), F.xxhash64("id", "url").alias("at"), F.octet_length(record).alias("size"))
+    return resolved.select(record.alias("value"))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None) -> None:
     """Write a record for each row as WARC files under ``path``.
 
     A null payload is empty, a null url is an empty one, other columns are not
-    read.  An empty table writes archives without records.  The number of
-    files follows the payload bytes, so that each has about ``archive_bytes``.
+    read.  An empty table writes no records.  Records are written where the
+    join left them, so payloads are shuffled once; a file ends after as many
+    records as make about ``archive_bytes`` at the mean payload.
     """
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
@@ -126,10 +129,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.octet_length(payload).cast("long").alias("bytes"),
         base32_sha1(payload).alias("digest"),
     )
-    total = pages.agg(F.sum(F.octet_length(payload).cast("long")).alias("n")).first()["n"] or 0
-    files = max(1, -(-total // archive_bytes))
-    made = records(resolve(rows, least_bytes), date)
-    made.repartition(files, "at").select("value").write.option("lineSep", "\n").text(path)
+    total = pages.agg(F.sum(F.octet_length(payload).cast("long")).alias("bytes"), F.count("*").alias("n")).first()
+    most = max(1, archive_bytes * total["n"] // max(1, total["bytes"] or 0))
+    made = records(resolve(rows, least_bytes), date).select("value")
+    made.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -163,7 +166,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         for batch in batches:
             for data in batch["content"]:
                 rows = []
-                for fields, block in parse_archive(data):
+                for fields, block in parse_archive(gzip.decompress(data)):
                     http, _, body = block.partition(b"\r\n\r\n")
                     declared = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
                     digest, kind = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 from scorewright.llm import warc
@@ -31,7 +32,7 @@ def test_round_trip(spark, tmp_path):
 def test_fresh_headers(spark, tmp_path):
     out = str(tmp_path / "w")
     warc.write_archives(pages(spark, HTML[:5]), out, date="2020-01-02T03:04:05Z")
-    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("part-*")))
     records = list(warc.parse_archive(data))
     by_id = {f["x-page-id"]: f for f, _ in records}
     assert len({f["warc-record-id"] for f, _ in records}) == 5
