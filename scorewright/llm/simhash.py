@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewright.llm.rows import with_arrow_columns
 from scorewright.operators.graph import connected_components
 from scorewright.sources.staging import staged
 
@@ -217,10 +218,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, limit: int = 3) -> DataFrame:
     """The rows of ``docs`` that stand for their class, with their own columns.
 
-    The smallest id of each class stays, once even if its row is repeated;
-    a class without ids keeps one row.
+    The smallest id of each class stays, once even if its row is repeated.  A
+    row without an id goes if its class has one, and stays once for each
+    fingerprint if not.  Texts are shuffled once, by id.
     """
-    found = near_duplicates(docs, id_col, text_col, width, limit)
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(chosen, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates([id_col])
+    found = staged(near_duplicates(docs, id_col, text_col, width, limit), "classes")
+    chosen = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
+    named = docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+
+    def start():
+        def make(texts: list) -> list[pa.Array]:
+            fps = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64)
+            return [pa.array([f"{x:016x}" for x in fps.tolist()], pa.string())]
+
+        return make
+
+    rows, back = with_arrow_columns(docs.where(F.col(id_col).isNull()), [F.col(text_col)], start, "fingerprint string")
+    alone = found.where("doc_id is null and component_id is null").select("fingerprint").distinct()
+    return named.union(rows.join(alone, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select(*back))
