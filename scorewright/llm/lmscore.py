@@ -38,7 +38,7 @@ ORDER = 3
 ALPHA = 0.4
 #: Count of a word that no other document has.
 UNSEEN = 0.5
-BATCH_WORDS = 2_000_000
+BATCH_WORDS = 2_500_000
 #: Bits of an n-gram's hash, and bytes of a difference between sorted ones.
 HASH_BITS, STEP_BYTES = 56, 5
 _U = np.uint64
@@ -50,15 +50,21 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
-    """Unsigned integers of ``width`` bytes, byte planes compressed."""
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    """Unsigned integers of ``width`` bytes, each byte plane compressed alone
+    (the high ones are far from random)."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    press = zstandard.ZstdCompressor(level=1)
+    parts = [press.compress(np.ascontiguousarray(p).tobytes()) for p in planes]
+    return np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts)
 
 
 def unpack(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
+    ends = np.cumsum(np.frombuffer(data, "<u4", width)) + 4 * width
+    open_ = zstandard.ZstdDecompressor()
+    planes = [np.frombuffer(open_.decompress(data[a:b]), np.uint8) for a, b in zip([4 * width, *ends[:-1]], ends, strict=True)]
+    out = np.zeros((len(planes[0]), 8), np.uint8)
+    for k, p in enumerate(planes):
+        out[:, k] = p
     return out.view("<u8").ravel()
 
 
@@ -68,19 +74,18 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-def grams(words: np.ndarray, lengths: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def grams(words: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order from 1: hash of the n-gram that ends at each position,
     and whether it lies within one document.  ``words`` has hashes of
     ``HASH_BITS`` bits."""
     starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    place = np.arange(len(words)) - starts
-    made, now = [(words, place >= 0)], words
+    place, now = np.arange(len(words)) - starts, words
+    yield words, place >= 0
     for n in range(2, order + 1):
         longer = np.zeros_like(words)
         longer[1:] = _mix(now[:-1], words[1:])
         now = longer
-        made.append((now >> _U(64 - HASH_BITS), place >= n - 1))
-    return made
+        yield now >> _U(64 - HASH_BITS), place >= n - 1
 
 
 _BATCH = "batch string, n_words bigint, doc_ids array<bigint>, lengths array<bigint>, ids binary, vocabulary binary"
@@ -121,17 +126,15 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, batch_words: int) -> D
     return found.mapInArrow(run, _BATCH)
 
 
-def _exploded(ids: bytes, vocabulary: bytes, lengths: list[int], order: int) -> list[tuple]:
-    """For each order: distinct hashes, their counts in the batch, the number
+def _exploded(ids: bytes, vocabulary: bytes, lengths: list[int], order: int) -> Iterator[tuple]:
+    """For each order in turn: distinct hashes, their counts in the batch, the number
     of the distinct hash at each position, and which positions have one."""
     words = unpack(vocabulary, HASH_BITS // 8)[unpack(ids, 4).astype(np.int64)]
-    out = []
     for hashes, whole in grams(words, np.asarray(lengths, np.int64), order):
         distinct, back, counts = np.unique(hashes[whole], return_inverse=True, return_counts=True)
-        at = np.full(len(hashes), -1, np.int64)
+        at = np.full(len(hashes), -1, np.int32)
         at[whole] = back
-        out.append((distinct, counts, at))
-    return out
+        yield distinct, counts, at
 
 
 def _edges(parts: int) -> np.ndarray:
