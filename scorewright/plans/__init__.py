@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scorewright.plans import scores, space, streams, tables, text
+from scorewright.plans import files, scores, space, streams, tables, text
 from scorewright.plans.base import ORACLES, QUERIES
 
 flagship = scores.flagship
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "space", "streams", "tables", "text"]
+__all__ = ["ORACLES", "QUERIES", "files", "flagship", "space", "streams", "tables", "text"]
