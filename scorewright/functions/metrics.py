@@ -90,10 +90,21 @@ def vqa_consensus(pred: Text, answers: Text) -> Column:
     return _mean(F.transform(a, lambda x: F.least(F.lit(1.0), (hits - (x == _c(pred)).cast("int")) / 3.0)))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once for each row, also where
+    the body looks at it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def tagged(xs: Column) -> Column:
+    """Elements with their number among equal ones, so that sets of them
+    count as bags do."""
+    return let(F.sort_array(xs), lambda s: F.transform(s, lambda x, k: F.concat(x, F.lit("\x01"), (k - F.array_position(s, x)).cast("string"))))
+
+
 def token_overlap(a: Column, b: Column) -> Column:
     """Common tokens of two bags."""
-    count = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(count(a, t), count(b, t)))
+    return F.size(F.array_intersect(tagged(a), tagged(b)))
 
 
 def _tokens(x: Column) -> Column:
@@ -352,16 +363,24 @@ def hidden_span(pred: Text, hidden: Text) -> Column:
     words, as long as the hidden text, that shares most words with it."""
     p, h = _tokens(_c(pred)), _tokens(_c(hidden))
     runs = F.when(F.size(p) <= F.size(h), F.array(F.array_join(p, " "))).otherwise(ngrams(p, F.size(h)))
-    scored = F.transform(runs, lambda r, k: F.struct(token_overlap(F.split(r, " "), h).alias("n"), (-k).alias("k"), r.alias("r")))
-    best = F.split(F.array_max(scored)["r"], " ")
-    hit = token_overlap(best, h)
-    return F.struct(
-        _ratio(hit, F.size(best)).alias("precision"),
-        _ratio(hit, F.size(h)).alias("recall"),
-        _ratio(2.0 * hit, F.size(best) + F.size(h)).alias("f1"),
-        jaccard(best, h).alias("jaccard"),
-        F.array_contains(runs, F.array_join(h, " ")).cast("double").alias("exact"),
-    )
+
+    def scored(x: Column) -> Column:
+        words = lambda r: F.filter(F.split(r, " "), lambda t: t != "")
+        hit = lambda r: F.size(F.array_intersect(tagged(words(r)), x["tags"]))
+        best = F.array_max(F.transform(x["runs"], lambda r, k: F.struct(hit(r).alias("n"), (-k).alias("k"), words(r).alias("words"))))
+        return let(F.struct(best.alias("b"), x.alias("x")), figures)
+
+    def figures(y: Column) -> Column:
+        n, words, h = y["b"]["n"], y["b"]["words"], y["x"]["hidden"]
+        return F.struct(
+            _ratio(n, F.size(words)).alias("precision"),
+            _ratio(n, F.size(h)).alias("recall"),
+            _ratio(2.0 * n, F.size(words) + F.size(h)).alias("f1"),
+            jaccard(words, h).alias("jaccard"),
+            F.array_contains(y["x"]["runs"], F.array_join(h, " ")).cast("double").alias("exact"),
+        )
+
+    return let(F.struct(runs.alias("runs"), h.alias("hidden"), tagged(h).alias("tags")), scored)
 
 
 def cosine(a: Text, b: Text) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorewright.functions.extract import _c
-from scorewright.functions.metrics import _sum
+from scorewright.functions.metrics import _sum, tagged
 
 # --- one-column aggregates (AGG1-AGG5) ----------------------------------------
 
@@ -100,21 +100,18 @@ def brier(df: DataFrame, by: list[str], probabilities: str, gold: str) -> DataFr
 
 
 def gram_counts(tokens: Column, n: int, sep: str = " ") -> Column:
-    """Array of struct<gram, n> of a row's n-grams."""
+    """Array of a row's n-grams."""
     last = F.size(tokens) - n
-    grams = F.when(last < 0, F.array().cast("array<string>")).otherwise(
+    return F.when(last < 0, F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda k: F.array_join(F.slice(tokens, k, n), sep))
     )
-    return grams
 
 
 def _clipped(pred: Column, refs: Column, n: int, sep: str = " ") -> Column:
     """Matches of the predicted n-grams, each at most as often as in the
     reference that has it most often."""
-    got = gram_counts(pred, n, sep)
-    count = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
-    most = lambda g: F.array_max(F.transform(refs, lambda r: count(gram_counts(r, n, sep), g)))
-    return F.aggregate(F.array_distinct(got), F.lit(0), lambda a, g: a + F.least(count(got, g), most(g)))
+    most = F.array_distinct(F.flatten(F.transform(refs, lambda r: tagged(gram_counts(r, n, sep)))))
+    return F.size(F.array_intersect(tagged(gram_counts(pred, n, sep)), most))
 
 
 def bleu_tokens(text: str | Column) -> Column:
