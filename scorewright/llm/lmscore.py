@@ -4,7 +4,8 @@ The work is a join of exploded n-grams with count tables that are partitioned
 by hash, done on packed arrays:
 
 1. each task numbers the words of its documents in batches of about
-   ``BATCH_WORDS`` words, staged as compact columns;
+   ``BATCH_WORDS`` words, shuffled once as compact columns (the same exchange
+   feeds steps 2 and 4);
 2. each batch explodes into the distinct n-grams of each order with their
    counts in the batch (pre-aggregated, so the most frequent n-gram is one
    entry per batch), sent by hash range as sorted, difference-coded hashes;
@@ -32,13 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.sources.staging import staged
 
 ORDER = 3
 ALPHA = 0.4
 #: Count of a word that no other document has.
 UNSEEN = 0.5
-BATCH_WORDS = 2_500_000
+BATCH_WORDS = 1_500_000
 #: Bits of an n-gram's hash, and bytes of a difference between sorted ones.
 HASH_BITS, STEP_BYTES = 56, 5
 _U = np.uint64
@@ -148,8 +148,11 @@ _ASKED = "batch string, n int, part int, first bigint, width int, steps binary,
 def _requests(batches: DataFrame, order: int, parts: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edges = _edges(parts)
+        names = [x.split()[0] for x in _ASKED.split(", ")]
         for frame in frames:
             for row in frame.itertuples():
+                # order 0: the number of words, summed like any count
+                yield pd.DataFrame([(row.batch, 0, 0, row.n_words, 0, b"", b"")], columns=names)
                 for n, (distinct, counts, _) in enumerate(_exploded(row.ids, row.vocabulary, row.lengths, order), 1):
                     cut = np.searchsorted(distinct, edges)
                     rows = []
@@ -162,9 +165,9 @@ def _requests(batches: DataFrame, order: int, parts: int) -> DataFrame:
                         often = np.flatnonzero(count > 1)
                         more = pack(np.concatenate([np.diff(often, prepend=0), count[often]]), 5)
                         rows.append((row.batch, n, part, int(some[0]), width, pack(steps, width), more))
-                    yield pd.DataFrame(rows, columns=[x.split()[0] for x in _ASKED.split(", ")])
+                    yield pd.DataFrame(rows, columns=names)
 
-    return batches.select("batch", "lengths", "ids", "vocabulary").mapInPandas(run, _ASKED)
+    return batches.mapInPandas(run, _ASKED)  # all columns, so that the exchange below is the join's too
 
 
 def _asked(row) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +184,10 @@ _ANSWER = "batch string, n int, part int, places binary, totals binary"
 
 
 def _answers(asked: DataFrame) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if key[0] == 0:
+            words = pack(np.array([pdf["first"].sum()], np.uint64), 8)
+            return pd.DataFrame({"batch": pdf["batch"], "n": 0, "part": 0, "places": b"", "totals": words})
         parts = [_asked(row) for row in pdf.itertuples()]
         distinct, back = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
         totals = np.zeros(len(distinct), np.int64)
@@ -198,35 +204,36 @@ def _answers(asked: DataFrame) -> DataFrame:
     return asked.groupBy("n", "part").applyInPandas(run, _ANSWER)
 
 
-def _own_counts(at: np.ndarray, document: np.ndarray) -> np.ndarray:
-    """How often the n-gram at each position occurs in its document."""
-    own = np.zeros(len(at), np.int64)
+def _own_counts(at: np.ndarray, counts: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """How often the n-gram at each position occurs in its document; those
+    that are once in the batch need no counting."""
     whole = at >= 0
-    pair = document[whole].astype(np.int64) * (int(at.max(initial=0)) + 1) + at[whole]
-    _, back, counts = np.unique(pair, return_inverse=True, return_counts=True)
-    own[whole] = counts[back]
+    own = whole.astype(np.int64)
+    often = np.flatnonzero(whole & (np.append(counts, 0)[at] > 1))
+    pair = document[often] * (int(at.max(initial=0)) + 1) + at[often]
+    _, back, times = np.unique(pair, return_inverse=True, return_counts=True)
+    own[often] = times[back]
     return own
 
 
-def backoff(counts: list[np.ndarray], total: np.ndarray, place: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+def backoff(counts: Iterator[np.ndarray], total: np.ndarray, place: np.ndarray, order: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """Log score and order used at each position.
 
-    ``counts[n - 1]`` has the count of the n-gram that ends there in the other
-    documents, ``total`` their number of words, ``place`` the position in its
-    document.  The longest n-gram that occurs is taken over its context; each
-    order given up costs log alpha; a word that does not occur counts as
-    ``UNSEEN`` with order 0.
+    ``counts`` gives, for each order from 1, the counts of the n-grams that
+    end at the positions in the other documents, ``total`` their number of
+    words, ``place`` the position in its document.  The longest n-gram that
+    occurs is taken over its context; each order given up costs log alpha; a
+    word that does not occur counts as ``UNSEEN`` with order 0.
     """
-    longest = np.minimum(place + 1, len(counts))
-    size = np.maximum(total, 1.0)
-    score = np.log(np.maximum(counts[0], UNSEEN) / size) + (longest - 1) * math.log(alpha)
-    used = (counts[0] > 0).astype(np.int64)
-    for n in range(2, len(counts) + 1):
-        here = (counts[n - 1] > 0) & (place >= n - 1)
-        context = np.ones(len(score), np.int64)
-        context[1:] = counts[n - 2][:-1]
-        score[here] = np.log(counts[n - 1][here] / context[here]) + (longest[here] - n) * math.log(alpha)
+    longest = np.minimum(place + 1, order).astype(np.int8)
+    now = next(counts)
+    score = np.log(np.maximum(now, UNSEEN) / np.maximum(total, 1.0)) + (longest - 1) * math.log(alpha)
+    used = (now > 0).astype(np.int8)
+    for n, longer in enumerate(counts, 2):
+        here = np.flatnonzero((longer > 0) & (place >= n - 1))
+        score[here] = np.log(longer[here] / now[here - 1]) + (longest[here] - n) * math.log(alpha)
         used[here] = n
+        now = longer
     return score, used
 
 
@@ -237,6 +244,7 @@ def score_documents(
     order: int = ORDER,
     alpha: float = ALPHA,
     batch_words: int = BATCH_WORDS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Per row: ``doc_id, n_words, n_seen, log_score``.
 
@@ -245,36 +253,43 @@ def score_documents(
     full ``order``.  Null and empty texts have no words and score 0.  Repeated
     rows count as other documents of each other.  An empty table gives an
     empty result.  A batch is as large as its largest document at least.
+
+    ``docs`` must read the same rows in the same order when a task is run
+    again, as files do; stage anything else first.  ``ranges`` is the number
+    of hash ranges (the session's shuffle partitions by default): a task holds
+    the n-grams of one order and range, so it should grow with the corpus,
+    and ``batch_words`` with it.
     """
     spark = docs.sparkSession
-    batches = staged(numbered(docs, id_col, text_col, batch_words), "numbered")
-    corpus = batches.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    batches = numbered(docs, id_col, text_col, batch_words).repartition("batch")
+    parts = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     answers = _answers(_requests(batches, order, parts))
 
+    def others(row, answered: pd.DataFrame, document: np.ndarray) -> Iterator[np.ndarray]:
+        """Counts in the other documents at each position, order by order."""
+        edges = _edges(parts)
+        for n, (distinct, counts, at) in enumerate(_exploded(row.ids, row.vocabulary, row.lengths, order), 1):
+            totals, cut = np.append(counts.astype(np.int64), 0), np.searchsorted(distinct, edges)
+            for answer in answered[answered["n"] == n].itertuples():
+                totals[cut[answer.part] + np.cumsum(unpack(answer.places, 4).astype(np.int64))] = unpack(answer.totals, 8)
+            yield totals[at] - _own_counts(at, counts, document)
+
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        edges, names = _edges(parts), ["doc_id", "n_words", "n_seen", "log_score"]
         out = []
         for row in left.itertuples():
+            corpus = int(unpack(right.loc[right["n"] == 0, "totals"].iloc[0], 8)[0])
             lengths = np.asarray(row.lengths, np.int64)
             document = np.repeat(np.arange(len(lengths)), lengths)
             place = np.arange(len(document)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            others = []
-            for n, (distinct, counts, at) in enumerate(_exploded(row.ids, row.vocabulary, row.lengths, order), 1):
-                totals, cut = counts.astype(np.int64), np.searchsorted(distinct, edges)
-                for answer in right[right["n"] == n].itertuples():
-                    totals[cut[answer.part] + np.cumsum(unpack(answer.places, 4).astype(np.int64))] = unpack(answer.totals, 8)
-                every = np.append(totals, 0)[at]
-                others.append(every - _own_counts(at, document))
-            score, used = backoff(others, (corpus - lengths)[document], place, alpha)
+            score, used = backoff(others(row, right, document), (corpus - lengths)[document], place, order, alpha)
             frame = {
                 "doc_id": pd.array([None if x is None or x != x else int(x) for x in row.doc_ids], "Int64"),
                 "n_words": lengths,
                 "n_seen": np.bincount(document[used == order], minlength=len(lengths)),
                 "log_score": np.bincount(document, weights=score, minlength=len(lengths)),
             }
-            out.append(pd.DataFrame(frame, columns=names))
-        return pd.concat(out) if out else pd.DataFrame(columns=names)
+            out.append(pd.DataFrame(frame))
+        return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "n_words", "n_seen", "log_score"])
 
     both = batches.groupBy("batch").cogroup(answers.groupBy("batch"))
     return both.applyInPandas(run, "doc_id bigint, n_words bigint, n_seen bigint, log_score double")
