@@ -35,7 +35,9 @@ def src_frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_frame_index(spark, path)
 
 
-@query("""select o_orderpriority as task, o_orderkey as doc_id, '["' || o_orderstatus || '"]' as filtered_resps, case when o_orderkey % 2 = 0 then '["' || o_orderstatus || '"]' end as resps from orders where o_custkey < 50""".replace("when o_orderkey % 2 = 0 then '[\"' || o_orderstatus || '\"]'", "when o_orderkey % 2 = 0 then '[\"' || lower(o_orderstatus) || '\"]'"))
+@query("""
+    select o_orderpriority as task, o_orderkey as doc_id, '["' || o_orderstatus || '"]' as filtered_resps,
+      case when o_orderkey % 2 = 0 then '["' || lower(o_orderstatus) || '"]' end as resps from orders where o_custkey < 50""")
 def snk_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK1: nested lists as text, responses only where the filtered ones differ."""
     path, s = fresh_path(spark, "samples"), F.col("o_orderstatus")

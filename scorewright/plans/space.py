@@ -83,7 +83,19 @@ def pts_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.dbscan(_points(spark, sf_dir), 0.08, 3)
 
 
-@query()
+_CLUSTERS = f"""{_PTS}, {_CORE}, link as (select a, b from near where a in (select a from core) and b in (select a from core)),
+    walk(a, b) as (select a, a from core union select w.a, l.b from walk w join link l on w.b = l.a),
+    named as (select a, min(b) as cluster from walk group by 1),
+    clusters as (select a as point_id, cluster from named union all
+      select n.a, min(c.cluster) from near n join named c on n.b = c.a where n.a not in (select a from core) group by 1),
+    inst as (select scene_id, label, cluster, avg(x) as cx, avg(y) as cy, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, min(z) as z0, max(z) as z1,
+      count(*) as n, (max(x) - min(x)) * (max(y) - min(y)) as area from p join clusters using (point_id) group by 1, 2, 3)"""
+
+
+@query(f"""
+    with recursive {_CLUSTERS}
+    select scene_id, label, cluster, round(cx, 6) as cx, round(cy, 6) as cy, round(x0, 6) as x0, round(x1, 6) as x1, round(y0, 6) as y0, round(y1, 6) as y1, round(z0, 6) as z0, round(z1, 6) as z1,
+      n, round(area, 6) as area, row_number() over (partition by scene_id, label order by area desc, cluster) as number from inst""")
 def pts_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PTS8, WIN2, SMP9; built on pts_dbscan."""
     found = _instances(spark, sf_dir)
@@ -112,7 +124,13 @@ def pts_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.merge_near(points.join(P.dbscan(points, 0.08, 3), "point_id"), 0.05).select("point_id", "cluster")
 
 
-@query()
+@query(f"""
+    with recursive {_CLUSTERS}, c as (
+      select c.scene_id, c.cluster, q.cluster as parent, case when c.z0 - q.z1 between -0.15 and 0.35 then 'On_Top_Of' when c.z0 >= q.z0 - 0.1 and c.z1 <= q.z1 + 0.1 then 'Inside' end as relation,
+        abs(c.z0 - q.z1) as gap, q.area from inst c join inst q on c.scene_id = q.scene_id and c.cluster <> q.cluster and q.area > c.area
+        and c.cx between q.x0 - 0.1 and q.x1 + 0.1 and c.cy between q.y0 - 0.1 and q.y1 + 0.1)
+    select scene_id, cluster, parent, relation, round(gap, 6) as gap from c where relation is not null
+    qualify row_number() over (partition by scene_id, cluster order by gap, area, parent) = 1""")
 def pts_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PTS10, JOIN8, WIN9; tested against brute force."""
     return rounded(P.hierarchy(_instances(spark, sf_dir)))
@@ -125,7 +143,12 @@ def jsn_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.hierarchy_document(inst, P.hierarchy(inst))
 
 
-@query()
+@query(f"""
+    with recursive {_CLUSTERS}, b as (select scene_id, min(x) as lx, max(x) as hx, min(y) as ly, max(y) as hy from p group by 1),
+    r as (select scene_id, label, least(greatest(floor((y0 - ly) / (hy - ly) * 10), 0), 9)::int as r0, least(greatest(floor((y1 - ly) / (hy - ly) * 10), 0), 9)::int as r1,
+      least(greatest(floor((x0 - lx) / (hx - lx) * 10), 0), 9)::int as c0, least(greatest(floor((x1 - lx) / (hx - lx) * 10), 0), 9)::int as c1 from inst join b using (scene_id)),
+    e as (select distinct scene_id, label, row, unnest(range(c0, c1 + 1)) as col from (select *, unnest(range(r0, r1 + 1)) as row from r))
+    select scene_id, row::int as row, col::int as col, string_agg(label::varchar, ',' order by label) as categories from e group by 1, 2, 3""")
 def pts_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PTS11."""
     inst = _instances(spark, sf_dir)

@@ -142,7 +142,9 @@ def smp_fewshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join(F.transform("shots", lambda s: s["doc_id"].cast("string")), ",").alias("shots"))
 
 
-@query("select p_partkey, array_to_string([floor(i * (p_size) / 3.0)::int for i in range(4)], ',') as positions, array_to_string([(i + 1) || '. ' || w for w, i in string_split(p_type, ' ')], ' ') as numbered from part".replace("[(i + 1) || '. ' || w for w, i in string_split(p_type, ' ')]", "list_transform(string_split(p_type, ' '), lambda w, i: i || '. ' || w)"))
+@query("""
+    select p_partkey, array_to_string([floor(i * (p_size) / 3.0)::int for i in range(4)], ',') as positions,
+      array_to_string(list_transform(string_split(p_type, ' '), lambda w, i: i || '. ' || w), ' ') as numbered from part""")
 def smp_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SMP6, SMP8."""
     rows = table(spark, sf_dir, "part")
@@ -267,8 +269,9 @@ def join_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with f as (select user_id as v, event_id as at from events where event_id % 3 = 0), s as (select user_id as v, event_id as a, event_id + floor(value)::int * 5 as b from events where event_id % 10 = 1)
-    select v, at, a, b from f join s using (v) where a <= at and at < b""".replace(" at,", ' "at",').replace("as at", 'as "at"').replace("<= at", '<= "at"').replace("and at <", 'and "at" <'))
+    with f as (select user_id as v, event_id as "at" from events where event_id % 3 = 0),
+    s as (select user_id as v, event_id as a, event_id + floor(value)::int * 5 as b from events where event_id % 10 = 1)
+    select v, "at", a, b from f join s using (v) where a <= "at" and "at" < b""")
 def join_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN7."""
     e = table(spark, sf_dir, "events")

@@ -155,7 +155,7 @@ _PUNCT = r"""[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 @query(rf"""
     select doc_id, regexp_replace(regexp_replace(lower(text), '{_PUNCT}', '', 'g'), '[0-9]', '', 'g') as exact,
       trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '{_PUNCT}', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) as qa,
-      trim(regexp_replace(regexp_replace('<|en|>' || text, '<\|[^|]*\|>', '', 'g'), '\s+', ' ', 'g')) as speech from documents where text !~ '[^\x00-\x7F]'""".replace("text !~", "not regexp_matches(text, ").replace(r"'[^\x00-\x7F]'", r"'[^\x00-\x7F]')"))
+      trim(regexp_replace(regexp_replace('<|en|>' || text, '<\|[^|]*\|>', '', 'g'), '\s+', ' ', 'g')) as speech from documents where not regexp_matches(text, '[^\x00-\x7F]')""")
 def nrm_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NRM1, NRM3, NRM4 (rows in ASCII: the dialects' word characters differ beyond)."""
     rows = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
@@ -199,11 +199,11 @@ def met_mra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("id", M.mra("pred", "gold", signed=True).alias("mra"), M.mra("pred", "gold", "exact").alias("mra_exact")))
 
 
-@query("""
-    with t as (select doc_id, lower(trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g'))) as a, substr(text, 1, 40) as ra, lower(trim(regexp_replace(substr(text, 3, 40), '\\s+', ' ', 'g'))) as b, substr(text, 3, 40) as rb,
-      lower(trim(regexp_replace(substr(text, 21, 40), '\\s+', ' ', 'g'))) as c, substr(text, 21, 40) as rc from documents where length(text) > 60 and not regexp_matches(text, '[^\\x00-\\x7F]')),
+@query(r"""
+    with t as (select doc_id, lower(trim(regexp_replace(substr(text, 1, 40), '\s+', ' ', 'g'))) as a, substr(text, 1, 40) as ra, lower(trim(regexp_replace(substr(text, 3, 40), '\s+', ' ', 'g'))) as b, substr(text, 3, 40) as rb,
+      lower(trim(regexp_replace(substr(text, 21, 40), '\s+', ' ', 'g'))) as c, substr(text, 21, 40) as rc from documents where length(text) > 60 and not regexp_matches(text, '[^\x00-\x7F]')),
     s as (select *, 1 - least(levenshtein(a, b) / greatest(len(ra), len(rb)), levenshtein(a, c) / greatest(len(ra), len(rc))) as s from t)
-    select doc_id, levenshtein(a, b) as edit, round(case when s >= 0.5 then s else 0 end, 6) as anls, round(1 - levenshtein(a, b) / greatest(len(a), len(b)), 6) as near from s""".replace("\\\\", "\\"))
+    select doc_id, levenshtein(a, b) as edit, round(case when s >= 0.5 then s else 0 end, 6) as anls, round(1 - levenshtein(a, b) / greatest(len(a), len(b)), 6) as near from s""")
 def met_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MET3, MET4, MET12, MET24."""
     rows = table(spark, sf_dir, "documents").where((F.length("text") > 60) & ~F.col("text").rlike(r"[^\x00-\x7F]"))
@@ -352,7 +352,14 @@ def met_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("label").agg(F.round(100 * F.avg("c"), 3).alias("cosine"))
 
 
-@query()
+@query(r"""
+    with t as (select doc_id, text, doc_id % 3 as g, string_split(text, chr(10)) as l from documents),
+    v as (select doc_id, g, text, unnest([text, trim(array_to_string(l[2:], chr(10))), trim(array_to_string(l[:len(l) - 1], chr(10))), trim(array_to_string(l[2:len(l) - 1], chr(10)))]) as x from t),
+    w as (select doc_id, g, text, x from v union all select doc_id, g, text, replace(x, '*', '') from v),
+    k as (select doc_id, g, x, x = text as own, len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '')) as n from w),
+    c as (select doc_id, own, x <> '' as kept, case g when 0 then n >= 50 when 1 then n <= 300 else contains(lower(x), 'the') end as a, case g when 0 then not contains(x, ',') when 1 then x = lower(x) else suffix(trim(x), '.') end as b from k),
+    r as (select doc_id, bool_or(a and own) as sa, bool_or(b and own) as sb, bool_or(a and kept) as la, bool_or(b and kept) as lb from c group by 1)
+    select doc_id, sa and sb as prompt_strict, (sa::int + sb::int) / 2 as instruction_strict, la and lb as prompt_loose, (la::int + lb::int) / 2 as instruction_loose from r""")
 def met_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MET26; a broadcast rule table, tested by cases."""
     rules = spark.createDataFrame([(0, "min_words", "50"), (0, "no_comma", ""), (1, "max_words", "300"), (1, "lower_case", ""), (2, "has_word", "the"), (2, "ends_with", ".")], "prompt long, check string, argument string")
