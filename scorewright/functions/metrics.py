@@ -336,10 +336,13 @@ def token_edit(a: Text, b: Text) -> Column:
     character distance counts tokens.  Holds for up to about 20 000 distinct
     tokens in a row; more give null.
     """
-    known = F.array_distinct(F.concat(_c(a), _c(b)))
-    letter = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 19967), 4, "0")), "UTF-16BE")
-    text = lambda xs: F.array_join(F.transform(_c(xs), letter), "")
-    return F.when(F.size(known) <= 20_000, F.levenshtein(text(a), text(b)))
+
+    def distance(known: Column) -> Column:
+        letter = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 19967), 4, "0")), "UTF-16BE")
+        text = lambda xs: F.array_join(F.transform(_c(xs), letter), "")
+        return F.when(F.size(known) <= 20_000, F.levenshtein(text(a), text(b)))
+
+    return let(F.array_distinct(F.concat(_c(a), _c(b))), distance)
 
 
 def mixed_error_rate(pred: Text, gold: Text) -> Column:

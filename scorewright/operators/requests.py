@@ -118,15 +118,16 @@ def contamination(corpus: DataFrame, queries: DataFrame, n: int = 8, corpus_id:
     """Pairs that share word n-grams: ``corpus_id, query_id, shared, share``
     (of the query's distinct n-grams).
 
-    Distinct n-grams of each side are joined by hash and text.  The queries
-    are the small side and Spark decides by their size how to join; an n-gram
-    that most documents have meets only the queries that have it.
+    Distinct n-grams of each side are joined by their 64-bit hash, made of the
+    hashes of their words.  The queries are the small side and Spark decides
+    by their size how to join; an n-gram that most documents have meets only
+    the queries that have it.
     """
 
     def grams(df: DataFrame, key: str) -> DataFrame:
         words = F.filter(F.split(F.lower(F.col(text)), r"[^a-z0-9\x{80}-\x{10FFFF}]+"), lambda w: w != "")
-        rows = df.select(F.col(key), words.alias("_w")).where(F.size("_w") >= n)
-        made = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda k: F.array_join(F.slice("_w", k, n), " "))
+        rows = df.select(F.col(key), F.transform(words, lambda w: F.xxhash64(w)).alias("_w")).where(F.size("_w") >= n)
+        made = F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.xxhash64(*(F.get("_w", i + k) for k in range(n))))
         return rows.select(key, F.explode(F.array_distinct(made)).alias("_g"))
 
     asked = grams(queries, query_id)
