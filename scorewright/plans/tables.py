@@ -62,7 +62,7 @@ def win_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.changes(rows, ["user_id"], ["ts", "event_id"], ["c"]).select("user_id", "event_id", F.col("c").cast("double").alias("c"))
 
 
-@query("select conv_id, turn, sum((role = 'assistant')::int) over w as assistant_turn, sum((role = 'assistant')::int) over w > 0 as answered from conversations window w as (partition by conv_id order by turn)")
+@query("select conv_id, turn, (sum((role = 'assistant')::int) over w)::bigint as assistant_turn, sum((role = 'assistant')::int) over w > 0 as answered from conversations window w as (partition by conv_id order by turn)")
 def win_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN4."""
     return RO.turns_after_first_answer(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "assistant_turn", "answered")
@@ -343,7 +343,7 @@ _STEP = lambda s: rf"regexp_matches(t, '(?m)(?:#{{1,3}}\s*)?(?:\*{{1,2}})?[Ss]te
     s as (select *, case when not ans or (not tool and not s1 and (s2 or s22 or s4 or s5)) then 0 else
       1 - (not s1)::int * 0.30 - (not s5)::int * 0.20 - (not tool and s22)::int * 0.35 - (tool and not (s22 or s2))::int * 0.10 - (tool and not s4)::int * 0.10 - least(0.2 * extra, 0.4)
       - (s1 and not contains(lower(regexp_extract(t, '(?:#{{1,3}}\s*)?[Ss]tep\s*1(?:\s|:)(.*)', 1)), 'visual'))::int * 0.10 end as structure from f)
-    select doc_id, round(structure, 6) as structure, case when structure < 0.85 then 0.0 else (coalesce(regexp_extract(t, '<Answer>\s*([A-E])', 1), '') = sol)::int::double end as accuracy from s""")
+    select doc_id, round(structure::double, 6) as structure, case when structure < 0.85 then 0.0 else (coalesce(regexp_extract(t, '<Answer>\s*([A-E])', 1), '') = sol)::int::double end as accuracy from s""")
 def trj_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TRJ2-TRJ4, TRJ5, TRJ6, JSN1."""
     rows = _rollouts(spark, sf_dir).withColumn("structure", F.round(T.structure_reward("t", "calls"), 6))

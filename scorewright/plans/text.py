@@ -170,7 +170,7 @@ def nrm_vqa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", E.vqa_form("text").alias("form"))
 
 
-@query("select lang, max(to_json([doc_id, n_chars])) as j from documents group by 1")
+@query("select lang, max(to_json([doc_id, n_chars])::varchar) as j from documents group by 1")
 def nrm_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NRM5."""
     rows = table(spark, sf_dir, "documents").select("lang", E.stringified(F.array("doc_id", "n_chars")).alias("j"))
@@ -405,7 +405,7 @@ def agg_cider(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.cider(rows, "doc_id", "a", "refs"), 4)
 
 
-@query("select n.doc_id, n.t, (n.doc_id % 24) * 3600 + (n.doc_id % 60) * 60 + (n.doc_id % 59) + 0.25 as seconds from (select doc_id, lpad((doc_id % 24)::varchar, 2, '0') || ':' || lpad((doc_id % 60)::varchar, 2, '0') || ':' || lpad((doc_id % 59)::varchar, 2, '0') || ',250' as t from documents) n")
+@query("select n.doc_id, n.t, (n.doc_id % 24) * 3600 + (n.doc_id % 60) * 60 + (n.doc_id % 59) + 0.25::double as seconds from (select doc_id, lpad((doc_id % 24)::varchar, 2, '0') || ':' || lpad((doc_id % 60)::varchar, 2, '0') || ':' || lpad((doc_id % 59)::varchar, 2, '0') || ',250' as t from documents) n")
 def dat_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DAT1."""
     two = lambda k: F.lpad((F.col("doc_id") % k).cast("string"), 2, "0")
