@@ -4,13 +4,15 @@ Fixed patterns find assignments, access keys and long hex strings.  The
 method adds strings in a sensitive context that no pattern names: a candidate
 is a run of key characters soon after a sensitive word; its novelty is the
 number of bytes that zstandard needs for it beyond an empty input when primed
-with a dictionary of identifiers and the code around it, over its length.
+with a dictionary of identifiers and the code around it, over the number it
+needs for random characters of the same alphabet and length.
 Words, identifiers, placeholders and copies of what stands nearby compress
 away; key material does not.
 """
 
 from __future__ import annotations
 
+import random
 import re
 
 import pyarrow as pa
@@ -37,11 +39,13 @@ SENSITIVE = (
 )
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Characters after a sensitive word in which a candidate may start.
+#: Candidates and shorter parts joined by dots, as in signed tokens.
+_DOTTED = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+#: Characters after a sensitive word in which a candidate, or what it is dotted to, may start.
 REACH = 64
 #: Characters on either side of a candidate that prime the compressor.
 AROUND = 256
-#: Share of its length that a candidate must keep when compressed.
+#: Share of the size of random characters that a candidate must have when compressed.
 LEAST_NOVELTY = 0.8
 
 # fixed values: identifiers and placeholders that prime the compressor
@@ -60,6 +64,14 @@ IDENTIFIERS = (
 )
 
 
+# fixed values: alphabets of key material, the narrowest that holds a candidate is its own
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ALPHABETS = (
+    _DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _DIGITS + "abcdefABCDEF", _UPPER + "234567", _LOWER + "234567",
+    _UPPER + _DIGITS, _LOWER + _DIGITS, _UPPER + _LOWER + _DIGITS,
+)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``start, kind, end`` of the fixed kinds, each leftmost and without
     overlaps of its own kind; matches that are too short are dropped."""
@@ -72,13 +84,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def random_like(candidate: str) -> str:
+    """Random characters of a candidate's alphabet and length; padding stays.
+
+    Signs other than letters and digits join the alphabet as they occur.
+    """
+    body = candidate.rstrip("=") or candidate
+    held = set(body)
+    signs = "".join(sorted(held - set(ALPHABETS[-1])))
+    alphabet = next(x for x in ALPHABETS if held <= {*x, *signs}) + signs
+    return "".join(random.Random(len(body)).choices(alphabet, k=len(body))) + candidate[len(body) :]
+
+
 def novelty(candidate: str, around: str) -> float:
-    """Marginal compressed bytes of a candidate over its own bytes.
+    """Marginal compressed bytes of a candidate over those of random characters.
 
     Copies of the candidate in ``around`` are left out, else a secret that is
-    written twice would explain itself.
+    written twice would explain itself.  The compressor codes an alphabet in
+    fewer bits than bytes have, the better the longer a string is, so a fixed
+    share of the length would drop long keys.
     """
-    raw = candidate.encode()
     primed = (IDENTIFIERS + around.replace(candidate, " ")).encode("utf-8", "surrogatepass")
     press = zstandard.ZstdCompressor(
         level=19,
@@ -87,29 +112,46 @@ def novelty(candidate: str, around: str) -> float:
         write_content_size=False,
         write_dict_id=False,
     )
-    return (len(press.compress(raw)) - len(press.compress(b""))) / len(raw)
+    empty, own, drawn = (len(press.compress(x.encode())) for x in ("", candidate, random_like(candidate)))
+    return (own - empty) / (drawn - empty)
 
 
 def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-    """Candidates that are novel and that no known span touches."""
+    """Candidates that are novel and that no known span explains.
+
+    Assignments and access keys explain what they touch; hex runs, which a
+    longer key of digits and capitals may contain, explain a candidate of
+    which they leave fewer than 16 characters.  Parts joined by dots are one
+    span if one of them is novel.
+    """
     found: dict[int, tuple[int, int, int, float]] = {}
     seen: set[int] = set()
+    until = 0  # a sensitive word inside a key starts no span of its own
+
+    def free(start: int, end: int) -> bool:
+        on = [(max(a, start), k, min(b, end)) for a, k, b in known if a < end and start < b]
+        return not on or (all(k == 2 for _, k, _ in on) and end - start - sum(b - a for a, _, b in on) >= 16)
+
     for word in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, word.end()):
-            if m.start() > word.end() + REACH:
+        for run in _DOTTED.finditer(text, word.end()):
+            if run.start() > word.end() + REACH:
                 break
-            if m.start() in seen:
-                continue
-            seen.add(m.start())
-            value = m[0]
-            if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
-                continue
-            if any(a < m.end() and m.start() < b for a, _, b in known):
+            if run.start() in seen or run.start() < until:
                 continue
-            around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
-            share = novelty(value, around)
-            if share >= LEAST_NOVELTY:
-                found[m.start()] = (m.start(), 3, m.end(), share)
+            seen.add(run.start())
+            parts = []
+            for m in _CANDIDATE.finditer(text, *run.span()):
+                value = m[0]
+                if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)) or not free(*m.span()):
+                    continue
+                around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
+                share = novelty(value, around)
+                if share >= LEAST_NOVELTY:
+                    parts.append((m.start(), 3, m.end(), share))
+            if parts and free(*run.span()):
+                parts = [(run.start(), 3, run.end(), max(x[3] for x in parts))]
+            found.update({x[0]: x for x in parts})
+            until = max([until, *(x[2] for x in parts)])
     return [found[k] for k in sorted(found)]
 
 
