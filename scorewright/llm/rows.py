@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def named(column: str) -> Column:
+    """A top-level column by its name, whatever characters the name has."""
+    return F.col(f"`{column.replace('`', '``')}`")
 
 
 def with_arrow_columns(
@@ -23,35 +28,21 @@ def with_arrow_columns(
     of the ``inputs`` to one Arrow array for each of ``fields`` (a DDL list).
     The columns of ``docs`` (those in ``keep``, if given) travel under names
     of their own, so any names may clash with ``fields``; the second result
-    selects them back.
+    selects them back.  Names and struct fields may hold any characters.
     """
     shown = [f for f in docs.schema.fields if keep is None or f.name in keep]
-    kept = [F.col(f"`{f.name}`").alias(f"c{k}") for k, f in enumerate(shown)]
-    frame = docs.select(*kept, *(x.alias(f"i{k}") for k, x in enumerate(inputs)))
-    n, m = len(kept), len(inputs)
-    old = [f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(shown)]
+    made = T.StructType.fromDDL(fields)
+    n, m = len(shown), len(inputs)
+    frame = docs.select(*(named(f.name).alias(f"c{k}") for k, f in enumerate(shown)), *(x.alias(f"i{k}") for k, x in enumerate(inputs)))
+    old = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(shown)]
+    new = [T.StructField(f"n{k}", f.dataType) for k, f in enumerate(made.fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
         for batch in batches:
-            new = make(*(batch.column(n + k).to_pylist() for k in range(m)))
-            names = [*batch.schema.names[:n], *(f"n{k}" for k in range(len(new)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *new], names=names)
-
-    names = [x.strip().split()[0] for x in _split(fields)]
-    types = [x.strip().split(maxsplit=1)[1] for x in _split(fields)]
-    made = frame.mapInArrow(run, ", ".join(chain(old, (f"n{k} {t}" for k, t in enumerate(types)))))
-    made = made.withColumnsRenamed({f"n{k}": x for k, x in enumerate(names)})
-    return made, [F.col(f"c{k}").alias(f.name) for k, f in enumerate(shown)]
-
-
-def _split(fields: str) -> list[str]:
-    """Top-level parts of a DDL list."""
-    out, depth = [""], 0
-    for c in fields:
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return out
+            arrays = make(*(batch.column(n + k).to_pylist() for k in range(m)))
+            names = [*batch.schema.names[:n], *(f"n{k}" for k in range(len(arrays)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *arrays], names=names)
+
+    out = frame.mapInArrow(run, T.StructType(old + new)).withColumnsRenamed({f"n{k}": f.name for k, f in enumerate(made.fields)})
+    return out, [F.col(f"c{k}").alias(f.name) for k, f in enumerate(shown)]

@@ -1,11 +1,13 @@
 """Secret scan: fixed patterns, and novelty under a primed compressor.
 
 Fixed patterns find assignments, access keys and long hex strings.  The
-method adds strings in a sensitive context that no pattern names: a candidate
-is a run of key characters soon after a sensitive word; its novelty is the
-number of bytes that zstandard needs for it beyond an empty input when primed
-with a dictionary of identifiers and the code around it, over the number it
-needs for random characters of the same alphabet and length.
+method measures each candidate, which is the value of a fixed kind or what
+stands soon after a sensitive word: a run of key characters, with dots or
+without, or a string in quotes.  Its novelty is the number of bytes that
+zstandard needs for it beyond an empty input when primed with a dictionary of
+identifiers and the code around it, over the number it needs for random
+characters of the same alphabet and length.  Novel candidates are reported
+beside the fixed kinds, which stay whatever their novelty.
 Words, identifiers, placeholders and copies of what stands nearby compress
 away; key material does not.
 """
@@ -14,13 +16,15 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.rows import with_arrow_columns
+from scorewright.llm.rows import named, with_arrow_columns
 
 # fixed values: patterns of the base kinds, in their order
 KINDS = ("assign", "access", "hex", "novel")
@@ -38,9 +42,17 @@ SENSITIVE = (
     "authorization", "bearer", "signature", "client_id", "connectionstring",
 )
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Least characters of a candidate run, and of a candidate in quotes.
+LEAST_RUN, LEAST_QUOTED = 16, 12
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
 #: Candidates and shorter parts joined by dots, as in signed tokens.
 _DOTTED = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+_QUOTES = "\"'`"
+#: A string in quotes with signs that end a run, as in passwords (no address, path or template).
+_QUOTED = re.compile(r"""[\"'`](?=[A-Za-z0-9+=_-]*[!#$%%^&*?~])([A-Za-z0-9!#$%%^&*?~+=_-]{%d,})[\"'`]""" % LEAST_QUOTED)
+_STARTS = re.compile(r"""[\"'`A-Za-z0-9+/_=-]""")
+_WHOLE = re.compile(r"\S+")
+_SIGNS = re.compile(r"[!#$%^&*?~]")
 #: Characters after a sensitive word in which a candidate, or what it is dotted to, may start.
 REACH = 64
 #: Characters on either side of a candidate that prime the compressor.
@@ -72,18 +84,24 @@ ALPHABETS = (
 )
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """``start, kind, end`` of the fixed kinds, each leftmost and without
-    overlaps of its own kind; matches that are too short are dropped."""
+def base_values(text: str) -> list[tuple[int, int, int, int]]:
+    """``start, kind, end, value`` of the fixed kinds, each leftmost and without
+    overlaps of its own kind; matches that are too short are dropped.  ``value``
+    is where the secret itself starts."""
     low, found = text.lower(), []
     if any(x in low for x in ("passw", "secret", "token", "apikey", "api_key")):
-        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
+        found += [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     if "AKIA" in text:
-        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+        found += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
+    found += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
     return sorted(found)
 
 
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """``start, kind, end`` of the fixed kinds."""
+    return [x[:3] for x in base_values(text)]
+
+
 def random_like(candidate: str) -> str:
     """Random characters of a candidate's alphabet and length; padding stays.
 
@@ -116,57 +134,91 @@ def novelty(candidate: str, around: str) -> float:
     return (own - empty) / (drawn - empty)
 
 
-def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-    """Candidates that are novel and that no known span explains.
+def _classes(value: str) -> bool:
+    """Whether a value has letters and digits, as key material does."""
+    return bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value))
 
-    Assignments and access keys explain what they touch; hex runs, which a
-    longer key of digits and capitals may contain, explain a candidate of
-    which they leave fewer than 16 characters.  Parts joined by dots are one
-    span if one of them is novel.
-    """
-    found: dict[int, tuple[int, int, int, float]] = {}
-    seen: set[int] = set()
-    until = 0  # a sensitive word inside a key starts no span of its own
 
-    def free(start: int, end: int) -> bool:
-        on = [(max(a, start), k, min(b, end)) for a, k, b in known if a < end and start < b]
-        return not on or (all(k == 2 for _, k, _ in on) and end - start - sum(b - a for a, _, b in on) >= 16)
+def _share(text: str, start: int, end: int) -> float:
+    return novelty(text[start:end], text[max(0, start - AROUND) : start] + text[end : end + AROUND])
 
+
+def contexts(text: str) -> Iterator[tuple[int, int]]:
+    """Candidates: what begins at most ``REACH`` characters after a sensitive
+    word and is a quoted string or a run of key characters with dots.
+
+    No character is looked at twice, however many sensitive words there are.
+    """
+    at = 0
     for word in _SENSITIVE.finditer(text):
-        for run in _DOTTED.finditer(text, word.end()):
-            if run.start() > word.end() + REACH:
+        at = max(at, word.end())
+        while at <= word.end() + REACH:
+            found = _STARTS.search(text, at, min(len(text), word.end() + REACH + 1))
+            if not found:
                 break
-            if run.start() in seen or run.start() < until:
+            whole = (_QUOTED.match(text, found.start()) if found[0] in _QUOTES else None) or _DOTTED.match(text, found.start())
+            if whole is None:  # a mark that opens no string
+                at = found.end()
                 continue
-            seen.add(run.start())
-            parts = []
-            for m in _CANDIDATE.finditer(text, *run.span()):
-                value = m[0]
-                if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)) or not free(*m.span()):
-                    continue
-                around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
-                share = novelty(value, around)
+            at = whole.end()
+            yield whole.span(1) if whole.re is _QUOTED else whole.span()
+
+
+def novel_spans(text: str, known: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, float]], int]:
+    """Candidates that are novel and that no known span explains, and how many
+    were measured.  They do not overlap one another.
+
+    Assignments and access keys explain what they touch; hex runs, which a
+    longer key of digits and capitals may contain, explain a candidate of
+    which they leave fewer than 16 characters.  Of parts joined by dots, one
+    novel part makes the whole a span.
+    """
+    found, measured = [], 0
+    # spans of one kind are disjoint, so starts and ends of a kind are both in order
+    by_kind = [[(a, b) for a, k, b in known if k == kind] for kind in range(3)]
+    sides = [([a for a, _ in x], [b for _, b in x]) for x in by_kind]
+
+    def free(start: int, end: int) -> bool:
+        on = [x[bisect_right(ends, start) : bisect_left(starts, end)] for x, (starts, ends) in zip(by_kind, sides, strict=True)]
+        if on[0] or on[1]:
+            return False
+        return not on[2] or end - start - sum(min(b, end) - max(a, start) for a, b in on[2]) >= LEAST_RUN
+
+    for start, end in contexts(text):
+        one = bool(_SIGNS.search(text, start, end))  # a string in quotes is measured as a whole
+        parts = []
+        for m in (_WHOLE if one else _CANDIDATE).finditer(text, start, end):
+            if _classes(m[0]) and free(*m.span()):
+                measured += 1
+                share = _share(text, *m.span())
                 if share >= LEAST_NOVELTY:
                     parts.append((m.start(), 3, m.end(), share))
-            if parts and free(*run.span()):
-                parts = [(run.start(), 3, run.end(), max(x[3] for x in parts))]
-            found.update({x[0]: x for x in parts})
-            until = max([until, *(x[2] for x in parts)])
-    return [found[k] for k in sorted(found)]
+        if parts and free(start, end):
+            parts = [(start, 3, end, max(x[3] for x in parts))]
+        found += parts
+    return found, measured
 
 
-def secret_spans(text: str | None) -> list[dict]:
-    """All spans of a text by start, then kind; code points, end exclusive.
+def measured_spans(text: str | None) -> tuple[list[dict], int]:
+    """All spans of a text by start, then kind (code points, end exclusive),
+    and the number of strings whose novelty was measured.
 
-    Null is taken as empty.  ``novelty`` is null for the fixed kinds.
+    Null is taken as empty.  The values of the fixed kinds (what an assignment
+    assigns, whole keys and runs) are measured too, but stay whatever it says.
     """
     text = text or ""
-    base = base_spans(text)
-    every = [(*x, None) for x in base]
+    base = base_values(text)
+    every = [(a, k, b, _share(text, v, b)) for a, k, b, v in base]
+    measured = len(every)
     low = text.lower()
     if any(x in low for x in SENSITIVE):
-        every = sorted(every + novel_spans(text, base), key=lambda x: x[:2])
-    return [{"kind": KINDS[k], "start": a, "end": b, "novelty": s} for a, k, b, s in every]
+        novel, more = novel_spans(text, [x[:3] for x in base])
+        every, measured = sorted(every + novel, key=lambda x: x[:2]), measured + more
+    return [{"kind": KINDS[k], "start": a, "end": b, "novelty": s} for a, k, b, s in every], measured
+
+
+def secret_spans(text: str | None) -> list[dict]:
+    return measured_spans(text)[0]
 
 
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint,novelty:double>>"
@@ -188,30 +240,28 @@ def redact(text: str | None, spans: list[dict], mark: str = "[SECRET]") -> str |
     return "".join([*out, text[at:]])
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, list[Column]]:
-    """Rows with ``spans`` (kind, start, end, novelty) and ``redacted`` text.
+def find_secrets(docs: DataFrame, text_col: str = "text", redacting: bool = True, keep: list[str] | None = None) -> tuple[DataFrame, list[Column]]:
+    """Rows with ``spans`` (kind, start, end, novelty), ``n_measured`` and,
+    with ``redacting``, the ``redacted`` text.
 
-    The second result selects the columns of ``docs`` back, whatever their
-    names.  Each row is handled alone: repeated rows, empty and null texts and
-    empty tables need no case of their own; a null text stays null.
+    The second result selects the columns of ``docs`` (those in ``keep``, if
+    given) back, whatever their names.  Each row is handled alone: repeated
+    rows, empty and null texts and empty tables need no case of their own; a
+    null text stays null.
     """
 
-    make = _start(redacting=True)
-    return with_arrow_columns(docs, [F.col(text_col)], make, f"spans {_SPANS}, redacted string")
-
-
-def _start(redacting: bool):
     def start():
         def make(texts: list) -> list[pa.Array]:
-            spans = [secret_spans(t) for t in texts]
-            new = [pa.array(spans, _SPAN_TYPE)]
+            found = [measured_spans(t) for t in texts]
+            new = [pa.array([s for s, _ in found], _SPAN_TYPE), pa.array([n for _, n in found], pa.int64())]
             if redacting:
-                new.append(pa.array([redact(t, s) for t, s in zip(texts, spans, strict=True)], pa.string()))
+                new.append(pa.array([redact(t, s) for t, (s, _) in zip(texts, found, strict=True)], pa.string()))
             return new
 
         return make
 
-    return start
+    fields = f"spans {_SPANS}, n_measured bigint" + (", redacted string" if redacting else "")
+    return with_arrow_columns(docs, [named(text_col).cast("string")], start, fields, keep)
 
 
 def _joined(spans: Column) -> Column:
@@ -219,8 +269,13 @@ def _joined(spans: Column) -> Column:
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel``."""
-    found, back = with_arrow_columns(docs, [F.col(text_col)], _start(redacting=False), f"spans {_SPANS}", [id_col])
+    """Per row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans,
+    n_novel, n_measured, novelty`` (of each span, in their order).
+
+    A null or empty text has no spans; repeated rows all come back; an empty
+    table gives an empty result.
+    """
+    found, back = find_secrets(docs, text_col, redacting=False, keep=[id_col])
     n = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda x: x["kind"] != "novel")
     return found.select(
@@ -229,11 +284,17 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
         n("novel").alias("n_novel"),
+        "n_measured",
+        F.array_join(F.transform("spans", lambda x: F.format_number(x["novelty"], 2)), ",").alias("novelty"),
     )
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with secrets replaced in the text, and its length renewed."""
+    """``docs`` with secrets replaced in the text, and its length renewed.
+
+    Every row stays; a null text stays null, and a text without secrets as it
+    is, with its length.  An empty table gives an empty result.
+    """
     found, back = find_secrets(docs, text_col)
     out = dict(zip(docs.columns, back, strict=True))
     out[text_col] = F.col("redacted").alias(text_col)
