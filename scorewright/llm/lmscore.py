@@ -9,11 +9,23 @@ by hash, done on packed arrays:
 2. each batch explodes into the distinct n-grams of each order with their
    counts in the batch (pre-aggregated, so the most frequent n-gram is one
    entry per batch), sent by hash range as sorted, difference-coded hashes;
-3. each hash range sums the counts of its n-grams over all batches, and
-   answers each batch with the entries whose total is not the batch's own;
+3. each hash range sums the counts of its n-grams over all batches (this is
+   its part of the count table, which ``count_table`` gives as rows), joins
+   them to the batches' n-grams and answers each batch with the entries whose
+   total is not the batch's own;
 4. each batch joins the answers to its n-grams and sums the scores of each
    document.
 
+Steps 2 to 4 are two exchanges.  Written as rows of one n-gram each, the same
+join shuffles several times the bytes of the texts.  The number of ranges
+follows the bytes of the corpus, so a task holds about ``RANGE_BYTES`` of text
+in n-grams of one order, whatever the corpus; a request is as small as one
+n-gram at worst, so the packed rows are never more than plain ones would be.
+
+N-grams stand for their 56-bit hashes.  Two of a corpus of n distinct ones
+share a hash with probability n / 2^56 for each: 1e-7 at ten billion, so about
+one count in ten million may be too high there.
+
 A document is scored against the other documents: its own counts are taken
 off, so copies and common phrases score high and a lone text does not vouch
 for itself.
@@ -33,12 +45,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewright.llm.rows import named
 
 ORDER = 3
 ALPHA = 0.4
 #: Count of a word that no other document has.
 UNSEEN = 0.5
 BATCH_WORDS = 1_500_000
+#: Bytes of text whose n-grams of one order a hash range holds, about.
+RANGE_BYTES = 32 << 20
+#: Bytes of text whose batches one task reads, about.
+TASK_BYTES = 16 << 20
 #: Bits of an n-gram's hash, and bytes of a difference between sorted ones.
 HASH_BITS, STEP_BYTES = 56, 5
 _U = np.uint64
@@ -122,10 +139,14 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, batch_words: int) -> D
         if doc_ids:
             yield rows(doc_ids, lengths, ids, vocabulary, f"{part}.{made}")
 
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
     return found.mapInArrow(run, _BATCH)
 
 
+def _text_bytes(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length(named(text_col).cast("string")).cast("long")), F.lit(0)).alias("n")).first()["n"]
+
+
 def _exploded(ids: bytes, vocabulary: bytes, lengths: list[int], order: int) -> Iterator[tuple]:
     """For each order in turn: distinct hashes, their counts in the batch, the number
     of the distinct hash at each position, and which positions have one."""
@@ -183,15 +204,28 @@ def _asked(row) -> tuple[np.ndarray, np.ndarray]:
 _ANSWER = "batch string, n int, part int, places binary, totals binary"
 
 
+def _summed(pdf: pd.DataFrame) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """A range's part of the count table (distinct hashes, totals), the
+    requests it comes from, and the place of each of their hashes in it."""
+    parts = [_asked(row) for row in pdf.itertuples()]
+    distinct, back = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+    totals = np.zeros(len(distinct), np.int64)
+    np.add.at(totals, back, np.concatenate([c for _, c in parts]))
+    return parts, distinct, totals, back
+
+
+def _by_range(asked: DataFrame, parts: int, order: int) -> DataFrame:
+    """Requests where their order and range are summed."""
+    least = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return asked.repartition(max(least, parts * order), "n", "part")
+
+
 def _answers(asked: DataFrame) -> DataFrame:
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if key[0] == 0:
             words = pack(np.array([pdf["first"].sum()], np.uint64), 8)
             return pd.DataFrame({"batch": pdf["batch"], "n": 0, "part": 0, "places": b"", "totals": words})
-        parts = [_asked(row) for row in pdf.itertuples()]
-        distinct, back = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
-        totals = np.zeros(len(distinct), np.int64)
-        np.add.at(totals, back, np.concatenate([c for _, c in parts]))
+        parts, _, totals, back = _summed(pdf)
         rows, done = [], 0
         for row, (hashes, counts) in zip(pdf.itertuples(), parts, strict=True):
             total = totals[back[done : done + len(hashes)]]
@@ -204,6 +238,24 @@ def _answers(asked: DataFrame) -> DataFrame:
     return asked.groupBy("n", "part").applyInPandas(run, _ANSWER)
 
 
+def count_table(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, batch_words: int = BATCH_WORDS, ranges: int | None = None
+) -> DataFrame:
+    """``n, hash, count`` of every n-gram up to ``order``, partitioned by hash.
+
+    The counts are those that ``score_documents`` joins.  Null and empty texts
+    have none; repeated rows count each; an empty table gives an empty result.
+    """
+    parts = ranges or max(1, -(-_text_bytes(docs, text_col) // RANGE_BYTES))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, distinct, totals, _ = _summed(pdf)
+        return pd.DataFrame({"n": key[0], "hash": distinct.astype(np.int64), "count": totals})
+
+    asked = _by_range(_requests(numbered(docs, id_col, text_col, batch_words), order, parts), parts, order)
+    return asked.where("n > 0").groupBy("n", "part").applyInPandas(run, "n int, hash bigint, count bigint")
+
+
 def _own_counts(at: np.ndarray, counts: np.ndarray, document: np.ndarray) -> np.ndarray:
     """How often the n-gram at each position occurs in its document; those
     that are once in the batch need no counting."""
@@ -246,24 +298,25 @@ def score_documents(
     batch_words: int = BATCH_WORDS,
     ranges: int | None = None,
 ) -> DataFrame:
-    """Per row: ``doc_id, n_words, n_seen, log_score``.
+    """Per row: ``doc_id, n_words, n_seen, n_full, log_score``.
 
     ``log_score`` sums the natural logs of stupid-backoff scores with counts
     of all other rows; ``n_seen`` counts the words scored by an n-gram of the
-    full ``order``.  Null and empty texts have no words and score 0.  Repeated
-    rows count as other documents of each other.  An empty table gives an
-    empty result.  A batch is as large as its largest document at least.
+    full ``order``, ``n_full`` those scored by the longest n-gram that their
+    place in the document allows (all words of a text that occurs twice).
+    Null and empty texts have no words and score 0.  Repeated rows count as
+    other documents of each other.  An empty table gives an empty result.  A
+    batch is as large as its largest document at least.
 
     ``docs`` must read the same rows in the same order when a task is run
     again, as files do; stage anything else first.  ``ranges`` is the number
-    of hash ranges (the session's shuffle partitions by default): a task holds
-    the n-grams of one order and range, so it should grow with the corpus,
-    and ``batch_words`` with it.
+    of hash ranges, by default one for each ``RANGE_BYTES`` of text.
     """
-    spark = docs.sparkSession
-    batches = numbered(docs, id_col, text_col, batch_words).repartition("batch")
-    parts = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    answers = _answers(_requests(batches, order, parts))
+    size = _text_bytes(docs, text_col)
+    parts = ranges or max(1, -(-size // RANGE_BYTES))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    batches = numbered(docs, id_col, text_col, batch_words).repartition(tasks, "batch")
+    answers = _answers(_by_range(_requests(batches, order, parts), parts, order)).repartition(tasks, "batch")
 
     def others(row, answered: pd.DataFrame, document: np.ndarray) -> Iterator[np.ndarray]:
         """Counts in the other documents at each position, order by order."""
@@ -282,14 +335,16 @@ def score_documents(
             document = np.repeat(np.arange(len(lengths)), lengths)
             place = np.arange(len(document)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             score, used = backoff(others(row, right, document), (corpus - lengths)[document], place, order, alpha)
+            longest = np.minimum(place + 1, order)
             frame = {
                 "doc_id": pd.array([None if x is None or x != x else int(x) for x in row.doc_ids], "Int64"),
                 "n_words": lengths,
                 "n_seen": np.bincount(document[used == order], minlength=len(lengths)),
+                "n_full": np.bincount(document[used == longest], minlength=len(lengths)),
                 "log_score": np.bincount(document, weights=score, minlength=len(lengths)),
             }
             out.append(pd.DataFrame(frame))
-        return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "n_words", "n_seen", "log_score"])
+        return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "n_words", "n_seen", "n_full", "log_score"])
 
     both = batches.groupBy("batch").cogroup(answers.groupBy("batch"))
-    return both.applyInPandas(run, "doc_id bigint, n_words bigint, n_seen bigint, log_score double")
+    return both.applyInPandas(run, "doc_id bigint, n_words bigint, n_seen bigint, n_full bigint, log_score double")

@@ -71,7 +71,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lmscore.score_documents(_table(spark, sf_dir, "documents"))
-    return found.withColumn("log_score", F.round("log_score", 4))
+    words = F.when(F.col("n_words") > 0, F.col("n_words"))
+    return found.select(
+        "doc_id", "n_words", "n_seen", "n_full", F.round("log_score", 4).alias("log_score"), F.round(F.col("n_full") / words, 6).alias("full_share"),
+        F.round(F.col("log_score") / words, 4).alias("mean_log_score"),
+    )
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,11 +172,13 @@ with docs as (
 ), s as (
   select r, case when n3 > 0 then ln(n3 / m2)
                  when n2 > 0 then ln(n2 / m1) + (least(i, 3) - 2) * ln(0.4)
-                 else ln(greatest(n1, 0.5) / greatest(rest, 1)) + (least(i, 3) - 1) * ln(0.4) end as score, n3 > 0 as seen
+                 else ln(greatest(n1, 0.5) / greatest(rest, 1)) + (least(i, 3) - 1) * ln(0.4) end as score, n3 > 0 as seen,
+         case least(i, 3) when 1 then n1 when 2 then n2 else n3 end > 0 as whole
   from p
 )
-select doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_seen, 0)::bigint as n_seen, round(coalesce(total, 0), 4) as log_score
-from docs left join (select r, sum(score::double) as total, count(*) filter (where seen) as n_seen from s group by r) using (r)""" % (
+select doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_seen, 0)::bigint as n_seen, coalesce(n_full, 0)::bigint as n_full,
+       round(coalesce(total, 0), 4) as log_score, round(n_full / nullif(len(w), 0), 6) as full_share, round(total / nullif(len(w), 0), 4) as mean_log_score
+from docs left join (select r, sum(score::double) as total, count(*) filter (where seen) as n_seen, count(*) filter (where whole) as n_full from s group by r) using (r)""" % (
     _WORDS.format("text"),
 )
 
