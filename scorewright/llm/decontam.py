@@ -3,25 +3,27 @@
 The test strings are windows of ``width`` consecutive words of the benchmark
 items (an item of fewer words is one window).  Windows of one length form a
 search table: a shift table over blocks of two words says how far the search
-may jump when a block cannot end a window, windows are kept in buckets by the
-block they end with, and a direct comparison of the words confirms each
-occurrence.
+may jump when a block cannot end a window; where the shift is zero, a window
+may end, and the hash of its suffix of ``length`` words leads to the places of
+the benchmark that are compared with the text word by word.
 """
 
 from __future__ import annotations
 
+import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.rows import with_arrow_columns
+from scorewright.llm.rows import named, with_arrow_columns
 from scorewright.sources.staging import staged
 
 WIDTH = 10
-#: Words of a search table (all benchmark items of a block) that one task holds.
-BLOCK_WORDS = 4_000_000
+#: Words of the benchmark that one task searches for at a time: about 300 MB of tables.
+BLOCK_WORDS = 1_000_000
 
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256)
@@ -35,62 +37,97 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WindowTable:
-    """Windows of one length, ready for searching."""
+    """Windows of one length, ready for searching.
+
+    The words of all items stand in one list, equal ones as one object, and a
+    window is the place of its first word there, so a word costs a reference,
+    one entry of the shift table and one of the suffix table at most.
+    """
 
     def __init__(self, length: int) -> None:
         self.length = length
         self.block = min(2, length)
-        self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, dict[tuple, set[str]]] = {}
-
-    def add(self, window: tuple, item: str) -> None:
-        for end in range(self.block, self.length + 1):
-            key = window[end - self.block : end]
-            far = self.length - end
-            if far < self.shift.get(key, self.length):
-                self.shift[key] = far
-        self.bucket.setdefault(window[-self.block :], {}).setdefault(window, set()).add(item)
+        self.words: list[bytes] = []
+        self.first: list[int] = []  # places where items begin
+        self.items: list[str] = []
+        self.shift: dict[int, int] = {}
+        self.suffix: dict[int, int | list[int]] = {}
+
+    def add(self, item: str, words: list[bytes]) -> None:
+        """All windows of an item of at least ``length`` words."""
+        m, b, at = self.length, self.block, len(self.words)
+        self.first.append(at)
+        self.items.append(item)
+        self.words += words
+        shift, suffix = self.shift, self.suffix
+        for end in range(b, len(words) + 1):
+            # the block ends a window if m words lead up to it, else it is m - end short of one
+            key, far = hash(tuple(words[end - b : end])), max(0, m - end)
+            if far < shift.get(key, m):
+                shift[key] = far
+        for start in range(len(words) - m + 1):
+            key = hash(tuple(words[start : start + m]))
+            had = suffix.get(key)
+            if had is None:
+                suffix[key] = at + start
+            elif isinstance(had, list):
+                had.append(at + start)
+            else:
+                suffix[key] = [had, at + start]
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, set[str]]]:
         """Start and items of each occurrence."""
         m, b, n = self.length, self.block, len(words)
-        jump = m - b + 1
-        shift = self.shift.get
+        jump, shift, suffix, known = m - b + 1, self.shift.get, self.suffix.get, self.words
         end = m
         while end <= n:
-            key = tuple(words[end - b : end])
-            far = shift(key, jump)
+            far = shift(hash(tuple(words[end - b : end])), jump)
             if far:
                 end += far
                 continue
-            found = self.bucket[key].get(tuple(words[end - m : end]))
-            if found:
-                yield end - m, found
+            window = words[end - m : end]
+            places = suffix(hash(tuple(window)))
+            if places is not None:
+                places = places if isinstance(places, list) else [places]
+                found = {self.items[bisect_right(self.first, p) - 1] for p in places if known[p : p + m] == window}
+                if found:
+                    yield end - m, found
             end += 1
 
 
 def window_tables(items: list[tuple[str, list[bytes]]], width: int) -> list[WindowTable]:
     """One search table for each window length that occurs."""
     tables: dict[int, WindowTable] = {}
+    same: dict[bytes, bytes] = {}
     for item, words in items:
         length = min(width, len(words))
-        if not length:
-            continue
-        table = tables.setdefault(length, WindowTable(length))
-        for at in range(len(words) - length + 1):
-            table.add(tuple(words[at : at + length]), item)
+        if length:
+            tables.setdefault(length, WindowTable(length)).add(item, [same.setdefault(w, w) for w in words])
     return list(tables.values())
 
 
-def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of a bounded number of words; the driver holds one."""
+#: Search tables of this worker's last block; a worker runs many tasks of one block.
+_KEPT: dict[tuple, list[WindowTable]] = {}
+
+
+def _tables_of(shared, width: int) -> list[WindowTable]:
+    key = (shared.value["name"], width)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = window_tables([(item, text.split()) for item, text in shared.value["items"]], width)
+    return _KEPT[key]
+
+
+def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Items, their words joined by spaces, in blocks of about ``most`` words
+    (an item is not cut); the driver holds one block."""
     block, held = [], 0
     for row in benchmark.toLocalIterator():
         words = words_of(row["text"])
         if block and held + len(words) > most:
             yield block
             block, held = [], 0
-        block.append((row["item"], words))
+        block.append((row["item"], b" ".join(words)))
         held += len(words)
     yield block
 
@@ -121,21 +158,20 @@ def find_windows(
     each, staged in between, so memory is bounded whatever its size.
     """
     asked = benchmark.select(
-        F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text")
+        F.coalesce(named(item_col).cast("string"), F.lit("null")).alias("item"), named(item_text_col).cast("string").alias("text")
     )
     context = docs.sparkSession.sparkContext
     shown = [c for c in docs.columns if keep is None or c in keep]
-    hits, items = F.lit(None).cast(_HITS), F.lit(None).cast("array<string>")
-    rows, text = docs.select(*shown, F.col(text_col).alias("_text")), F.col("_text")
-    rows = rows.toDF(*(f"c{k}" for k in range(len(shown))), "_text")
+    hits, items, text = F.lit(None).cast(_HITS), F.lit(None).cast("array<string>"), F.col("_text")
+    rows = docs.select(*(named(c).alias(f"c{k}") for k, c in enumerate(shown)), named(text_col).cast("string").alias("_text"))
     blocks = _blocks(asked, block_words)
     block = next(blocks)
     while True:
         after = next(blocks, None)
-        shared = context.broadcast(block)
+        shared = context.broadcast({"name": uuid.uuid4().hex, "items": block})
 
         def start(shared=shared):
-            tables = window_tables(shared.value, width)
+            tables = _tables_of(shared, width)
 
             def make(texts: list, had: list, known: list) -> list[pa.Array]:
                 found = [_search(tables, *x) for x in zip(texts, had, known, strict=True)]
@@ -198,6 +234,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without a hit, with their own columns."""
+    """The rows of ``docs`` without a hit, with their own columns.
+
+    Null and empty texts stay; repeated rows stay or go alike; an empty
+    benchmark leaves every row, an empty table gives an empty result.
+    """
     found, back = find_windows(docs, benchmark, text_col, **options)
     return found.where(F.size("hits") == 0).select(*back)
