@@ -21,6 +21,7 @@ there, never all pairs; components of these edges are the classes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.rows import with_arrow_columns
+from scorewright.llm.rows import named, with_arrow_columns
 from scorewright.operators.graph import connected_components
 from scorewright.sources.staging import staged
 
@@ -38,6 +39,10 @@ SEGMENTS = BITS // SEGMENT
 SEED = 42
 #: Pairs that are compared at once inside a task.
 BLOCK = 1 << 20
+#: Shingles whose bits are unpacked at once.
+CHUNK = 1 << 16
+#: Rows of whole keys that a task gathers before it compares them, and rows of a partition, about.
+GATHERED, PARTITION = 500_000, 4_000_000
 
 
 def shingle_bounds(words: list[bytes], width: int) -> tuple[bytes, Iterator[tuple[int, int]]]:
@@ -65,10 +70,12 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         return 0
     joined, bounds = shingle_bounds(words, width)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in bounds], dtype="<u8")
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    ones, n = np.zeros(BITS, np.int64), 0
+    while some := [digest(joined[a:b], SEED) for a, b in islice(bounds, CHUNK)]:
+        bits = np.unpackbits(np.array(some, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+        n += len(some)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -79,7 +86,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
@@ -169,19 +176,42 @@ def near_links(prints: DataFrame, limit: int = 3) -> DataFrame:
     exact = SEGMENT * sum(b == 0 for b in chain_budgets(limit))
     starts = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("start"))
     turned = F.expr(f"shiftleft(fp, start * {SEGMENT}) | shiftrightunsigned(fp, ({BITS} - start * {SEGMENT}) % {BITS})")
-    keyed = starts.select("fp", "start", F.shiftrightunsigned(turned, BITS - exact).alias("key"))
+    keyed = starts.select("fp", F.col("start").cast("long").alias("start"), F.shiftrightunsigned(turned, BITS - exact).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fps, start = [], []
-        for batch in batches:
-            fps.append(batch.column(0).to_numpy().view(np.uint64))
-            start.append(batch.column(1).to_numpy())
-        if not fps:
-            return
-        a, b = linked(np.concatenate(start), np.concatenate(fps), limit)
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["src", "dst"])
-
-    return keyed.repartition("start", "key").select("fp", "start").mapInArrow(run, "src long, dst long")
+        for start, fps in _whole_keys(batches):
+            a, b = linked(start, fps, limit)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["src", "dst"])
+
+    spark = prints.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), SEGMENTS * prints.count() // PARTITION)
+    placed = keyed.repartition(parts, "start", "key").sortWithinPartitions("start", "key")
+    return placed.mapInArrow(run, "src long, dst long")
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``start`` and ``fp`` of rows sorted by start and key, in pieces of
+    whole keys and about ``GATHERED`` rows, or one larger key."""
+    held: list[np.ndarray] = []  # rows x (fp, start, key)
+    many = 0
+    for batch in batches:
+        rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
+        if not len(rows):
+            continue
+        held.append(rows)
+        many += len(rows)
+        if many < GATHERED:
+            continue
+        every = np.concatenate(held)
+        ends = np.flatnonzero((np.diff(every[:, 1:], axis=0) != 0).any(axis=1))
+        cut = int(ends[-1]) + 1 if len(ends) else 0  # the last key may go on
+        if cut:
+            yield every[:cut, 1], np.ascontiguousarray(every[:cut, 0]).view(np.uint64)
+        held, many = [every[cut:]], len(every) - cut
+    if many:
+        every = np.concatenate(held)
+        yield every[:, 1], np.ascontiguousarray(every[:, 0]).view(np.uint64)
 
 
 def components(prints: DataFrame, limit: int = 3) -> DataFrame:
@@ -223,8 +253,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     fingerprint if not.  Texts are shuffled once, by id.
     """
     found = staged(near_duplicates(docs, id_col, text_col, width, limit), "classes")
-    chosen = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    own = named(id_col).cast("long")
+    chosen = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_chosen")).distinct()
+    back = [F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)]
+    rows = docs.select(*(named(c).alias(f"c{k}") for k, c in enumerate(docs.columns)), own.alias("_chosen"))
+    kept = rows.join(chosen, "_chosen", "left_semi").dropDuplicates(["_chosen"]).select(*back)
 
     def start():
         def make(texts: list) -> list[pa.Array]:
@@ -233,6 +266,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
         return make
 
-    rows, back = with_arrow_columns(docs.where(F.col(id_col).isNull()), [F.col(text_col)], start, "fingerprint string")
+    rows, back = with_arrow_columns(docs.where(own.isNull()), [named(text_col).cast("string")], start, "fingerprint string")
     alone = found.where("doc_id is null and component_id is null").select("fingerprint").distinct()
-    return named.union(rows.join(alone, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select(*back))
+    return kept.union(rows.join(alone, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select(*back))
