@@ -99,11 +99,14 @@ def _cuts(ids: DataFrame) -> list[int]:
     return sorted({row["low"], *found})
 
 
+def _constant(values: list[int]) -> Column:
+    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
+
+
 def _bucket(value: Column, cuts: list[int]) -> Column:
     """Number of cuts up to a value, by binary search in a constant array."""
     steps = [1 << k for k in reversed(range(max(1, len(cuts).bit_length())))]
-    text = ",".join(map(str, cuts))
-    array = F.expr(f"cast(split('{text}', ',') as array<bigint>)")
+    array = _constant(cuts)
     return F.aggregate(
         F.array(*map(F.lit, steps)),
         F.lit(0),
@@ -127,7 +130,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
         return docs.withColumns({f"next_{c}": F.lead(c).over(own) for c in columns})
     bucket = F.when(F.col("id").isNull(), F.lit(0)).otherwise(_bucket(F.col("id"), cuts))
     placed = docs.withColumn("_bucket", bucket)
-    starts = F.array_contains(F.expr(f"cast(split('{','.join(map(str, cuts))}', ',') as array<bigint>)"), F.col("id"))
+    starts = F.get(_constant(cuts), F.col("_bucket") - 1) == F.col("id")  # of the bucket that was searched for
     before = F.when(F.col("_bucket") > 1, F.col("_bucket") - 1).otherwise(F.lit(len(cuts)))
     own = F.struct(F.lit(0).alias("tail"), F.col("_bucket").alias("bucket"))
     copy = F.struct(F.lit(1).alias("tail"), before.alias("bucket"))
