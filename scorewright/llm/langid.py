@@ -29,14 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorewright.llm.rows import with_arrow_columns
+from scorewright.llm.rows import named, with_arrow_columns
 from scorewright.sources.staging import staged
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
-#: Bounds of the labelled sample that the text model is fitted on.
+#: Bound of the labelled sample of each language that the text model is fitted on.
 PER_LANGUAGE = 400
-MOST_LANGUAGES = 200
 #: Trigrams that a text of any length counts as at most.
 TEMPER = 60.0
 #: Share of even trigrams in each language: a text with words that the sample
@@ -79,17 +78,20 @@ class TextModel:
         n = len(at)
         if not n:
             return 0, [0.0] * (len(self.languages) + 1)
-        sums = np.append(self.table[at].sum(axis=0, dtype=np.float64), -n * math.log(BUCKETS))
+        counts = np.bincount(at, minlength=BUCKETS)  # one row of the table for each bucket, however long the text
+        some = np.flatnonzero(counts)
+        sums = np.append(counts[some] @ self.table[some].astype(np.float64), -n * math.log(BUCKETS))
         return n, (sums * (TEMPER / (TEMPER + n))).tolist()
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """At most ``per_language`` rows of each of the most frequent languages,
-    those with the lowest hashes of id and text; ``lang, text``."""
+    """At most ``per_language`` rows of each language, those with the lowest
+    hashes of id and text; ``lang, text``.  Rows without a label or a text are
+    not drawn.  Every label is a language, however rare."""
     rows = docs.select(
-        F.lower(F.trim(F.col(lang_col))).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")
+        F.lower(F.trim(named(lang_col).cast("string"))).alias("lang"), named(text_col).cast("string").alias("text"), F.xxhash64(named(id_col), named(text_col)).alias("h")
     ).where("lang is not null and lang <> '' and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return rows.select("lang", "text").limit(0)
     span = 1 << 30
@@ -102,9 +104,10 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> TextModel:
     """Fit the text model on a bounded sample of the labelled rows.
 
-    Only (language, bucket) counts reach the driver: at most
-    ``MOST_LANGUAGES * BUCKETS`` rows.  Without labelled rows the model knows
-    no language and everything is und.
+    Only (language, bucket) counts reach the driver: at most ``BUCKETS`` rows,
+    256 KB of the model's table, for each language label (labels are codes; no
+    label is left out).  Without labelled rows the model knows no language and
+    everything is und.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,10 +196,10 @@ def identify(
     host = host_of(address.cast("string")) if address is not None else F.lit("")
     shown = [c for c in docs.columns if keep is None or c in keep]
     rows = docs.select(
-        *(F.col(f"`{c}`").alias(f"d{k}") for k, c in enumerate(shown)),
+        *(named(c).alias(f"d{k}") for k, c in enumerate(shown)),
         F.coalesce(said, F.lit("")).alias("said"),
         host.alias("host"),
-        F.col(text_col).alias("_text"),
+        named(text_col).cast("string").alias("_text"),
     )
     kept = [f"d{k}" for k in range(len(shown))]
     made, back = with_arrow_columns(rows, [F.col("_text")], start, "n_trigrams long, ll array<double>, post array<double>", [*kept, "said", "host"])
@@ -245,10 +248,12 @@ def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     """The rows of ``docs`` whose language is known, with their own columns.
 
     The model is fitted on a bounded sample of the same rows; ``lang`` is the
-    declared language and ``source`` the host.
+    declared language and ``source`` the host.  Null and empty texts have no
+    known language and go; repeated rows are judged alike; ties go to the
+    first language by name; an empty table gives an empty result.
     """
     model = fit(docs, id_col, text_col, lang_col)
-    found, back = identify(docs, model, text_col, F.col(lang_col), F.col(source_col))
+    found, back = identify(docs, model, text_col, named(lang_col), named(source_col))
     return found.where(F.col("lang") != UNKNOWN).select(*back)
 
 
@@ -258,6 +263,7 @@ def markup_language(html: Column) -> Column:
 
 
 def markup_text(html: Column) -> Column:
-    """Text of a page: scripts, styles, comments, tags and entities removed."""
+    """Text of a page: scripts, styles, comments, tags and entities removed.
+    Null stays null, an empty page is an empty text."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
     return F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"&#?\w+;", " ")
