@@ -1,15 +1,21 @@
 """WARC archives with revisit records for repeated payloads.
 
-Writing: payload digests and lengths (headers only) are shuffled by digest to
-find the original of each payload; revisits are joined to their originals and
-every record gets fresh headers.  A payload is stored once.  Archives are
-gzipped WARC/1.1 files: a record ends with CR LF CR LF, of which the last LF
-is the line end of Spark's text writer, so any file system that Spark reaches
-will do.
-
-Reading: archives are read whole (their size is bounded at writing),
-unzipped, and cut into records by Content-Length, never by searching for
-separators.
+Writing: payload digests (headers only, pre-aggregated by digest and salt) are
+shuffled by digest to find the original of each payload; the result is joined
+to the pages and every record gets fresh headers.  A payload is stored once.
+
+That join is the one shuffle of payloads: headers alone cannot be told apart
+where the pages lie without a table of all repeated digests in every task, and
+such a table has no bound.  Payloads of revisits are dropped right behind it.
+
+Records are gzipped one by one, as WARC readers expect, and gathered into
+archives by their bytes: an archive ends with the record that takes it past
+``archive_bytes``.  They are written through Spark's text writer, so any file
+system that Spark reaches will do; the writer ends a file with one zero byte,
+which is the padding that gzip allows.
+
+Reading: an archive is unzipped member by member, and each record is cut by
+its Content-Length, never by searching for separators.
 """
 
 from __future__ import annotations
@@ -17,18 +23,27 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Payload bytes of one archive, about.
+from scorewright.llm.rows import named
+
+#: Bytes of an archive, beyond which it has at most one record.
 ARCHIVE_BYTES = 16 << 20
 #: Parts that one payload's records are dealt over for joins.
 SALTS = 64
 CRLF = "\r\n"
+#: What the writer puts behind an archive.
+PAD = "\0"
+LEVEL = 6
+#: Bytes of an archive that are unzipped at once.
+STEP = 1 << 14
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -77,11 +92,11 @@ def _header(*lines: tuple[str, Column]) -> Column:
 
 
 def records(resolved: DataFrame, date: str) -> DataFrame:
-    """One string per record, without its last LF.
+    """``head`` and ``body`` of each record, which ends with the block's CR LF CR LF.
 
     The block of a response is an HTTP response with the payload; that of a
     revisit has the same HTTP headers, so the full length of its payload, and
-    no payload.
+    no payload (``body`` is null).  Null urls are empty ones.
     """
     clean = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x20\x7f]", "%20")
     revisit = F.col("refers_to").isNotNull()
@@ -107,9 +122,31 @@ def records(resolved: DataFrame, date: str) -> DataFrame:
         ("Content-Type", F.lit("application/http; msgtype=response")),
         ("Content-Length", length),
     )
-    body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
-    record = F.concat(F.lit(f"WARC/1.1{CRLF}"), head, F.lit(CRLF), http, body, F.lit("\r\n\r"))
-    return resolved.select(record.alias("value"))
+    return resolved.select(F.concat(F.lit(f"WARC/1.1{CRLF}"), head, F.lit(CRLF), http).alias("head"), F.when(~revisit, F.col("payload")).alias("body"))
+
+
+def archives(made: DataFrame, archive_bytes: int) -> DataFrame:
+    """``value``: one archive for each row, gzipped records one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def archive() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+
+        for batch in batches:
+            for head, body in zip(batch.column(0), batch.column(1), strict=True):
+                record = b"".join((head.as_py(), body.as_py() or b"", b"\r\n\r\n"))
+                held.append(gzip.compress(record, LEVEL, mtime=0))
+                size += len(held[-1])
+                if size >= archive_bytes:
+                    yield archive()
+                    held, size = [], 0
+        if held:
+            yield archive()
+
+    raw = made.select(F.col("head").cast("binary").alias("head"), F.col("body").cast("binary").alias("body"))
+    return raw.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None) -> None:
@@ -117,22 +154,34 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     A null payload is empty, a null url is an empty one, other columns are not
     read.  An empty table writes no records.  Records are written where the
-    join left them, so payloads are shuffled once; a file ends after as many
-    records as make about ``archive_bytes`` at the mean payload.
+    join left them, so payloads are shuffled once; a task holds one archive.
     """
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
+    payload = F.coalesce(named(payload_col).cast("string"), F.lit(""))
     rows = pages.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.col(url_col).cast("string").alias("url"),
+        named(id_col).cast("long").alias("id"),
+        named(url_col).cast("string").alias("url"),
         payload.alias("payload"),
         F.octet_length(payload).cast("long").alias("bytes"),
         base32_sha1(payload).alias("digest"),
     )
-    total = pages.agg(F.sum(F.octet_length(payload).cast("long")).alias("bytes"), F.count("*").alias("n")).first()
-    most = max(1, archive_bytes * total["n"] // max(1, total["bytes"] or 0))
-    made = records(resolve(rows, least_bytes), date).select("value")
-    made.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+    made = archives(records(resolve(rows, least_bytes), date), archive_bytes)
+    made.write.option("lineSep", PAD).option("maxRecordsPerFile", 1).text(path)
+
+
+def members(data: bytes) -> Iterator[bytes]:
+    """The gzip members of an archive, one at a time; zero bytes may follow the last."""
+    view, at = memoryview(data), 0
+    while at < len(view) and view[at] != ord(PAD):
+        open_, parts, start = zlib.decompressobj(wbits=31), [], at
+        while not open_.eof:  # in steps, as what is left over of a step is copied
+            if at >= len(view):
+                raise ValueError(f"the member at byte {start} is cut short")
+            some = view[at : at + STEP]
+            parts.append(open_.decompress(some))
+            at += len(some)
+        at -= len(open_.unused_data)
+        yield b"".join(parts)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -158,7 +207,8 @@ _READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_typ
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """Records of the archives under ``path``, with payloads if asked for.
 
-    A response's length and digest are taken from its payload and must agree
+    Repeated rows are records of their own, archives without records give no
+    rows.  A response's length and digest are taken from its payload and must agree
     with its headers; those of a revisit are what its headers declare.
     """
 
@@ -166,7 +216,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         for batch in batches:
             for data in batch["content"]:
                 rows = []
-                for fields, block in parse_archive(gzip.decompress(data)):
+                for fields, block in (x for one in members(data) for x in parse_archive(one)):
                     http, _, body = block.partition(b"\r\n\r\n")
                     declared = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
                     digest, kind = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]
