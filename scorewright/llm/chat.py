@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scorewright.llm.rows import named
+
 OPEN, MIDDLE, CLOSE = "<s>[INST] ", " [/INST]", "</s>"
 #: Role whose texts are learned from.
 LEARNED = "assistant"
@@ -72,10 +74,10 @@ def format_conversations(
     """
     none = F.lit("")
     rows = conversations.select(
-        F.col(id_col).alias("conv_id"),
-        F.col(turn_col).alias("turn"),
-        F.coalesce(F.col(role_col).cast("string"), none).alias("role"),
-        F.coalesce(F.col(text_col).cast("string"), none).alias("text"),
+        named(id_col).alias("conv_id"),
+        named(turn_col).alias("turn"),
+        F.coalesce(named(role_col).cast("string"), none).alias("role"),
+        F.coalesce(named(text_col).cast("string"), none).alias("text"),
     )
     source = F.array(F.struct("role", "text"))
     rows = rows.withColumn("plain", render(F.col("role"), F.col("text")))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scorewright.llm.rows import named
+
 WIDTH = 5
 SIZE = 128
 #: Rows between two neighbours of the id order that one task looks at, about.
@@ -40,8 +42,14 @@ def sketch_of(words: Column, width: int = WIDTH, size: int = SIZE) -> Column:
 
 
 def with_sketch(df: DataFrame, text: Column, name: str, width: int = WIDTH, size: int = SIZE) -> DataFrame:
-    """``df`` with the sketch of ``text`` in column ``name``."""
-    return df.withColumn("_words", word_hashes(text)).withColumn(name, sketch_of(F.col("_words"), width, size)).drop("_words")
+    """``df`` with the sketch of ``text`` in column ``name``.
+
+    Null and empty texts have an empty sketch; repeated rows keep theirs.
+    """
+    words = "_words"
+    while words in df.columns:
+        words += "_"
+    return df.withColumn(words, word_hashes(text)).withColumn(name, sketch_of(F.col(words), width, size)).drop(words)
 
 
 def _low_of_union(a: Column, b: Column, size: int) -> Column:
@@ -150,7 +158,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_shingles``.  Null texts are empty.  A text without words has an empty
     fingerprint, which is like another empty one only.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
     rows = with_next(with_sketch(rows, F.col("text"), "sketch", width, size), ["text", "sketch"])
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")

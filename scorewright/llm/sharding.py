@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scorewright.llm.rows import named
 from scorewright.sources.staging import staged
 
 HASH_BITS = 60
@@ -162,10 +163,10 @@ def shard_by_bytes(
     """
     if shards < 1:
         raise ValueError("shards must be positive")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
     rows = docs.select(
-        *(F.col(c) for c in keep or ()),
-        F.col(id_col).alias("doc_id"),
+        *(named(c).alias(f"k{k}") for k, c in enumerate(keep or ())),
+        named(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         text_hash(text).alias("h"),
@@ -182,14 +183,21 @@ def shard_by_bytes(
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "h")
     placed = rows.withColumn("at", F.row_number().over(within).cast("long") - 1).join(offsets, ["shard", "bucket"])
-    return placed.select(*(keep or ()), "doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("at")).alias("slot"))
+    kept = [F.col(f"k{k}").alias(c) for k, c in enumerate(keep or ())]
+    return placed.select(*kept, "doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("at")).alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the rows as Parquet in one folder for each shard."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumn("_h", text_hash(text))
-    groups = staged(rows.groupBy(F.col("_h").alias("h")).agg(F.sum(F.octet_length(text) + 1).alias("bytes")), "groups")
-    cuts, _ = minimax_cuts(groups, shards)
-    shard = sum(((F.col("_h") >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
-    rows.withColumn("shard", shard).drop("_h").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 8, text_col: str = "text", shard_col: str = "shard") -> None:
+    """Write the rows as Parquet in one folder for each shard.
+
+    The shard is in the folder's name, ``shard_col``, which no column may have
+    (an error, as two columns of one name cannot be read back).  Null texts
+    are empty ones; repeated rows share a shard; an empty table writes no rows.
+    """
+    if shard_col in docs.columns:
+        raise ValueError(f"the table has a column {shard_col}; name another for the folders")
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    groups = docs.select(text_hash(text).alias("h"), F.octet_length(text).alias("n")).groupBy("h").agg(F.sum(F.col("n") + 1).alias("bytes"))
+    cuts, _ = minimax_cuts(staged(groups, "groups"), shards)
+    shard = sum(((text_hash(text) >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    docs.withColumn(shard_col, shard).write.partitionBy(shard_col).parquet(path)
