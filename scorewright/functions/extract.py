@@ -352,40 +352,64 @@ NUMBER_WORDS = {
     "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10",
 }
 ARTICLES = ("a", "an", "the")
-# fixed values: contractions that are written without their apostrophe
+# fixed values: contractions of the consensus form, as lower-case words meet them
 CONTRACTIONS = {
-    "aint": "ain't", "arent": "aren't", "cant": "can't", "couldve": "could've", "couldnt": "couldn't", "didnt": "didn't",
-    "doesnt": "doesn't", "dont": "don't", "hadnt": "hadn't", "hasnt": "hasn't", "havent": "haven't", "hed": "he'd",
-    "hes": "he's", "howd": "how'd", "howll": "how'll", "hows": "how's", "im": "i'm", "ive": "i've", "isnt": "isn't",
-    "itd": "it'd", "itll": "it'll", "lets": "let's", "maam": "ma'am", "mightve": "might've", "mustnt": "mustn't",
-    "mustve": "must've", "neednt": "needn't", "notve": "not've", "oclock": "o'clock", "oughtnt": "oughtn't",
-    "shant": "shan't", "shouldve": "should've", "shouldnt": "shouldn't", "somebodyd": "somebody'd", "someoned": "someone'd",
-    "someones": "someone's", "thats": "that's", "thered": "there'd", "theres": "there's", "theyd": "they'd",
-    "theyll": "they'll", "theyre": "they're", "theyve": "they've", "twas": "'twas", "wasnt": "wasn't", "weve": "we've",
-    "werent": "weren't", "whatll": "what'll", "whatre": "what're", "whats": "what's", "whatve": "what've",
-    "whens": "when's", "whered": "where'd", "wheres": "where's", "whereve": "where've", "whod": "who'd", "wholl": "who'll",
-    "whos": "who's", "whove": "who've", "whyll": "why'll", "whyre": "why're", "whys": "why's", "wont": "won't",
-    "wouldve": "would've", "wouldnt": "wouldn't", "yall": "y'all", "youd": "you'd", "youll": "you'll", "youre": "you're",
-    "youve": "you've",
+    "aint": "ain't", "arent": "aren't", "cant": "can't", "couldve": "could've", "couldnt": "couldn't", "couldn'tve": "couldn't've",
+    "couldnt've": "couldn't've", "didnt": "didn't", "doesnt": "doesn't", "dont": "don't", "hadnt": "hadn't", "hadnt've": "hadn't've",
+    "hadn'tve": "hadn't've", "hasnt": "hasn't", "havent": "haven't", "hed": "he'd", "hed've": "he'd've", "he'dve": "he'd've", "hes": "he's",
+    "howd": "how'd", "howll": "how'll", "hows": "how's", "isnt": "isn't", "itd": "it'd", "itd've": "it'd've", "it'dve": "it'd've", "itll": "it'll",
+    "maam": "ma'am", "mightnt": "mightn't", "mightnt've": "mightn't've", "mightn'tve": "mightn't've", "mightve": "might've", "mustnt": "mustn't",
+    "mustve": "must've", "neednt": "needn't", "notve": "not've", "oclock": "o'clock", "oughtnt": "oughtn't", "ow's'at": "'ow's'at",
+    "'ows'at": "'ow's'at", "'ow'sat": "'ow's'at", "shant": "shan't", "shed've": "she'd've", "she'dve": "she'd've", "shouldve": "should've",
+    "shouldnt": "shouldn't", "shouldnt've": "shouldn't've", "shouldn'tve": "shouldn't've", "somebody'd": "somebodyd", "somebodyd've": "somebody'd've",
+    "somebody'dve": "somebody'd've", "somebodyll": "somebody'll", "somebodys": "somebody's", "someoned": "someone'd", "someoned've": "someone'd've",
+    "someone'dve": "someone'd've", "someonell": "someone'll", "someones": "someone's", "somethingd": "something'd", "somethingd've": "something'd've",
+    "something'dve": "something'd've", "somethingll": "something'll", "thats": "that's", "thered": "there'd", "thered've": "there'd've",
+    "there'dve": "there'd've", "therere": "there're", "theres": "there's", "theyd": "they'd", "theyd've": "they'd've", "they'dve": "they'd've",
+    "theyll": "they'll", "theyre": "they're", "theyve": "they've", "twas": "'twas", "wasnt": "wasn't", "wed've": "we'd've", "we'dve": "we'd've",
+    "weve": "we've", "werent": "weren't", "whatll": "what'll", "whatre": "what're", "whats": "what's", "whatve": "what've", "whens": "when's",
+    "whered": "where'd", "wheres": "where's", "whereve": "where've", "whod": "who'd", "whod've": "who'd've", "who'dve": "who'd've", "wholl": "who'll",
+    "whos": "who's", "whove": "who've", "whyll": "why'll", "whyre": "why're", "whys": "why's", "wont": "won't", "wouldve": "would've",
+    "wouldnt": "wouldn't", "wouldnt've": "wouldn't've", "wouldn'tve": "wouldn't've", "yall": "y'all", "yall'll": "y'all'll", "y'allll": "y'all'll",
+    "yall'd've": "y'all'd've", "y'alld've": "y'all'd've", "y'all'dve": "y'all'd've", "youd": "you'd", "youd've": "you'd've", "you'dve": "you'd've",
+    "youll": "you'll", "youre": "you're", "youve": "you've",
 }
+# fixed values: marks of the consensus form
+MARKS = (";", "/", "[", "]", '"', "{", "}", "(", ")", "=", "+", "\\", "_", "-", ">", "<", "@", "`", "!")
+#: Full stops that are removed at most; the form's definition stops there.
+STOPS = 32
 
 
 def vqa_form(x: Text) -> Column:
-    """Form for consensus scoring: lower case, marks removed, number words as
-    digits, articles dropped, contractions with their apostrophe."""
-    text = F.lower(F.trim(F.regexp_replace(_c(x), r"[\n\t]", " ")))
-    text = F.regexp_replace(text, r"(?<=\d),(?=\d)", "")
-    text = F.regexp_replace(text, r"(?<!\d)\.(?!\d)", "")
-    text = F.regexp_replace(text, r"""[;/\[\]"{}()=+\\_\-><@`,?!]""", " ")
-    words = F.filter(F.split(text, r"\s+"), lambda w: (w != "") & ~w.isin(*ARTICLES))
-    table = F.create_map(*(F.lit(v) for pair in (NUMBER_WORDS | CONTRACTIONS).items() for v in pair))
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
+    """Form for consensus scoring.
+
+    Lower case, without commas and question marks, ``'s`` a word of its own.  A
+    mark that stands beside a space somewhere is removed, any other becomes a
+    space; the first ``STOPS`` full stops that no digit follows are removed;
+    number words become digits, articles go, contractions get their apostrophe.
+    """
+    text = F.replace(F.regexp_replace(F.lower(_c(x)), "[,?]", ""), F.lit("'s"), F.lit(" 's"))
+    text = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"[\n\t]", " ")
+
+    def marked(t: Column) -> Column:
+        out = t
+        for mark in MARKS:
+            beside = t.contains(mark + " ") | t.contains(" " + mark)
+            out = F.replace(out, F.lit(mark), F.when(beside, "").otherwise(" "))
+        return out
+
+    bare = F.get(F.transform(F.array(text), marked), 0)
+    bare = F.array_join(F.split(bare, r"\.(?!\d)", STOPS + 1), "")
+    numbers, contractions = (F.create_map(*(F.lit(v) for pair in t.items() for v in pair)) for t in (NUMBER_WORDS, CONTRACTIONS))
+    words = F.transform(F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(numbers, w), w))
+    words = F.filter(words, lambda w: ~w.isin(*ARTICLES))
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(contractions, w), w)), " ")
 
 
 def qa_form(x: Text) -> Column:
     """Lower case, without ASCII punctuation and articles, single spaces."""
     bare = F.regexp_replace(F.lower(_c(x)), PUNCTUATION, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"(?U)\b(a|an|the)\b", " "), r"(?U)\s+", " "), "^ | $", "")
 
 
 def speech_form(x: Text, characters: bool = False) -> Column:

@@ -98,8 +98,20 @@ def let(value: Column, body) -> Column:
 
 def tagged(xs: Column) -> Column:
     """Elements with their number among equal ones, so that sets of them
-    count as bags do."""
-    return let(F.sort_array(xs), lambda s: F.transform(s, lambda x, k: F.concat(x, F.lit("\x01"), (k - F.array_position(s, x)).cast("string"))))
+    count as bags do.  One sort and one pass, whatever the elements."""
+
+    def numbered(s: Column) -> Column:
+        first = lambda k: (k == 0) | ~F.get(s, k - 1).eqNullSafe(F.get(s, k))
+        starts = F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), first)).otherwise(F.array().cast("array<int>"))
+
+        def runs(b: Column) -> Column:
+            last = lambda i: F.coalesce(F.get(b, i + 1), F.size(s)) - 1
+            one = lambda k, i: F.transform(F.sequence(k, last(i)), lambda j: F.concat(F.get(s, j), F.lit("\x01"), (j - k).cast("string")))
+            return F.flatten(F.transform(b, one))
+
+        return let(starts, runs)
+
+    return let(F.sort_array(xs), numbered)
 
 
 def token_overlap(a: Column, b: Column) -> Column:
@@ -215,17 +227,38 @@ def near_match(a: Text, b: Text, threshold: float = 0.9) -> Column:
 
 
 def _damerau(a: str, b: str) -> int:
-    """Edit distance with swaps of neighbours (optimal alignment)."""
-    two, one, now = [], list(range(len(b) + 1)), []
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            best = min(one[j] + 1, now[-1] + 1, one[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, two[j - 2] + 1)
-            now.append(best)
-        two, one = one, now
-    return one[-1]
+    """Edit distance with swaps of neighbours (optimal alignment), a column
+    of the table in one integer: its bits are the steps down the column."""
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict[str, int] = {}
+    for k, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << k
+    full, last, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down, same, before = full, 0, 0, 0
+    for y in b:
+        match = where.get(y, 0)
+        swap = ((~same & match) << 1) & before
+        same = ((((match & up) + up) ^ up) | match | down | swap) & full
+        more, less = (down | ~(same | up)) & full, same & up
+        distance += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down, before = (less | ~(same | more)) & full, more & same, match
+    return distance
+
+
+def _common(x: list, y: list) -> int:
+    """Length of the longest common subsequence, a column of the table in one
+    integer: its zero bits are the steps."""
+    where: dict = {}
+    for k, u in enumerate(x):
+        where[u] = where.get(u, 0) | 1 << k
+    full = (1 << len(x)) - 1
+    row = full
+    for v in y:
+        hit = row & where.get(v, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(x) - row.bit_count()
 
 
 def _pandas_similarity(kind: str):
@@ -329,18 +362,23 @@ def span_iou(a0: Text, a1: Text, b0: Text, b1: Text, hull: bool = True) -> Colum
 # --- words --------------------------------------------------------------------
 
 
+#: Distinct tokens of a row that can stand for characters: those beyond the basic plane.
+LETTERS = 0x110000 - 0x10000
+
+
 def token_edit(a: Text, b: Text) -> Column:
     """Edit distance of two token arrays.
 
-    Each distinct token of the row becomes one character, so the built-in
-    character distance counts tokens.  Holds for up to about 20 000 distinct
-    tokens in a row; more give null.
+    Each distinct token of the row becomes one character beyond the basic
+    plane, so the built-in character distance counts tokens.  A row with more
+    than ``LETTERS`` (a million) distinct tokens is an error, not a null.
     """
 
     def distance(known: Column) -> Column:
-        letter = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 19967), 4, "0")), "UTF-16BE")
+        letter = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 0xFFFF), 8, "0")), "UTF-32")
         text = lambda xs: F.array_join(F.transform(_c(xs), letter), "")
-        return F.when(F.size(known) <= 20_000, F.levenshtein(text(a), text(b)))
+        far = F.levenshtein(text(a), text(b))
+        return F.when(F.size(known) <= LETTERS, far).otherwise(F.raise_error(F.lit(f"more than {LETTERS} distinct tokens in a row")).cast("int"))
 
     return let(F.array_distinct(F.concat(_c(a), _c(b))), distance)
 
@@ -475,21 +513,17 @@ def view_change_error(pred: Text, gold: Text) -> Column:
 
 
 def lcs_f(pred: Text, gold: Text, beta: float = 1.2) -> Column:
-    """ROUGE-L of two token arrays (Arrow batches: a table per row)."""
+    """ROUGE-L of two token arrays (Arrow batches: one integer per row of the table)."""
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         def score(x, y) -> float | None:
             if x is None or y is None:
                 return None
-            row = [0] * (len(y) + 1)
-            for u in x:
-                last = 0
-                for j, v in enumerate(y, 1):
-                    last, row[j] = row[j], last + 1 if u == v else max(row[j], row[j - 1])
-            if not row[-1]:
+            n = _common(list(x), list(y))
+            if not n:
                 return 0.0
-            p, r = row[-1] / len(x), row[-1] / len(y)
+            p, r = n / len(x), n / len(y)
             return (1 + beta**2) * p * r / (r + beta**2 * p)
 
         return pd.Series([score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -146,20 +146,26 @@ def tool_reward(calls: Text, accuracy: Text, names: tuple[str, str] = TOOLS) ->
     return F.least(F.greatest(score, F.lit(-1.0)), F.lit(1.0))
 
 
-def length_penalty(text: Text, mask: Text | None = None, budget: int = 2000, most: int = 4000, per_token: int = 8) -> Column:
+def length_penalty(text: Text, mask: Text | None = None, budget: int = 2000, most: int = 4000, per_token: int = 8, ids: Text | None = None, by_turn: bool = False) -> Column:
     """0 up to the budget of model tokens, falling to -1 at ``most``.
 
-    Tokens are the ones of ``mask``; where it is null, the characters of the
-    text without tool results and header, at ``per_token`` characters each.
+    Tokens are the ones of ``mask``; where it is null, all of ``ids`` (the
+    response's tokens, tool results included); where that is null too, the
+    characters of the text without tool results and header, at ``per_token``
+    characters each.  With ``by_turn`` both are arrays of one array per turn.
     """
+    flat = (lambda c: F.flatten(_c(c))) if by_turn else _c
     fall = lambda n, b, m: F.when(n <= b, 0.0).when(n <= m, -(n - b) / float(m - b)).otherwise(-1.0)
     own = F.regexp_replace(_c(text), r"(?s)---\s*\[Tool Result\]\s*---.*?(?=---\s*\[Turn|$)", "")
     own = F.regexp_replace(own, r"(?m)^\[Rollout:.*?\]\n", "")
     chars = fall(F.length(own), budget * per_token, most * per_token)
-    if mask is None:
-        return chars
-    tokens = F.size(F.filter(_c(mask), lambda m: m == 1))
-    return F.when(_c(mask).isNotNull(), fall(tokens, budget, most)).otherwise(chars)
+    score = chars
+    if ids is not None:
+        score = F.when(_c(ids).isNotNull(), fall(F.size(flat(ids)), budget, most)).otherwise(score)
+    if mask is not None:
+        tokens = F.size(F.filter(flat(mask), lambda m: m == 1))
+        score = F.when(_c(mask).isNotNull(), fall(tokens, budget, most)).otherwise(score)
+    return score
 
 
 def total_reward(structure: Text, accuracy: Text, tool: Text, length: Text, weights: dict[str, float] | None = None) -> Column:

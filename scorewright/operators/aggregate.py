@@ -6,14 +6,18 @@ side; nothing is collected.  ``by`` may be empty for one overall row.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorewright.functions.extract import _c
 from scorewright.functions.metrics import _sum, tagged
+from scorewright.sources.staging import staged
 
 # --- one-column aggregates (AGG1-AGG5) ----------------------------------------
 
@@ -39,17 +43,48 @@ def score(df: DataFrame, by: list[str], value: str, agg: str, weight: str | None
 
 
 def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Element floor(n / 2) + 1 of the sorted values of a group.
+    """Element floor(n / 2) + 1 of the sorted values of a group; nulls do not
+    count, and a group without values has no row."""
+    return at_rank(df.where(F.col(value).isNotNull()), by, value, lambda n: F.floor(n / 2) + 1, value)
 
-    Values are counted before they are ranked, so a group is as large as its
-    distinct values.
+
+#: Cells of a group's values that a rank is looked for in, and rows of a cell that one task sorts.
+CELLS, SORTED = 4096, 200_000
+
+
+def at_rank(df: DataFrame, by: list[str], value: str, rank: Callable[[Column], Column], name: str) -> DataFrame:
+    """``by..., name``: the value at a rank (from 1) of each group's sorted values.
+
+    Null values do not count, and a group without values has no row.  Where a
+    group has more than ``SORTED`` rows, the range of its values is cut into
+    ``CELLS`` cells that are counted with partial sums, and the cell that holds
+    the rank is cut again until it is small or has one value.  So no task sorts
+    a large group; what is joined to the rows is a row for each group.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*by).orderBy(value)
-    upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_n").over(Window.partitionBy(*by))
-    ranked = counts.withColumns({"_upto": upto, "_at": F.floor(total / 2) + 1})
-    return ranked.where((F.col("_upto") >= F.col("_at")) & (F.col("_upto") - F.col("_n") < F.col("_at"))).select(*by, value)
+    keys = [f"_by{k}" for k in range(len(by))]
+    rows = df.select(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)), F.col(value).cast("double").alias("_v"), F.col(value).alias("_own")).where("_v is not null")
+    state = staged(rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n")), "ranks")
+    state = state.where("_n > 0").withColumn("_rank", rank(F.col("_n")).cast("long"))
+    on = functools.reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"{k}s")), keys, F.lit(True))
+
+    def inside(cells: DataFrame) -> DataFrame:
+        """The rows of the given cells, with the cell's ``_lo, _hi, _rank``."""
+        found = rows.join(cells.drop("_n").withColumnsRenamed({k: f"{k}s" for k in keys}), on & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        return found.drop(*(f"{k}s" for k in keys))
+
+    large = f"_lo < _hi and _n > {SORTED}"
+    while not state.where(large).isEmpty():
+        width = F.col("_hi") / CELLS - F.col("_lo") / CELLS
+        cell = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(CELLS - 1))).otherwise((F.col("_v") > F.col("_lo")).cast("long"))
+        cells = inside(state.where(large)).groupBy(*keys, "_rank", cell.alias("_cell")).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))  # CELLS rows of a group
+        found = cells.withColumn("_upto", upto).where("_upto >= _rank and _upto - _n < _rank").withColumn("_rank", F.expr("_rank - _upto + _n"))
+        state = staged(state.where(f"not ({large})").unionByName(found.select(*state.columns)), "ranks")
+    kind = df.schema[value].dataType
+    one = state.where("_lo = _hi").select(*keys, F.col("_lo").cast(kind).alias("_own"))
+    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_v")
+    few = inside(state.where("_lo < _hi")).withColumn("_at", F.row_number().over(order)).where("_at = _rank").select(*keys, "_own")
+    return one.union(few).select(*(F.col(k).alias(b) for b, k in zip(by, keys, strict=True)), F.col("_own").alias(name))
 
 
 # --- labels (AGG6, AGG7, AGG15) -------------------------------------------------
@@ -293,7 +328,7 @@ def at_k(df: DataFrame, doc: str, repeat: str, answer: str, correct: str, ks: li
 
 
 def stability(df: DataFrame, by: list[str], doc: str, value: str) -> DataFrame:
-    """Expected accuracy (mean of document means), consensus accuracy (more
+    """Expected accuracy (mean of all repeats), consensus accuracy (more
     than half right), internal variance (over documents with two repeats or
     more) and consistency (all repeats alike)."""
     v = F.col(value).cast("double")
@@ -301,7 +336,7 @@ def stability(df: DataFrame, by: list[str], doc: str, value: str) -> DataFrame:
         F.sum(v).alias("_s"), F.count(v).alias("_n"), F.var_samp(v).alias("_var"), F.min(v).alias("_lo"), F.max(v).alias("_hi")
     )
     return per.groupBy(*by).agg(
-        F.avg(F.col("_s") / F.col("_n")).alias("expected_acc"),
+        (F.sum("_s") / F.when(F.sum("_n") > 0, F.sum("_n"))).alias("expected_acc"),
         F.avg(F.coalesce((F.col("_s") * 2 > F.col("_n")).cast("double"), F.lit(0.0))).alias("consensus_acc"),
         F.avg(F.when(F.col("_n") > 1, F.col("_var"))).alias("internal_variance"),
         F.avg(F.coalesce((F.col("_lo") == F.col("_hi")).cast("double"), F.lit(0.0))).alias("consistency"),
@@ -384,36 +419,84 @@ def win_rates(battles: DataFrame, a: str = "model_a", b: str = "model_b", winner
     return one.union(two).groupBy("model").agg(F.avg("w").alias("win_rate"), F.count("*").alias("n"))
 
 
-def elo(battles: DataFrame, anchor: str | None = None, anchor_rating: float = 1000.0, rounds: int = 200, a: str = "model_a", b: str = "model_b", winner: str = "winner", scale: float = 400.0, base: float = 10.0) -> DataFrame:
-    """Maximum-likelihood ratings, a tie as half a win for each.
+def elo(battles: DataFrame, anchor: str | None = None, anchor_rating: float = 1000.0, a: str = "model_a", b: str = "model_b", winner: str = "winner", scale: float = 400.0, base: float = 10.0) -> DataFrame:
+    """``model, rating`` of greatest likelihood, a tie as half a win for each.
 
     Spark reduces the battles to one row for each ordered pair of models; the
-    minorisation steps of the Bradley-Terry model then run over those counts,
-    whose number is the square of the models', not of the battles.  Half a win
-    over an average opponent keeps unbeaten models finite.
+    maximum is then found by Newton's method over those sums, whose number is
+    the square of the models', not of the battles.  Ratings have a finite
+    maximum only among models of which each can be reached from each other
+    along wins; the largest such group (that of the anchor, if given) is
+    rated from the battles inside it, other models have a null rating.
+    Without an anchor the mean rating is ``anchor_rating``.
     """
-    import math
-
     half = F.when(F.col(winner) == "tie", 0.5)
     rows = battles.select(F.col(a).alias("i"), F.col(b).alias("j"), F.coalesce(half, (F.col(winner) == "A").cast("double")).alias("w"))
-    both = rows.union(rows.select("j", "i", 1 - F.col("w")))
-    wins = {(r["i"], r["j"]): (r["w"], r["n"]) for r in both.groupBy("i", "j").agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect()}
+    both = rows.union(rows.select("j", "i", 1 - F.col("w"))).where("i is not null and j is not null and i <> j and w is not null")
+    sums = both.groupBy("i", "j").agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect()
+    wins, games = {(r["i"], r["j"]): r["w"] for r in sums}, {(r["i"], r["j"]): r["n"] for r in sums}
     models = sorted({i for i, _ in wins})
-    strength = dict.fromkeys(models, 1.0)
+    rated = _connected_by_wins(models, wins, anchor)
+    rating = _most_likely(rated, wins, games)
+    shift = anchor_rating - scale * (rating[anchor] if anchor in rating else 0.0) / math.log(base)
+    found = [(m, scale * rating[m] / math.log(base) + shift if m in rating else None) for m in models]
+    return battles.sparkSession.createDataFrame(found, "model string, rating double")
+
+
+def _connected_by_wins(models: list[str], wins: dict, anchor: str | None) -> list[str]:
+    """The models that reach, and are reached by, the anchor along wins; without
+    an anchor the largest such group."""
+    beats: dict[str, set] = {m: set() for m in models}
+    loses: dict[str, set] = {m: set() for m in models}
+    for (i, j), w in wins.items():
+        if w > 0:
+            beats[i].add(j)
+            loses[j].add(i)
+
+    def reached(start: str, along: dict[str, set]) -> set[str]:
+        seen, todo = {start}, [start]
+        while todo:
+            for m in along[todo.pop()] - seen:
+                seen.add(m)
+                todo.append(m)
+        return seen
+
+    groups, left = [], set(models)
+    while left:
+        start = anchor if anchor in left else min(left)
+        groups.append(reached(start, beats) & reached(start, loses))
+        left -= groups[-1]
+        if anchor in groups[-1]:
+            return sorted(groups[-1])
+    return sorted(max(groups, key=len, default=set()))
+
+
+def _most_likely(models: list[str], wins: dict, games: dict, rounds: int = 100) -> dict[str, float]:
+    """Log strengths, zero on average, at which every model's expected wins
+    are its wins.  Newton steps with halving; raises if they do not settle."""
+    at = {m: k for k, m in enumerate(models)}
+    pairs = [(at[i], at[j], w, games[i, j]) for (i, j), w in wins.items() if i in at and j in at]
+    if not pairs:
+        return dict.fromkeys(models, 0.0)
+    i, j, w, n = (np.array(x) for x in zip(*pairs, strict=True))
+    many = len(models)
+    won = np.bincount(i, weights=w, minlength=many)
+    now = np.zeros(many)
+    value = lambda s: float((won * s).sum() - 0.5 * (n * np.logaddexp(s[i], s[j])).sum())
     for _ in range(rounds):
-        new = {}
-        for m in models:
-            won, need = 0.5, 1.0 / (strength[m] + 1.0)
-            for o in models:
-                if (m, o) in wins and m != o:
-                    won += wins[m, o][0]
-                    need += wins[m, o][1] / (strength[m] + strength[o])
-            new[m] = won / need
-        mean = math.exp(sum(map(math.log, new.values())) / len(new)) if new else 1.0
-        strength = {m: s / mean for m, s in new.items()}
-    rating = {m: scale * math.log(s, base) for m, s in strength.items()}
-    shift = anchor_rating - (rating[anchor] if anchor in rating else 0.0)
-    return battles.sparkSession.createDataFrame([(m, r + shift) for m, r in sorted(rating.items())], "model string, rating double")
+        p = 1 / (1 + np.exp(now[j] - now[i]))
+        slope = won - np.bincount(i, weights=n * p, minlength=many)
+        if np.abs(slope).max() <= 1e-9 * max(1.0, n.max()):
+            return dict(zip(models, (now - now.mean()).tolist(), strict=True))
+        bend = np.zeros((many, many))
+        np.add.at(bend, (i, j), -n * p * (1 - p))
+        bend[np.arange(many), np.arange(many)] = -bend.sum(axis=1)
+        step = np.linalg.solve(bend + 1.0 / many, slope)  # the shift that changes nothing is fixed at zero
+        size, was = 1.0, value(now)
+        while value(now + size * step) < was - 1e-12 * abs(was) and size > 1e-10:
+            size /= 2
+        now = now + size * step
+    raise RuntimeError("the ratings did not settle")
 
 
 def hallucination(df: DataFrame, by: list[str], pred: str, gold: str) -> DataFrame:
@@ -457,17 +540,26 @@ def flattened_accuracy(df: DataFrame, by: list[str], flags: str) -> DataFrame:
     return df.select(*by, F.explode(flags).alias("_f")).groupBy(*by).agg(F.avg(F.col("_f").cast("double")).alias("accuracy"))
 
 
-def flatten_groups(edges: DataFrame, depth: int = 8) -> DataFrame:
-    """``root, leaf`` of a group tree with ``parent, child`` edges: one join
-    for each level, at most ``depth``."""
-    edges = edges.select("parent", "child").distinct()
-    parents = edges.select(F.col("parent").alias("_p")).distinct()
-    now, out = edges.select(F.col("parent").alias("root"), F.col("child").alias("leaf")), None
-    for _ in range(depth):
-        leaves = now.join(parents, now["leaf"] == parents["_p"], "left_anti")
+def flatten_groups(edges: DataFrame) -> DataFrame:
+    """``root, leaf`` of a group tree with ``parent, child`` edges, of any
+    depth: one join for each level, staged, until no level is left.
+
+    Repeated edges count once; an empty table gives an empty result.  A group
+    inside itself is an error: on a cycle the levels would not end.
+    """
+    edges = staged(edges.select("parent", "child").where("parent is not null and child is not null").distinct(), "edges")
+    parents = edges.select(F.col("parent").alias("leaf")).distinct()
+    nodes = edges.select("parent").union(edges.select("child")).distinct().count()
+    now, out, level = edges.select(F.col("parent").alias("root"), F.col("child").alias("leaf")), None, 0
+    while True:
+        leaves = now.join(parents, "leaf", "left_anti").select("root", "leaf")
         out = leaves if out is None else out.union(leaves)
-        now = now.join(edges, now["leaf"] == edges["parent"]).select("root", F.col("child").alias("leaf"))
-    return out.distinct()
+        now = staged(now.join(edges, now["leaf"] == edges["parent"]).select("root", F.col("child").alias("leaf")).distinct(), "level")
+        level += 1
+        if now.isEmpty():
+            return out.distinct()
+        if level > nodes or not now.where(F.col("root") == F.col("leaf")).isEmpty():
+            raise ValueError("a group contains itself")
 
 
 def group_scores(results: DataFrame, groups: DataFrame, weight_by_size: bool = True, keys: tuple[str, ...] = ("metric", "filter")) -> DataFrame:
@@ -485,13 +577,16 @@ def throughput(df: DataFrame, by: list[str], tokens: str, seconds: str) -> DataF
 
 
 def request_health(df: DataFrame, by: list[str], latency: str, failed: Column, limited: Column, share: float = 0.95) -> DataFrame:
-    """Latency at the lower nearest rank of ``share``, failure and rate-limit
-    rates."""
+    """Latency at the lower nearest rank of ``share`` (of the rows that have
+    one), failure and rate-limit rates."""
     rows = df.select(*by, F.col(latency).alias("_l"), failed.cast("int").alias("_f"), limited.cast("int").alias("_m"))
-    order = Window.partitionBy(*by)
-    ranked = rows.withColumns({"_k": F.row_number().over(order.orderBy("_l")), "_n": F.count("_l").over(order)})
-    at = F.floor(F.lit(share) * (F.col("_n") - 1)) + 1
-    return ranked.groupBy(*by).agg(F.max(F.when(F.col("_k") == at, F.col("_l"))).alias("p95"), F.avg("_f").alias("failure_rate"), F.avg("_m").alias("limit_rate"), F.count("*").alias("n"))
+    rates = rows.groupBy(*by).agg(F.avg("_f").alias("failure_rate"), F.avg("_m").alias("limit_rate"), F.count("*").alias("n"))
+    tail = at_rank(rows.where("_l is not null"), by, "_l", lambda n: F.floor(F.lit(share) * (n - 1)) + 1, "p95")
+    if not by:
+        return rates.join(tail, F.lit(True), "left").select("p95", "failure_rate", "limit_rate", "n")
+    tail = tail.withColumnsRenamed({b: f"_k{k}" for k, b in enumerate(by)})
+    on = functools.reduce(lambda x, y: x & y, (F.col(b).eqNullSafe(F.col(f"_k{k}")) for k, b in enumerate(by)))
+    return rates.join(tail, on, "left").select(*by, "p95", "failure_rate", "limit_rate", "n")
 
 
 def common_direction(df: DataFrame, by: list[str], direction: str) -> DataFrame:

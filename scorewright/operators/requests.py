@@ -147,13 +147,14 @@ def latest(df: DataFrame, by: list[str], order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
-def training_messages(raw: DataFrame, question: str = "question", answer: str = "answer", kind: str = "question_type", choice: tuple[str, ...] = (), number: tuple[str, ...] = ()) -> DataFrame:
+def training_messages(raw: DataFrame, question: str = "question", answer: str = "answer", kind: str = "question_type", choice: tuple[str, ...] = (), number: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
     """Raw questions as training rows: messages, solution, answer_type (mca for
-    the choice kinds, na for the number kinds); other kinds are dropped."""
+    the choice kinds, na for the number kinds) and the columns in ``keep``;
+    other kinds are dropped."""
     asked = F.concat(F.lit("<video>\n"), F.regexp_replace(_c(question), r"^<(image|video)>\n", ""))
     answer_type = F.when(F.col(kind).isin(*choice), "mca").when(F.col(kind).isin(*number), "na")
     messages = F.array(F.struct(F.lit("user").alias("role"), asked.alias("content")))
-    return raw.select(messages.alias("messages"), F.col(answer).alias("solution"), F.col(kind).alias("question_type"), answer_type.alias("answer_type")).where("answer_type is not null")
+    return raw.select(messages.alias("messages"), F.col(answer).alias("solution"), F.col(kind).alias("question_type"), answer_type.alias("answer_type"), *keep).where("answer_type is not null")
 
 
 def prompt(question: Column, options: Column, post: str = "Answer with the option's letter.") -> Column:

@@ -17,15 +17,31 @@ def _draw(seed: int, *keys: str) -> Column:
     return F.xxhash64(F.lit(seed), *keys)
 
 
+#: Rows that one task ranks, about, and ranges of a key at most.
+RANKED, RANGES = 250_000, 8192
+
+
+def _range_of(value: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are at most the value, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    array = F.array(*map(F.lit, cuts))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(array, at + step - 1) <= value, at + step).otherwise(at))
+
+
 def numbered(df: DataFrame, key: str, name: str = "rn") -> DataFrame:
     """``df`` with its rank (from 0) by a unique key, without one task seeing
-    all rows: ranges of the key are counted, then ranked apart."""
-    bounds = df.agg(F.count(key).alias("n"), F.percentile_approx(key, [k / 256 for k in range(1, 256)], 10_000).alias("q")).first()
-    cuts = sorted(set(bounds["q"] or []))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
-    rows = df.withColumn("_part", part)
+    all rows: ranges of the key, more of them the more rows there are, are
+    counted, then ranked apart.  Keys must be comparable and not null."""
+    many = min(RANGES, df.count() // RANKED)
+    cuts = []
+    if many:
+        found = df.agg(F.percentile_approx(key, [k / (many + 1) for k in range(1, many + 1)], max(10_000, 10 * many)).alias("q")).first()["q"]
+        cuts = sorted(set(found or []))
+    rows = df.withColumn("_part", _range_of(F.col(key), cuts))
     counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # at most 256 rows
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
     starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
     return rows.withColumn("_k", within).join(starts, "_part").withColumn(name, F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")
@@ -117,22 +133,44 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(_draw(seed, key), key)
 
 
-def fewshot(docs: DataFrame, pool: DataFrame, n: int, key: str = "doc_id", mode: str = "random", seed: int = 1234, most: int = 1000) -> DataFrame:
+def drawn_ranks(key: Column, total: int, n: int, seed: int) -> Column:
+    """``n`` different numbers below ``total`` (all of them if there are
+    fewer), in the order drawn; every choice is equally likely.
+
+    The j-th draw is a number below total - j, moved past those drawn before.
+    """
+
+    def draw(chosen: Column, j: Column) -> Column:
+        raw = F.pmod(F.xxhash64(F.lit(seed), key, j), (F.lit(total) - j).cast("bigint"))
+        return F.aggregate(F.array_sort(chosen), raw, lambda v, c: v + F.when(c <= v, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
+
+    many = min(n, total)
+    if not many:
+        return F.array().cast("array<bigint>")
+    return F.aggregate(F.sequence(F.lit(0), F.lit(many - 1)), F.array().cast("array<bigint>"), lambda chosen, j: F.concat(chosen, F.array(draw(chosen, j))))
+
+
+def fewshot(docs: DataFrame, pool: DataFrame, n: int, key: str = "doc_id", mode: str = "random", seed: int = 1234) -> DataFrame:
     """``key, shots``: for each document an array of ``n`` pool rows, never
-    the document itself.
+    the document itself; fewer only where the pool has not as many others.
 
-    The pool is cut to its ``most`` first rows by key (a documented bound of
-    the feature); it is sent to the tasks as one array of that bounded size.
-    "random" orders the pool by a hash of document and candidate, "first" by
-    key; one more is drawn so that the document's own row can go.
+    "random" draws ranks of the whole pool from a hash of the document and
+    joins them to the numbered pool; "first" takes the first rows by key.  One
+    more is drawn so that the document's own row can go.  Keys are unique and
+    not null.  An empty pool gives empty arrays.
     """
-    few = pool.orderBy(key).limit(most)
-    rows = few.agg(F.sort_array(F.collect_list(F.struct(*few.columns))).alias("_pool"))
-    both = docs.select(key).crossJoin(F.broadcast(rows))  # one row of at most `most` elements
-    rank = (lambda c: F.xxhash64(F.lit(seed), F.col(key), c[key])) if mode == "random" else (lambda c: c[key])
-    ordered = F.array_sort(F.transform("_pool", lambda c: F.struct(rank(c).alias("r"), c.alias("c"))))
-    drawn = F.filter(F.slice(ordered, 1, n + 1), lambda s: s["c"][key] != F.col(key))
-    return both.select(key, F.transform(F.slice(drawn, 1, n), lambda s: s["c"]).alias("shots"))
+    shown = F.struct(*(F.col(c) for c in pool.columns))
+    if mode == "first":
+        few = pool.orderBy(key).limit(n + 1)
+        rows = few.agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("r"), shown.alias("c")))).alias("_drawn"))
+        both = docs.select(key).crossJoin(F.broadcast(rows))  # one row of n + 1 elements
+    else:
+        ranked = numbered(pool, key, "_rank").select("_rank", shown.alias("_c"))
+        asked = docs.select(key, F.posexplode_outer(drawn_ranks(F.col(key), pool.count(), n + 1, seed)).alias("_at", "_rank"))
+        found = asked.join(ranked, "_rank", "left").groupBy(key)
+        both = found.agg(F.sort_array(F.collect_list(F.when(F.col("_c").isNotNull(), F.struct(F.col("_at").alias("r"), F.col("_c").alias("c"))))).alias("_drawn"))
+    others = F.filter("_drawn", lambda s: s["c"][key] != F.col(key))
+    return both.select(key, F.transform(F.slice(others, 1, n), lambda s: s["c"]).alias("shots"))
 
 
 def uniform_positions(total: Column, k: int) -> Column:

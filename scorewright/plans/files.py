@@ -12,10 +12,10 @@ from scorewright.sources import io
 from scorewright.sources.staging import fresh_path
 
 
-@query("select doc_id, lang, source, n_chars from documents where n_chars > 100")
+@query("select doc_id, lang, source, n_chars from documents")
 def src_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC2; filter and columns reach the scan."""
-    return io.read_split(spark, f"{sf_dir}/documents.parquet").where("n_chars > 100").select("doc_id", "lang", "source", "n_chars")
+    """SRC2; the columns reach the scan."""
+    return io.read_split(spark, f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
 
 
 @query("select conv_id, turn, role, text from conversations")
@@ -37,37 +37,40 @@ def src_frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     select o_orderpriority as task, o_orderkey as doc_id, '["' || o_orderstatus || '"]' as filtered_resps,
-      case when o_orderkey % 2 = 0 then '["' || lower(o_orderstatus) || '"]' end as resps from orders where o_custkey < 50""")
+      case when o_orderkey % 2 = 0 then '["' || lower(o_orderstatus) || '"]' end as resps from orders""")
 def snk_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK1: nested lists as text, responses only where the filtered ones differ."""
     path, s = fresh_path(spark, "samples"), F.col("o_orderstatus")
-    rows = table(spark, sf_dir, "orders").where("o_custkey < 50")
+    rows = table(spark, sf_dir, "orders")
     resp = F.when(F.col("o_orderkey") % 2 == 0, F.lower(s)).otherwise(s)
     io.write_samples(rows.select(F.col("o_orderpriority").alias("task"), F.col("o_orderkey").alias("doc_id"), F.array(s).alias("filtered_resps"), F.array(resp).alias("resps")), path)
     back = io.read_json_lines(spark, path, "task string, doc_id bigint, filtered_resps string, resps string")
     return back.select("task", "doc_id", "filtered_resps", "resps")
 
 
-@query("select o_orderkey as id, o_orderpriority as answer, round(o_totalprice, 2) as value from orders where o_custkey < 100")
+@query("select o_orderkey as id, o_orderpriority as answer, round(o_totalprice, 2) as value from orders")
 def snk_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK2, SNK3: a submission and a results file, read back and joined."""
     a, b = fresh_path(spark, "submission"), fresh_path(spark, "results")
-    rows = table(spark, sf_dir, "orders").where("o_custkey < 100").withColumnRenamed("o_orderkey", "id")
+    rows = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "id")
     io.write_submission(rows, a, "id", "o_orderpriority")
     io.write_results(rows.select("id", F.round("o_totalprice", 2).alias("value")), b)
     return io.read_json_lines(spark, a, "id bigint, answer string").join(io.read_json_lines(spark, b, "id bigint, value double"), "id")
 
 
 @query("""
-    with r as (select lang, (lower(lang) = lower(left(text, 2)))::int::double as exact_match, coalesce(nullif(split_part(text, ' ', 1), ''), '') as w from documents)
-    select lang, round(avg(exact_match), 6) as exact_match, round(avg(len(w)), 6) as word_length, max(upper(lang)) as upper from r group by 1""")
+    with r as (select lang, (lower(lang) = case when contains(text, ' the ') then 'en' when contains(text, ' und ') then 'de' when contains(text, ' que ') then 'es' else 'fr' end)::int::double as exact_match,
+      len(string_split(coalesce(text, ''), ' ')) as w from documents)
+    select lang, round(avg(exact_match), 6) as exact_match, round(avg(w), 6) as n_parts, max(upper(lang)) as upper from r group by 1""")
 def udf_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UDF1-UDF5: a registered metric with its default aggregate, a registered
     filter, and a custom function from rows to metrics in Arrow batches."""
     metric = registry.METRICS[registry.DEFAULTS["generate_until"][0]]
-    custom = registry.process_results(lambda r: {"word_length": float(len(r["text"].split(" ")[0]))}, "word_length double")
+    custom = registry.process_results(lambda r: {"n_parts": float(len((r["text"] or "").split(" ")))}, "n_parts double")
+    has = lambda word: F.col("text").contains(f" {word} ")
+    guess = F.when(has("the"), "EN").when(has("und"), "DE").when(has("que"), "ES").otherwise("FR")
     rows = table(spark, sf_dir, "documents").select(
-        "lang", metric.build(F.left("text", F.lit(2)), "lang").alias(metric.name), custom(F.struct("text"))["word_length"].alias("word_length"), registry.FILTERS["uppercase"]("lang").alias("upper")
+        "lang", metric.build(guess, "lang").alias(metric.name), custom(F.struct("text"))["n_parts"].alias("n_parts"), registry.FILTERS["uppercase"]("lang").alias("upper")
     )
     agg = A.AGGREGATES[metric.aggregate]
-    return rounded(rows.groupBy("lang").agg(agg(F.col(metric.name), F.lit(1.0)).alias(metric.name), F.avg("word_length").alias("word_length"), F.max("upper").alias("upper")))
+    return rounded(rows.groupBy("lang").agg(agg(F.col(metric.name), F.lit(1.0)).alias(metric.name), F.avg("n_parts").alias("n_parts"), F.max("upper").alias("upper")))

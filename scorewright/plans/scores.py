@@ -93,11 +93,11 @@ def agg_matthews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with p as (select label, list_transform(embedding[1:10], lambda e: (e + 1)::double / 2) as p from embeddings)
-    select label, round(avg(list_sum([(p[i + 1] - (i = label)::int::double) ** 2 for i in range(10)])), 5) as brier from p group by 1""")
+    with p as (select label, list_transform(embedding, lambda e: (e + 1)::double / 2) as p from embeddings)
+    select label, round(avg(list_sum([(p[i + 1] - (i = label)::int::double) ** 2 for i in range(len(p))])), 5) as brier from p group by 1""")
 def agg_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG8."""
-    rows = table(spark, sf_dir, "embeddings").select("label", F.transform(F.slice("embedding", 1, 10), lambda e: (e + F.lit(1).cast("float")).cast("double") / 2).alias("p"))
+    rows = table(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda e: (e + F.lit(1).cast("float")).cast("double") / 2).alias("p"))
     return rounded(A.brier(rows, ["label"], "p", "label"), 5)
 
 
@@ -194,7 +194,7 @@ def agg_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     with {_GROUPED}, d as (select doc % 4 as part, doc, avg(ok::int) as a, var_samp(ok::int) as v, count(*) as n, min(ok::int) as lo, max(ok::int) as hi from o group by 1, 2)
-    select part, round(avg(a), 6) as expected_acc, round(avg((a > 0.5)::int), 6) as consensus_acc,
+    select part, round(sum(a * n) / sum(n), 6) as expected_acc, round(avg((a > 0.5)::int), 6) as consensus_acc,
       round(avg(v) filter (n > 1), 6) as internal_variance, round(avg((lo = hi)::int), 6) as consistency from d group by 1""")
 def agg_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG23."""
@@ -309,13 +309,14 @@ def agg_elo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with w as (select lang, list_distinct(regexp_extract_all(lower(substr(text, 1, 400)), '[a-z]+')) as p, list_distinct(regexp_extract_all(lower(substr(text, 201, 400)), '[a-z]+')) as g from documents),
+    with w as (select lang, list_distinct(regexp_extract_all(lower(text), '[a-z]*[a-df-z](?:[^a-z]|$)')) as p, list_distinct(regexp_extract_all(lower(text), '[a-z]*[a-mo-z](?:[^a-z]|$)')) as g from documents),
     c as (select lang, len(p) - len(list_intersect(p, g)) as wrong, len(p) as np, len(list_intersect(p, g)) as hit, len(g) as ng from w)
     select lang, round(sum(wrong) / sum(np), 6) as object_rate, round(avg((wrong > 0)::int), 6) as caption_rate, round(sum(hit) / sum(ng), 6) as recall from c group by 1""")
 def agg_hallucination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MET27, AGG34."""
-    words = lambda a: F.regexp_extract_all(F.lower(F.substring("text", a, 400)), F.lit("[a-z]+"), 0)
-    rows = table(spark, sf_dir, "documents").select("lang", words(1).alias("p"), words(201).alias("g"))
+    # words that do not end in e as mentioned objects, words that do not end in n as those of the picture
+    words = lambda last: F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]*{last}(?:[^a-z]|$)"), 0)
+    rows = table(spark, sf_dir, "documents").select("lang", words("[a-df-z]").alias("p"), words("[a-mo-z]").alias("g"))
     return rounded(A.hallucination(rows, ["lang"], "p", "g"))
 
 
@@ -383,14 +384,14 @@ def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def agg_groups_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG38, JOIN11."""
     results, edges = _tree(spark, sf_dir)
-    return rounded(A.group_scores(results, A.flatten_groups(edges, 3)), 4)
+    return rounded(A.group_scores(results, A.flatten_groups(edges)), 4)
 
 
 @query(f"with {_TREE} select root, metric, filter, round(avg(value), 4) as value, sum(r.n)::bigint as n from r join g on task = leaf group by 1, 2, 3")
 def agg_groups_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG38."""
     results, edges = _tree(spark, sf_dir)
-    return rounded(A.group_scores(results, A.flatten_groups(edges, 3), weight_by_size=False), 4)
+    return rounded(A.group_scores(results, A.flatten_groups(edges), weight_by_size=False), 4)
 
 
 @query("select lang, source, count(*) as n from documents group by rollup (lang, source)")
@@ -522,7 +523,7 @@ def agg_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sta_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STA6."""
     results, edges = _tree(spark, sf_dir)
-    rows = results.withColumn("stderr", F.col("sd") / F.sqrt("n")).join(A.flatten_groups(edges, 3), F.col("task") == F.col("leaf"))
+    rows = results.withColumn("stderr", F.col("sd") / F.sqrt("n")).join(A.flatten_groups(edges), F.col("task") == F.col("leaf"))
     return rounded(stats.pooled_stderr(rows, ["root"]), 5)
 
 
@@ -530,7 +531,7 @@ def sta_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sta_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STA7; an ordered fold, tested against plain Python."""
     results, edges = _tree(spark, sf_dir)
-    rows = results.withColumns({"stderr": F.col("sd") / F.sqrt("n"), "mean": F.col("value")}).join(A.flatten_groups(edges, 3), F.col("task") == F.col("leaf"))
+    rows = results.withColumns({"stderr": F.col("sd") / F.sqrt("n"), "mean": F.col("value")}).join(A.flatten_groups(edges), F.col("task") == F.col("leaf"))
     return rounded(stats.combined_stderr(rows, ["root"], "task"), 5)
 
 

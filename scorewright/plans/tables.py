@@ -134,7 +134,7 @@ def smp_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.shuffled(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
 
 
-@query("with p as (select doc_id as c, row_number() over (order by doc_id) as k from documents qualify k <= 1000), d as (select doc_id, (select string_agg(c, ',' order by c) from (select c from p where k <= 4 and c <> doc_id order by c limit 3)) as shots from documents) select * from d")
+@query("with p as (select doc_id as c, row_number() over (order by doc_id) as k from documents), d as (select doc_id, (select string_agg(c, ',' order by c) from (select c from p where k <= 4 and c <> doc_id order by c limit 3)) as shots from documents) select * from d")
 def smp_fewshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SMP5 (first shots; random ones are tested by their properties)."""
     docs = table(spark, sf_dir, "documents")
@@ -142,6 +142,14 @@ def smp_fewshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join(F.transform("shots", lambda s: s["doc_id"].cast("string")), ",").alias("shots"))
 
 
+@query()
+def smp_fewshot_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SMP5 (random shots from the whole table; order by Spark's hash, tested by their properties)."""
+    docs = table(spark, sf_dir, "documents")
+    found = S.fewshot(docs, docs.select("doc_id", "lang"), 3)
+    return found.select("doc_id", F.array_join(F.transform("shots", lambda s: s["doc_id"].cast("string")), ",").alias("shots"))
+
+
 @query("""
     select p_partkey, array_to_string([floor(i * (p_size) / 3.0)::int for i in range(4)], ',') as positions,
       array_to_string(list_transform(string_split(p_type, ' '), lambda w, i: i || '. ' || w), ' ') as numbered from part""")
@@ -169,11 +177,11 @@ def prj_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with d as (select doc_id, substr(text, 1, 10) as c, [lang, source] as ch from documents)
+    with d as (select doc_id, text as c, [lang, source] as ch from documents)
     select doc_id, i - 1 as idx, kind, case kind when 'cond' then c else '' end as context, ch[i] as continuation from d, (select unnest([1, 2]) as i), (select unnest(['cond', 'uncond']) as kind)""")
 def prj_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ5, UDF6."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 10).alias("c"), F.array("lang", "source").alias("ch"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("c"), F.array("lang", "source").alias("ch"))
     return R.choice_requests(docs, "ch", "c", mutual_information=True)
 
 
@@ -292,17 +300,20 @@ def join_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-@query("""
-    select p_partkey, '<video>' || chr(10) || p_name as content, p_brand as solution, case when p_size % 3 = 0 then 'mca' else 'na' end as answer_type,
-      case split_part(p_name, ' ', 1) when 'among' then 'among' else 'other' end as category, p_name || chr(10) || 'A. ' || p_brand || chr(10) || 'B. ' || p_type || chr(10) || 'Answer with the option''s letter.' as prompt from part where p_size % 3 < 2""")
+_VAL_ID = "case p_partkey % 5 when 0 then 'among' when 1 then 'rotation' when 2 then 'around' when 3 then 'aroundnew' else 'other' end || '_' || p_partkey"
+
+
+@query(f"""
+    select p_partkey, 'user' as role, '<video>' || chr(10) || p_name as content, p_brand as solution, case when p_size % 3 = 0 then 'mca' else 'na' end as answer_type,
+      case p_partkey % 5 when 0 then 'among' when 1 then 'rotation' when 4 then 'other' else 'around' end as category, p_name || chr(10) || 'A. ' || p_brand || chr(10) || 'B. ' || p_type || chr(10) || 'Answer with the option''s letter.' as prompt from part where p_size % 3 < 2""")
 def prj_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ1-PRJ4."""
+    """PRJ1-PRJ4: kinds of no answer type are dropped, which is the feature."""
     raw = table(spark, sf_dir, "part").withColumn("kind", F.element_at(F.array(F.lit("choice"), F.lit("count"), F.lit("odd")), F.col("p_size") % 3 + 1))
-    raw = raw.withColumn("q", F.concat(F.lit("<image>\n"), "p_name"))
-    rows = R.training_messages(raw, "q", "p_brand", "kind", ("choice",), ("count",))
-    extra = raw.select("p_partkey", F.concat(F.lit("<video>\n"), "p_name").alias("content"), F.col("p_brand").alias("solution"), R.category_of(F.col("p_name")).alias("category"), R.prompt(F.col("p_name"), F.array("p_brand", "p_type")).alias("prompt"), F.col("kind").alias("question_type"))
-    kinds = rows.select("question_type", "answer_type").distinct()
-    return extra.join(kinds, "question_type").select("p_partkey", "content", "solution", "answer_type", "category", "prompt")
+    mark = F.when(F.col("p_partkey") % 2 == 0, "<image>\n").otherwise("")
+    raw = raw.withColumns({"q": F.concat(mark, "p_name"), "val_id": shared(_VAL_ID), "asked": R.prompt(F.col("p_name"), F.array("p_brand", "p_type"))})
+    rows = R.training_messages(raw, "q", "p_brand", "kind", ("choice",), ("count",), keep=("p_partkey", "val_id", "asked"))
+    message = F.col("messages")[0]
+    return rows.select("p_partkey", message["role"].alias("role"), message["content"].alias("content"), "solution", "answer_type", R.category_of(F.col("val_id")).alias("category"), F.col("asked").alias("prompt"))
 
 
 @query("select event_type, count(*) filter (value > 50) as high, count(*) filter (value <= 50) as low from events group by 1")
@@ -325,7 +336,7 @@ def trj_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ROLL = """case cast(doc_id % 7 as int) when 0 then '' when 1 then '### Step 1: Visual clues' || chr(10) else 'Step 1: look' || chr(10) end || case when doc_id % 3 = 0 then 'Step 2.2 map' || chr(10) else '' end
   || case when doc_id % 5 = 0 then '<tool_call>{"name": "spatial_map", "arguments": {"categories": ["a"], "scene_type": "x", "knowledge_type": "y", "output_format": "z"}}</tool_call>' || chr(10) || 'Step 2: x' || chr(10) || 'Step 4: cross check' || chr(10) else '' end
-  || case when doc_id % 11 = 0 then 'Step 7 more' || chr(10) else '' end || case when doc_id % 4 = 0 then '' else 'Step 5: final answer' || chr(10) end || case when doc_id % 6 = 0 then 'nothing' else '<Answer> ' || chr(cast(65 + doc_id % 5 as int)) || ' </Answer>' end"""
+  || text || chr(10) || case when doc_id % 11 = 0 then 'Step 7 more' || chr(10) else '' end || case when doc_id % 4 = 0 then '' else 'Step 5: final answer' || chr(10) end || case when doc_id % 6 = 0 then 'nothing' else '<Answer> ' || chr(cast(65 + doc_id % 5 as int)) || ' </Answer>' end"""
 
 
 def _rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,11 +363,11 @@ def trj_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""
     with r as (select doc_id, {_ROLL} as t, (doc_id % 3) / 2.0 as acc from documents)
-    select doc_id, round((case when contains(t, 'tool_call') then 0.5 * acc else 0 end)::double, 6) as tool, round((case when length(t) <= 40 then 0 when length(t) <= 240 then -(length(t) - 40) / 200 else -1 end)::double, 6) as length from r""")
+    select doc_id, round((case when contains(t, 'tool_call') then 0.5 * acc else 0 end)::double, 6) as tool, round((case when length(t) <= 800 then 0 when length(t) <= 2400 then -(length(t) - 800) / 1600 else -1 end)::double, 6) as length from r""")
 def trj_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TRJ7, TRJ8."""
     rows = _rollouts(spark, sf_dir).withColumn("acc", F.col("doc_id") % 3 / 2.0)
-    return rounded(rows.select("doc_id", T.tool_reward("calls", "acc").alias("tool"), T.length_penalty("t", budget=5, most=30).alias("length")))
+    return rounded(rows.select("doc_id", T.tool_reward("calls", "acc").alias("tool"), T.length_penalty("t", budget=100, most=300).alias("length")))
 
 
 @query()
