@@ -226,19 +226,20 @@ def near_match(a: Text, b: Text, threshold: float = 0.9) -> Column:
     return (edit_similarity(form(a), form(b)) >= threshold).cast("double")
 
 
-def _damerau(a: str, b: str) -> int:
-    """Edit distance with swaps of neighbours (optimal alignment), a column
-    of the table in one integer: its bits are the steps down the column."""
-    if not a or not b:
+def _edits(a, b, swaps: bool = False) -> int:
+    """Edit distance of two sequences, with ``swaps`` of neighbours or without
+    (optimal alignment).  A column of the table is one integer whose bits are
+    the steps down the column, so a column costs a few integer operations."""
+    if not len(a) or not len(b):
         return len(a) + len(b)
-    where: dict[str, int] = {}
+    where: dict = {}
     for k, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << k
     full, last, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
     up, down, same, before = full, 0, 0, 0
     for y in b:
         match = where.get(y, 0)
-        swap = ((~same & match) << 1) & before
+        swap = ((~same & match) << 1) & before if swaps else 0
         same = ((((match & up) + up) ^ up) | match | down | swap) & full
         more, less = (down | ~(same | up)) & full, same & up
         distance += bool(more & last) - bool(less & last)
@@ -269,7 +270,7 @@ def _pandas_similarity(kind: str):
             return None
         if kind == "ratcliff":
             return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
-        return 1.0 if not (a or b) else 1 - _damerau(a, b) / max(len(a), len(b))
+        return 1.0 if not (a or b) else 1 - _edits(a, b, swaps=True) / max(len(a), len(b))
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -362,25 +363,16 @@ def span_iou(a0: Text, a1: Text, b0: Text, b1: Text, hull: bool = True) -> Colum
 # --- words --------------------------------------------------------------------
 
 
-#: Distinct tokens of a row that can stand for characters: those beyond the basic plane.
-LETTERS = 0x110000 - 0x10000
-
-
 def token_edit(a: Text, b: Text) -> Column:
-    """Edit distance of two token arrays.
+    """Edit distance of two token arrays of any length (Arrow batches: the
+    built-in distance is of characters, and a step for each pair of tokens)."""
 
-    Each distinct token of the row becomes one character beyond the basic
-    plane, so the built-in character distance counts tokens.  A row with more
-    than ``LETTERS`` (a million) distinct tokens is an error, not a null.
-    """
-
-    def distance(known: Column) -> Column:
-        letter = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 0xFFFF), 8, "0")), "UTF-32")
-        text = lambda xs: F.array_join(F.transform(_c(xs), letter), "")
-        far = F.levenshtein(text(a), text(b))
-        return F.when(F.size(known) <= LETTERS, far).otherwise(F.raise_error(F.lit(f"more than {LETTERS} distinct tokens in a row")).cast("int"))
+    @F.pandas_udf("int")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        pairs = zip(a, b, strict=True)
+        return pd.Series([None if x is None or y is None else _edits(x.tolist(), y.tolist()) for x, y in pairs], dtype="Int32")
 
-    return let(F.array_distinct(F.concat(_c(a), _c(b))), distance)
+    return run(_c(a), _c(b))
 
 
 def mixed_error_rate(pred: Text, gold: Text) -> Column:

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import functools
 import math
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorewright.functions.extract import _c
-from scorewright.functions.metrics import _sum, tagged
+from scorewright.functions.metrics import _sum
 from scorewright.sources.staging import staged
 
 # --- one-column aggregates (AGG1-AGG5) ----------------------------------------
@@ -142,11 +144,34 @@ def gram_counts(tokens: Column, n: int, sep: str = " ") -> Column:
     )
 
 
-def _clipped(pred: Column, refs: Column, n: int, sep: str = " ") -> Column:
-    """Matches of the predicted n-grams, each at most as often as in the
-    reference that has it most often."""
-    most = F.array_distinct(F.flatten(F.transform(refs, lambda r: tagged(gram_counts(r, n, sep)))))
-    return F.size(F.array_intersect(tagged(gram_counts(pred, n, sep)), most))
+def _clipped(pred: Column, refs: Column, most: int) -> Column:
+    """Array of the matches of the predicted n-grams of order 1 to ``most``,
+    each at most as often as in the reference that has it most often (Arrow
+    batches: bags of n-grams as expressions cost a string for each n-gram).
+
+    ``pred`` is a token array or a text (of characters), ``refs`` an array of such.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def run(p: pd.Series, r: pd.Series) -> pd.Series:
+        def grams(x, n: int) -> Counter:
+            return Counter(x[k : k + n] for k in range(len(x) - n + 1)) if isinstance(x, str) else Counter(zip(*(x[k:] for k in range(n)), strict=False))
+
+        def matches(x, refs) -> list[int] | None:
+            if x is None or refs is None:
+                return None
+            x, refs = (x if isinstance(x, str) else list(x)), [y if isinstance(y, str) else list(y) for y in refs if y is not None]
+            out = []
+            for n in range(1, most + 1):
+                best: Counter = Counter()
+                for y in refs:
+                    best |= grams(y, n)
+                out.append(sum((grams(x, n) & best).values()))
+            return out
+
+        return pd.Series([matches(x, y) for x, y in zip(p, r, strict=True)])
+
+    return run(pred, refs)
 
 
 def bleu_tokens(text: str | Column) -> Column:
@@ -162,9 +187,9 @@ def corpus_bleu(df: DataFrame, by: list[str], pred: str, refs: str, most: int =
     near = F.array_min(F.transform(r, lambda x: F.struct(F.abs(F.size(x) - F.size(p)).alias("far"), F.size(x).alias("n"))))["n"]
     rows = df.select(
         *by, F.size(p).alias("_len"), near.alias("_ref"),
-        *(_clipped(p, r, n).alias(f"_m{n}") for n in range(1, most + 1)),
+        _clipped(p, r, most).alias("m"),
         *(F.greatest(F.size(p) - n + 1, F.lit(0)).alias(f"_t{n}") for n in range(1, most + 1)),
-    )
+    ).withColumns({f"_m{n}": F.col("m")[n - 1] for n in range(1, most + 1)})
     sums = rows.groupBy(*by).agg(*(F.sum(c).alias(c) for c in rows.columns if c.startswith("_")))
     brevity = F.when(F.col("_len") >= F.col("_ref"), 1.0).when(F.col("_len") == 0, 0.0).otherwise(F.exp(1 - F.col("_ref") / F.col("_len")))
     out = []
@@ -178,13 +203,13 @@ def corpus_bleu(df: DataFrame, by: list[str], pred: str, refs: str, most: int =
 def corpus_chrf(df: DataFrame, by: list[str], pred: str, ref: str, most: int = 6, beta: float = 2.0) -> DataFrame:
     """Character F-score (0 to 100) of texts without white space: precision
     and recall of each n-gram order from corpus sums, averaged over orders."""
-    chars = lambda c: F.filter(F.split(F.regexp_replace(F.col(c), r"\s+", ""), ""), lambda x: x != "")
-    rows = df.select(*by, chars(pred).alias("_p"), chars(ref).alias("_r"))
+    chars = lambda c: F.regexp_replace(F.col(c), r"\s+", "")
+    rows = df.select(*by, chars(pred).alias("p"), chars(ref).alias("r")).withColumn("m", _clipped(F.col("p"), F.array("r"), most))
     rows = rows.select(
         *by,
-        *(_clipped(F.col("_p"), F.array("_r"), n, "").alias(f"_m{n}") for n in range(1, most + 1)),
-        *(F.greatest(F.size("_p") - n + 1, F.lit(0)).alias(f"_p{n}") for n in range(1, most + 1)),
-        *(F.greatest(F.size("_r") - n + 1, F.lit(0)).alias(f"_r{n}") for n in range(1, most + 1)),
+        *(F.col("m")[n - 1].alias(f"_m{n}") for n in range(1, most + 1)),
+        *(F.greatest(F.length("p") - n + 1, F.lit(0)).alias(f"_p{n}") for n in range(1, most + 1)),
+        *(F.greatest(F.length("r") - n + 1, F.lit(0)).alias(f"_r{n}") for n in range(1, most + 1)),
     )
     sums = rows.groupBy(*by).agg(*(F.sum(c).alias(c) for c in rows.columns if c.startswith("_")))
     safe = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorewright.functions.extract import _c
+from scorewright.sources.staging import staged
 from scorewright.functions.keys import valid_response
 
 
@@ -114,25 +115,40 @@ def overlapping(points: DataFrame, spans: DataFrame, by: str, at: str, start: st
     return points.withColumn("_b", b(F.col(at))).join(listed, [by, "_b"]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("_b")
 
 
+#: Bits of the filter that corpus n-grams pass before they become rows, as a power of two: one row of 2 MB.
+FILTER_BITS = 24
+
+
 def contamination(corpus: DataFrame, queries: DataFrame, n: int = 8, corpus_id: str = "doc_id", query_id: str = "item_id", text: str = "text") -> DataFrame:
     """Pairs that share word n-grams: ``corpus_id, query_id, shared, share``
     (of the query's distinct n-grams).
 
     Distinct n-grams of each side are joined by their 64-bit hash, made of the
-    hashes of their words.  The queries are the small side and Spark decides
-    by their size how to join; an n-gram that most documents have meets only
-    the queries that have it.
+    hashes of their words.  Before the corpus side becomes rows, its n-grams
+    pass a bit set of the queries' hashes, a row of fixed size: what no query
+    has is neither exploded nor shuffled.  The queries are the small side and
+    Spark decides by their size how to join; an n-gram that most documents
+    have meets only the queries that have it.  Null texts have no n-grams.
     """
 
-    def grams(df: DataFrame, key: str) -> DataFrame:
+    def hashes(df: DataFrame, key: str) -> DataFrame:
         words = F.filter(F.split(F.lower(F.col(text)), r"[^a-z0-9\x{80}-\x{10FFFF}]+"), lambda w: w != "")
         rows = df.select(F.col(key), F.transform(words, lambda w: F.xxhash64(w)).alias("_w")).where(F.size("_w") >= n)
         made = F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.xxhash64(*(F.get("_w", i + k) for k in range(n))))
-        return rows.select(key, F.explode(F.array_distinct(made)).alias("_g"))
+        return rows.select(key, made.alias("_g"))
 
-    asked = grams(queries, query_id)
+    asked = staged(hashes(queries, query_id).select(query_id, F.explode(F.array_distinct("_g")).alias("_g")), "asked")
     sizes = asked.groupBy(query_id).agg(F.count("*").alias("_n"))
-    shared = grams(corpus, corpus_id).join(asked, "_g").groupBy(corpus_id, query_id).agg(F.count("*").alias("shared"))
+    place = lambda g: F.shiftrightunsigned(g, 64 - FILTER_BITS)
+    words = asked.select(place(F.col("_g")).alias("_at")).groupBy(F.shiftrightunsigned("_at", 6).cast("int").alias("_k"))
+    bits = words.agg(F.expr("bit_or(shiftleft(1L, cast(_at & 63 as int)))").alias("_bits"))
+    every = asked.sparkSession.range(1 << (FILTER_BITS - 6)).join(bits, F.col("id") == F.col("_k"), "left")
+    table = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("_bits", F.lit(0).cast("long")).alias("_bits")))).alias("_set"))
+    table = staged(table.select(F.transform("_set", lambda x: x["_bits"]).alias("_set")), "filter")
+    known = lambda g: F.expr("0L") != F.get("_set", F.shiftrightunsigned(place(g), 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), place(g).bitwiseAND(F.lit(63)).cast("int")))
+    kept = hashes(corpus, corpus_id).crossJoin(F.broadcast(table)).select(corpus_id, F.array_distinct(F.filter("_g", known)).alias("_g"))  # one row of 2 MB
+    grams = kept.select(corpus_id, F.explode("_g").alias("_g"))
+    shared = grams.join(asked, "_g").groupBy(corpus_id, query_id).agg(F.count("*").alias("shared"))
     return shared.join(sizes, query_id).select(corpus_id, query_id, "shared", (F.col("shared") / F.col("_n")).alias("share"))
 
 

@@ -10,7 +10,7 @@ from scorewright.functions import trajectory as T
 from scorewright.operators import requests as R
 from scorewright.operators import rollouts as RO
 from scorewright.operators import sampling as S
-from scorewright.plans.base import query, rounded, shared, table
+from scorewright.plans.base import query, rounded, shared, spread, table
 from scorewright.sources import io
 
 # --- sampling, limits, windows ---------------------------------------------------------
@@ -297,7 +297,7 @@ _GRAMS = "list_distinct([array_to_string(w[k : k + 7], ' ') for k in range(1, le
     select doc_id, item_id, count(*) as shared, round(count(*) / any_value(n), 6) as share from g join q using (g) join n using (item_id) group by 1, 2""")
 def join_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN13."""
-    return rounded(R.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return rounded(R.contamination(spread(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 _VAL_ID = "case p_partkey % 5 when 0 then 'among' when 1 then 'rotation' when 2 then 'around' when 3 then 'aroundnew' else 'other' end || '_' || p_partkey"
@@ -340,7 +340,7 @@ _ROLL = """case cast(doc_id % 7 as int) when 0 then '' when 1 then '### Step 1:
 
 
 def _rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", shared(_ROLL).alias("t"), F.when(F.col("doc_id") % 2 == 0, "A").otherwise("B").alias("solution"))
+    rows = spread(spark, sf_dir, "documents").select("doc_id", shared(_ROLL).alias("t"), F.when(F.col("doc_id") % 2 == 0, "A").otherwise("B").alias("solution"))
     return rows.withColumn("calls", K.tool_calls("t"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from scorewright.functions import extract as E
 from scorewright.functions import metrics as M
 from scorewright.operators import aggregate as A
-from scorewright.plans.base import query, rounded, shared, table
+from scorewright.plans.base import query, rounded, shared, spread, table
 
 _L = "chr(cast(65 + doc_id % 5 as int))"
 # responses made from the documents, in the shapes that models answer in
@@ -27,7 +27,7 @@ _R = f"r as (select doc_id, lang, text, n_chars, {_RESP} as resp from documents)
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "text", "n_chars", shared(_RESP).alias("resp"))
+    return spread(spark, sf_dir, "documents").select("doc_id", "lang", "text", "n_chars", shared(_RESP).alias("resp"))
 
 
 _TAG = r"""case when regexp_matches(resp, '(?s)<Answer>\s*.*?\s*</Answer>') then regexp_extract(resp, '(?s)<Answer>\s*(.*?)\s*</Answer>', 1)
@@ -161,7 +161,7 @@ _PUNCT = r"""[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
       trim(regexp_replace(regexp_replace('<|en|>' || text, '<\|[^|]*\|>', '', 'g'), '\s+', ' ', 'g')) as speech from documents""")
 def nrm_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NRM1, NRM3, NRM4."""
-    rows = table(spark, sf_dir, "documents")
+    rows = spread(spark, sf_dir, "documents")
     return rows.select(
         "doc_id", E.exact_form("text", case=True, punctuation=True, numbers=True).alias("exact"), E.qa_form("text").alias("qa"), E.speech_form(F.concat(F.lit("<|en|>"), "text")).alias("speech")
     )
@@ -170,7 +170,7 @@ def nrm_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def nrm_vqa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NRM2; look-around has no counterpart in the other dialect, tested by cases."""
-    return table(spark, sf_dir, "documents").select("doc_id", E.vqa_form("text").alias("form"))
+    return spread(spark, sf_dir, "documents").select("doc_id", E.vqa_form("text").alias("form"))
 
 
 @query("select lang, max(to_json([doc_id, n_chars])::varchar) as j from documents group by 1")
@@ -248,7 +248,7 @@ _W = r"""w as (select *, list_filter(a, lambda x: not suffix(x, 'e')) as b, list
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda x: x != "")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", words.alias("a"))
+    rows = spread(spark, sf_dir, "documents").select("doc_id", "lang", words.alias("a"))
     without = lambda end: F.filter("a", lambda x: ~x.endswith(end))
     return rows.withColumns({"b": without("e"), "c": without("n")})
 
@@ -370,7 +370,7 @@ def met_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def met_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MET26; a broadcast rule table, tested by cases."""
     rules = spark.createDataFrame([(0, "min_words", "50"), (0, "no_comma", ""), (1, "max_words", "300"), (1, "lower_case", ""), (2, "has_word", "the"), (2, "ends_with", ".")], "prompt long, check string, argument string")
-    rows = table(spark, sf_dir, "documents").withColumn("prompt", F.col("doc_id") % 3).join(F.broadcast(rules), "prompt")  # six fixed rows
+    rows = spread(spark, sf_dir, "documents").withColumn("prompt", F.col("doc_id") % 3).join(F.broadcast(rules), "prompt")  # six fixed rows
     per = rows.select("doc_id", M.follows("check", "text", "argument").alias("strict"), M.follows_loosely("check", "text", "argument").alias("loose"))
     return per.groupBy("doc_id").agg(F.every("strict").alias("prompt_strict"), F.avg(F.col("strict").cast("int")).alias("instruction_strict"), F.every("loose").alias("prompt_loose"), F.avg(F.col("loose").cast("int")).alias("instruction_loose"))
 

@@ -21,6 +21,17 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table for work that costs more than reading it.
+
+    A small table of one file is one split, so one task would do all of that
+    work: its rows are dealt to as many tasks as run at once.  A table of as
+    many splits as that, as any large one is, is read as it lies.
+    """
+    rows, tasks = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks)
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESPONSE_CACHE).parquet(path)
 
