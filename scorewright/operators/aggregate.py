@@ -50,6 +50,16 @@ def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return at_rank(df.where(F.col(value).isNotNull()), by, value, lambda n: F.floor(n / 2) + 1, value)
 
 
+def weighted_median(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
+    """The upper median of rows that stand ``weight`` (whole) times each;
+    weights of equal values are summed before they are ranked."""
+    counts = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*by, value).agg(F.sum(weight).alias("_n"))
+    order = Window.partitionBy(*by).orderBy(value)
+    upto, total = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.sum("_n").over(Window.partitionBy(*by))
+    ranked = counts.withColumns({"_upto": upto, "_at": F.floor(total / 2) + 1})
+    return ranked.where("_upto >= _at and _upto - _n < _at").select(*by, value)
+
+
 #: Cells of a group's values that a rank is looked for in, and rows of a cell that one task sorts.
 CELLS, SORTED = 4096, 200_000
 

@@ -7,15 +7,18 @@ task as a whole.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scorewright.operators.graph import connected_components
+from scorewright.sources.staging import staged
 
 # --- points ------------------------------------------------------------------------
 
@@ -205,27 +208,41 @@ def instances(points: DataFrame, by: tuple[str, ...] = ("scene_id", "label", "cl
     return rows.withColumn("area", area).withColumn("number", number)
 
 
+def _hull(p: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull, in order (monotone chains)."""
+    p = np.unique(p, axis=0)
+    if len(p) < 3:
+        return p
+    cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+    chains = []
+    for order in (p, p[::-1]):
+        chain: list = []
+        for q in order:
+            while len(chain) > 1 and cross(chain[-2], chain[-1], q) <= 0:
+                chain.pop()
+            chain.append(q)
+        chains += chain[:-1]
+    return np.array(chains)
+
+
 def hull_geometry(points: DataFrame, by: tuple[str, ...] = ("scene_id", "cluster")) -> DataFrame:
     """``by..., hull_area, major, minor, angle``: convex hull and least
-    rectangle of a cluster's (x, y), one Arrow group each."""
-
-    def hull(p: np.ndarray) -> np.ndarray:
-        p = np.unique(p, axis=0)
-        if len(p) < 3:
-            return p
-        cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-        chains = []
-        for order in (p, p[::-1]):
-            chain: list = []
-            for q in order:
-                while len(chain) > 1 and cross(chain[-2], chain[-1], q) <= 0:
-                    chain.pop()
-                chain.append(q)
-            chains += chain[:-1]
-        return np.array(chains)
+    rectangle of a cluster's (x, y).
+
+    Each batch of a task is cut to the hulls of its clusters first, so what
+    meets for a cluster are the corners of its parts, not its points.
+    """
+    kinds = T.StructType(points.select(*by).schema.fields)
+
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, part in pdf.groupby(list(by), dropna=False, sort=False):
+                h = _hull(part[["x", "y"]].to_numpy(float))
+                first = part.iloc[np.zeros(len(h), int)].reset_index(drop=True)
+                yield first.assign(x=h[:, 0], y=h[:, 1])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        h = hull(pdf[["x", "y"]].to_numpy(float))
+        h = _hull(pdf[["x", "y"]].to_numpy(float))
         nxt = np.roll(h, -1, axis=0)
         area = abs(np.sum(h[:, 0] * nxt[:, 1] - nxt[:, 0] * h[:, 1])) / 2
         best = (np.inf, 0.0, 0.0, 0.0)
@@ -235,8 +252,11 @@ def hull_geometry(points: DataFrame, by: tuple[str, ...] = ("scene_id", "cluster
             best = min(best, (w * d, max(w, d), min(w, d), float(np.degrees(t if w >= d else t + np.pi / 2) % 180)))
         return pd.DataFrame([(*key, area, *best[1:])])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*by).schema)
-    return points.select(*by, "x", "y").groupBy(*by).applyInPandas(run, f"{kinds}, hull_area double, major double, minor double, angle double")
+    double = T.DoubleType()
+    some = T.StructType([*kinds.fields, T.StructField("x", double), T.StructField("y", double)])
+    out = T.StructType([*kinds.fields, *(T.StructField(c, double) for c in ("hull_area", "major", "minor", "angle"))])
+    rows = points.select(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
+    return rows.mapInPandas(corners, some).groupBy(*by).applyInPandas(run, out)
 
 
 def _box_gap(a: str, b: str) -> Column:
@@ -261,15 +281,18 @@ def merge_near(points: DataFrame, distance: float, rounds: int = 10) -> DataFram
     """``points`` with near clusters of a category merged until stable.
 
     Each round merges whole components of near instances, so chains of them
-    merge at once (not one by one in list order).
+    merge at once (not one by one in list order).  Clusters that still are
+    near after the last round stay apart, with a warning.
     """
-    for _ in range(rounds):
+    for left in reversed(range(rounds)):
         inst = instances(points)
         found = connected_components(proximity_pairs(inst, distance))
         if found.isEmpty():
             break
         moved = points.join(found, points["cluster"] == found["node"], "left")
-        points = moved.select(*(F.coalesce("component", "cluster").alias("cluster") if c == "cluster" else points[c] for c in points.columns))
+        points = staged(moved.select(*(F.coalesce("component", "cluster").alias("cluster") if c == "cluster" else points[c] for c in points.columns)), "merged")
+        if not left and not proximity_pairs(instances(points), distance).isEmpty():
+            warnings.warn(f"clusters are not settled after {rounds} rounds", stacklevel=2)
     return points
 
 

@@ -154,11 +154,12 @@ def bootstrap(df: DataFrame, by: list[str], value: str, keys: list[str], iters:
     return _summed_up(per, by, share)
 
 
-def bootstrap_aggregate(df: DataFrame, by: list[str], keys: list[str], aggregate: Callable[[DataFrame, list[str]], DataFrame], name: str, iters: int = 100, seed: int = 7, share: float = 0.95) -> DataFrame:
+def bootstrap_aggregate(df: DataFrame, by: list[str], keys: list[str], aggregate: Callable[[DataFrame, list[str]], DataFrame], name: str, iters: int = 100, seed: int = 7, share: float = 0.95, weighted: bool = False) -> DataFrame:
     """Bootstrap of any aggregate: ``aggregate(rows, by)`` gives column
-    ``name``; a row of weight w stands w times."""
+    ``name``; a row of weight w stands w times or, with ``weighted``, once
+    with the column ``weight``."""
     drawn = poisson_weights(df, keys, iters, seed)
-    rows = drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("weight")))).drop("_copy", "weight")
+    rows = drawn if weighted else drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("weight")))).drop("_copy", "weight")
     return _summed_up(aggregate(rows, [*by, "replicate"]).withColumnRenamed(name, "_m"), by, share)
 
 

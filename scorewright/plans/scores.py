@@ -546,7 +546,7 @@ def sta_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sta_bootstrap_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STA4 of an aggregate that is no mean."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("v"))
-    return rounded(stats.bootstrap_aggregate(rows, ["s"], ["o_orderkey"], lambda df, by: A.upper_median(df, by, "v"), "v", 20), 2)
+    return rounded(stats.bootstrap_aggregate(rows, ["s"], ["o_orderkey"], lambda df, by: A.weighted_median(df, by, "v", "weight"), "v", 20, weighted=True), 2)
 
 
 _RUNS = """a as (select o_orderkey as id, o_orderpriority as task, (o_totalprice > 150000)::int::double as score from orders where o_orderkey % 10 > 0),
