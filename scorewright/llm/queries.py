@@ -6,15 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.llm import chat, decontam, fingerprints, langid, lmscore, packing, secrets, sharding, simhash, warc
-from scorewright.sources.staging import fresh_path
+from scorewright.sources.io import read_spread
+from scorewright.sources.staging import fresh_path, staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that costs more than reading it: one of fewer splits
+    than tasks run at once is dealt to as many tasks."""
+    return read_spread(spark, f"{sf_dir}/{name}.parquet")
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_report(_table(spark, sf_dir, "documents"))
+    return secrets.secret_report(_spread(spark, sf_dir, "documents"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +33,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_spread(spark, sf_dir, "documents"))
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,17 +45,17 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edited_pairs(_table(spark, sf_dir, "documents"))
+    return fingerprints.edited_pairs(_spread(spark, sf_dir, "documents"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_spread(spark, sf_dir, "documents"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all pages; the text model is fitted on labelled documents."""
     model = langid.fit(_table(spark, sf_dir, "documents"))
-    pages = _table(spark, sf_dir, "pages").select(
+    pages = _spread(spark, sf_dir, "pages").select(
         "page_id", "url", langid.markup_text(F.col("html")).alias("text"), langid.markup_language(F.col("html")).alias("declared")
     )
     found, (page_id, declared) = langid.identify(pages, model, "text", F.col("declared"), F.col("url"), ["page_id", "declared"])
@@ -70,7 +77,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lmscore.score_documents(_table(spark, sf_dir, "documents"))
+    docs = _spread(spark, sf_dir, "documents")
+    if docs.rdd.getNumPartitions() != _table(spark, sf_dir, "documents").rdd.getNumPartitions():
+        docs = staged(docs.select("doc_id", "text"), "spread")  # rows that were dealt anew must keep their order
+    found = lmscore.score_documents(docs)
     words = F.when(F.col("n_words") > 0, F.col("n_words"))
     return found.select(
         "doc_id", "n_words", "n_seen", "n_full", F.round("log_score", 4).alias("log_score"), F.round(F.col("n_full") / words, 6).alias("full_share"),
@@ -79,7 +89,7 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontam.contamination(_spread(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
