@@ -7,8 +7,11 @@ task as a whole.
 
 from __future__ import annotations
 
+import itertools
+import math
 import warnings
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -125,19 +128,78 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, key: str = "point_id
     A point with ``min_samples`` points in reach, itself included, is a core
     point; clusters are components of core points, named by their smallest
     key; a border point joins the cluster with the smallest name in reach.
+
+    Points lie in cells whose diagonal is ``eps``.  A cell of ``min_samples``
+    points or more has core points only, which are one cluster: they are linked
+    to one of them, without pairs.  Only points of smaller cells look for their
+    neighbours, so pairs are at most ``min_samples`` for each point and cell
+    around it.  Whether two full cells touch is decided by ``_touching``.
     """
-    pairs = near_pairs(points, eps, key, by, axes)
-    core = pairs.groupBy("a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= min_samples).select("a")
-    if min_samples <= 1:
-        core = points.select(F.col(key).alias("a"))
-    inner = pairs.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi")
-    linked = connected_components(inner, "a", "b").select(F.col("node").alias("a"), "component")
-    cores = core.join(linked, "a", "left").select(F.col("a").alias(key), F.coalesce("component", "a").alias("cluster"))
+    dims = len(axes)
+    side = eps / math.sqrt(dims) * (1 - 1e-9)
+    cs, xs = [f"_c{k}" for k in range(dims)], [f"_x{k}" for k in range(dims)]
+    place = [*by, *cs]
+    rows = points.select(*by, F.col(key).alias("_p"), *(F.col(c).cast("double").alias(x) for c, x in zip(axes, xs, strict=True)))
+    rows = rows.select("*", *(F.floor(F.col(x) / side).alias(c) for c, x in zip(cs, xs, strict=True)))
+    rows = staged(rows.join(rows.groupBy(*place).agg((F.count("*") >= min_samples).alias("_full")), place), "points")
+    full, sparse = rows.where("_full"), rows.where("not _full")
+
+    listed = sparse.withColumn("_o", F.explode(_offsets(dims, 2)))
+    listed = listed.select(*by, *((F.col(c) + F.col("_o")[k]).alias(c) for k, c in enumerate(cs)), F.col("_p").alias("a"), *(F.col(x).alias(f"_a{x}") for x in xs))
+    both = listed.join(rows.select(*place, F.col("_p").alias("b"), *xs, "_full"), place)
+    pairs = staged(both.where(_square([(F.col(f"_a{x}"), F.col(x)) for x in xs]) <= eps * eps).select("a", "b", "_full"), "pairs")
+
+    some = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("a")
+    heads = staged(full.groupBy(*place).agg(F.min("_p").alias("_r"), *(f(x).alias(f"{n}{x}") for x in xs for n, f in (("lo", F.min), ("hi", F.max), ("mid", F.avg)))), "cells")
+    inside = full.join(heads.select(*place, "_r"), place).select(F.col("_p").alias("src"), F.col("_r").alias("dst"))
+    mine = pairs.join(some, "a", "left_semi")
+    reached = mine.where("_full").union(mine.where("not _full").join(some.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b", "_full"))
+    edges = inside.union(reached.select("a", "b")).union(_touching(full, heads, eps, place, cs, xs))
+    linked = connected_components(edges).select(F.col("node").alias("a"), "component")
+    core = full.select(F.col("_p").alias("a")).union(some)
+    cores = staged(core.join(linked, "a", "left").select(F.col("a").alias(key), F.coalesce("component", "a").alias("cluster")), "cores")
     named = cores.select(F.col(key).alias("b"), "cluster")
-    borders = pairs.join(core, "a", "left_anti").join(named, "b").groupBy("a").agg(F.min("cluster").alias("cluster"))
+    borders = pairs.join(some, "a", "left_anti").join(named, "b").groupBy("a").agg(F.min("cluster").alias("cluster"))
     return cores.union(borders.select(F.col("a").alias(key), "cluster"))
 
 
+def _square(pairs: list[tuple[Column, Column]]) -> Column:
+    return reduce(lambda total, x: total + x, ((a - b) * (a - b) for a, b in pairs))
+
+
+def _touching(full: DataFrame, heads: DataFrame, eps: float, place: list[str], cs: list[str], xs: list[str]) -> DataFrame:
+    """``src, dst``: heads of neighbouring full cells that have points within ``eps``.
+
+    Cells whose boxes of points are farther apart do not touch.  Of the others
+    the point of one that is nearest to the middle of the other, and the point
+    of the other nearest to that, decide nearly all; what they leave open is
+    settled by the pairs of points that lie within ``eps`` of the other's box.
+    """
+    by, limit = [c for c in place if c not in cs], eps * eps
+    forward = [g for g in itertools.product(range(-2, 3), repeat=len(cs)) if g > (0,) * len(cs)]
+    stats = [f"{n}{x}" for x in xs for n in ("lo", "hi", "mid")]
+    one = heads.select(*place, "_r", *stats).withColumn("_o", F.explode(F.array(*(F.array(*map(F.lit, g)) for g in forward))))
+    one = one.select(*by, *((F.col(c) + F.col("_o")[k]).alias(c) for k, c in enumerate(cs)), F.col("_r").alias("src"), *(F.col(c).alias(f"a{c}") for c in stats))
+    two = heads.select(*place, F.col("_r").alias("dst"), *(F.col(c).alias(f"b{c}") for c in stats))
+    gap = lambda x: F.greatest(F.col(f"alo{x}") - F.col(f"bhi{x}"), F.col(f"blo{x}") - F.col(f"ahi{x}"), F.lit(0.0))
+    cells = staged(one.join(two, place).where(reduce(lambda t, x: t + x, (gap(x) * gap(x) for x in xs)) <= limit).drop(*place), "near_cells")
+
+    points = full.join(heads.select(*place, "_r"), place).select("_r", *xs)
+    at = lambda side: points.withColumnRenamed("_r", side).join(cells, side)
+    nearest = lambda to: F.min_by(F.struct(*xs), _square([(F.col(x), to(x)) for x in xs]))
+    a = at("src").groupBy("src", "dst").agg(nearest(lambda x: F.col(f"bmid{x}")).alias("a"))
+    b = points.withColumnRenamed("_r", "dst").join(a, "dst").groupBy("src", "dst", "a").agg(nearest(lambda x: F.col(f"a.{x}")).alias("b"))
+    met = staged(b.select("src", "dst", (_square([(F.col(f"a.{x}"), F.col(f"b.{x}")) for x in xs]) <= limit).alias("met")), "met")
+    done, left = met.where("met").select("src", "dst"), met.where("not met").select("src", "dst")
+
+    off = lambda x, side: F.greatest(F.col(f"{side}lo{x}") - F.col(x), F.col(x) - F.col(f"{side}hi{x}"), F.lit(0.0))
+    near = lambda mine, other: at(mine).join(left, ["src", "dst"], "left_semi").where(reduce(lambda t, x: t + x, (off(x, other) * off(x, other) for x in xs)) <= limit)
+    u = near("src", "b").select("src", "dst", *(F.col(x).alias(f"u{x}") for x in xs))
+    v = near("dst", "a").select("src", "dst", *(F.col(x).alias(f"v{x}") for x in xs))
+    rest = u.join(v, ["src", "dst"]).where(_square([(F.col(f"u{x}"), F.col(f"v{x}")) for x in xs]) <= limit)
+    return done.union(rest.select("src", "dst").distinct())
+
+
 def relaxed_min_samples(n: int, min_samples: int, most: int = 10_000) -> int:
     """``min_samples`` of a category that was thinned because it was large."""
     return max(3, min_samples // 5) if n > most else min_samples
