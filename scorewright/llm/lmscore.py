@@ -16,8 +16,9 @@ by hash, done on packed arrays:
 4. each batch joins the answers to its n-grams and sums the scores of each
    document.
 
-Steps 2 to 4 are two exchanges.  Written as rows of one n-gram each, the same
-join shuffles several times the bytes of the texts.  The number of ranges
+Steps 2 to 4 are two exchanges.  As rows of one n-gram each, the same join
+would shuffle several times the bytes of the texts (by estimate: 16 bytes for
+each word and order).  The number of ranges
 follows the bytes of the corpus, so a task holds about ``RANGE_BYTES`` of text
 in n-grams of one order, whatever the corpus; a request is as small as one
 n-gram at worst, so the packed rows are never more than plain ones would be.
