@@ -253,7 +253,7 @@ def cider(df: DataFrame, id_col: str, pred: str, refs: str, most: int = 4, sigma
     grams = side[0]
     for more in side[1:]:
         grams = grams.union(more)
-    tf = grams.groupBy("_id", "_r", "_len", "_n", "_g").agg(F.count("*").alias("_tf"))
+    tf = staged(grams.groupBy("_id", "_r", "_len", "_n", "_g").agg(F.count("*").alias("_tf")), "grams")  # read four times
     frequency = tf.where("_r >= 0").groupBy("_n", "_g").agg(F.count_distinct("_id").alias("_df"))
     items = df.agg(F.count("*").alias("_items"))
     weighed = tf.join(frequency, ["_n", "_g"], "left").crossJoin(F.broadcast(items))  # one row

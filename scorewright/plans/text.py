@@ -408,9 +408,10 @@ def agg_chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def agg_cider(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG12 over whole documents; tested against plain Python."""
-    rows = _words(spark, sf_dir).select("doc_id", "c", F.array("b", "a").alias("refs"))
-    return rounded(A.cider(rows, "doc_id", "c", "refs"), 4)
+    """AGG12 of every turn against the turn that follows; tested against plain Python."""
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    rows = _turns(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn").alias("id"), words("p").alias("p"), F.array(words("r")).alias("refs"))
+    return rounded(A.cider(rows, "id", "p", "refs"), 4)
 
 
 @query("select n.doc_id, n.t, (n.doc_id % 24) * 3600 + (n.doc_id % 60) * 60 + (n.doc_id % 59) + 0.25::double as seconds from (select doc_id, lpad((doc_id % 24)::varchar, 2, '0') || ':' || lpad((doc_id % 60)::varchar, 2, '0') || ':' || lpad((doc_id % 59)::varchar, 2, '0') || ',250' as t from documents) n")
