@@ -61,7 +61,7 @@ def weighted_median(df: DataFrame, by: list[str], value: str, weight: str) -> Da
 
 
 #: Cells of a group's values that a rank is looked for in, and rows of a cell that one task sorts.
-CELLS, SORTED = 4096, 200_000
+CELLS, SORTED = 4096, 1_000_000
 
 
 def at_rank(df: DataFrame, by: list[str], value: str, rank: Callable[[Column], Column], name: str) -> DataFrame:
