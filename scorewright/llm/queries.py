@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import chat, decontam, fingerprints, langid, lmscore, packing, secrets, sharding, simhash, warc
+from scorewright.llm import chat, decontam, fingerprints, langid, lmscore, merkle, packing, secrets, sharding, simhash, warc
 from scorewright.sources.io import read_spread
 from scorewright.sources.staging import fresh_path, staged
 
@@ -92,6 +92,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_spread(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    return merkle.tampered_folds(_table(spark, sf_dir, "documents"), columns).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_sharding": op2_sharding,
@@ -103,6 +108,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_lm_scores": op9_lm_scores,
     "op10_decontamination": op10_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 _WARC_SQL = """
@@ -192,9 +198,51 @@ from docs left join (select r, sum(score::double) as total, count(*) filter (whe
     _WORDS.format("text"),
 )
 
+_LEAF = "concat(" + ", ".join(f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_CRC32 = """list_reduce(flatten([[4294967295], flatten([[ord(c), -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(doc_id::varchar, '')])]),
+             lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, 3988292384 * (a & 1)) end)"""
+
+
+def _merkle_level(tree: str, k: int) -> str:
+    """Parents of level ``k`` over those of the level before, where more than one node remains."""
+    return f"""{tree}{k} as (
+  select t, p // 8 as p, sha256(string_agg(h, '' order by p)) as h
+  from (select *, count(*) over (partition by t) as n from {tree}{k - 1}) where n > 1 group by t, p // 8)"""
+
+
+def _merkle_fold(name: str, before: str, tree: str, k: int) -> str:
+    """Rows ``r`` with place ``p`` one level up: siblings added to the proof, own digest folded."""
+    return f"""{name}{k} as (
+  select a.r, a.t, a.p // 8 as p, any_value(a.proof) || coalesce(string_agg(b.h, '' order by b.p) filter (b.p <> a.p), '') as proof,
+         case when count(c.t) = 0 then any_value(a.f) else sha256(string_agg(case when b.p = a.p then a.f else b.h end, '' order by b.p)) end as f
+  from {before} a left join {tree}{k} c on c.t = a.t and c.p = a.p // 8 left join {tree}{k - 1} b on c.t is not null and b.t = a.t and b.p // 8 = a.p // 8
+  group by a.r, a.t, a.p)"""
+
+
+_LOW, _TOP = range(1, 9), range(1, 5)  # levels under a subroot (16 million rows of a language) and above (4096 languages)
+_MERKLE_SQL = f"""
+with d as (
+  select *, row_number() over () as r, sha256({_LEAF.format("text")}) as leaf, crc32 % 3 = 0 as hit,
+         sha256({_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) as changed
+  from (select *, xor({_CRC32}, 4294967295) as crc32 from documents)
+), langs as (
+  select lang, row_number() over (order by lang nulls first) - 1 as t from (select distinct lang from documents)
+), placed as (
+  select r, t, doc_id, leaf, coalesce(case when hit then changed end, leaf) as f, row_number() over (partition by t order by doc_id nulls first, leaf) - 1 as p
+  from d join langs on d.lang is not distinct from langs.lang
+), low0 as (select t, p, leaf as h from placed), {", ".join(_merkle_level("low", k) for k in _LOW)},
+subroots as (select t, arg_max(h, k) as h from ({" union all ".join(f"select t, h, {k} as k from low{k} where (select count(*) from low{k} o where o.t = low{k}.t) = 1" for k in (0, *_LOW))}) group by t),
+top0 as (select 0 as t, t as p, h from subroots), {", ".join(_merkle_level("top", k) for k in _TOP)},
+root as (select arg_max(h, k) as h from ({" union all ".join(f"select h, {k} as k from top{k} where (select count(*) from top{k}) = 1" for k in (0, *_TOP))})),
+a0 as (select r, t, p, '' as proof, f from placed), {", ".join(_merkle_fold("a", f"a{k - 1}", "low", k) for k in _LOW)},
+b0 as (select r, 0 as t, t as p, proof, f from a{_LOW[-1]}), {", ".join(_merkle_fold("b", f"b{k - 1}", "top", k) for k in _TOP)}
+select doc_id, leaf, s.h as subroot, root.h as root, sha256(b.proof) as proof_sha256, b.f as folded_root, b.f = root.h as verified
+from placed join b{_TOP[-1]} b using (r) join subroots s on s.t = placed.t, root"""
+
 ORACLES: dict[str, str] = {
     "op4_warc_revisits": _WARC_SQL,
     "op8_chat_format": _CHAT_SQL,
     "op9_lm_scores": _LM_SQL,
     "op10_decontamination": _DECONTAM_SQL,
+    "op11_merkle_manifest": _MERKLE_SQL,
 }
