@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import chat, decontam, fingerprints, langid, lmscore, merkle, packing, secrets, sharding, simhash, warc
+from scorewright.llm import chat, decontam, fingerprints, hardneg, langid, lmscore, merkle, packing, secrets, sharding, simhash, warc
 from scorewright.sources.io import read_spread
 from scorewright.sources.staging import fresh_path, staged
 
@@ -97,6 +97,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_folds(_table(spark, sf_dir, "documents"), columns).withColumnRenamed("id", "doc_id")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=shifted)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_sharding": op2_sharding,
@@ -109,6 +114,7 @@ QUERIES = {
     "op9_lm_scores": op9_lm_scores,
     "op10_decontamination": op10_decontamination,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 _WARC_SQL = """
@@ -239,10 +245,27 @@ b0 as (select r, 0 as t, t as p, proof, f from a{_LOW[-1]}), {", ".join(_merkle_
 select doc_id, leaf, s.h as subroot, root.h as root, sha256(b.proof) as proof_sha256, b.f as folded_root, b.f = root.h as verified
 from placed join b{_TOP[-1]} b using (r) join subroots s on s.t = placed.t, root"""
 
+_HARD_SQL = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, e.vec_id, e.label = a.label as same, list_dot_product(a.v, e.v)::bigint as score
+  from e a, e where a.vec_id % 100 = 0 and e.vec_id <> a.vec_id
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+       row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::integer as rank
+from p join s using (anchor_id) where not same and 100 * score between 30 * positive_score and 90 * positive_score
+qualify rank <= 10"""
+
 ORACLES: dict[str, str] = {
     "op4_warc_revisits": _WARC_SQL,
     "op8_chat_format": _CHAT_SQL,
     "op9_lm_scores": _LM_SQL,
     "op10_decontamination": _DECONTAM_SQL,
     "op11_merkle_manifest": _MERKLE_SQL,
+    "op12_hard_negatives": _HARD_SQL,
 }
