@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import chat, decontam, fingerprints, hardneg, langid, lmscore, merkle, packing, secrets, sharding, simhash, warc
+from scorewright.llm import chat, decontam, fingerprints, hardneg, langid, lmscore, merkle, packing, secrets, sharding, simhash, substrings, warc
 from scorewright.sources.io import read_spread
 from scorewright.sources.staging import fresh_path, staged
 
@@ -102,6 +102,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=shifted)
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.drop_repeats(_spread(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_sharding": op2_sharding,
@@ -115,6 +120,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 _WARC_SQL = """
@@ -261,6 +267,20 @@ select anchor_id, positive_id, vec_id as negative_id, positive_score, score as n
 from p join s using (anchor_id) where not same and 100 * score between 30 * positive_score and 90 * positive_score
 qualify rank <= 10"""
 
+_REPEATS_SQL = r"""
+with docs as (
+  select doc_id, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), windows as (
+  select r, doc_id, k, array_to_string(w[k : k + 12], ' ') as gram from (select r, doc_id, w, unnest(range(1, len(w) - 11)) as k from docs where len(w) >= 13)
+), late as (
+  select r, k from (select r, k, doc_id, min(doc_id) over (partition by gram) as first from windows) where doc_id > first
+), gone as (
+  select r, list(distinct spot) as gone, count(distinct spot) as n from (select r, unnest(range(k, k + 13)) as spot from late) group by r
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
+       sha256(coalesce(case when n is null then array_to_string(w, ' ') else array_to_string([w[i] for i in range(1, len(w) + 1) if not list_contains(gone, i)], ' ') end, '')) as kept_sha256
+from docs left join gone using (r)"""
+
 ORACLES: dict[str, str] = {
     "op4_warc_revisits": _WARC_SQL,
     "op8_chat_format": _CHAT_SQL,
@@ -268,4 +288,5 @@ ORACLES: dict[str, str] = {
     "op10_decontamination": _DECONTAM_SQL,
     "op11_merkle_manifest": _MERKLE_SQL,
     "op12_hard_negatives": _HARD_SQL,
+    "op13_substring_dedup": _REPEATS_SQL,
 }
