@@ -6,7 +6,9 @@ Arithmetic metrics give null for null inputs unless they say otherwise.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,15 +55,31 @@ def mra(pred: Text, gold: Text, zero: str = "zero", signed: bool = False) -> Col
     return F.when(g == 0, at_zero).when(p.isNull(), 0.0).otherwise(share(rel))
 
 
-def edit_distance(a: Text, b: Text) -> Column:
-    return F.levenshtein(_c(a), _c(b))
+def edit_distance(a: Text, b: Text, wide: bool = False) -> Column:
+    """Edit distance of characters.  ``wide`` is for whole texts: a column of
+    the table in one integer (Arrow batches), where the built-in distance takes
+    a step for each pair of characters."""
+    if not wide:
+        return F.levenshtein(_c(a), _c(b))
 
+    @F.pandas_udf("int")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else _edits(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+    return run(_c(a), _c(b))
 
-def anls(pred: Text, refs: Text, threshold: float = 0.5) -> Column:
+
+def anls(pred: Text, refs: Text | list[Column], threshold: float = 0.5, wide: bool = False) -> Column:
     """Normalised edit similarity to the nearest reference, 0 under the
     threshold.  Distances are of trimmed lower-case texts with single spaces,
-    lengths of the texts as they are."""
+    lengths of the texts as they are.  Whole texts (``wide``) take their
+    references as a list of columns."""
     form = lambda t: F.trim(F.regexp_replace(F.lower(t), r"\s+", " "))
+    if wide:
+        longer = lambda t: F.greatest(F.length(t), F.length(_c(pred)))
+        each = [F.when(longer(t) == 0, 0.0).otherwise(edit_distance(form(t), form(_c(pred)), True) / longer(t)) for t in refs]
+        far = F.array_min(F.array(*each))
+        return F.when(1 - far >= threshold, 1 - far).otherwise(F.when(far.isNotNull(), 0.0))
     size = lambda t: F.greatest(F.length(t), F.length(_c(pred)))
     far = F.array_min(
         F.transform(_c(refs), lambda t: F.when(size(t) == 0, 0.0).otherwise(F.levenshtein(form(t), form(_c(pred))) / size(t)))
@@ -216,14 +234,14 @@ def angle_rmse(pred: Text, gold: Text) -> Column:
     return 1 - F.sqrt(_mean(F.zip_with(_c(pred), _c(gold), lambda x, y: turn(x, y) * turn(x, y)))) / 180
 
 
-def edit_similarity(a: Text, b: Text) -> Column:
+def edit_similarity(a: Text, b: Text, wide: bool = False) -> Column:
     n = F.greatest(F.length(_c(a)), F.length(_c(b)))
-    return F.when(n == 0, 1.0).otherwise(1 - F.levenshtein(_c(a), _c(b)) / n)
+    return F.when(n == 0, 1.0).otherwise(1 - edit_distance(a, b, wide) / n)
 
 
-def near_match(a: Text, b: Text, threshold: float = 0.9) -> Column:
+def near_match(a: Text, b: Text, threshold: float = 0.9, wide: bool = False) -> Column:
     form = lambda t: F.lower(F.trim(_c(t)))
-    return (edit_similarity(form(a), form(b)) >= threshold).cast("double")
+    return (edit_similarity(form(a), form(b), wide) >= threshold).cast("double")
 
 
 def _edits(a, b, swaps: bool = False) -> int:
@@ -265,9 +283,10 @@ def _common(x: list, y: list) -> int:
 def _pandas_similarity(kind: str):
     import difflib
 
-    def similarity(a: str | None, b: str | None) -> float | None:
+    def similarity(a, b) -> float | None:
         if a is None or b is None:
             return None
+        a, b = (x if isinstance(x, str) else x.tolist() for x in (a, b))
         if kind == "ratcliff":
             return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
         return 1.0 if not (a or b) else 1 - _edits(a, b, swaps=True) / max(len(a), len(b))
@@ -286,7 +305,8 @@ def damerau_similarity(a: Text, b: Text) -> Column:
 
 
 def ratcliff_similarity(a: Text, b: Text) -> Column:
-    """Matching-blocks similarity (Arrow batches: a recursive search)."""
+    """Matching-blocks similarity of two texts or two token arrays (Arrow
+    batches: a recursive search)."""
     return _pandas_similarity("ratcliff")(_c(a), _c(b))
 
 
@@ -391,29 +411,93 @@ def ngrams(tokens: Text, n: Column | int) -> Column:
     )
 
 
+# fixed values: what marks a refusal, the third in any case
+REFUSALS = ("I can't", "I cannot", "sorry", "无法", "抱歉")
+
+
+def _span(pred: str, hidden: str) -> tuple[float, list[str]]:
+    """Similarity and words of the run of predicted words, as many as the
+    hidden text has, whose matching-blocks ratio to that text is largest, the
+    first of equal ones; only runs with a word of the text are looked at.
+
+    The characters that a run has in common with the text, as bags, bound its
+    ratio, and so does the longest common subsequence; bags slide over the
+    words.  Runs are taken by their bound, and the ratio is computed only where
+    both bounds reach the best so far.
+    """
+    import difflib
+
+    words, gold = pred.split(), hidden.split()
+    n, runs = len(gold), len(words) - len(gold) + 1
+    if not n or runs < 1:
+        return 0.0, []
+    letters = {c: k for k, c in enumerate(dict.fromkeys(hidden))}
+    bags, known = np.zeros((len(words) + 1, len(letters) + 2), np.int64), set(gold)
+    for k, w in enumerate(words, 1):
+        for c in w:
+            if c in letters:
+                bags[k, letters[c]] += 1
+        bags[k, -2:] = len(w), w in known
+    bags = bags.cumsum(axis=0)
+    held = bags[n:] - bags[:runs]
+    if " " in letters:
+        held[:, letters[" "]] += n - 1
+    have = np.array([hidden.count(c) for c in letters])
+    sizes = held[:, -2] + n - 1 + len(hidden)
+    bound = 2.0 * np.minimum(held[:, :-2], have).sum(axis=1) / sizes
+    where: dict = {}
+    for k, c in enumerate(hidden):
+        where[c] = where.get(c, 0) | 1 << k
+    full, matcher = (1 << len(hidden)) - 1, difflib.SequenceMatcher(None, "", hidden)
+    best, first, chosen = 0.0, -1, []
+    for at in np.argsort(-bound, kind="stable").tolist():
+        worse = lambda top: top < best or (top == best and at > first)  # noqa: B023, E731
+        if bound[at] < best:
+            break
+        if not held[at, -1] or worse(bound[at]):
+            continue
+        run = " ".join(words[at : at + n])
+        row = full
+        for c in run:
+            hit = row & where.get(c, 0)
+            row = ((row + hit) | (row - hit)) & full
+        if worse(2.0 * (len(hidden) - row.bit_count()) / sizes[at]):
+            continue
+        matcher.set_seq1(run)
+        ratio = matcher.ratio()
+        if ratio > best or (ratio == best > 0 and at < first):
+            best, first, chosen = ratio, at, words[at : at + n]
+    return best, chosen
+
+
 def hidden_span(pred: Text, hidden: Text) -> Column:
-    """Struct precision, recall, f1, jaccard, exact of the run of predicted
-    words, as long as the hidden text, that shares most words with it."""
-    p, h = _tokens(_c(pred)), _tokens(_c(hidden))
-    runs = F.when(F.size(p) <= F.size(h), F.array(F.array_join(p, " "))).otherwise(ngrams(p, F.size(h)))
-
-    def scored(x: Column) -> Column:
-        words = lambda r: F.filter(F.split(r, " "), lambda t: t != "")
-        hit = lambda r: F.size(F.array_intersect(tagged(words(r)), x["tags"]))
-        best = F.array_max(F.transform(x["runs"], lambda r, k: F.struct(hit(r).alias("n"), (-k).alias("k"), words(r).alias("words"))))
-        return let(F.struct(best.alias("b"), x.alias("x")), figures)
-
-    def figures(y: Column) -> Column:
-        n, words, h = y["b"]["n"], y["b"]["words"], y["x"]["hidden"]
-        return F.struct(
-            _ratio(n, F.size(words)).alias("precision"),
-            _ratio(n, F.size(h)).alias("recall"),
-            _ratio(2.0 * n, F.size(words) + F.size(h)).alias("f1"),
-            jaccard(words, h).alias("jaccard"),
-            F.array_contains(y["x"]["runs"], F.array_join(h, " ")).cast("double").alias("exact"),
-        )
-
-    return let(F.struct(runs.alias("runs"), h.alias("hidden"), tagged(h).alias("tags")), scored)
+    """Struct similarity, span, precision, recall, f1, jaccard, rouge1, exact
+    of the run of predicted words nearest to the hidden text (Arrow batches).
+
+    Precision, recall and the rest are of the sets of words, ``rouge1`` of the
+    bags, ``exact`` compares the run with the hidden words.  A refusal, a
+    prediction of fewer words than the text and one without a common word score
+    0.  Null if either is null.
+    """
+    fields = "similarity double, span string, precision double, recall double, f1 double, jaccard double, rouge1 double, exact double"
+
+    def score(p: str | None, h: str | None) -> tuple:
+        if p is None or h is None:
+            return (None,) * 8
+        refused = any(x in p for x in REFUSALS) or "sorry" in p.lower()
+        ratio, run = (0.0, []) if refused else _span(p, h)
+        if not run:
+            return (0.0, "", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        gold = h.split()
+        a, b = set(run), set(gold)
+        n, bag = len(a & b), sum((Counter(run) & Counter(gold)).values())
+        return (ratio, " ".join(run), n / len(a), n / len(b), 2 * n / (len(a) + len(b)), n / len(a | b), bag / len(gold), float(run == gold))
+
+    @F.pandas_udf(fields)
+    def run(p: pd.Series, h: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([score(x, y) for x, y in zip(p, h, strict=True)], columns=[f.split()[0] for f in fields.split(", ")])
+
+    return run(_c(pred), _c(hidden))
 
 
 def cosine(a: Text, b: Text) -> Column:

@@ -535,14 +535,18 @@ def _most_likely(models: list[str], wins: dict, games: dict, rounds: int = 100)
 
 
 def hallucination(df: DataFrame, by: list[str], pred: str, gold: str) -> DataFrame:
-    """Of captions as object arrays: share of mentioned objects that are not
-    there, share of captions with one, recall of the gold objects."""
-    wrong = F.size(F.array_except(pred, gold))
-    per = F.count("*")
+    """Of captions as arrays of mentioned objects: share of mentions whose
+    object is not there (every mention counts, repeats too), share of captions
+    with one, recall of the different gold objects.  A null array is empty;
+    shares of nothing are null."""
+    none = F.array().cast(df.schema[pred].dataType)
+    said, there = F.coalesce(pred, none), F.array_distinct(F.coalesce(gold, none))
+    wrong = F.size(F.filter(said, lambda x: ~F.array_contains(there, x)))
+    share = lambda a, b: F.sum(a) / F.nullif(F.sum(b), F.lit(0))
     return df.groupBy(*by).agg(
-        (F.sum(wrong) / F.sum(F.size(F.array_distinct(pred)))).alias("object_rate"),
-        (F.count_if(wrong > 0) / per).alias("caption_rate"),
-        (F.sum(F.size(F.array_intersect(pred, gold))) / F.sum(F.size(F.array_distinct(gold)))).alias("recall"),
+        share(wrong, F.size(said)).alias("object_rate"),
+        (F.count_if(wrong > 0) / F.count("*")).alias("caption_rate"),
+        share(F.size(F.array_intersect(said, there)), F.size(there)).alias("recall"),
     )
 
 

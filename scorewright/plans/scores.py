@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.operators import aggregate as A
+from scorewright.operators import captions as C
 from scorewright.operators import stats
-from scorewright.plans.base import query, rounded, table
+from scorewright.plans.base import query, rounded, spread, table
 
 # line items as scored samples: right if the discount is above 5 %
 _S = """s as (select l_returnflag as category, l_linestatus as status, l_orderkey as cluster, l_discount as v, l_quantity as w,
@@ -308,16 +309,53 @@ def agg_elo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.elo(_battles(spark, sf_dir), anchor="0"), 3)
 
 
-@query("""
-    with w as (select lang, list_distinct(regexp_extract_all(lower(text), '[a-z]*[a-df-z](?:[^a-z]|$)')) as p, list_distinct(regexp_extract_all(lower(text), '[a-z]*[a-mo-z](?:[^a-z]|$)')) as g from documents),
-    c as (select lang, len(p) - len(list_intersect(p, g)) as wrong, len(p) as np, len(list_intersect(p, g)) as hit, len(g) as ng from w)
+# names of one to three words, from the beginnings of the benchmark's items; every fourth is no object
+_NAMES = r"""items as (select item_id, regexp_extract_all(lower(text), '[\pL\pN]+') as w from benchmark),
+    names as (select phrase, 'w' || (k % 23) as word, case when k % 4 < 3 then 'o' || (k % 11) end as object
+      from (select array_to_string(w[1 : n], ' ') as phrase, min(item_id * 3 + n) as k from (select item_id, w, unnest([1, 2, 3]) as n from items) where len(w) >= n group by 1)),
+    spots as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN]+') as w from documents)),
+    runs as (select doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') as phrase from (select *, unnest([1, 2, 3]) as n from spots) where i + n - 1 <= len(w)),
+    hits as (select * from runs join names using (phrase) qualify row_number() over (partition by doc_id, i order by n desc) = 1),
+    taken as (select doc_id, list_reduce(list(struct_pack(i := i::bigint, n := n::bigint, word := word, object := object) order by i),
+        lambda a, x: case when x.i >= a.i then struct_pack(i := x.i + x.n, words := list_append(a.words, x.word), objects := list_append(a.objects, x.object)) else a end,
+        struct_pack(i := 0::bigint, words := []::varchar[], objects := []::varchar[])) as t from hits group by 1),
+    kept as (select doc_id, [k for k in range(1, len(t.words) + 1) if not (t.words[k] = 'w6' and list_contains(t.words, 'w9'))] as ks, t from taken),
+    said as (select d.doc_id, d.lang, coalesce([t.words[k] for k in ks], []::varchar[]) as words, coalesce([t.objects[k] for k in ks if t.objects[k] is not null], []::varchar[]) as objects
+      from documents d left join kept using (doc_id))"""
+# what w6 stands for is not meant where w9 is named
+_UNLESS = {"w6": "w9"}
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary of the caption queries: ``phrase, word, object``."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(C.WORD), 0)
+    rows = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).select("item_id", "w", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("n")).where("size(w) >= n")
+    rows = rows.groupBy(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("phrase")).agg(F.min(F.col("item_id") * 3 + F.col("n")).alias("k"))
+    named = lambda letter, n: F.concat(F.lit(letter), (F.col("k") % n).cast("string"))
+    return rows.select("phrase", named("w", 23).alias("word"), F.when(F.col("k") % 4 < 3, named("o", 11)).alias("object"))
+
+
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.caption_objects(spread(spark, sf_dir, "documents"), "doc_id", "text", _names(spark, sf_dir), _UNLESS)
+
+
+@query(f"""
+    with {_NAMES} select doc_id, len(words) as n_words, len(objects) as n_objects, array_to_string(words, ' ') as words, array_to_string(objects, ' ') as objects from said""")
+def met_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MET27: what whole documents mention of a dictionary with names of several words."""
+    text = lambda c: F.array_join(c, " ").alias(c)
+    return _mentions(spark, sf_dir).select("doc_id", F.size("words").alias("n_words"), F.size("objects").alias("n_objects"), text("words"), text("objects"))
+
+
+@query(f"""
+    with {_NAMES}, p as (select a.lang, a.objects as p, list_distinct(coalesce(b.objects, []::varchar[])) as g from said a left join said b on b.doc_id = a.doc_id + 1),
+    c as (select lang, len([x for x in p if not list_contains(g, x)]) as wrong, len(p) as np, len(list_intersect(list_distinct(p), g)) as hit, len(g) as ng from p)
     select lang, round(sum(wrong) / sum(np), 6) as object_rate, round(avg((wrong > 0)::int), 6) as caption_rate, round(sum(hit) / sum(ng), 6) as recall from c group by 1""")
 def agg_hallucination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MET27, AGG34."""
-    # words that do not end in e as mentioned objects, words that do not end in n as those of the picture
-    words = lambda last: F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]*{last}(?:[^a-z]|$)"), 0)
-    rows = table(spark, sf_dir, "documents").select("lang", words("[a-df-z]").alias("p"), words("[a-mo-z]").alias("g"))
-    return rounded(A.hallucination(rows, ["lang"], "p", "g"))
+    """MET27, AGG34: the objects of the next document are those of the picture."""
+    said = _mentions(spark, sf_dir).select("doc_id", "objects").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    there = said.select((F.col("doc_id") - 1).alias("doc_id"), F.col("objects").alias("there"))
+    return rounded(A.hallucination(said.join(there, "doc_id", "left"), ["lang"], "objects", "there"))
 
 
 @query("""

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scorewright.functions import extract as E
 from scorewright.functions import metrics as M
 from scorewright.operators import aggregate as A
 from scorewright.plans.base import query, rounded, shared, spread, table
 
+
+
+def _beside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents (``p``) beside the one with the next id (``r``; empty after the last)."""
+    docs = spread(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("p"))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("p").alias("r"))
+    return docs.join(after, "doc_id", "left").withColumn("r", F.coalesce("r", F.lit("")))
+
+
 _L = "chr(cast(65 + doc_id % 5 as int))"
 # responses made from the documents, in the shapes that models answer in
 _RESP = f"""case cast(doc_id % 9 as int)
@@ -205,16 +213,22 @@ def met_mra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    with t as (select p_partkey as id, lower(trim(p_name)) as a, p_name as ra, lower(trim(p_type)) as b, p_type as rb, lower(trim(p_brand)) as c, p_brand as rc from part),
-    s as (select *, 1 - least(levenshtein(a, b) / greatest(len(ra), len(rb)), levenshtein(a, c) / greatest(len(ra), len(rc))) as s from t)
-    select id, levenshtein(a, b) as edit, round(case when s >= 0.5 then s else 0 end, 6) as anls, round(case when s >= 0.1 then s else 0 end, 6) as anls_loose, round(1 - levenshtein(a, b) / greatest(len(a), len(b)), 6) as near from s""")
+    with f as (select doc_id, lower(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g')) as t, lower(coalesce(source, '')) as c from documents),
+    t as (select f.doc_id, trim(regexp_replace(f.t, '\s+', ' ', 'g')) as a, f.t as ra, trim(regexp_replace(coalesce(n.t, ''), '\s+', ' ', 'g')) as b, coalesce(n.t, '') as rb, f.c from f left join f n on n.doc_id = f.doc_id + 1),
+    d as (select *, levenshtein(a, b) as ab, levenshtein(a, c) as ac from t),
+    s as (select *, 1 - least(coalesce(ab / nullif(greatest(len(ra), len(rb)), 0), 0), coalesce(ac / nullif(greatest(len(ra), len(c)), 0), 0)) as s from d)
+    select doc_id, ab as edit, round(case when s >= 0.5 then s else 0 end, 6) as anls, round(case when s >= 0.1 then s else 0 end, 6) as anls_loose,
+      round(coalesce(1 - ab / nullif(greatest(len(a), len(b)), 0), 1), 6) as near, (coalesce(1 - ab / nullif(greatest(len(a), len(b)), 0), 1) >= 0.3)::int::double as close from s""")
 def met_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MET3, MET4, MET12, MET24."""
-    rows = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id")
-    form = lambda c: F.lower(F.trim(c))
-    anls = lambda least: M.anls("p_name", F.array("p_type", "p_brand"), least)
-    a, b = form("p_name"), form("p_type")
-    return rounded(rows.select("id", M.edit_distance(a, b).alias("edit"), anls(0.5).alias("anls"), anls(0.1).alias("anls_loose"), M.edit_similarity(a, b).alias("near")))
+    """MET3, MET4, MET12, MET24: whole documents against the next one (and their source, as a second reference)."""
+    ascii_ = lambda c: F.lower(F.regexp_replace(c, r"[^\x00-\x7F]", "?"))
+    source = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("source", F.lit(""))).alias("c"))
+    rows = _beside(spark, sf_dir).join(source, "doc_id").select("doc_id", ascii_("p").alias("ra"), ascii_("r").alias("rb"), "c")
+    form = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    rows = rows.withColumns({"a": form("ra"), "b": form("rb")})
+    anls = lambda least: M.anls("ra", [F.col("rb"), F.col("c")], least, wide=True)
+    near = M.edit_similarity("a", "b", wide=True)
+    return rounded(rows.select("doc_id", M.edit_distance("a", "b", wide=True).alias("edit"), anls(0.5).alias("anls"), anls(0.1).alias("anls_loose"), near.alias("near"), M.near_match("a", "b", 0.3, wide=True).alias("close")))
 
 
 _NUMS = "case id % 4 when 0 then cast(pred as varchar(9)) when 1 then cast(gold as varchar(9)) || '%' when 2 then ' ' || p_brand else lower(p_brand) end"
@@ -321,32 +335,34 @@ def met_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir).select("id", F.round(M.geo_km(*args), 4).alias("km"), F.round(M.geo_proximity(*args), 6).alias("near"), F.round(M.span_iou(p, p + 9, g, g + 12, hull=False), 6).alias("span"))
 
 
-# b is a with words left out, so their distance is the number of those words
-@query(f"""
-    with {_W} select doc_id, len(a) - len(b) as distance, len(b) as ref_len, round(case when len(a) = 0 then 0 else (len(a) - len(b)) / len(a) end, 6) as mixed from w""")
+@query()
 def met_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MET18, MET19; distances of other pairs are tested against plain Python."""
-    return rounded(_words(spark, sf_dir).select("doc_id", M.token_edit("a", "b").alias("distance"), F.size("b").alias("ref_len"), M.mixed_error_rate("a", "b").alias("mixed")))
+    """MET18, MET19: words of whole documents against those of the next; distances are tested against plain Python."""
+    return rounded(_word_pairs(spark, sf_dir).select("doc_id", M.token_edit("a", "b").alias("distance"), F.size("b").alias("ref_len"), M.mixed_error_rate("a", "b").alias("mixed")))
 
 
-@query(f"with {_W} select lang, round(sum(len(a) - len(b)) / sum(len(b)), 6) as error_rate from w group by 1")
+def _word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: x != "")
+    return _beside(spark, sf_dir).select("doc_id", "lang", words("p").alias("a"), words("r").alias("b"))
+
+
+@query()
 def agg_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG11, AGG13, from the distances of met_words."""
-    rows = _words(spark, sf_dir).select("lang", M.token_edit("a", "b").alias("d"), F.size("b").alias("n"))
+    rows = _word_pairs(spark, sf_dir).select("lang", M.token_edit("a", "b").alias("d"), F.size("b").alias("n"))
     return rounded(A.error_rate(rows, ["lang"], "d", "n"))
 
 
-def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole turns of conversations beside the turn that follows (``p, r``)."""
-    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("p"), F.coalesce(following, F.lit("")).alias("r"))
-
-
 @query()
 def met_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MET20: every turn searched for the span nearest to the turn that follows; tested against plain Python."""
-    s = M.hidden_span("p", "r")
-    return rounded(_turns(spark, sf_dir).select("conv_id", "turn", *(s[c].alias(c) for c in ("precision", "recall", "f1", "jaccard", "exact"))))
+    """MET20: whole documents searched for a sentence of a benchmark item; tested against plain Python."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.filter(F.split("text", r"[.\n]+"), lambda x: F.trim(x) != "").alias("lines"))
+    docs = spread(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("p"))
+    n = items.count()
+    both = docs.withColumn("item_id", F.col("doc_id") % n).join(items, "item_id", "left")
+    line = F.get("lines", F.floor(F.col("doc_id") / n) % F.nullif(F.size("lines"), F.lit(0)))
+    s = M.hidden_span("p", F.trim(F.coalesce(line, F.lit(""))))
+    return rounded(both.select("doc_id", s.alias("s")).select("doc_id", "s.*").drop("span"))
 
 
 @query("""
@@ -386,10 +402,10 @@ def met_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def met_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MET12 (swaps), MET20 (matching blocks) and ROUGE-L of AGG12, in Arrow batches; tested against plain Python."""
-    words = lambda c: F.split(c, " ")
-    rows = _turns(spark, sf_dir)
-    return rounded(rows.select("conv_id", "turn", M.damerau_similarity("p", "r").alias("damerau"), M.ratcliff_similarity("p", "r").alias("ratcliff"), M.lcs_f(words("p"), words("r")).alias("rouge_l")))
+    """MET12 (swaps), MET20 (matching blocks of words) and ROUGE-L of AGG12, whole documents against the next, in Arrow batches; tested against plain Python."""
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    rows = _beside(spark, sf_dir).select("doc_id", "p", "r", words("p").alias("a"), words("r").alias("b"))
+    return rounded(rows.select("doc_id", M.damerau_similarity("p", "r").alias("damerau"), M.ratcliff_similarity("a", "b").alias("ratcliff"), M.lcs_f("a", "b").alias("rouge_l")))
 
 
 @query()
@@ -408,9 +424,9 @@ def agg_chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def agg_cider(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG12 of every turn against the turn that follows; tested against plain Python."""
+    """AGG12 of whole documents against the next; tested against plain Python."""
     words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    rows = _turns(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn").alias("id"), words("p").alias("p"), F.array(words("r")).alias("refs"))
+    rows = _beside(spark, sf_dir).select(F.col("doc_id").alias("id"), words("p").alias("p"), F.array(words("r")).alias("refs"))
     return rounded(A.cider(rows, "id", "p", "refs"), 4)
 
 

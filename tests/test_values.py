@@ -202,19 +202,14 @@ def test_bootstrap_of_a_median(spark):
     assert weights["boot_stderr"] == pytest.approx(stdev(draws), rel=0.35) and weights["low"] < sorted(values)[200] < weights["high"]
 
 
-def test_spans_and_alignments(spark):
+def test_alignments(spark):
     rng = random.Random(9)
     rows = [(" ".join(rng.choices("abcdef", k=rng.randint(1, 25))), " ".join(rng.choices("abcdef", k=rng.randint(1, 8)))) for _ in range(60)]
     df = spark.createDataFrame(rows, "p string, h string")
-    s = M.hidden_span("p", "h")
-    got = df.select(*(s[c].alias(c) for c in ("precision", "recall", "f1", "exact")), M.damerau_similarity("p", "h").alias("d"), M.ratcliff_similarity("p", "h").alias("r"), M.lcs_f(F.split("p", " "), F.split("h", " ")).alias("l")).collect()
+    got = df.select(M.damerau_similarity("p", "h").alias("d"), M.ratcliff_similarity("p", "h").alias("r"), M.lcs_f(F.split("p", " "), F.split("h", " ")).alias("l")).collect()
     for (p, h), r in zip(rows, got, strict=True):
         a, b = p.split(), h.split()
-        runs = [a] if len(a) <= len(b) else [a[k : k + len(b)] for k in range(len(a) - len(b) + 1)]
-        n, words = max((sum((Counter(x) & Counter(b)).values()), -k) for k, x in enumerate(runs))
-        words = runs[-words]
-        assert (r["precision"], r["recall"], r["f1"]) == pytest.approx((n / len(words), n / len(b), 2 * n / (len(words) + len(b))))
-        assert r["exact"] == float(b in runs) and r["d"] == pytest.approx(1 - table_distance(p, h, True) / max(len(p), len(h)))
+        assert r["d"] == pytest.approx(1 - table_distance(p, h, True) / max(len(p), len(h)))
         assert r["r"] == pytest.approx(difflib.SequenceMatcher(None, p, h, autojunk=False).ratio())
         m = longest_common(a, b)
         want = 0.0 if not m else (1 + 1.44) * (m / len(a)) * (m / len(b)) / (m / len(b) + 1.44 * m / len(a))
