@@ -41,6 +41,8 @@ SHORT = 7
 SLICE, BATCH = 4 << 20, 1 << 19
 #: Rows of a record batch that leaves a task.
 SENT = 1 << 16
+#: Keys that the rows of one text are dealt to.
+SALTS = 32
 _LAST_ID = (1 << 63) - 1
 
 _U = np.uint64
@@ -275,8 +277,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(named(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(ident, F.lit(_LAST_ID)).alias("id"), ident.alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("md5"))
     prints = rows.select("id", "md5")
-    firsts = prints.groupBy("md5").agg(F.min("id").alias("first"))
-    later = prints.join(firsts, "md5").where(F.col("id") > F.col("first")).select("id", "md5")
+    firsts = prints.groupBy("md5").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = firsts.select("md5", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = prints.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))  # a text of very many rows is several keys
+    later = dealt.join(firsts, ["md5", "salt"]).where(F.col("id") > F.col("first")).select("id", "md5")
     copies = later.groupBy("id").agg(F.collect_set("md5").alias("copies"))
     marked = rows.join(copies, "id", "left").withColumn("copy", F.coalesce(F.array_contains("copies", F.col("md5")), F.lit(False)))
     kept = marked.where("not copy").select("id", "doc_id", "text")
