@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from scorewright.functions.extract import _c
 from scorewright.functions.keys import tool_calls
+from scorewright.operators.ordered import WIDTH, rolling
 
 
 def merge_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -44,24 +45,23 @@ def saturated(mean: str, std: str, reference: Column) -> Column:
     return ((_c(std) < 0.02) & (F.abs(_c(mean) - reference) < 0.05)).cast("double")
 
 
-def rolling_stats(steps: DataFrame, window: int = 50, key: str = "reward") -> DataFrame:
+def rolling_stats(steps: DataFrame, window: int = 50, key: str = "reward", width: int = WIDTH) -> DataFrame:
     """``reward_steps`` (key, step, mean, std) with figures of the last
-    ``window`` steps: mean, deviation, saturated share, slope (0 under five)."""
-    order = Window.partitionBy(key).orderBy("step")
-    last = order.rowsBetween(-(window - 1), 0)
-    rows = steps.withColumn("k", F.row_number().over(order))
+    ``window`` steps: mean, deviation, saturated share, slope (0 under five).
+    Steps of a key are dealt to ranges of ``width`` (``rolling``), so a run of
+    any length is many partitions."""
     flag = saturated("mean", "std", F.when(F.col(key) == "tool", 1.0).otherwise(0.0))
-    n = F.count("mean").over(last)
-    slope = F.coalesce(F.expr("regr_slope(mean, k)").over(last), F.lit(0.0))
-    rows = rows.withColumn("flag", flag)
-    return rows.select(
-        key, "step", "mean", "std",
-        F.avg("mean").over(last).alias("rolling_mean"),
-        F.avg("std").over(last).alias("rolling_std"),
-        F.avg("flag").over(last).alias("saturation"),
-        F.when(n >= 5, slope).otherwise(0.0).alias("slope"),
-        n.alias("n"),
-    )
+
+    def figures(last: WindowSpec) -> dict[str, Column]:
+        n = F.count("mean").over(last)
+        slope = F.coalesce(F.regr_slope("mean", F.col("pos").cast("double")).over(last), F.lit(0.0))
+        return {
+            "rolling_mean": F.avg("mean").over(last), "rolling_std": F.avg("std").over(last), "saturation": F.avg("flag").over(last),
+            "slope": F.when(n >= 5, slope).otherwise(0.0), "n": n,
+        }
+
+    rows = rolling(steps.select(key, "step", "mean", "std", flag.alias("flag")), [key], ["step"], window, figures, width)
+    return rows.select(key, "step", "mean", "std", "rolling_mean", "rolling_std", "saturation", "slope", "n")
 
 
 def adaptive_weights(steps: DataFrame, base: dict[str, float], targets: dict[str, float], window: int = 50, key: str = "reward") -> DataFrame:

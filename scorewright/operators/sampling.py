@@ -7,11 +7,15 @@ chosen on any cluster and after any retry.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scorewright.operators.ordered import placed
+
 
 def _draw(seed: int, *keys: str) -> Column:
     return F.xxhash64(F.lit(seed), *keys)
@@ -72,9 +76,10 @@ def first_n(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
 
 
-def every_kth(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
-    """Every k-th row of each group, the first included."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where((F.col("_rn") - 1) % k == 0).drop("_rn")
+def every_kth(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
+    """Every k-th row of each group, the first included, by the rows' places
+    (``placed``), so no task holds a group."""
+    return placed(df, by, order, "_pos").where(F.col("_pos") % k == 0).drop("_pos")
 
 
 def changes(df: DataFrame, by: list[str], order: list, cells: list[str]) -> DataFrame:
@@ -101,25 +106,54 @@ def quotas(df: DataFrame, kind: str, source: str, targets: dict[str, int]) -> Da
     return counts.withColumn("quota", F.greatest(F.lit(0), F.least(F.col("quota"), room))).select(kind, source, "size", "quota")
 
 
-def stratified(df: DataFrame, targets: dict[str, int], kind: str, source: str, key: str, seed: int = 42) -> DataFrame:
-    """Two-level sample: ``quotas`` rows of each (kind, source) in hash order."""
+def quota_sample(df: DataFrame, by: list[str], limits: DataFrame, draw: Column, key: str) -> DataFrame:
+    """The first ``quota`` rows of each stratum in the order of ``draw`` (a
+    long), then ``key``; ``limits`` has ``by..., quota``.
+
+    No stratum is sorted.  The draw's first bits are cells, about the square
+    root of the largest stratum in number; their counts say in which cell the
+    quota of a stratum ends.  Cells before it stay whole, only the rows of that
+    cell are ranked.  Strata are compared null-safe; those without a limit take
+    none.
+    """
+    largest = df.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    bits = max(1, largest.bit_length() // 2)
+    drawn = df.withColumn("_draw", draw)
+    drawn = drawn.withColumn("_cell", F.shiftright("_draw", 64 - bits))
+    cells = drawn.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by)), "_cell", F.coalesce(upto, F.lit(0)).alias("_before"))
+
+    def same(frame: DataFrame) -> Column:
+        return reduce(and_, (frame[c].eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)))
+
+    ends = cells.join(limits, same(limits)).where(F.col("_before") < F.col("quota"))
+    cuts = ends.groupBy(*(f"_by{k}" for k in range(len(by)))).agg(F.max(F.struct("_cell", (F.col("quota") - F.col("_before")).alias("rest"))).alias("_cut"))
+    both = drawn.join(cuts, same(drawn))
+    whole = both.where(F.col("_cell") < F.col("_cut._cell")).select(*df.columns)
+    last = both.where(F.col("_cell") == F.col("_cut._cell"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("_draw", key))  # rows of one cell for each stratum
+    return whole.union(last.withColumn("_rn", rank).where(F.col("_rn") <= F.col("_cut.rest")).select(*df.columns))
+
+
+def stratified(df: DataFrame, targets: dict[str, int], kind: str, source: str, key: str, seed: int = 42, draw: Column | None = None) -> DataFrame:
+    """Two-level sample: ``quotas`` rows of each (kind, source) in hash order,
+    or in that of another ``draw``."""
     limits = quotas(df, kind, source, targets).select(kind, source, "quota")
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(kind, source).orderBy(_draw(seed, key), key)))
-    return ranked.join(limits, [kind, source]).where(F.col("_rn") <= F.col("quota")).drop("_rn", "quota")
+    return quota_sample(df, [kind, source], limits, _draw(seed, key) if draw is None else draw, key)
 
 
-def cap_stratified(df: DataFrame, by: str, target: int, key: str, seed: int = 42) -> DataFrame:
+def cap_stratified(df: DataFrame, by: str, target: int, key: str, seed: int = 42, draw: Column | None = None) -> DataFrame:
     """``target`` rows over the strata in proportion, rounded; the last stratum
     by name takes what is left.  Fewer rows than the target all stay."""
     counts = df.groupBy(by).agg(F.count("*").alias("_size"))
     whole = Window.partitionBy(F.lit(0))  # one row for each stratum
     total, last = F.sum("_size").over(whole), F.max(by).over(whole)
     share = F.round(target * F.col("_size") / total).cast("long")
-    counts = counts.withColumns({"_share": share, "_last": F.col(by) == last, "_total": total})
+    counts = counts.withColumns({"_share": share, "_last": F.col(by).eqNullSafe(last), "_total": total})
     others = F.sum(F.when(~F.col("_last"), F.col("_share"))).over(whole)
     quota = F.when(F.col("_total") <= target, F.col("_size")).when(F.col("_last"), F.greatest(F.lit(0), target - F.coalesce(others, F.lit(0)))).otherwise(F.col("_share"))
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(_draw(seed, key), key)))
-    return ranked.join(counts.select(by, quota.alias("_quota")), by).where(F.col("_rn") <= F.col("_quota")).drop("_rn", "_quota")
+    return quota_sample(df, [by], counts.select(by, quota.alias("quota")), _draw(seed, key) if draw is None else draw, key)
 
 
 def scaled_targets(targets: dict[str, int], total: int) -> dict[str, int]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.functions import keys as K
@@ -10,6 +10,7 @@ from scorewright.functions import trajectory as T
 from scorewright.operators import requests as R
 from scorewright.operators import rollouts as RO
 from scorewright.operators import sampling as S
+from scorewright.operators.ordered import placed
 from scorewright.plans.base import query, rounded, shared, spread, table
 from scorewright.sources import io
 
@@ -52,7 +53,7 @@ def win_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select source, doc_id from (select source, doc_id, row_number() over (partition by source order by doc_id) - 1 as k from documents) where k % 7 = 0")
 def win_every_kth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN7, WIN8."""
-    return S.every_kth(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], 7).select("source", "doc_id")
+    return S.every_kth(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"], 7)
 
 
 @query("with c as (select user_id, event_id, ts, floor(value / 20) as c from events), l as (select *, lag(c) over (partition by user_id order by ts, event_id) as p, row_number() over (partition by user_id order by ts, event_id) as k from c) select user_id, event_id, c from l where k = 1 or c is distinct from p")
@@ -72,11 +73,8 @@ _STEPS = """e as (select event_type as reward, row_number() over (partition by e
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    rows = table(spark, sf_dir, "events")
-    step = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
-    return rows.select(F.col("event_type").alias("reward"), step.alias("step"), (F.col("value") / 100).alias("mean"), ((F.col("event_id") % 37) / 500.0).alias("std"))
+    rows = placed(table(spark, sf_dir, "events").select(F.col("event_type").alias("reward"), "event_id", "value"), ["reward"], ["event_id"])
+    return rows.select("reward", (F.col("pos") + 1).alias("step"), (F.col("value") / 100).alias("mean"), ((F.col("event_id") % 37) / 500.0).alias("std"))
 
 
 @query(f"""
@@ -108,24 +106,36 @@ def smp_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.quotas(table(spark, sf_dir, "documents").withColumnRenamed("lang", "kind"), "kind", "source", {"en": 200, "fr": 60})
 
 
+# the order of the draw, in both dialects
+_DRAW = "('0x' || substr(md5('42:' || doc_id), 1, 15))::bigint"
+
+
+def _drawn() -> Column:
+    return F.conv(F.substr(F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string")).cast("binary")), F.lit(1), F.lit(15)), 16, 10).cast("bigint")
+
+
 @query(f"""
     with {_SIZES}, t as (select *, case kind when 'en' then 200 when 'fr' then 60 end as target, sum(size) over (partition by kind) as total from c),
     q as (select *, case when total <= target then size else greatest(1, floor(target * size / total)) end as quota from t where target is not null),
-    u as (select *, sum(quota) over (partition by kind order by size desc, source) as upto from q)
-    select kind, source, greatest(0, least(quota, target - (upto - quota)))::bigint as n from u where least(quota, target - (upto - quota)) > 0""")
+    u as (select *, sum(quota) over (partition by kind order by size desc, source) as upto from q),
+    n as (select kind, source, greatest(0, least(quota, target - (upto - quota)))::bigint as quota from u),
+    r as (select doc_id, lang as kind, source, row_number() over (partition by lang, source order by {_DRAW}, doc_id) as k from documents)
+    select kind, source, doc_id from r join n using (kind, source) where k <= quota""")
 def smp_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SMP1, SMP3 (sizes of the drawn sample; members follow Spark's hash)."""
-    rows = table(spark, sf_dir, "documents").withColumnRenamed("lang", "kind")
-    return S.stratified(rows, {"en": 200, "fr": 60}, "kind", "source", "doc_id").groupBy("kind", "source").agg(F.count("*").alias("n"))
+    """SMP1, SMP3 (members; the targets are scaled to a total)."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("kind"), "source")
+    return S.stratified(rows, S.scaled_targets({"en": 1000, "fr": 300}, 260), "kind", "source", "doc_id", draw=_drawn()).select("kind", "source", "doc_id")
 
 
-@query("""
+@query(f"""
     with c as (select lang, count(*) as s from documents group by 1), t as (select *, sum(s) over () as total, max(lang) over () as last from c),
-    q as (select lang, s, total, last, round(150 * s / total) as q from t)
-    select lang, (case when total <= 150 then s when lang = last then 150 - (select sum(q) from q where lang <> last) else q end)::bigint as n from q""")
+    q as (select lang, s, total, last, round(150 * s / total) as q from t),
+    n as (select lang, (case when total <= 150 then s when lang = last then 150 - (select sum(q) from q where lang <> last) else q end)::bigint as n from q),
+    r as (select doc_id, lang, row_number() over (partition by lang order by {_DRAW}, doc_id) as k from documents)
+    select lang, doc_id from r join n using (lang) where k <= n""")
 def smp_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SMP2."""
-    return S.cap_stratified(table(spark, sf_dir, "documents"), "lang", 150, "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
+    """SMP2 (members)."""
+    return S.cap_stratified(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", 150, "doc_id", draw=_drawn()).select("lang", "doc_id")
 
 
 @query()
