@@ -267,14 +267,43 @@ def first_yes_no(x: Text) -> Column:
     return F.when((yes > 0) & ((no == 0) | (yes < no)), 1).when(no > 0, 0).otherwise(-1)
 
 
-_BRACES = r"[^{}]*"
-for _ in range(3):
-    _BRACES = rf"(?:[^{{}}]|\{{{_BRACES}\}})*"
+def boxed(x: Text) -> Column:
+    r"""Content of the last ``\boxed{}`` that closes, its braces nested to any
+    depth; null if none does.
 
+    The text is cut at its braces.  From the right, the lowest balance of what
+    follows a brace says whether it closes, so the last box that does is found
+    in one pass, and where it ends in another; neither keeps a stack.
+    """
+    none = F.lit(None).cast("int")
+    cut = F.struct(F.split(_c(x), "[{}]", -1).alias("between"), F.regexp_extract_all(_c(x), F.lit("[{}]"), 0).alias("braces"))
 
-def boxed(x: Text) -> Column:
-    r"""Content of the last ``\boxed{}``, braces nested up to three deep."""
-    return last_match(x, rf"\\boxed\{{({_BRACES})\}}")
+    def found(c: Column) -> Column:
+        step = lambda b: F.when(b == "{", 1).otherwise(-1)
+        opens = lambda b, k: (b == "{") & F.get(c["between"], k).endswith("\\boxed")
+        events = F.transform(c["braces"], lambda b, k: F.struct(step(b).alias("e"), F.when(opens(b, k), k).alias("box"), k.alias("k")))
+
+        def back(s: Column, v: Column) -> Column:
+            at = F.coalesce(s["at"], F.when(s["low"] < 0, v["box"]))
+            return F.struct((v["e"] + F.least(s["low"], F.lit(0))).alias("low"), at.alias("at"))
+
+        start = F.aggregate(F.reverse(events), F.struct(F.lit(0).alias("low"), none.alias("at")), back)["at"]
+
+        def forth(s: Column, v: Column) -> Column:
+            depth = s["depth"] + F.when(v["k"] >= s["at"], v["e"]).otherwise(0)
+            end = F.coalesce(s["end"], F.when((v["k"] > s["at"]) & (depth == 0), v["k"]))
+            return F.struct(s["at"].alias("at"), depth.alias("depth"), end.alias("end"))
+
+        return F.aggregate(events, F.struct(start.alias("at"), F.lit(0).alias("depth"), none.alias("end")), forth, lambda s: F.struct(c.alias("c"), s["at"].alias("at"), s["end"].alias("end")))
+
+    def content(f: Column) -> Column:
+        many = f["end"] - f["at"]
+        texts = F.slice(f["c"]["between"], f["at"] + 2, many)
+        ends = F.slice(F.concat(f["c"]["braces"], F.array(F.lit(""))), f["at"] + 2, many - 1)
+        body = F.zip_with(texts, F.concat(ends, F.array(F.lit(""))), lambda t, b: F.concat(t, b))
+        return F.when(f["end"].isNotNull(), F.array_join(body, ""))
+
+    return F.get(F.transform(F.array(F.get(F.transform(F.array(cut), found), 0)), content), 0)
 
 
 NUMBER = r"[-+]?\d*\.?\d+"

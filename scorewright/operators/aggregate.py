@@ -189,25 +189,53 @@ def bleu_tokens(text: str | Column) -> Column:
     return F.filter(F.split(F.regexp_replace(_c(text), r"([\p{P}\p{S}])", " $1 "), r"\s+"), lambda t: t != "")
 
 
+def bleu_counters(pred: str, refs: str, most: int = 4) -> dict[str, Column]:
+    """Counters of one sample, to be summed over the corpus: clipped matches
+    and n-grams of each order, length, and the nearest reference length."""
+    p, r = F.col(pred), F.col(refs)
+    near = F.array_min(F.transform(r, lambda x: F.struct(F.abs(F.size(x) - F.size(p)).alias("far"), F.size(x).alias("n"))))["n"]
+    clipped = _clipped(p, r, most)
+    total = lambda n: F.greatest(F.size(p) - n + 1, F.lit(0))
+    orders = range(1, most + 1)
+    return {"_len": F.size(p), "_ref": near} | {f"_m{n}": clipped[n - 1] for n in orders} | {f"_t{n}": total(n) for n in orders}
+
+
+def bleu_score(n: int) -> Column:
+    """BLEU of order n (0 to 100) from the sums of ``bleu_counters``."""
+    brevity = F.when(F.col("_len") >= F.col("_ref"), 1.0).when(F.col("_len") == 0, 0.0).otherwise(F.exp(1 - F.col("_ref") / F.col("_len")))
+    logs = sum((F.log(F.col(f"_m{k}") / F.col(f"_t{k}")) for k in range(2, n + 1)), F.log(F.col("_m1") / F.col("_t1")))
+    whole = F.least(*(F.col(f"_m{k}") for k in range(1, n + 1)), F.lit(1)) > 0
+    return F.when(whole, 100 * brevity * F.exp(logs / n)).otherwise(0.0)
+
+
 def corpus_bleu(df: DataFrame, by: list[str], pred: str, refs: str, most: int = 4) -> DataFrame:
     """``bleu_1`` to ``bleu_<most>`` (0 to 100) of token arrays ``pred`` against
     arrays of token arrays ``refs``: clipped counts summed over the corpus,
     geometric mean, brevity penalty with the nearest reference length."""
-    p, r = F.col(pred), F.col(refs)
-    near = F.array_min(F.transform(r, lambda x: F.struct(F.abs(F.size(x) - F.size(p)).alias("far"), F.size(x).alias("n"))))["n"]
-    rows = df.select(
-        *by, F.size(p).alias("_len"), near.alias("_ref"),
-        _clipped(p, r, most).alias("m"),
-        *(F.greatest(F.size(p) - n + 1, F.lit(0)).alias(f"_t{n}") for n in range(1, most + 1)),
-    ).withColumns({f"_m{n}": F.col("m")[n - 1] for n in range(1, most + 1)})
-    sums = rows.groupBy(*by).agg(*(F.sum(c).alias(c) for c in rows.columns if c.startswith("_")))
-    brevity = F.when(F.col("_len") >= F.col("_ref"), 1.0).when(F.col("_len") == 0, 0.0).otherwise(F.exp(1 - F.col("_ref") / F.col("_len")))
-    out = []
-    for n in range(1, most + 1):
-        logs = sum((F.log(F.col(f"_m{k}") / F.col(f"_t{k}")) for k in range(2, n + 1)), F.log(F.col("_m1") / F.col("_t1")))
-        whole = F.least(*(F.col(f"_m{k}") for k in range(1, n + 1)), F.lit(1)) > 0
-        out.append(F.when(whole, 100 * brevity * F.exp(logs / n)).otherwise(0.0).alias(f"bleu_{n}"))
-    return sums.select(*by, *out)
+    counters = bleu_counters(pred, refs, most)
+    rows = df.select(*by, *(c.alias(n) for n, c in counters.items()))
+    sums = rows.groupBy(*by).agg(*(F.sum(n).alias(n) for n in counters))
+    return sums.select(*by, *(bleu_score(n).alias(f"bleu_{n}") for n in range(1, most + 1)))
+
+
+def binary_counters(gold: str, pred: str) -> dict[str, Column]:
+    """Cells of a two-class confusion table of boolean columns."""
+    g, p = F.coalesce(F.col(gold), F.lit(False)), F.coalesce(F.col(pred), F.lit(False))
+    cell = lambda x: x.cast("int")
+    return {"_tp": cell(g & p), "_fp": cell(~g & p), "_fn": cell(g & ~p), "_tn": cell(~g & ~p)}
+
+
+def f1_score() -> Column:
+    """F1 from the sums of ``binary_counters``; 0 without a positive."""
+    below = 2 * F.col("_tp") + F.col("_fp") + F.col("_fn")
+    return F.when(below > 0, 2 * F.col("_tp") / below).otherwise(0.0)
+
+
+def matthews_score() -> Column:
+    """Matthews correlation from the sums of ``binary_counters``; 0 where a side has one class."""
+    tp, fp, fn, tn = (F.col(c).cast("double") for c in ("_tp", "_fp", "_fn", "_tn"))
+    below = F.sqrt(tp + fp) * F.sqrt(tp + fn) * F.sqrt(tn + fp) * F.sqrt(tn + fn)
+    return F.when(below > 0, (tp * tn - fp * fn) / below).otherwise(0.0)
 
 
 def corpus_chrf(df: DataFrame, by: list[str], pred: str, ref: str, most: int = 6, beta: float = 2.0) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scorewright.functions.extract import _c
-from scorewright.sources.staging import staged
 from scorewright.functions.keys import valid_response
+from scorewright.sources.staging import staged
 
 
 def choice_requests(docs: DataFrame, choices: str, context: str, key: str = "doc_id", mutual_information: bool = False) -> DataFrame:
@@ -103,16 +107,42 @@ def with_parameters(df: DataFrame, table: DataFrame, key: str, value: str, defau
     return df.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
-def overlapping(points: DataFrame, spans: DataFrame, by: str, at: str, start: str, end: str, width: int) -> DataFrame:
+#: Levels of the dyadic tree over whole numbers.
+LEVELS = 62
+
+
+def dyadic_cover(start: Column, end: Column) -> Column:
+    """Nodes ``level, node`` of the binary tree over the whole numbers that
+    together cover start..end-1: at most two for each level, so their number is
+    logarithmic in the length."""
+    node = lambda k, n: F.struct(k.cast("int").alias("level"), n.cast("long").alias("node"))
+    start_ = F.struct(start.cast("long").alias("a"), end.cast("long").alias("b"), F.array().cast("array<struct<level:int,node:bigint>>").alias("nodes"))
+
+    def up(s: Column, k: Column) -> Column:
+        left, right = (s["a"] < s["b"]) & (s["a"].bitwiseAND(F.lit(1)) == 1), (s["a"] < s["b"]) & (s["b"].bitwiseAND(F.lit(1)) == 1)
+        taken = F.filter(F.array(F.when(left, node(k, s["a"])), F.when(right, node(k, s["b"] - 1))), lambda x: x.isNotNull())
+        a, b = s["a"] + left.cast("long"), s["b"] - right.cast("long")
+        return F.struct(F.shiftright(a, 1).alias("a"), F.shiftright(b, 1).alias("b"), F.concat(s["nodes"], taken).alias("nodes"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start_, up)["nodes"]
+
+
+def overlapping(points: DataFrame, spans: DataFrame, by: str, at: str, start: str, end: str) -> DataFrame:
     """Pairs with start <= at < end inside ``by``.
 
-    Each span is listed under every bucket of ``width`` it touches, each point
-    under its own: an equi join with the exact test behind it.
+    Each span is listed under the nodes of its dyadic cover, a point probes the
+    ancestors of its whole number at the levels that spans use (at most 63,
+    read by the driver): an equi join, whatever the lengths of the spans, with
+    the exact test behind it.  Null ends or places match nothing.
     """
-    b = lambda c: F.floor(c / width)
-    last = F.greatest(b(F.col(end) - 1), b(F.col(start)))
-    listed = spans.where(F.col(start) < F.col(end)).withColumn("_b", F.explode(F.sequence(b(F.col(start)), last)))
-    return points.withColumn("_b", b(F.col(at))).join(listed, [by, "_b"]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("_b")
+    nodes = dyadic_cover(F.floor(start), F.ceil(F.col(end).cast("double")) if dict(spans.dtypes)[end] in ("double", "float") else F.col(end))
+    listed = spans.where(F.col(start) < F.col(end)).withColumn("_n", F.explode(nodes)).withColumns({"_level": F.col("_n.level"), "_node": F.col("_n.node")}).drop("_n")
+    levels = sorted(r[0] for r in listed.select("_level").distinct().collect())
+    if not levels:
+        levels = [0]
+    probes = points.where(F.col(at).isNotNull()).withColumn("_level", F.explode(F.array(*(F.lit(k).cast("int") for k in levels))))
+    probes = probes.withColumn("_node", F.expr(f"shiftright(cast(floor(`{at}`) as bigint), _level)"))
+    return probes.join(listed, [by, "_level", "_node"]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("_level", "_node")
 
 
 #: Bits of the filter that corpus n-grams pass before they become rows, as a power of two: one row of 2 MB.
@@ -153,9 +183,37 @@ def contamination(corpus: DataFrame, queries: DataFrame, n: int = 8, corpus_id:
 
 
 def task_hash(samples: DataFrame, task: str, order: str, digest: str) -> DataFrame:
-    """SHA-256 of a task's sample hashes in order."""
-    lists = samples.groupBy(task).agg(F.sort_array(F.collect_list(F.struct(order, digest))).alias("_h"))
-    return lists.select(task, F.sha2(F.array_join(F.transform("_h", lambda h: h[digest]), ""), 256).alias("task_hash"))
+    """SHA-256 of a task's sample hashes in order.
+
+    The samples of a task are sorted by Spark, which spills, and pass a running
+    hash batch by batch, so a task of any size needs the memory of a batch.
+    (The digest is over their concatenation, so one task must read them all.)
+    Null hashes are left out.
+    """
+    rows = samples.select(F.col(task).alias("task"), F.col(order).alias("order"), F.col(digest).alias("digest"))
+    rows = rows.repartition("task").sortWithinPartitions("task", "order", "digest").select("task", "digest")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(tasks: list, hashes: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(tasks, kind), pa.array(hashes, pa.string())], names=["task", "task_hash"])
+
+        at, state = None, None
+        for batch in batches:
+            kind, tasks, hashes = batch.schema.field(0).type, [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if state is None or name != at:
+                    if state is not None:
+                        tasks.append(at)
+                        hashes.append(state.hexdigest())
+                    at, state = name, hashlib.sha256()
+                if text is not None:
+                    state.update(text.encode())
+            if tasks:
+                yield done(tasks, hashes)
+        if state is not None:
+            yield done([at], [state.hexdigest()])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["task"], T.StructField("task_hash", T.StringType())])).toDF(task, "task_hash")
 
 
 def latest(df: DataFrame, by: list[str], order: list) -> DataFrame:

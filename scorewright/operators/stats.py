@@ -10,9 +10,12 @@ import math
 from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def clustered_stderr(df: DataFrame, by: list[str], value: str, cluster: str) -> DataFrame:
@@ -136,22 +139,113 @@ def poisson_weights(df: DataFrame, keys: list[str], iters: int, seed: int) -> Da
     The draw belongs to the row, not to its place, so it is the same however
     the table is partitioned and after a lost executor.
     """
+    steps = _poisson_steps()
+    rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))))
+    u = F.pmod(F.xxhash64(F.lit(seed), *keys, "replicate"), F.lit(1 << 40)) / float(1 << 40)
+    weight = sum(((u >= s).cast("int") for s in steps), F.lit(0))
+    return rows.withColumn("weight", weight).where("weight > 0")
+
+
+# fixed values: the primes of the 64-bit hash that Spark's xxhash64 is
+_PRIMES = tuple(np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+#: Rows weighed at once, and groups that a task holds before it hands them on.
+_ROWS, _GROUPS = 2048, 256
+
+
+def replicate_weights(state: np.ndarray, iters: int) -> np.ndarray:
+    """Weights (rows x replicates) of ``poisson_weights`` for rows whose keys
+    hash to ``state``: the hash goes on with the replicate's number."""
+    turn = lambda h, n: h << np.uint64(n) | h >> np.uint64(64 - n)
+    one, two, three, _, five = _PRIMES
+    number = np.arange(iters, dtype=np.uint64) * one
+    h = (state.view(np.uint64) + five + np.uint64(4))[:, None] ^ number[None]
+    h = turn(h, 23) * two + three
+    h = (h ^ h >> np.uint64(33)) * two
+    h = (h ^ h >> np.uint64(29)) * three
+    low = (h ^ h >> np.uint64(32)) & np.uint64((1 << 40) - 1)
+    return np.searchsorted(np.array(_poisson_steps()) * float(1 << 40), low.astype(np.float64), side="right")
+
+
+def _poisson_steps() -> list[float]:
+    """Distribution function of Poisson(1)."""
     steps, p, total = [], math.exp(-1.0), 0.0
     for k in range(12):
         total += p
         steps.append(total)
         p /= k + 1
-    rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", *keys), F.lit(1 << 40)) / float(1 << 40)
-    weight = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    return rows.withColumn("weight", weight).where("weight > 0")
+    return steps
+
+
+def replicate_sums(df: DataFrame, by: list[str], keys: list[str], counters: dict[str, Column], iters: int, seed: int = 7) -> DataFrame:
+    """``by..., replicate, weight, counters...``: sums of the counters over the
+    rows, each as often as its weight in the replicate.
+
+    No row is copied for a replicate.  A task keeps a table replicates x
+    counters for each group it meets, which is a product of matrices for a
+    batch of rows, and hands on one row for each group; so what is shuffled
+    depends on tasks and groups, not on rows.  Weights are those of
+    ``poisson_weights``.  Null counters count as 0.
+    """
+    names, wide = ["weight", *counters], len(counters) + 1
+    each = _partial_sums(df, by, keys, counters, iters, seed).select("by", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("replicate"), "sums")
+    sums = each.select(*(F.col("by")[c].alias(c) for c in by), "replicate", *(F.get("sums", F.col("replicate") * wide + k).alias(n) for k, n in enumerate(names)))
+    return sums.groupBy(*by, "replicate").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def _partial_sums(df: DataFrame, by: list[str], keys: list[str], counters: dict[str, Column], iters: int, seed: int) -> DataFrame:
+    """``by, sums``: a row for each group that a task has seen, with its table
+    replicates x (weight, counters)."""
+    wide = len(counters) + 1
+    state = F.xxhash64(F.lit(seed), *keys)
+    values = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"x{k}") for k, c in enumerate(counters.values())]
+    rows = df.select(F.struct(*(F.col(c) for c in by), F.lit(0).alias("_one")).alias("by"), state.alias("state"), *values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[dict, np.ndarray]] = {}
+
+        def done() -> pa.RecordBatch:
+            groups = pa.array([g for g, _ in held.values()], kind)
+            sums = pa.array([s.ravel() for _, s in held.values()], pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([groups, sums], names=["by", "sums"])
+
+        for whole in batches:
+            kind = whole.schema.field(0).type
+            for at in range(0, len(whole), _ROWS):
+                batch = whole.slice(at, _ROWS)
+                weights = replicate_weights(batch.column(1).to_numpy(), iters).astype(np.float64)
+                given = np.stack([np.ones(len(batch)), *(batch.column(k).to_numpy() for k in range(2, wide + 1))], axis=1)
+                places: dict[tuple, list[int]] = {}
+                groups = batch.column(0).to_pylist()
+                for k, g in enumerate(groups):
+                    places.setdefault(tuple(g.values()), []).append(k)
+                for g, own in places.items():
+                    sums = weights[own].T @ given[own]
+                    if g in held:
+                        held[g][1][:] += sums
+                    else:
+                        held[g] = (groups[own[0]], sums)
+                if len(held) > _GROUPS:
+                    yield done()
+                    held.clear()
+        if held:
+            yield done()
+
+    schema = T.StructType([rows.schema["by"], T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(run, schema)
+
+
+def bootstrap_sums(df: DataFrame, by: list[str], keys: list[str], counters: dict[str, Column], statistic: Column, iters: int = 200, seed: int = 7, share: float = 0.95) -> DataFrame:
+    """Bootstrap of a metric of summed counters: ``by..., boot_mean,
+    boot_stderr, low, high``.  ``statistic`` is an expression over the sums of
+    the counters and ``weight``, the rows of a replicate; replicates where it
+    is null are left out."""
+    sums = replicate_sums(df, by, keys, counters, iters, seed)
+    return _summed_up(sums.select(*by, "replicate", statistic.alias("_m")), by, share)
 
 
 def bootstrap(df: DataFrame, by: list[str], value: str, keys: list[str], iters: int = 200, seed: int = 7, share: float = 0.95) -> DataFrame:
     """Bootstrap of the mean: ``by..., boot_mean, boot_stderr, low, high``."""
-    drawn = poisson_weights(df.select(*dict.fromkeys([*by, *keys, value])), keys, iters, seed)
-    per = drawn.groupBy(*by, "replicate").agg((F.sum(F.col(value) * F.col("weight")) / F.sum("weight")).alias("_m"))
-    return _summed_up(per, by, share)
+    return bootstrap_sums(df, by, keys, {"_v": F.col(value)}, F.col("_v") / F.nullif(F.col("weight"), F.lit(0.0)), iters, seed, share)
 
 
 def bootstrap_aggregate(df: DataFrame, by: list[str], keys: list[str], aggregate: Callable[[DataFrame, list[str]], DataFrame], name: str, iters: int = 100, seed: int = 7, share: float = 0.95, weighted: bool = False) -> DataFrame:

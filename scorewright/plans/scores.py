@@ -587,6 +587,23 @@ def sta_bootstrap_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.bootstrap_aggregate(rows, ["s"], ["o_orderkey"], lambda df, by: A.weighted_median(df, by, "v", "weight"), "v", 20, weighted=True), 2)
 
 
+@query()
+def sta_bootstrap_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA4 of F1 and Matthews correlation; draws from Spark's hash, tested against a plain bootstrap."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("s"), (F.col("o_totalprice") > 150000).alias("g"), (F.col("o_custkey") % 3 == 0).alias("p"))
+    both = [stats.bootstrap_sums(rows, ["s"], ["o_orderkey"], A.binary_counters("g", "p"), m, 100).withColumn("metric", F.lit(n)) for n, m in (("f1", A.f1_score()), ("mcc", A.matthews_score()))]
+    return rounded(both[0].union(both[1]))
+
+
+@query()
+def sta_bootstrap_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA4 of corpus BLEU over whole documents; draws from Spark's hash, tested against a plain bootstrap."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda x: x != "")
+    without = lambda end: F.filter(words, lambda x: ~x.endswith(end))
+    rows = spread(spark, sf_dir, "documents").select("doc_id", "lang", without("n").alias("c"), F.array(without("e")).alias("refs"))
+    return rounded(stats.bootstrap_sums(rows, ["lang"], ["doc_id"], A.bleu_counters("c", "refs"), A.bleu_score(4), 100), 4)
+
+
 _RUNS = """a as (select o_orderkey as id, o_orderpriority as task, (o_totalprice > 150000)::int::double as score from orders where o_orderkey % 10 > 0),
     b as (select o_orderkey as id, o_orderpriority as task, (o_totalprice > 155000)::int::double as score from orders where o_orderkey % 9 > 0)"""
 

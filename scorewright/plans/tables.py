@@ -295,7 +295,7 @@ def join_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     frames = e.where("event_id % 3 = 0").select(F.col("user_id").alias("v"), F.col("event_id").alias("at"))
     spans = e.where("event_id % 10 = 1").select(F.col("user_id").alias("v"), F.col("event_id").alias("a"), (F.col("event_id") + F.floor("value").cast("int") * 5).alias("b"))
-    return R.overlapping(frames, spans, "v", "at", "a", "b", 200)
+    return R.overlapping(frames, spans, "v", "at", "a", "b")
 
 
 _GRAMS = "list_distinct([array_to_string(w[k : k + 7], ' ') for k in range(1, len(w) - 6)])"

@@ -27,7 +27,7 @@ _RESP = f"""case cast(doc_id % 9 as int)
   when 2 then '<answer>' || chr(10) || '1,2' || cast(doc_id % 90 as varchar(9)) || '.5 m</answer>'
   when 3 then 'a. first' || chr(10) || 'Answer: ' || {_L} || chr(10) || 'end'
   when 4 then {_L} || '. ' || text
-  when 5 then 'so ' || chr(92) || 'boxed{{x{{' || cast(doc_id % 10 as varchar(9)) || '}}}} and yes'
+  when 5 then 'so ' || chr(92) || 'boxed{{1}} ' || chr(92) || 'boxed{{x' || repeat('{{', cast(doc_id % 7 as int)) || cast(doc_id % 10 as varchar(9)) || repeat('}}', cast(doc_id % 7 as int)) || '}} and yes'
   when 6 then '  (' || {_L} || ') no'
   when 7 then 'The correct option is ' || {_L} || ' for the reasons that were given above and before that'
   else text end"""
@@ -83,7 +83,10 @@ def ext_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     with {_R}, l as (select doc_id, resp, lower(trim(resp)) as low from r)
     select doc_id, case when low in ('yes', 'no') then low when contains(left(low, 4), 'yes') then 'yes' when contains(left(low, 4), 'no') then 'no' else 'other' end as label,
       case when instr(lower(resp), 'yes') > 0 and (instr(lower(resp), 'no') = 0 or instr(lower(resp), 'yes') < instr(lower(resp), 'no')) then 1 when instr(lower(resp), 'no') > 0 then 0 else -1 end as first,
-      nullif(list_extract(regexp_extract_all(resp, '\\boxed\{{((?:[^{{}}]|\{{[^{{}}]*\}})*)\}}', 1), -1), '') as boxed from l""")
+      nullif(case when b.e is not null then substr(resp, spot + 1, b.e - 2) end, '') as boxed
+    from (select *, list_reduce(string_split(substr(resp, spot), ''), lambda a, x: struct_pack(d := a.d + (x = '{{')::int - (x = '}}')::int, i := a.i + 1,
+      e := coalesce(a.e, case when a.d + (x = '{{')::int - (x = '}}')::int = 0 then a.i + 1 end)), struct_pack(d := 0, i := 0, e := null::int)) as b
+      from (select *, nullif(instr(reverse(resp), '{{dexob\'), 0) as back, length(resp) - back + 1 as spot from l))""")
 def ext_yes_no(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EXT17, EXT18."""
     return _responses(spark, sf_dir).select("doc_id", E.yes_no_label("resp").alias("label"), E.first_yes_no("resp").alias("first"), E.nullif_empty(E.boxed("resp")).alias("boxed"))
