@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import warnings
 from collections.abc import Iterator
 from functools import reduce
 
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from scorewright.operators.boxes import SIDES, meeting
 from scorewright.operators.graph import connected_components
 from scorewright.sources.staging import staged
 
@@ -238,23 +238,6 @@ def denoise(voxels: DataFrame, least_points: int, least_cells: int) -> DataFrame
     return rows.join(sizes, "component").select(*voxels.columns)
 
 
-def core_region(points: DataFrame, k: int = 8, share: float = 0.9, by: tuple[str, ...] = ("scene_id", "cluster")) -> DataFrame:
-    """Points whose mean distance to their k nearest in the cluster is within
-    the share's quantile.  One Arrow group per cluster: clusters are bounded
-    by the thinning before them."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) <= k:
-            return pdf
-        xy, near = pdf[["x", "y"]].to_numpy(), np.empty(len(pdf))
-        for at in range(0, len(xy), 512):
-            far = np.hypot(*(xy[at : at + 512, None] - xy[None]).transpose(2, 0, 1))
-            near[at : at + 512] = np.partition(far, k, axis=1)[:, : k + 1].sum(axis=1) / k
-        return pdf[near <= np.quantile(near, share)]
-
-    return points.groupBy(*by).applyInPandas(run, points.schema)
-
-
 # --- instances --------------------------------------------------------------------------
 
 
@@ -321,64 +304,57 @@ def hull_geometry(points: DataFrame, by: tuple[str, ...] = ("scene_id", "cluster
     return rows.mapInPandas(corners, some).groupBy(*by).applyInPandas(run, out)
 
 
-def _box_gap(a: str, b: str) -> Column:
-    gap = lambda c: F.greatest(F.col(f"{a}.{c}0") - F.col(f"{b}.{c}1"), F.col(f"{b}.{c}0") - F.col(f"{a}.{c}1"), F.lit(0.0))
-    return F.hypot(gap("x"), gap("y"))
+def _boxed(inst: DataFrame, key: str, pad: float) -> DataFrame:
+    """Instances with their boxes grown by ``pad`` on each side."""
+    box = F.struct(*((F.col(c) + F.lit(pad if c[1] == "1" else -pad)).alias(c) for c in SIDES))
+    return inst.select("scene_id", "label", box.alias("box"), F.struct(F.col(key).alias("key"), "cx", "cy", *SIDES).alias("item"))
 
 
-def proximity_pairs(inst: DataFrame, distance: float, key: str = "cluster") -> DataFrame:
-    """Pairs ``src < dst`` of one scene and category whose centroids or boxes
-    are nearer than ``distance``; boxes are listed under the cells they touch."""
-    pad = lambda lo, hi: F.sequence(F.floor((F.col(lo) - distance) / distance), F.floor((F.col(hi) + distance) / distance))
-    box = lambda name: F.struct(*(F.col(c) for c in ("cx", "cy", "x0", "x1", "y0", "y1"))).alias(name)
-    listed = inst.withColumn("_x", F.explode(pad("x0", "x1"))).withColumn("_y", F.explode(pad("y0", "y1")))
-    a = listed.select("scene_id", "label", "_x", "_y", F.col(key).alias("src"), box("a"))
-    b = listed.select("scene_id", "label", "_x", "_y", F.col(key).alias("dst"), box("b"))
-    both = a.join(b, ["scene_id", "label", "_x", "_y"]).where(F.col("src") < F.col("dst"))
+def proximity_pairs(inst: DataFrame, distance: float, key: str = "cluster", gap_share: float = 0.3) -> DataFrame:
+    """Pairs ``src < dst`` of one scene and category whose centroids are nearer
+    than ``distance`` or whose boxes are nearer than ``gap_share`` of it, by the
+    larger of the gaps along the axes."""
+    grown = _boxed(inst, key, distance / 2 * (1 + 1e-9))
+    both = meeting(grown, grown, ["scene_id", "label"], max(distance, 1e-9))
     near = F.hypot(F.col("a.cx") - F.col("b.cx"), F.col("a.cy") - F.col("b.cy")) < distance
-    return both.where(near | (_box_gap("a", "b") < distance)).select("src", "dst").distinct()
+    gap = lambda c: F.greatest(F.col(f"a.{c}0") - F.col(f"b.{c}1"), F.col(f"b.{c}0") - F.col(f"a.{c}1"))
+    both = both.where((F.col("a.key") != F.col("b.key")) & (near | (F.greatest(gap("x"), gap("y")) < gap_share * distance)))
+    return both.select(F.least("a.key", "b.key").alias("src"), F.greatest("a.key", "b.key").alias("dst")).distinct()
 
 
-def merge_near(points: DataFrame, distance: float, rounds: int = 10) -> DataFrame:
-    """``points`` with near clusters of a category merged until stable.
+def merge_near(points: DataFrame, distance: float) -> DataFrame:
+    """``points`` with near clusters of a category merged until none are near.
 
     Each round merges whole components of near instances, so chains of them
-    merge at once (not one by one in list order).  Clusters that still are
-    near after the last round stay apart, with a warning.
+    merge at once (not one by one in list order); a round that merges leaves
+    fewer clusters, so the rounds end.
     """
-    for left in reversed(range(rounds)):
-        inst = instances(points)
-        found = connected_components(proximity_pairs(inst, distance))
+    while True:
+        found = connected_components(proximity_pairs(instances(points), distance))
         if found.isEmpty():
-            break
+            return points
         moved = points.join(found, points["cluster"] == found["node"], "left")
         points = staged(moved.select(*(F.coalesce("component", "cluster").alias("cluster") if c == "cluster" else points[c] for c in points.columns)), "merged")
-        if not left and not proximity_pairs(instances(points), distance).isEmpty():
-            warnings.warn(f"clusters are not settled after {rounds} rounds", stacklevel=2)
-    return points
 
 
-def hierarchy(inst: DataFrame, pad: float = 0.1, low: float = -0.15, high: float = 0.35, inside: float = 0.1, size: float = 2.0, key: str = "cluster") -> DataFrame:
+def hierarchy(inst: DataFrame, pad: float = 0.15, low: float = -0.15, high: float = 0.35, inside: float = 0.1, key: str = "cluster") -> DataFrame:
     """``scene_id, key, parent, relation, gap``: the best parent of each
     instance that has one.
 
     A parent's box, grown by ``pad``, holds the child's centroid and is larger;
     the child lies On_Top_Of it (gap from the parent's top within low..high)
-    or Inside (its height range within the parent's, with a margin).  The
-    least gap wins, then the smaller area, then the key.
+    or Inside (its height range within the parent's, with a margin; gap 0).
+    The least gap wins, then the smaller area, then the key.
     """
-    cells = lambda lo, hi: F.sequence(F.floor((F.col(lo) - pad) / size), F.floor((F.col(hi) + pad) / size))
-    columns = (key, "cx", "cy", "x0", "x1", "y0", "y1", "z0", "z1", "area")
-    child = inst.select("scene_id", F.struct(*columns).alias("c"), F.floor(F.col("cx") / size).alias("_x"), F.floor(F.col("cy") / size).alias("_y"))
-    parent = inst.withColumn("_x", F.explode(cells("x0", "x1"))).withColumn("_y", F.explode(cells("y0", "y1")))
-    parent = parent.select("scene_id", F.struct(*columns).alias("p"), "_x", "_y")
-    both = child.join(parent, ["scene_id", "_x", "_y"])
-    holds = F.col("c.cx").between(F.col("p.x0") - pad, F.col("p.x1") + pad) & F.col("c.cy").between(F.col("p.y0") - pad, F.col("p.y1") + pad)
-    gap = F.col("c.z0") - F.col("p.z1")
-    within = (F.col("c.z0") >= F.col("p.z0") - inside) & (F.col("c.z1") <= F.col("p.z1") + inside)
+    item = F.struct(key, "z0", "z1", "area").alias("item")
+    grown = F.struct(*((F.col(c) + F.lit(pad if c[1] == "1" else -pad)).alias(c) for c in SIDES)).alias("box")
+    spot = F.struct(F.col("cx").alias("x0"), F.col("cx").alias("x1"), F.col("cy").alias("y0"), F.col("cy").alias("y1")).alias("box")
+    both = meeting(inst.select("scene_id", grown, item), inst.select("scene_id", spot, item), ["scene_id"])
+    both = both.where((F.col(f"a.{key}") != F.col(f"b.{key}")) & (F.col("a.area") > F.col("b.area")))
+    gap = F.col("b.z0") - F.col("a.z1")
+    within = (F.col("b.z0") >= F.col("a.z0") - inside) & (F.col("b.z1") <= F.col("a.z1") + inside)
     relation = F.when(gap.between(low, high), "On_Top_Of").when(within, "Inside")
-    both = both.where((F.col(f"c.{key}") != F.col(f"p.{key}")) & (F.col("p.area") > F.col("c.area")) & holds)
-    both = both.select("scene_id", F.col(f"c.{key}").alias(key), F.col(f"p.{key}").alias("parent"), relation.alias("relation"), F.abs(gap).alias("gap"), F.col("p.area").alias("_area"))
+    both = both.select("scene_id", F.col(f"b.{key}").alias(key), F.col(f"a.{key}").alias("parent"), relation.alias("relation"), F.when(relation == "Inside", 0.0).otherwise(F.abs(gap)).alias("gap"), F.col("a.area").alias("_area"))
     rank = F.row_number().over(Window.partitionBy("scene_id", key).orderBy("gap", "_area", "parent"))
     return both.where("relation is not null").withColumn("_k", rank).where("_k = 1").drop("_k", "_area")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scorewright.operators import nearest as N
 from scorewright.operators import spatial as P
 from scorewright.plans.base import query, rounded, table
 
@@ -112,9 +113,9 @@ def pts_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pts_core_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PTS7."""
+    """PTS7; tested against brute force."""
     points = _points(spark, sf_dir)
-    return P.core_region(points.join(P.dbscan(points, 0.1, 3), "point_id"), 3, 0.9).select("point_id", "cluster")
+    return N.core_region(points.join(P.dbscan(points, 0.1, 3), "point_id")).select("point_id", "cluster")
 
 
 @query()
@@ -127,8 +128,8 @@ def pts_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     with recursive {_CLUSTERS}, c as (
       select c.scene_id, c.cluster, q.cluster as parent, case when c.z0 - q.z1 between -0.15 and 0.35 then 'On_Top_Of' when c.z0 >= q.z0 - 0.1 and c.z1 <= q.z1 + 0.1 then 'Inside' end as relation,
-        abs(c.z0 - q.z1) as gap, q.area from inst c join inst q on c.scene_id = q.scene_id and c.cluster <> q.cluster and q.area > c.area
-        and c.cx between q.x0 - 0.1 and q.x1 + 0.1 and c.cy between q.y0 - 0.1 and q.y1 + 0.1)
+        case when c.z0 - q.z1 between -0.15 and 0.35 then abs(c.z0 - q.z1) else 0 end as gap, q.area from inst c join inst q on c.scene_id = q.scene_id and c.cluster <> q.cluster and q.area > c.area
+        and c.cx between q.x0 - 0.15 and q.x1 + 0.15 and c.cy between q.y0 - 0.15 and q.y1 + 0.15)
     select scene_id, cluster, parent, relation, round(gap, 6) as gap from c where relation is not null
     qualify row_number() over (partition by scene_id, cluster order by gap, area, parent) = 1""")
 def pts_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,17 +216,10 @@ def test_alignments(spark):
         assert r["l"] == pytest.approx(want)
 
 
-def test_core_region_merging_and_hulls(spark):
+def test_merging_and_hulls(spark):
     rng = np.random.default_rng(4)
     rows = [("s", "chair", c, float(x), float(y), 0.0) for c, (cx, cy) in enumerate([(0, 0), (1.2, 0), (9, 9)]) for x, y in rng.normal((cx, cy), 0.3, (60, 2))]
     points = spark.createDataFrame(rows, "scene_id string, label string, cluster long, x double, y double, z double")
-    kept = {(r["x"], r["y"]) for r in spatial.core_region(points, 8, 0.8).collect()}
-    want = set()
-    for c in range(3):
-        xy = np.array([r[3:5] for r in rows if r[2] == c])
-        far = np.sort(np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1)), axis=1)[:, 1:9].mean(axis=1)
-        want |= {tuple(p) for p in xy[far <= np.quantile(far, 0.8)]}
-    assert kept == want
     merged = spatial.merge_near(points, 0.5)
     assert {r["cluster"] for r in merged.where("x < 5").select("cluster").collect()} == {0} and {r["cluster"] for r in merged.where("x > 5").select("cluster").collect()} == {2}
     got = {r["cluster"]: r for r in spatial.hull_geometry(points.repartition(9)).collect()}
