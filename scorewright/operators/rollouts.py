@@ -65,7 +65,13 @@ def rolling_stats(steps: DataFrame, window: int = 50, key: str = "reward", width
 
 
 def adaptive_weights(steps: DataFrame, base: dict[str, float], targets: dict[str, float], window: int = 50, key: str = "reward") -> DataFrame:
-    """Weight of each adaptive reward (the keys of ``targets``) at each step.
+    """Weight of each adaptive reward (the keys of ``targets``) at each step."""
+    return weights_of(rolling_stats(steps.where(F.col(key).isin(*targets)), window, key), base, targets, key)
+
+
+def weights_of(figures: DataFrame, base: dict[str, float], targets: dict[str, float], key: str = "reward") -> DataFrame:
+    """Weights of the adaptive rewards from their rolling figures, made of a
+    table or by the stream.
 
     Base weight times headroom (deviation over its target, within 0.1 and 2),
     saturation discount and boost of falling trends; then scaled so that the
@@ -73,7 +79,7 @@ def adaptive_weights(steps: DataFrame, base: dict[str, float], targets: dict[str
     keep the base weight.
     """
     pick = lambda table: F.create_map(*(F.lit(v) for pair in table.items() for v in pair))[F.col(key)]
-    rows = rolling_stats(steps.where(F.col(key).isin(*targets)), window, key)
+    rows = figures.where(F.col(key).isin(*targets))
     headroom = F.greatest(F.lit(0.1), F.least(F.lit(2.0), F.col("std") / F.greatest(F.lit(1e-6), pick(targets))))
     discount = 1 - F.greatest(F.lit(0.0), F.col("saturation") - 0.3) / 0.7
     boost = 1 + F.greatest(F.lit(0.0), F.least(F.lit(1.0), -F.col("slope") / (F.abs("mean") + 0.05)))

@@ -8,13 +8,16 @@ number of rows per key.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scorewright.functions.keys import valid_response
+from scorewright.operators.rollouts import saturated
 
 
 def tail_responses(stream: DataFrame, watermark: str = "10 minutes", key: str = "cache_key") -> DataFrame:
@@ -46,33 +49,100 @@ def rollout_sessions(stream: DataFrame, gap: str = "10 minutes", watermark: str
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_turns", "turns")
 
 
-def rolling_rewards(stream: DataFrame, n: int = 50, key: str = "reward") -> DataFrame:
-    """Figures of the last ``n`` steps of each reward, one row per step.
-
-    The state of a key is its last ``n`` (step, mean, std); a batch is taken
-    in the order of its steps.
+#: The state store that keyed lists and timers need.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB; the session's
+    setting comes back afterwards (a started query keeps its own)."""
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE[0], before) if before else spark.conf.unset(STORE[0])
+
+
+def _figures(past: np.ndarray, new: np.ndarray, n: int) -> np.ndarray:
+    """Rolling mean, deviation, saturation, slope and count of each new row
+    (mean, std, flag) over the last ``n`` rows; NaN values do not count."""
+    rows = np.concatenate([np.full((n - 1, 3), np.nan), past, new])
+    windows = np.lib.stride_tricks.sliding_window_view(rows, n, axis=0)[-len(new) :] if len(new) else np.zeros((0, 3, n))
+    held = ~np.isnan(windows)
+    many = held.sum(axis=2)
+    means = np.divide(np.where(held, windows, 0).sum(axis=2), many, out=np.full(many.shape, np.nan), where=many > 0)
+    x = np.where(held[:, 0], np.arange(n, dtype=float), 0)
+    y = np.where(held[:, 0], windows[:, 0], 0)
+    k = many[:, 0]
+    over = k * (x * x).sum(axis=1) - x.sum(axis=1) ** 2
+    slope = np.divide(k * (x * y).sum(axis=1) - x.sum(axis=1) * y.sum(axis=1), over, out=np.zeros(len(k)), where=(k >= 5) & (over > 0))
+    return np.column_stack([means, slope, k])
+
+
+class RewardFigures(StatefulProcessor):
+    """State of a reward: steps that the watermark has not passed, and the last
+    ``n - 1`` that it has.  A timer at the earliest waiting step wakes the key
+    when the watermark passes it; what is behind the watermark then is taken in
+    the order of event time and step, whatever batch it came in."""
+
+    def __init__(self, key: str, n: int) -> None:
+        self.key, self.n = key, n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts bigint, step bigint, mean double, std double, flag double")
+        self.past = handle.getListState("past", "mean double, std double, flag double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = None
+        for pdf in rows:
+            at = pdf["ts"].astype("datetime64[us]").astype("int64")
+            values = pdf[["mean", "std", "flag"]].astype("float64").itertuples(index=False, name=None)
+            found = [(int(t), int(s), *v) for t, s, v in zip(at, pdf["step"], values, strict=True)]
+            if found:
+                self.waiting.appendList(found)
+                first = min([t for t, *_ in found] + ([] if first is None else [first]))
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get())
+        ready, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        past = np.array(list(self.past.get()), float).reshape(-1, 3)
+        new = np.array([r[2:] for r in ready], float).reshape(-1, 3)
+        made = _figures(past, new, self.n)
+        kept = np.concatenate([past, new])[-(self.n - 1) :] if self.n > 1 else past[:0]
+        if len(kept):
+            self.past.put([tuple(map(float, r)) for r in kept])
+        columns = [pd.Series([key[0]] * len(ready), dtype=object), [r[1] for r in ready], *new[:, :2].T, *made[:, :4].T, made[:, 4].astype("int64")]
+        yield pd.DataFrame(dict(zip(("reward", "step", "mean", "std", "rolling_mean", "rolling_std", "saturation", "slope", "n"), columns, strict=True)))
+
+    def close(self) -> None:
+        pass
+
+
+def rolling_rewards(stream: DataFrame, n: int = 50, watermark: str = "10 minutes", key: str = "reward") -> DataFrame:
+    """Figures of the last ``n`` steps of each reward, as ``rolling_stats`` has
+    them, one row for each step that the watermark has passed.
+
+    ``stream`` has key, step, mean, std and ``ts``.  Steps count in the order
+    of event time, then step, also where they come out of order over several
+    batches; those that come after the watermark are dropped.  Start the query
+    within ``keyed_state``.  A null mean or deviation does not count.
     """
-
-    def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        steps, means, stds = (list(x) for x in state.get) if state.exists else ([], [], [])
-        pdf = pd.concat(list(frames)).sort_values("step")
-        out = []
-        for row in pdf.itertuples():
-            for past, value in ((steps, row.step), (means, row.mean), (stds, row.std)):
-                past.append(value)
-                del past[:-n]
-            m = pd.Series(means)
-            x = pd.Series(range(len(m)), dtype=float)
-            spread = float(((x - x.mean()) ** 2).sum())
-            slope = float(((x - x.mean()) * (m - m.mean())).sum() / spread) if len(m) >= 5 else 0.0
-            out.append((*name, row.step, float(m.mean()), float(pd.Series(stds).mean()), slope, len(m)))
-        state.update((steps, means, stds))
-        yield pd.DataFrame(out, columns=[key, "step", "rolling_mean", "rolling_std", "slope", "n"])
-
-    return stream.select(key, "step", "mean", "std").groupBy(key).applyInPandasWithState(
-        run,
-        f"{key} string, step bigint, rolling_mean double, rolling_std double, slope double, n int",
-        "steps array<bigint>, means array<double>, stds array<double>",
-        "append",
-        GroupStateTimeout.NoTimeout,
+    flag = saturated("mean", "std", F.when(F.col(key) == "tool", 1.0).otherwise(0.0))
+    rows = stream.select(F.col(key).alias("reward"), "step", "mean", "std", flag.alias("flag"), "ts").withWatermark("ts", watermark)
+    found = rows.groupBy("reward").transformWithStateInPandas(
+        statefulProcessor=RewardFigures(key, n),
+        outputStructType="reward string, step bigint, mean double, std double, rolling_mean double, rolling_std double, saturation double, slope double, n bigint",
+        outputMode="Append",
+        timeMode="EventTime",
     )
+    return found.withColumnRenamed("reward", key)
