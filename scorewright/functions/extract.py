@@ -321,11 +321,6 @@ def first_token(x: Text) -> Column:
     return F.trim(F.regexp_replace(F.split_part(raw, F.lit(" "), F.lit(1)), r"\.+$", ""))
 
 
-def to_number(x: Text) -> Column:
-    """The text as a number; null for anything else, 1,250 included."""
-    return _c(x).try_cast("double")
-
-
 def judge_binary(x: Text) -> Column:
     """Verdict of a judge: 1 or 0, also as yes or no; null otherwise."""
     low = F.lower(F.trim(_c(x)))

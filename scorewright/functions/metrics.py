@@ -527,6 +527,40 @@ def contains_answer(pred: Text, gold: Text) -> Column:
 
 # --- instructions, captions, formats -------------------------------------------
 
+def _part(argument: Column, k: int) -> Column:
+    return F.split_part(argument, F.lit("|"), F.lit(k))
+
+
+def _relation(count: Column, argument: Column) -> Column:
+    """Whether a count is less than, or at least, the number that ends the argument."""
+    parts = F.split(argument, r"\|")
+    n, name = F.element_at(parts, -1).cast("int"), F.element_at(parts, -2)
+    return F.when(name == "less than", count < n).otherwise(count >= n)
+
+
+def _blank(x: Column) -> Column:
+    return F.trim(x, F.lit(" \n\t\r")) == ""
+
+
+def _parted(parts: Column, n: Column) -> Column:
+    """As many parts as wanted; only the first and the last may be blank."""
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    return ~F.exists(inner, _blank) & (F.size(F.filter(parts, lambda p: ~_blank(p))) == n)
+
+
+def _two(parts: Column) -> Column:
+    """Two different answers; only the first and the last part may be blank."""
+    full = F.transform(F.filter(parts, lambda p: ~_blank(p)), lambda p: F.trim(p, F.lit(" \n\t\r")))
+    return _parted(parts, F.lit(2)) & (F.get(full, F.lit(0)) != F.get(full, F.lit(1)))
+
+
+def _first_word(paragraphs: Column, argument: Column) -> Column:
+    """``n|k|word``: n paragraphs, the k-th of which begins with the word."""
+    own = F.trim(F.get(paragraphs, _part(argument, 2).cast("int") - 1), F.lit(" \n\t\r"))
+    word = F.lower(F.regexp_extract(own, r"""^['"]*([^\s.,?!'"]*)""", 1))
+    return (F.size(paragraphs) == _part(argument, 1).cast("int")) & F.coalesce(word == F.lower(_part(argument, 3)), F.lit(False))
+
+
 #: Checks of instructions: name to a function of the response and an argument.
 CHECKS = {
     "min_words": lambda r, a: F.size(F.filter(F.split(r, r"\s+"), lambda w: w != "")) >= a.cast("int"),
@@ -539,7 +573,28 @@ CHECKS = {
     "ends_with": lambda r, a: F.trim(r).endswith(a),
     "quoted": lambda r, a: F.trim(r).rlike(r'(?s)^".*"$'),
     "bullets": lambda r, a: F.regexp_count(r, F.lit(r"(?m)^\s*[*-]\s")) == a.cast("int"),
-    "json": lambda r, a: F.try_parse_json(r).isNotNull(),
+    "json": lambda r, a: F.try_parse_json(F.regexp_replace(F.trim(r), r"(?i)^```(json)?|```$", "")).isNotNull(),
+    # arguments of several parts are joined by |; a relation is "less than" or "at least"
+    "keywords": lambda r, a: F.forall(F.split(a, r"\|"), lambda w: F.lower(r).contains(F.lower(w))),
+    "keyword_count": lambda r, a: _relation(F.regexp_count(r, F.concat(F.lit("(?i)"), _part(a, 1))), a),
+    "forbidden": lambda r, a: ~F.exists(F.split(a, r"\|"), lambda w: F.regexp(r, F.concat(F.lit(r"(?i)(?U)\b"), w, F.lit(r"\b")))),
+    "letter_count": lambda r, a: _relation(F.regexp_count(F.lower(r), F.lower(_part(a, 1))), a),
+    "sentences": lambda r, a: _relation(F.regexp_count(F.trim(r), F.lit(r"[.!?]+(?=\s|$)|[^.!?\s]\s*$")), a),
+    "words": lambda r, a: _relation(F.regexp_count(r, F.lit(r"(?U)\w+")), a),
+    "paragraphs": lambda r, a: _parted(F.split(r, r"\s?\*\*\*\s?", -1), a.cast("int")),
+    "paragraph_start": lambda r, a: _first_word(F.filter(F.split(r, r"\n\n", -1), lambda p: F.trim(p, F.lit(" \n\t\r")) != ""), a),
+    "placeholders": lambda r, a: F.regexp_count(r, F.lit(r"\[.*?\]")) >= a.cast("int"),
+    "postscript": lambda r, a: F.lower(r).rlike(r"p\.\s?s\."),
+    "second_postscript": lambda r, a: F.lower(r).rlike(r"p\.\s?p\.\s?s"),
+    "bullet_lines": lambda r, a: F.regexp_count(r, F.lit(r"(?m)^\s*\*[^\*].*$")) + F.regexp_count(r, F.lit(r"(?m)^\s*-.*$")) == a.cast("int"),
+    "options": lambda r, a: F.exists(F.split(a, r"\|"), lambda w: F.trim(r).contains(w)),
+    "highlights": lambda r, a: F.regexp_count(r, F.lit(r"\*[^\n\*]*[^\n\*\s][^\n\*]*\*")) >= a.cast("int"),
+    "sections": lambda r, a: F.regexp_count(r, F.concat(_part(a, 1), F.lit(r"\s?\d+"))) >= _part(a, 2).cast("int"),
+    "title": lambda r, a: F.exists(F.regexp_extract_all(r, F.lit(r"<<[^\n]+>>"), 0), lambda t: F.trim(F.trim(t, F.lit("<>"))) != ""),
+    "two_responses": lambda r, a: _two(F.split(r, r"\*{6}", -1)),
+    "repeats_prompt": lambda r, a: F.startswith(F.lower(F.trim(r)), F.lower(F.trim(a))),
+    "ends_phrase": lambda r, a: F.endswith(F.lower(F.trim(F.trim(r), F.lit('"'))), F.lower(F.trim(a))),
+    "capital_words": lambda r, a: _relation(F.regexp_count(r, F.lit(r"(?U)(?<!\S)[^\p{Ll}\s]*\p{Lu}[^\p{Ll}\s]*(?!\S)")), a),
 }
 
 
@@ -588,6 +643,27 @@ def view_change_error(pred: Text, gold: Text) -> Column:
     return F.sqrt(square(0) + square(1) + square(2))
 
 
+def rouge_l(pred: Text, refs: Text, beta: float = 1.2) -> Column:
+    """ROUGE-L of a token array against an array of references: the largest
+    precision and the largest recall over them (Arrow batches); 0 without a
+    common token, null without a prediction or references."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        def score(x, refs) -> float | None:
+            if x is None or refs is None:
+                return None
+            found = [(_common(list(x), list(y)), len(y)) for y in refs if y is not None]
+            if not found:
+                return None
+            p, r = max(n for n, _ in found) / max(len(x), 1), max(n / max(m, 1) for n, m in found)
+            return (1 + beta**2) * p * r / (r + beta**2 * p) if p and r else 0.0
+
+        return pd.Series([score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return run(_c(pred), _c(refs))
+
+
 def lcs_f(pred: Text, gold: Text, beta: float = 1.2) -> Column:
     """ROUGE-L of two token arrays (Arrow batches: one integer per row of the table)."""
 

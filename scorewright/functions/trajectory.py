@@ -130,7 +130,12 @@ def accuracy_reward(text: Text, solution: Text, answer_type: Text, structure: Te
     letter = F.coalesce((reward_letter(text) == F.upper(F.trim(_c(solution)))).cast("double"), F.lit(0.0))
     number = F.coalesce(mra(tagged_number(text), _c(solution).try_cast("double"), zero="exact"), F.lit(0.0))
     raw = F.when(_c(answer_type) == "na", number).otherwise(letter)
-    return F.when(_c(structure) < gate, 0.0).otherwise(raw)
+    return F.when(gated(structure, gate) > 0, 0.0).otherwise(raw)
+
+
+def gated(structure: Text, gate: float = GATE) -> Column:
+    """1 where the structure score is below the gate, so that accuracy is 0."""
+    return (_c(structure) < gate).cast("double")
 
 
 def tool_reward(calls: Text, accuracy: Text, names: tuple[str, str] = TOOLS) -> Column:

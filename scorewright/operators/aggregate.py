@@ -668,19 +668,20 @@ def relative_score(df: DataFrame, by: list[str], model: str, reference: str, mis
     return df.where(good).groupBy(*by).agg((100 * F.avg(model) / F.avg(reference)).alias("relative"))
 
 
-def presence_metrics(df: DataFrame, gold: str, pred: str, tp: str, fp: str, fn: str) -> DataFrame:
+def presence_metrics(df: DataFrame, gold: str, pred: str, tp: str, fp: str, fn: str, f1: str) -> DataFrame:
     """Dataset-level presence and location: image-level Matthews correlation,
     positive micro F1 (mean over the thresholds of element-wise summed counts)
-    and their gated product x 100.  tp, fp, fn are arrays by threshold."""
+    and their gated product x 100, and the macro F1: mean of the samples' own
+    ``f1`` where it is valid (0 or more).  tp, fp, fn are arrays by threshold."""
     g, p = F.col(gold), F.col(pred)
-    whole = df.agg(F.count_if(g & p).alias("a"), F.count_if(~g & ~p).alias("b"), F.count_if(~g & p).alias("c"), F.count_if(g & ~p).alias("d"))
+    whole = df.agg(F.count_if(g & p).alias("a"), F.count_if(~g & ~p).alias("b"), F.count_if(~g & p).alias("c"), F.count_if(g & ~p).alias("d"), F.coalesce(F.avg(F.when(F.col(f1) >= 0, F.col(f1))), F.lit(0.0)).alias("macro_f1"))
     below = F.sqrt(((F.col("a") + F.col("c")) * (F.col("a") + F.col("d"))).cast("double")) * F.sqrt(((F.col("b") + F.col("c")) * (F.col("b") + F.col("d"))).cast("double"))
-    whole = whole.select("a", "b", "c", "d", F.when(below > 0, (F.col("a") * F.col("b") - F.col("c") * F.col("d")) / below).otherwise(0.0).alias("mcc"))
+    whole = whole.select("a", "b", "c", "d", F.when(below > 0, (F.col("a") * F.col("b") - F.col("c") * F.col("d")) / below).otherwise(0.0).alias("mcc"), "macro_f1")
     steps = df.where(g).select(F.posexplode(F.arrays_zip(F.col(tp).alias("tp"), F.col(fp).alias("fp"), F.col(fn).alias("fn"))).alias("k", "x"))
     sums = steps.groupBy("k").agg(*(F.sum(f"x.{c}").alias(c) for c in ("tp", "fp", "fn")))
     two = 2 * F.col("tp") + F.col("fp") + F.col("fn")
-    f1 = sums.agg(F.avg(F.when(two > 0, 2 * F.col("tp") / two).otherwise(0.0)).alias("pmf1"))
-    return whole.crossJoin(f1).select("a", "b", "c", "d", "mcc", "pmf1", (100 * F.col("mcc") * F.col("pmf1")).alias("gated_f1"))
+    micro = sums.agg(F.avg(F.when(two > 0, 2 * F.col("tp") / two).otherwise(0.0)).alias("pmf1"))
+    return whole.crossJoin(micro).select("a", "b", "c", "d", "mcc", "macro_f1", "pmf1", (100 * F.col("mcc") * F.col("pmf1")).alias("gated_f1"))
 
 
 def subset_means(df: DataFrame, language: str, subset: str, value: str) -> DataFrame:

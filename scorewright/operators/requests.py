@@ -68,6 +68,16 @@ def merge_shards(shards: list[DataFrame], key: str = "cache_key") -> DataFrame:
     return first.select(key, "_row.*")
 
 
+def matching_runs(log: DataFrame, model_args: str = "", model: str | None = None, limited: bool = False, args: str = "model_args", limit: str = "limit") -> DataFrame:
+    """Rows of the runs that may be replayed: of the model, if one is named,
+    with every wanted argument (comma-joined) in theirs, and without a limit
+    unless ``limited``."""
+    rows = log if model is None else log.where(F.col("model") == model)
+    for wanted in filter(None, model_args.split(",")):
+        rows = rows.where(F.col(args).contains(wanted))
+    return rows if limited else rows.where(F.col(limit).isNull())
+
+
 def newest_runs(log: DataFrame, task: str = "task", time: str = "time") -> DataFrame:
     """The rows of each task's newest run."""
     newest = log.groupBy(task).agg(F.max(time).alias("_newest"))
@@ -216,11 +226,6 @@ def task_hash(samples: DataFrame, task: str, order: str, digest: str) -> DataFra
     return rows.mapInArrow(run, T.StructType([rows.schema["task"], T.StructField("task_hash", T.StringType())])).toDF(task, "task_hash")
 
 
-def latest(df: DataFrame, by: list[str], order: list) -> DataFrame:
-    """The first row of each group in ``order``."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rn = 1").drop("_rn")
-
-
 def training_messages(raw: DataFrame, question: str = "question", answer: str = "answer", kind: str = "question_type", choice: tuple[str, ...] = (), number: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
     """Raw questions as training rows: messages, solution, answer_type (mca for
     the choice kinds, na for the number kinds) and the columns in ``keep``;

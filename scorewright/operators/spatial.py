@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from scorewright.operators.boxes import SIDES, meeting
 from scorewright.operators.graph import connected_components
+from scorewright.operators.requests import with_parameters
 from scorewright.sources.staging import staged
 
 # --- points ------------------------------------------------------------------------
@@ -200,9 +201,29 @@ def _touching(full: DataFrame, heads: DataFrame, eps: float, place: list[str], c
     return done.union(rest.select("src", "dst").distinct())
 
 
-def relaxed_min_samples(n: int, min_samples: int, most: int = 10_000) -> int:
+def relaxed_min_samples(min_samples: int) -> int:
     """``min_samples`` of a category that was thinned because it was large."""
-    return max(3, min_samples // 5) if n > most else min_samples
+    return max(3, min_samples // 5)
+
+
+def category_clusters(points: DataFrame, radii: DataFrame, default: float = 0.15, min_samples: int = 10, least: int = 30, size: float = 0.05, most: int = 10_000, key: str = "point_id") -> DataFrame:
+    """``key, cluster``: density clusters of each scene and category with the
+    category's own radius (``radii``: category, eps; else the default).
+
+    Categories of fewer than ``least`` points have none.  Those of more than
+    ``most`` are thinned to the first point of each (x, y) cell of ``size`` and
+    take ``relaxed_min_samples``.  Places are divided by their category's
+    radius, so that all categories are one search with radius 1.
+    """
+    sizes = points.groupBy("scene_id", "label").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    rows = points.join(sizes, ["scene_id", "label"]).withColumn("category", F.col("label").cast("string"))
+    rows = with_parameters(rows, radii, "category", "eps", default).select("scene_id", "label", key, "x", "y", "eps", "_n")
+    cells = [F.floor(F.col(c) / size).alias(f"_{c}") for c in "xy"]
+    thin = rows.where(F.col("_n") > most).groupBy("scene_id", "label", "eps", *cells).agg(F.min_by(F.struct(key, "x", "y"), key).alias("_p"))
+    thin = thin.select("scene_id", "label", f"_p.{key}", "_p.x", "_p.y", "eps")
+    scaled = lambda df: df.select("scene_id", "label", key, (F.col("x") / F.col("eps")).alias("x"), (F.col("y") / F.col("eps")).alias("y"))
+    few = dbscan(scaled(rows.where(F.col("_n") <= most)), 1.0, min_samples, key)
+    return few.union(dbscan(scaled(thin), 1.0, relaxed_min_samples(min_samples), key))
 
 
 def voxel_components(voxels: DataFrame, dilate: bool = False) -> DataFrame:
@@ -394,6 +415,18 @@ def grid_map(inst: DataFrame, bounds: DataFrame, n: int = 10) -> DataFrame:
     return listed.groupBy("scene_id", "row", "col").agg(F.sort_array(F.collect_set("label")).alias("categories"))
 
 
+def occupied_area(cells: DataFrame, bounds: DataFrame, n: int = 10) -> DataFrame:
+    """``scene_id, occupied_cells, occupied_area`` of a ``grid_map``."""
+    side = lambda axis: (F.col(f"{axis}_max") - F.col(f"{axis}_min")) / n
+    counts = cells.groupBy("scene_id").agg(F.count("*").alias("occupied_cells"))
+    return counts.join(bounds, "scene_id").select("scene_id", "occupied_cells", (F.col("occupied_cells") * side("x") * side("y")).alias("occupied_area"))
+
+
+def floor_area(cells: DataFrame, grid: float) -> DataFrame:
+    """``scene_id, floor_area`` of the traversable cells of ``route_cells``."""
+    return cells.groupBy("scene_id").agg((F.count("*") * grid * grid).alias("floor_area"))
+
+
 def route_cells(points: DataFrame, voxel: float, grid: float, least: int, truncate: bool = False) -> DataFrame:
     """``scene_id, row, col, n``: grid cells with at least ``least`` distinct
     floor voxels."""

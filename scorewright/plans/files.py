@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scorewright.functions import registry
 from scorewright.operators import aggregate as A
+from scorewright.operators import requests as R
 from scorewright.plans.base import query, rounded, table
 from scorewright.sources import io
 from scorewright.sources.staging import fresh_path
@@ -26,6 +27,22 @@ def src_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_json_lines(spark, path, "conv_id bigint, turn bigint, role string, text string")
 
 
+@query("select event_type as request_type, count(*) as n, count(distinct event_id) as keys from events where event_id % 2 = 0 and trim(coalesce(props, '')) <> '' and event_id % 5 > 0 group by 1")
+def src_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC6, SNK6, JOIN1: every response appended to the audit log over several
+    writes; the deterministic valid ones become a cache, written and read."""
+    log, cache, e = fresh_path(spark, "audit"), fresh_path(spark, "cache"), F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(
+        e.cast("string").alias("cache_key"), F.col("event_type").alias("request_type"), F.lit("t").alias("task_name"), e.alias("doc_id"), F.lit(0).alias("idx"), F.lit("{}").alias("gen_kwargs"),
+        F.when(e % 5 > 0, F.col("props")).alias("response"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("created_at"), (e % 2 == 0).alias("deterministic"),
+    )
+    for k in range(2):
+        io.append_audit(rows.where(F.col("doc_id") % 3 < 1 if k else F.col("doc_id") % 3 >= 1), log)
+    audit = io.read_json_lines(spark, log, io.AUDIT_LOG).withColumn("ll", F.lit(None).cast("array<double>"))
+    R.cacheable(audit, "request_type", "response").drop("ll", "deterministic").write.parquet(cache)
+    return io.read_cache(spark, cache).groupBy("request_type").agg(F.count("*").alias("n"), F.countDistinct("cache_key").alias("keys"))
+
+
 @query("select event_id::int as mask_idx, user_id::int as frame_idx from events where event_id % 10 > 1")
 def src_frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC7: comments and broken lines are skipped."""

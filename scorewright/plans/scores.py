@@ -487,17 +487,17 @@ def agg_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with r as (select p_size > 10 as g, p_retailprice > 1200 as p, [p_size % (k + 2) for k in range(10)] as tp, [p_size % (k + 3) for k in range(10)] as fp, [p_size % (k + 4) for k in range(10)] as fn from part),
-    w as (select count(*) filter (g and p) as a, count(*) filter (not g and not p) as b, count(*) filter (not g and p) as c, count(*) filter (g and not p) as d from r),
+    with r as (select p_size > 10 as g, p_retailprice > 1200 as p, case when p_size > 10 then p_size / 60 else -1 end as f1, [p_size % (k + 2) for k in range(10)] as tp, [p_size % (k + 3) for k in range(10)] as fp, [p_size % (k + 4) for k in range(10)] as fn from part),
+    w as (select avg(f1) filter (f1 >= 0) as macro_f1, count(*) filter (g and p) as a, count(*) filter (not g and not p) as b, count(*) filter (not g and p) as c, count(*) filter (g and not p) as d from r),
     s as (select k, sum(tp[k]) as tp, sum(fp[k]) as fp, sum(fn[k]) as fn from r, (select unnest(range(1, 11)) as k) where g group by 1),
     m as (select *, coalesce((a::double * b - c::double * d) / nullif(sqrt((a + c)::double * (a + d) * (b + c) * (b + d)), 0), 0) as mcc, (select avg(2 * tp / (2 * tp + fp + fn)) from s) as f from w)
-    select a, b, c, d, round(mcc, 6) as mcc, round(f, 6) as pmf1, round(100 * mcc * f, 5) as gated_f1 from m""")
+    select a, b, c, d, round(mcc, 6) as mcc, round(macro_f1, 6) as macro_f1, round(f, 6) as pmf1, round(100 * mcc * f, 5) as gated_f1 from m""")
 def agg_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG45."""
     n = lambda j: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.col("p_size") % (k + j))
-    rows = table(spark, sf_dir, "part").select((F.col("p_size") > 10).alias("g"), (F.col("p_retailprice") > 1200).alias("p"), n(2).alias("tp"), n(3).alias("fp"), n(4).alias("fn"))
-    found = A.presence_metrics(rows, "g", "p", "tp", "fp", "fn")
-    return found.select("a", "b", "c", "d", F.round("mcc", 6).alias("mcc"), F.round("pmf1", 6).alias("pmf1"), F.round("gated_f1", 5).alias("gated_f1"))
+    rows = table(spark, sf_dir, "part").select((F.col("p_size") > 10).alias("g"), (F.col("p_retailprice") > 1200).alias("p"), n(2).alias("tp"), n(3).alias("fp"), n(4).alias("fn"), F.when(F.col("p_size") > 10, F.col("p_size") / 60).otherwise(-1.0).alias("f1"))
+    found = A.presence_metrics(rows, "g", "p", "tp", "fp", "fn", "f1")
+    return found.select("a", "b", "c", "d", F.round("mcc", 6).alias("mcc"), F.round("macro_f1", 6).alias("macro_f1"), F.round("pmf1", 6).alias("pmf1"), F.round("gated_f1", 5).alias("gated_f1"))
 
 
 @query("select lang, source, round(avg(n_chars), 4) as mean, count(n_chars) as n from documents group by cube (lang, source)")

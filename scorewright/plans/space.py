@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from scorewright.operators import nearest as N
 from scorewright.operators import spatial as P
 from scorewright.plans.base import query, rounded, table
+from scorewright.sources import io
+from scorewright.sources.staging import fresh_path
 
 _PTS = "p as (select 's' || (vec_id % 3) as scene_id, vec_id as point_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z, label from embeddings)"
 
@@ -41,12 +43,19 @@ def pts_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    with {_PTS}, v as (select distinct scene_id, label, floor((x - min(x) over (partition by scene_id)) / 0.2) as ix, floor((y - min(y) over (partition by scene_id)) / 0.2) as iy, floor((z - min(z) over (partition by scene_id)) / 0.2) as iz from p)
-    select scene_id, label, count(*) as n_voxels from v group by 1, 2""")
+    with recursive {_PTS}, v as (select distinct scene_id, label, floor((x - min(x) over (partition by scene_id)) / 0.2) as ix, floor((y - min(y) over (partition by scene_id)) / 0.2) as iy, floor((z - min(z) over (partition by scene_id)) / 0.2) as iz from p),
+    u as (select *, row_number() over (order by scene_id, label, ix, iy, iz) as k from v), d as (select unnest([-1, 0, 1]) as d),
+    o as (select a.d as x, b.d as y, c.d as z from d a, d b, d c where abs(a.d) + abs(b.d) + abs(c.d) <= 2),
+    reach as (select distinct a.x - b.x + e.x as x, a.y - b.y + e.y as y, a.z - b.z + e.z as z from o a, o b, o e where abs(e.x) + abs(e.y) + abs(e.z) <= 1),
+    link as (select a.k as a, b.k as b from u a join reach on true join u b on b.scene_id = a.scene_id and b.label = a.label and b.ix = a.ix + x and b.iy = a.iy + y and b.iz = a.iz + z),
+    walk(a, b) as (select k, k from u union select w.a, l.b from walk w join link l on w.b = l.a),
+    named as (select a as k, min(b) as component from walk group by 1)
+    select scene_id, label, component_size, count(*) as n_components from (select scene_id, label, component, count(*) as component_size from u join named using (k) group by 1, 2, 3) group by 1, 2, 3""")
 def pts_voxel_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PTS5 (cells by category; components are tested against brute force)."""
+    """PTS5: instances by the number of their cells."""
     found = P.voxel_components(P.voxelize(_points(spark, sf_dir), 0.2), dilate=True)
-    return found.groupBy("scene_id", "label").agg(F.count("*").alias("n_voxels"))
+    sizes = found.groupBy("scene_id", "label", "component").agg(F.count("*").alias("component_size"))
+    return sizes.groupBy("scene_id", "label", "component_size").agg(F.count("*").alias("n_components"))
 
 
 @query()
@@ -157,6 +166,40 @@ def pts_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("categories", F.array_join(F.col("categories").cast("array<string>"), ","))
 
 
+@query(f"""
+    with recursive {_CLUSTERS}, b as (select scene_id, min(x) as lx, max(x) as hx, min(y) as ly, max(y) as hy from p group by 1),
+    r as (select scene_id, (hx - lx) * (hy - ly) / 100 as cell, least(greatest(floor((y0 - ly) / (hy - ly) * 10), 0), 9)::int as r0, least(greatest(floor((y1 - ly) / (hy - ly) * 10), 0), 9)::int as r1,
+      least(greatest(floor((x0 - lx) / (hx - lx) * 10), 0), 9)::int as c0, least(greatest(floor((x1 - lx) / (hx - lx) * 10), 0), 9)::int as c1 from inst join b using (scene_id)),
+    e as (select distinct scene_id, cell, row, unnest(range(c0, c1 + 1)) as col from (select *, unnest(range(r0, r1 + 1)) as row from r)),
+    v as (select distinct scene_id, floor(x / 0.05) as vx, floor(y / 0.05) as vy from p),
+    w as (select scene_id, count(*) * 0.01 as floor_area from (select scene_id, floor(vy / 2), floor(vx / 2) from v group by 1, 2, 3 having count(*) >= 2) group by 1)
+    select scene_id, occupied_cells, round(occupied_area, 6) as occupied_area, round(floor_area, 6)::double as floor_area from (select scene_id, count(*) as occupied_cells, count(*) * any_value(cell) as occupied_area from e group by 1) join w using (scene_id)""")
+def pts_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PTS11 (occupied area), PTS12 (floor area)."""
+    points = _points(spark, sf_dir)
+    bounds = P.scene_bounds(points)
+    occupied = P.occupied_area(P.grid_map(_instances(spark, sf_dir), bounds), bounds)
+    return rounded(occupied.join(P.floor_area(P.route_cells(points, 0.05, 0.1, 2), 0.1), "scene_id"))
+
+
+_RADII = {"1": 0.05, "2": 0.12}
+
+
+@query(f"""
+    with recursive {_PTS}, n as (select scene_id, label, count(*) as n from p group by 1, 2),
+    s as (select p.*, case label when 1 then 0.05 when 2 then 0.12 else 0.08 end as eps, n from p join n using (scene_id, label) where n >= 5),
+    t as (select scene_id, label, eps, arg_min(x, point_id) as x, arg_min(y, point_id) as y, min(point_id) as point_id, 3 as least from s where n > 17 group by scene_id, label, eps, floor(x / 0.05), floor(y / 0.05)
+      union all select scene_id, label, eps, x, y, point_id, 4 as least from s where n <= 17),
+    near as (select a.point_id as a, b.point_id as b, a.least from t a join t b using (scene_id, label) where a.point_id <> b.point_id and (a.x / a.eps - b.x / b.eps) ** 2 + (a.y / a.eps - b.y / b.eps) ** 2 <= 1),
+    core as (select a from near group by 1 having count(*) + 1 >= any_value(least)), link as (select a, b from near where a in (select a from core) and b in (select a from core)),
+    walk(a, b) as (select a, a from core union select w.a, l.b from walk w join link l on w.b = l.a), named as (select a, min(b) as cluster from walk group by 1)
+    select a as point_id, cluster from named union all select n.a, min(c.cluster) from near n join named c on n.b = c.a where n.a not in (select a from core) group by 1""")
+def pts_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PTS6 as a whole: a radius for each category, large categories thinned and their minimum relaxed."""
+    radii = io.parameter_table(spark, _RADII)
+    return P.category_clusters(_points(spark, sf_dir), radii, default=0.08, min_samples=4, least=5, size=0.05, most=17)
+
+
 @query(f"""
     with {_PTS}, v as (select distinct scene_id, floor(x / 0.05) as vx, floor(y / 0.05) as vy from p)
     select scene_id, floor(vy / 2)::bigint as row, floor(vx / 2)::bigint as col, count(*) as n from v group by 1, 2, 3 having count(*) >= 2""")
@@ -193,11 +236,14 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with f as (select vec_id::varchar as frame, unnest(embedding) as e, generate_subscripts(embedding, 1) - 1 as i from embeddings), g as (select frame, i, (abs(e) + 0.5::float)::double as d, abs(e)::double * 2 as c from f where abs(e) * 2 >= 0.1::float)
+    with f as (select vec_id::varchar as frame, unnest(embedding)::float as e, generate_subscripts(embedding, 1) - 1 as i from embeddings), g as (select frame, i, (abs(e) + 0.5::float)::float::double as d, abs(e)::double * 2 as c from f where (abs(e) * 2)::float >= 0.1::float)
     select frame, count(*) as n, round(avg(d + 0.5), 4) as x, round(avg((i // 8 - 4) * d / 8 + 1), 4) as y, round(avg(-(i % 8 - 4) * d / 8 + 2), 4) as z from g where d > 0.1 and d < 10 group by 1""")
 def pts_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PTS1, FIL7, SRC8."""
-    found = P.back_project(_frames(spark, sf_dir), confidence=float.fromhex("0x1.99999ap-4"))
+    """PTS1, FIL7, SRC8: frames written, read with their schema and projected."""
+    path = fresh_path(spark, "frames")
+    floats = {c: F.col(c).cast("array<float>") for c in ("depth", "conf")}
+    _frames(spark, sf_dir).withColumns(floats | {c: F.col(c).cast("array<double>") for c in ("k", "c2w")}).write.parquet(path)
+    found = P.back_project(io.read_frames(spark, path), confidence=float.fromhex("0x1.99999ap-4"))
     return found.groupBy("frame").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 4).alias(c) for c in "xyz"))
 
 

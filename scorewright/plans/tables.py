@@ -11,7 +11,7 @@ from scorewright.operators import requests as R
 from scorewright.operators import rollouts as RO
 from scorewright.operators import sampling as S
 from scorewright.operators.ordered import placed
-from scorewright.plans.base import query, rounded, shared, spread, table
+from scorewright.plans.base import ORACLES, query, rounded, shared, spread, table
 from scorewright.sources import io
 
 # --- sampling, limits, windows ---------------------------------------------------------
@@ -265,11 +265,24 @@ def set_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merge_shards([shard(e.where("event_type = 'view'")), shard(e.where("event_type = 'click'")), shard(e)])
 
 
-@query("select event_type, event_id from events where (event_type, date_trunc('day', ts)) in (select event_type, max(date_trunc('day', ts)) from events group by 1)")
+@query("""
+    with r as (select *, date_trunc('day', ts) as day, 'seed=' || (user_id % 3) || ',size=' || (user_id % 2) as model_args from events where event_id % 7 > 0),
+    m as (select * from r where contains(model_args, 'seed=1') and contains(model_args, 'size=0'))
+    select event_type, event_id from m where (event_type, day) in (select event_type, max(day) from m group by 1)""")
 def src_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC5, WIN10."""
-    rows = table(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts"))
-    return R.newest_runs(rows, "event_type", "day").select("event_type", "event_id")
+    """SRC5, WIN10: the newest of the runs with the wanted arguments and no limit."""
+    args = F.concat(F.lit("seed="), (F.col("user_id") % 3).cast("string"), F.lit(",size="), (F.col("user_id") % 2).cast("string"))
+    rows = table(spark, sf_dir, "events").withColumns({"day": F.date_trunc("day", "ts"), "model_args": args, "limit": F.when(F.col("event_id") % 7 == 0, 10)})
+    return R.newest_runs(R.matching_runs(rows, "seed=1,size=0"), "event_type", "day").select("event_type", "event_id")
+
+
+@query("""
+    select o_orderkey as doc_id, string_agg(l_returnflag, ',' order by l_linenumber, l_returnflag) as resps from orders join lineitem on l_orderkey = o_orderkey group by 1""")
+def join_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN2: the responses of a document, in the order of their numbers."""
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    responses = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("idx"), F.col("l_returnflag").alias("text"))
+    return R.with_responses(docs, responses).select("doc_id", F.array_join("resps", ",").alias("resps"))
 
 
 @query("select doc_id, coalesce(case when doc_id % 2 = 0 then n_chars / 10.0 end, (upper(trim(lang)) = upper(trim(substr(text, 1, 2))))::int)::double as score from documents")
@@ -371,6 +384,13 @@ def trj_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "structure", T.accuracy_reward("t", "solution", F.lit("mca"), "structure").alias("accuracy"))
 
 
+@query(f"select structure_band, count(*) as n, round(avg(gated), 6) as gated_share from (select case when doc_id % 2 = 0 then 'A' else 'B' end as structure_band, (structure < 0.85)::int as gated from ({ORACLES['trj_rewards']})) group by 1")
+def trj_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TRJ6: share of the rollouts whose accuracy the gate takes."""
+    rows = _rollouts(spark, sf_dir).select(F.col("solution").alias("structure_band"), T.gated(F.round(T.structure_reward("t", "calls"), 6)).alias("g"))
+    return rows.groupBy("structure_band").agg(F.count("*").alias("n"), F.round(F.avg("g"), 6).alias("gated_share"))
+
+
 @query(rf"""
     with r as (select doc_id, {_ROLL} as t, (doc_id % 3) / 2.0 as acc from documents)
     select doc_id, round((case when contains(t, 'tool_call') then 0.5 * acc else 0 end)::double, 6) as tool, round((case when length(t) <= 800 then 0 when length(t) <= 2400 then -(length(t) - 800) / 1600 else -1 end)::double, 6) as length from r""")

@@ -242,11 +242,12 @@ _GOLD = "case id % 4 when 0 then cast(gold as varchar(9)) when 1 then '0.2' else
     with {_P}, t as (select id, {_NUMS} as a, {_GOLD} as b from p),
     n as (select *, case when trim(a) like '%\\%' escape '\\' then try_cast(regexp_extract(trim(a), '^(.*)%$', 1) as double) / 100 else try_cast(trim(a) as double) end as x, try_cast(trim(b) as double) as y from t)
     select id, (case when x is not null and y is not null and y <> 0 then abs(x - y) / abs(y) <= 0.05 else lower(a) = lower(b) end)::int::double as ok,
-      (lower(a) = lower(b))::int::double as same, (contains(lower(a), lower(b)))::int::double as holds from n""")
+      (lower(a) = lower(b))::int::double as same, (contains(lower(a), lower(b)))::int::double as holds, (id % 7 = id % 5)::int::double as counted from n""")
 def met_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MET1, MET5, MET25."""
     rows = _parts(spark, sf_dir).select("id", shared(_NUMS).alias("a"), shared(_GOLD).alias("b"))
-    return rows.select("id", M.relaxed("a", "b").alias("ok"), M.option_match("a", "b").alias("same"), M.contains_answer("a", "b").alias("holds"))
+    return rows.select("id", M.relaxed("a", "b").alias("ok"), M.option_match("a", "b").alias("same"), M.contains_answer("a", "b").alias("holds"),
+        M.count_answer(F.concat(F.lit("about "), (F.col("id") % 7).cast("string"), F.lit(" of 12")), F.col("id") % 5).alias("counted"))
 
 
 @query("""
@@ -283,32 +284,37 @@ def met_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     with {_W}, t as (select doc_id, t, sum(1 - k) as nb, sum(k) as nc from (select doc_id, 0 as k, unnest(b) as t from w union all select doc_id, 1, unnest(c) from w) group by 1, 2),
     n as (select doc_id, sum(least(nb, nc)) as k, coalesce(sum(least(nb, nc)) filter (t not in ('a', 'an', 'the')), 0) as f, sum(nb + nc) filter (t not in ('a', 'an', 'the')) as m from t group by 1)
     select doc_id, coalesce(k, 0)::int as overlap, round(case when coalesce(m, 0) = 0 then 0 else 2 * f / m end, 6) as f1,
-      round(case when len(a) = 0 then 1 else coalesce(nullif(list_position(list_transform(a, lambda x: suffix(x, 'e')), true), 0) - 1, len(a)) / len(a) end, 6) as prefix from w left join n using (doc_id)""")
+      round(case when len(a) = 0 then 1 else coalesce(nullif(list_position(list_transform(a, lambda x: suffix(x, 'e')), true), 0) - 1, len(a)) / len(a) end, 6) as prefix,
+      round(case when len(a) <> len(b) then 0 when len(a) = 0 then 1 else 1 end, 6)::double as whole, round(case when len(b) <> len(c) then 0 when len(b) = 0 then 1 else list_avg([(b[i] = c[i])::int for i in range(1, len(b) + 1)]) end, 6)::double as positions from w left join n using (doc_id)""")
 def met_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MET7, MET9, AGG51."""
     text = lambda c: F.array_join(c, " ")
-    return rounded(_words(spark, sf_dir).select("doc_id", M.token_overlap(F.col("b"), F.col("c")).alias("overlap"), M.token_f1(text("b"), text("c")).alias("f1"), M.prefix_ratio("a", "b").alias("prefix")))
+    return rounded(_words(spark, sf_dir).select("doc_id", M.token_overlap(F.col("b"), F.col("c")).alias("overlap"), M.token_f1(text("b"), text("c")).alias("f1"), M.prefix_ratio("a", "b").alias("prefix"), M.sequence_accuracy("a", "b").alias("whole"), M.sequence_accuracy("b", "c").alias("positions")))
 
 
 @query("""
-    with m as (select event_id, json_keys(props) as ks, props, '{"k": "' || (event_id % 3) || '"}' as q from events)
-    select event_id, len(ks) as n_keys, (json_extract_string(q, '$.k') = '1')::int::double as recall from m""")
+    with m as (select event_id, json_keys(props) as ks, props, event_id % 3 as k from events)
+    select event_id, len(ks) as n_keys, (k = 1)::int::double as recall, 0.5::double as key_precision, (k = 1)::int::double as same, round(case when k = 1 then 1 else 0.5 end / 2, 6)::double as jaccard from m""")
 def met_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MET10."""
     q = F.concat(F.lit('{"k": "'), F.col("event_id") % 3, F.lit('"}'))
     rows = table(spark, sf_dir, "events").select("event_id", M.json_map("props").alias("m"), M.json_map(q).alias("q"), F.create_map(F.lit("k"), F.lit("1")).alias("g"))
-    return rows.select("event_id", F.size(F.map_keys("m")).alias("n_keys"), M.map_recall("q", "g").cast("double").alias("recall"))
+    more = M.json_map(F.concat(F.lit('{"k": "a b '), F.col("event_id") % 3, F.lit('", "x": "1"}')))
+    gold = M.json_map(F.lit('{"k": "a b 1"}'))
+    return rows.select("event_id", F.size(F.map_keys("m")).alias("n_keys"), M.map_recall("q", "g").cast("double").alias("recall"), M.map_key_precision(more, gold).alias("key_precision"), M.map_equality("q", "g").cast("double").alias("same"), F.round(M.map_jaccard(gold, more), 6).alias("jaccard"))
 
 
 @query(f"""
     with {_P} select id, round(case when gold = 0 then (pred = 0)::int else greatest(0, 1 - abs(pred - gold) / gold) end, 6) as rel, round(((pred - gold) ** 2 + (price / 100 - pred) ** 2) / 2, 5) as mse,
-      round(greatest(0, 1 - sqrt(((pred - gold) ** 2 + (price / 100 - pred) ** 2) / 2) / 50), 6) as nrmse, round(1 - abs(((pred * 9 - gold * 9 + 180) % 360 + 360) % 360 - 180) / 180, 6) as angle from p""")
+      round(greatest(0, 1 - sqrt(((pred - gold) ** 2 + (price / 100 - pred) ** 2) / 2) / 50), 6) as nrmse, round(1 - abs(((pred * 9 - gold * 9 + 180) % 360 + 360) % 360 - 180) / 180, 6) as angle,
+      round(sqrt((pred - gold) ** 2 + (price / 100 - pred) ** 2 + (gold - 3) ** 2), 6) as view from p""")
 def met_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MET11."""
+    """MET11, MET30 (change of view)."""
+    view = M.view_change_error(F.array(F.col("pred").cast("double"), F.col("price") / 100, F.col("gold").cast("double")), F.array(F.col("gold").cast("double"), F.col("pred").cast("double"), F.lit(3.0)))
     a, b = F.array(F.col("pred").cast("double"), F.col("price") / 100), F.array(F.col("gold").cast("double"), F.col("pred").cast("double"))
     one = lambda c: F.array(F.col(c) * 9.0)
     rows = _parts(spark, sf_dir)
-    return rows.select("id", F.round(M.relative_difference("pred", "gold"), 6).alias("rel"), F.round(M.mse(a, b), 5).alias("mse"), F.round(M.normalised_rmse(a, b, 0, 50), 6).alias("nrmse"), F.round(M.angle_rmse(one("pred"), one("gold")), 6).alias("angle"))
+    return rows.select("id", F.round(M.relative_difference("pred", "gold"), 6).alias("rel"), F.round(M.mse(a, b), 5).alias("mse"), F.round(M.normalised_rmse(a, b, 0, 50), 6).alias("nrmse"), F.round(M.angle_rmse(one("pred"), one("gold")), 6).alias("angle"), F.round(view, 6).alias("view"))
 
 
 _BOX = """b as (select id, pred::double as x0, gold::double as y0, pred + 20.0 as x1, gold + price / 60 as y1, gold::double as u0, pred::double as v0, gold + 25.0 as u1, pred + 15.0 as v1 from p)"""
@@ -318,13 +324,14 @@ _BOX = """b as (select id, pred::double as x0, gold::double as y0, pred + 20.0 a
     with {_P}, {_BOX}, i as (select *, greatest(least(x1, u1) - greatest(x0, u0), 0) * greatest(least(y1, v1) - greatest(y0, v0), 0) as n from b)
     select id, round(n / ((x1 - x0) * (y1 - y0) + (u1 - u0) * (v1 - v0) - n), 6) as iou, ((x0 + x1) / 2 between u0 and u1 and (y0 + y1) / 2 between v0 and v1)::int::double as centre,
       (n / ((x1 - x0) * (y1 - y0) + (u1 - u0) * (v1 - v0) - n) >= 0.5)::int::double as at_50, round(greatest(0, 1 - sqrt((x0 / 100 - u0 / 100) ** 2 + (y0 / 100 - v0 / 100) ** 2)), 6) as point,
-      round(exp(-10 * sqrt((x0 / 100 - u0 / 100) ** 2 + (y0 / 100 - v0 / 100) ** 2) / sqrt(2)), 6) as key from i""")
+      round(exp(-10 * sqrt((x0 / 100 - u0 / 100) ** 2 + (y0 / 100 - v0 / 100) ** 2) / sqrt(2)), 6) as key,
+      round((n / ((x1 - x0) * (y1 - y0) + (u1 - u0) * (v1 - v0) - n) + 1) / 2, 6) as many from i""")
 def met_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MET13-MET15."""
     p, g = F.col("pred").cast("double"), F.col("gold").cast("double")
     rows = _parts(spark, sf_dir).select("id", F.array(p, g, p + 20, g + F.col("price") / 60).alias("a"), F.array(g, p, g + 25, p + 15).alias("b"), F.array(p / 100, g / 100).alias("s"), F.array(g / 100, p / 100).alias("t"))
     iou = M.box_iou("a", "b")
-    return rounded(rows.select("id", iou.alias("iou"), M.centre_hit("a", "b").alias("centre"), (iou >= 0.5).cast("double").alias("at_50"), M.point_distance("s", "t").alias("point"), M.keypoint_match(F.array("s"), F.array("t")).alias("key")))
+    return rounded(rows.select("id", iou.alias("iou"), M.centre_hit("a", "b").alias("centre"), (iou >= 0.5).cast("double").alias("at_50"), M.point_distance("s", "t").alias("point"), M.keypoint_match(F.array("s"), F.array("t")).alias("key"), M.many_box_iou(F.array("a"), F.array("b", "a")).alias("many")))
 
 
 @query(f"""
@@ -383,13 +390,15 @@ def met_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     v as (select doc_id, g, text, unnest([text, trim(array_to_string(l[2:], chr(10))), trim(array_to_string(l[:len(l) - 1], chr(10))), trim(array_to_string(l[2:len(l) - 1], chr(10)))]) as x from t),
     w as (select doc_id, g, text, x from v union all select doc_id, g, text, replace(x, '*', '') from v),
     k as (select doc_id, g, x, x = text as own, len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '')) as n from w),
-    c as (select doc_id, own, x <> '' as kept, case g when 0 then n >= 50 when 1 then n <= 300 else contains(lower(x), 'the') end as a, case g when 0 then not contains(x, ',') when 1 then x = lower(x) else suffix(trim(x), '.') end as b from k),
-    r as (select doc_id, bool_or(a and own) as sa, bool_or(b and own) as sb, bool_or(a and kept) as la, bool_or(b and kept) as lb from c group by 1)
-    select doc_id, sa and sb as prompt_strict, (sa::int + sb::int) / 2 as instruction_strict, la and lb as prompt_loose, (la::int + lb::int) / 2 as instruction_loose from r""")
+    c as (select doc_id, own, x <> '' as kept, case g when 0 then n >= 50 when 1 then n <= 300 else contains(lower(x), 'the') end as a, case g when 0 then not contains(x, ',') when 1 then x = lower(x) else suffix(trim(x), '.') end as b,
+      case g when 0 then len(lower(x)) - len(replace(lower(x), 'e', '')) >= 100 when 1 then (len(lower(x)) - len(replace(lower(x), 'the', ''))) / 3 < 5 else contains(x, 'ing') end as e from k),
+    r as (select doc_id, bool_or(a and own) as sa, bool_or(b and own) as sb, bool_or(e and own) as se, bool_or(a and kept) as la, bool_or(b and kept) as lb, bool_or(e and kept) as le from c group by 1)
+    select doc_id, sa and sb and se as prompt_strict, (sa::int + sb::int + se::int) / 3 as instruction_strict, la and lb and le as prompt_loose, (la::int + lb::int + le::int) / 3 as instruction_loose from r""")
 def met_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MET26; a broadcast rule table, tested by cases."""
-    rules = spark.createDataFrame([(0, "min_words", "50"), (0, "no_comma", ""), (1, "max_words", "300"), (1, "lower_case", ""), (2, "has_word", "the"), (2, "ends_with", ".")], "prompt long, check string, argument string")
-    rows = spread(spark, sf_dir, "documents").withColumn("prompt", F.col("doc_id") % 3).join(F.broadcast(rules), "prompt")  # six fixed rows
+    rules = spark.createDataFrame([(0, "min_words", "50"), (0, "no_comma", ""), (1, "max_words", "300"), (1, "lower_case", ""), (2, "has_word", "the"), (2, "ends_with", "."),
+                                  (0, "letter_count", "e|at least|100"), (1, "keyword_count", "the|less than|5"), (2, "options", "ing|zzz")], "prompt long, check string, argument string")
+    rows = spread(spark, sf_dir, "documents").withColumn("prompt", F.col("doc_id") % 3).join(F.broadcast(rules), "prompt")  # nine fixed rows
     per = rows.select("doc_id", M.follows("check", "text", "argument").alias("strict"), M.follows_loosely("check", "text", "argument").alias("loose"))
     return per.groupBy("doc_id").agg(F.every("strict").alias("prompt_strict"), F.avg(F.col("strict").cast("int")).alias("instruction_strict"), F.every("loose").alias("prompt_loose"), F.avg(F.col("loose").cast("int")).alias("instruction_loose"))
 
@@ -405,10 +414,10 @@ def met_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def met_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MET12 (swaps), MET20 (matching blocks of words) and ROUGE-L of AGG12, whole documents against the next, in Arrow batches; tested against plain Python."""
+    """MET12 (swaps), MET20 (matching blocks of words) and ROUGE-L of AGG12 (one reference, and two), whole documents against the next, in Arrow batches; tested against plain Python."""
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     rows = _beside(spark, sf_dir).select("doc_id", "p", "r", words("p").alias("a"), words("r").alias("b"))
-    return rounded(rows.select("doc_id", M.damerau_similarity("p", "r").alias("damerau"), M.ratcliff_similarity("a", "b").alias("ratcliff"), M.lcs_f("a", "b").alias("rouge_l")))
+    return rounded(rows.select("doc_id", M.damerau_similarity("p", "r").alias("damerau"), M.ratcliff_similarity("a", "b").alias("ratcliff"), M.lcs_f("a", "b").alias("rouge_l"), M.rouge_l("a", F.array("b", F.slice("a", 1, 5))).alias("rouge_two")))
 
 
 @query()
@@ -418,6 +427,14 @@ def agg_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.corpus_bleu(rows, ["lang"], "c", "refs"), 4)
 
 
+@query()
+def agg_bleu_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG9 from whole texts: punctuation and symbols stand alone, case is kept; tested against plain Python."""
+    tokens = lambda c: A.bleu_tokens(F.col(c))
+    rows = _beside(spark, sf_dir).select("lang", tokens("p").alias("c"), F.array(tokens("r"), F.transform(tokens("p"), lambda t: F.lower(t))).alias("refs"))
+    return rounded(A.corpus_bleu(rows, ["lang"], "c", "refs"), 4)
+
+
 @query()
 def agg_chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG10 over whole documents; tested against plain Python."""

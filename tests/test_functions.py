@@ -11,6 +11,7 @@ from scorewright.functions import keys as K
 from scorewright.functions import metrics as M
 from scorewright.functions import registry
 from scorewright.functions import trajectory as T
+from scorewright.operators import aggregate as A
 
 
 def one(spark, expr, **values):
@@ -92,6 +93,33 @@ def test_instructions(spark):
     assert check(M.follows, "min_words", "5") is True and check(M.follows, "json") is False and check(M.follows, "unknown") is None
 
 
+CHECKED = [
+    ("keywords", "Big Apple pie", "apple|PIE", True), ("keywords", "apple", "apple|pie", False), ("keyword_count", "a A b", "a|at least|2", True), ("keyword_count", "a A b", "a|less than|2", False),
+    ("forbidden", "cattle", "cat|dog", True), ("forbidden", "a Cat.", "cat|dog", False), ("letter_count", "Eel", "e|at least|2", True), ("letter_count", "Eel", "e|less than|2", False),
+    ("sentences", "One. Two! Three", "at least|3", True), ("sentences", "One. Two!", "at least|3", False), ("words", "one, two-three", "less than|4", True), ("words", "", "at least|1", False),
+    ("paragraphs", "a\n***\nb", "2", True), ("paragraphs", "*** a *** *** b", "2", False), ("paragraphs", "***a***b***", "2", True),
+    ("paragraph_start", "One x.\n\n'Two, y", "2|2|two", True), ("paragraph_start", "One\n\n\n\nTwo", "2|2|one", False), ("paragraph_start", "One", "1|3|one", False),
+    ("placeholders", "[a] and [b c]", "2", True), ("placeholders", "[a", "1", False), ("postscript", "Bye.\nP. S. more", "", True), ("second_postscript", "P.P.S more", "", True), ("second_postscript", "P.S. more", "", False),
+    ("bullet_lines", "* a\n- b\n** c", "2", True), ("bullet_lines", "a", "1", False), ("options", "My answer is yes.", "My answer is yes.|My answer is no.", True), ("options", "maybe", "yes|no", False),
+    ("highlights", "*a* and **b c**", "2", True), ("highlights", "** **", "1", False), ("sections", "SECTION 1 a SECTION 2 b", "SECTION|2", True), ("sections", "SECTION 1", "SECTION|2", False),
+    ("json", '```json\n{"a": 1}\n```', "", True), ("title", "<<Poem>>", "", True), ("title", "<< >>", "", False), ("two_responses", "a ****** b", "", True), ("two_responses", "a ****** a", "", False), ("two_responses", "a", "", False),
+    ("repeats_prompt", "Say it. Then more", "say it", True), ("ends_phrase", 'so "The End"', "the end", True), ("ends_phrase", "no", "the end", False), ("capital_words", "ONE TWO three A1", "at least|3", True), ("capital_words", "One 12", "at least|1", False),
+]
+
+
+@pytest.mark.parametrize(("name", "text", "argument", "want"), CHECKED)
+def test_more_instructions(spark, name, text, argument, want):
+    assert one(spark, M.follows(F.lit(name), F.lit(text), F.lit(argument))) is want
+
+
+def test_rouge_of_several_references(spark):
+    refs = [list("xbd"), list("abcdxyzw"), None]
+    p, r = max(2 / 4, 4 / 4), max(2 / 3, 4 / 8)
+    assert one(spark, M.rouge_l(F.col("a"), F.col("b")), a=list("abcd"), b=refs) == pytest.approx((1 + 1.44) * p * r / (r + 1.44 * p))
+    assert one(spark, M.rouge_l(F.col("a"), F.array(F.col("b"))), a=list("abcd"), b=list("acd")) == pytest.approx(one(spark, M.lcs_f(F.col("a"), F.col("b")), a=list("abcd"), b=list("acd")))
+    assert one(spark, A.bleu_tokens(F.lit("It's a (Test).")).cast("string")) == "[It, ', s, a, (, Test, ), .]"
+
+
 GOOD = """[Rollout: 2 turns, tools: ['spatial_map']]
 --- [Turn 1: Assistant] ---
 ### Step 1: Visual clues
