@@ -3,20 +3,32 @@
 Fixed patterns find assignments, access keys and long hex strings.  The
 method measures each candidate, which is the value of a fixed kind or what
 stands soon after a sensitive word: a run of key characters, with dots or
-without, or a string in quotes.  Its novelty is the number of bytes that
-zstandard needs for it beyond an empty input when primed with a dictionary of
-identifiers and the code around it, over the number it needs for random
-characters of the same alphabet and length.  Novel candidates are reported
-beside the fixed kinds, which stay whatever their novelty.
-Words, identifiers, placeholders and copies of what stands nearby compress
-away; key material does not.
+without, or a string in quotes.  Its novelty is its marginal size under
+zstandard over that of random characters of the same alphabet and length, the
+smaller of two: with the code around it as dictionary, and behind content that
+is coded like identifiers (``Prime``).  Novel candidates are reported beside the
+fixed kinds, which stay whatever their novelty.
+
+The compressor leaves a string of this length as it is, so identifiers that a
+dictionary does not hold literally would look as random as keys.  Therefore
+candidates are measured as the end of a longer input, and in a code in which
+the 128 most frequent letter pairs of identifiers are one byte and a capital is
+a mark and its small letter: names of any kind take fewer and more frequent
+bytes, key material does not.
 """
 
 from __future__ import annotations
 
+import builtins
+import functools
+import importlib
+import keyword
 import random
 import re
+import statistics
+import sys
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,7 +70,7 @@ REACH = 64
 #: Characters on either side of a candidate that prime the compressor.
 AROUND = 256
 #: Share of the size of random characters that a candidate must have when compressed.
-LEAST_NOVELTY = 0.8
+LEAST_NOVELTY = 0.82
 
 # fixed values: identifiers and placeholders that prime the compressor
 IDENTIFIERS = (
@@ -102,16 +114,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return [x[:3] for x in base_values(text)]
 
 
-def random_like(candidate: str) -> str:
-    """Random characters of a candidate's alphabet and length; padding stays.
-
-    Signs other than letters and digits join the alphabet as they occur.
-    """
-    body = candidate.rstrip("=") or candidate
+def _alphabet(body: str) -> str:
+    """The narrowest alphabet of a string; signs other than letters and digits
+    join it as they occur."""
     held = set(body)
     signs = "".join(sorted(held - set(ALPHABETS[-1])))
-    alphabet = next(x for x in ALPHABETS if held <= {*x, *signs}) + signs
-    return "".join(random.Random(len(body)).choices(alphabet, k=len(body))) + candidate[len(body) :]
+    return next(x for x in ALPHABETS if held <= {*x, *signs}) + signs
+
+
+def random_like(candidate: str, draw: int = 0) -> str:
+    """Random characters of a candidate's alphabet and length; padding stays."""
+    body = candidate.rstrip("=") or candidate
+    return "".join(random.Random(len(body) + (draw << 32)).choices(_alphabet(body), k=len(body))) + candidate[len(body) :]
 
 
 def novelty(candidate: str, around: str) -> float:
@@ -134,13 +148,145 @@ def novelty(candidate: str, around: str) -> float:
     return (own - empty) / (drawn - empty)
 
 
+# fixed values: modules of the standard library whose names are identifiers as people write them
+MODULES = (
+    "argparse ast asyncio base64 calendar codecs collections configparser csv ctypes datetime decimal difflib email errno fileinput "
+    "functools gettext glob gzip hashlib html http.client imaplib inspect io ipaddress json locale logging logging.handlers mailbox "
+    "mimetypes multiprocessing os pathlib pickle platform plistlib queue select shelve shutil signal smtplib socket sqlite3 ssl stat "
+    "statistics string subprocess tarfile tempfile textwrap threading tokenize traceback types typing unicodedata unittest "
+    "unittest.mock urllib.parse urllib.request uuid warnings weakref xml.dom xml.etree.ElementTree zipfile"
+)
+# fixed values: paths and platform names that stand in many texts
+PATHS = (
+    "/usr/lib/python3/dist-packages/ /usr/local/lib/ /usr/local/bin/ /usr/share/ /etc/ssl/certs/ /var/lib/ /var/log/ /home/user/ /opt/ /tmp/ "
+    "site-packages node_modules/ x86_64-unknown-linux-gnu x86_64-linux-gnu aarch64-apple-darwin amd64 arm64 utf8mb4_unicode_ci "
+    "multilingual-cased-uncased-base-large-v1 -snapshot -backup -release -latest "
+)
+#: Bytes that stand for letter pairs: those that no folded text has.
+CODES = [*range(32), *range(65, 91), *range(127, 256)]
+#: Symbols of each content, contents, and bytes of the dictionary.
+CONTENT, CONTENTS, DICTIONARY = 1500, 5, 80_000
+#: Random strings whose mean size a candidate is compared with (two for those of more than 4096 characters).
+DRAWS = 12
+
+
+def standard_identifiers() -> list[str]:
+    """Names of the standard library, of its classes' members and of the language."""
+    found = {*keyword.kwlist, *dir(builtins), *sys.stdlib_module_names}
+    for name in MODULES.split():
+        module = importlib.import_module(name)
+        for member in dir(module):
+            found.add(member)
+            own = getattr(module, member, None)
+            if isinstance(own, type):
+                found.update(dir(own))
+    return sorted(x for x in (y.strip("_") for y in found) if len(x) > 2)
+
+
+def _folded(text: str) -> str:
+    return re.sub("[A-Z]", lambda m: "^" + m[0].lower(), text)
+
+
+class Prime:
+    """Content that codes identifiers well: made on the driver, a few kilobytes
+    and a dictionary of ``DICTIONARY`` bytes, and sent to the tasks.
+
+    ``words`` are parts of the corpus' own identifiers (``corpus_words``).  The
+    identifiers of the standard library are cut into parts, and parts of both
+    are joined again in the usual styles, with numbers and dates.
+    """
+
+    def __init__(self, words: tuple[str, ...] = ()) -> None:
+        rng = random.Random(1)
+        names = standard_identifiers()
+        parts = Counter(x.lower() for n in names for x in re.findall("[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", n) if len(x) > 2)
+        known = [w for w, _ in parts.most_common(6000)]
+        samples = [*names, *(IDENTIFIERS.split() + PATHS.split()) * 5, *map(str, range(0, 1000, 7)), *(f"v{n}" for n in range(1, 30))]
+        samples += [f"{y}-{m:02d}-{d:02d}T{(y * m + d) % 24:02d}-{(m * d) % 60:02d}-{(y + d) % 60:02d}" for y in range(1998, 2031) for m, d in ((1, 1), (3, 9), (5, 17), (7, 22), (9, 28), (11, 30), (12, 31))]
+        for k in range(6000):
+            own = [rng.choice(words if words and k % 3 == 0 else known) for _ in range(rng.randint(2, 5))]
+            if rng.random() < 0.4:
+                own.insert(rng.randint(1, len(own)), str(rng.randint(0, 999)))
+            style = rng.random()
+            samples.append("_".join(own) if style < 0.35 else "".join(p.title() for p in own) if style < 0.7 else ("-" if style < 0.85 else "/").join(own))
+        rng.shuffle(samples)
+        folded = [_folded(x) for x in samples]
+        counts = Counter(t[k : k + 2] for t in folded for k in range(len(t) - 1) if t[k] != "^")
+        self.pairs = dict(zip(sorted(counts, key=lambda p: (-counts[p], p)), CODES, strict=False))
+        coded = [self.code(x) for x in samples]
+        self.dictionary = b" ".join([*map(self.code, words), *coded])[:DICTIONARY]
+        symbols, self.contents = list(b"".join(coded)), []
+        for _ in range(CONTENTS):  # shuffled, so that only their frequencies count
+            rng.shuffle(symbols)
+            self.contents.append(bytes(symbols[:CONTENT]) + b" ")
+        self.expected: dict[tuple, float] = {}
+        self.press = self.empty = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"press": None, "empty": None}
+
+    def code(self, text: str) -> bytes:
+        """Bytes of a text: pairs as one, other characters as they are."""
+        text, out, at, pairs = _folded(text), bytearray(), 0, self.pairs
+        while at < len(text):
+            pair = pairs.get(text[at : at + 2])
+            if pair is None:
+                out.append(ord(text[at]) if text[at] < "\x80" else 63)
+                at += 1
+            else:
+                out.append(pair)
+                at += 2
+        return bytes(out)
+
+    def size(self, text: str) -> float:
+        """Mean marginal bytes of a text behind the contents."""
+        if self.press is None:
+            held = zstandard.ZstdCompressionDict(self.dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(level=19)
+            self.press = zstandard.ZstdCompressor(dict_data=held, level=19, write_checksum=False, write_content_size=False, write_dict_id=False)
+            self.empty = [len(self.press.compress(c)) for c in self.contents]
+        coded = self.code(text)
+        return statistics.mean(len(self.press.compress(c + coded)) - n for c, n in zip(self.contents, self.empty, strict=True))
+
+    def novelty(self, candidate: str) -> float:
+        body = candidate.rstrip("=") or candidate
+        key = (_alphabet(body), len(body), len(candidate))
+        if key not in self.expected:
+            draws = range(DRAWS if len(candidate) <= 4096 else 2)
+            self.expected[key] = statistics.mean(self.size(random_like(candidate, k)) for k in draws)
+        return self.size(candidate) / self.expected[key]
+
+
+@functools.cache
+def standard_prime() -> Prime:
+    return Prime()
+
+
+#: Words of the corpus that prime the compressor at most, and documents that have them at least.
+WORDS, LEAST_DOCUMENTS = 4096, 3
+
+
+def corpus_words(docs: DataFrame, text_col: str = "text", most: int = WORDS, least: int = LEAST_DOCUMENTS) -> tuple[str, ...]:
+    """The parts of identifiers and words that most documents have: runs of 3
+    to 12 letters, at most ``most`` of them, in at least ``least`` documents.
+    (Runs of letters, so that a key which is copied does not explain itself.)"""
+    parts = F.regexp_extract_all(named(text_col).cast("string"), F.lit("[A-Z]?[a-z]{2,11}(?![a-z])|[A-Z]{3,12}(?![A-Za-z])"), 0)
+    words = docs.select(F.explode(F.array_distinct(F.transform(parts, lambda w: F.lower(w)))).alias("w"))
+    counts = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return tuple(r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(most).collect())
+
+
 def _classes(value: str) -> bool:
     """Whether a value has letters and digits, as key material does."""
     return bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value))
 
 
-def _share(text: str, start: int, end: int) -> float:
-    return novelty(text[start:end], text[max(0, start - AROUND) : start] + text[end : end + AROUND])
+def _share(text: str, start: int, end: int, prime: Prime) -> float:
+    """Novelty of a candidate: the smaller of that under the prime and that
+    beside the text around it, which is measured only where it may decide."""
+    found = prime.novelty(text[start:end])
+    around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
+    return found if found < LEAST_NOVELTY else min(found, novelty(text[start:end], around))
 
 
 def contexts(text: str) -> Iterator[tuple[int, int]]:
@@ -164,7 +310,7 @@ def contexts(text: str) -> Iterator[tuple[int, int]]:
             yield whole.span(1) if whole.re is _QUOTED else whole.span()
 
 
-def novel_spans(text: str, known: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, float]], int]:
+def novel_spans(text: str, known: list[tuple[int, int, int]], prime: Prime) -> tuple[list[tuple[int, int, int, float]], int]:
     """Candidates that are novel and that no known span explains, and how many
     were measured.  They do not overlap one another.
 
@@ -190,7 +336,7 @@ def novel_spans(text: str, known: list[tuple[int, int, int]]) -> tuple[list[tupl
         for m in (_WHOLE if one else _CANDIDATE).finditer(text, start, end):
             if _classes(m[0]) and free(*m.span()):
                 measured += 1
-                share = _share(text, *m.span())
+                share = _share(text, *m.span(), prime)
                 if share >= LEAST_NOVELTY:
                     parts.append((m.start(), 3, m.end(), share))
         if parts and free(start, end):
@@ -199,20 +345,20 @@ def novel_spans(text: str, known: list[tuple[int, int, int]]) -> tuple[list[tupl
     return found, measured
 
 
-def measured_spans(text: str | None) -> tuple[list[dict], int]:
+def measured_spans(text: str | None, prime: Prime | None = None) -> tuple[list[dict], int]:
     """All spans of a text by start, then kind (code points, end exclusive),
     and the number of strings whose novelty was measured.
 
     Null is taken as empty.  The values of the fixed kinds (what an assignment
     assigns, whole keys and runs) are measured too, but stay whatever it says.
     """
-    text = text or ""
+    text, prime = text or "", prime or standard_prime()
     base = base_values(text)
-    every = [(a, k, b, _share(text, v, b)) for a, k, b, v in base]
+    every = [(a, k, b, _share(text, v, b, prime)) for a, k, b, v in base]
     measured = len(every)
     low = text.lower()
     if any(x in low for x in SENSITIVE):
-        novel, more = novel_spans(text, [x[:3] for x in base])
+        novel, more = novel_spans(text, [x[:3] for x in base], prime)
         every, measured = sorted(every + novel, key=lambda x: x[:2]), measured + more
     return [{"kind": KINDS[k], "start": a, "end": b, "novelty": s} for a, k, b, s in every], measured
 
@@ -247,12 +393,14 @@ def find_secrets(docs: DataFrame, text_col: str = "text", redacting: bool = True
     The second result selects the columns of ``docs`` (those in ``keep``, if
     given) back, whatever their names.  Each row is handled alone: repeated
     rows, empty and null texts and empty tables need no case of their own; a
-    null text stays null.
+    null text stays null.  The compressor is primed with the words that most
+    documents have, which are read first (``corpus_words``).
     """
+    prime = Prime(corpus_words(docs, text_col))
 
     def start():
         def make(texts: list) -> list[pa.Array]:
-            found = [measured_spans(t) for t in texts]
+            found = [measured_spans(t, prime) for t in texts]
             new = [pa.array([s for s, _ in found], _SPAN_TYPE), pa.array([n for _, n in found], pa.int64())]
             if redacting:
                 new.append(pa.array([redact(t, s) for t, (s, _) in zip(texts, found, strict=True)], pa.string()))

@@ -62,3 +62,34 @@ def test_time_grows_with_the_text(text):
 
 def test_odd_texts_have_whole_results(make_docs):
     assert len(secrets.secret_report(make_docs(ODD)).collect()) == len(ODD)
+
+
+NAMES = (
+    "secretManagerServiceClientV1Beta2Config", "oauth2_authorize_redirect_handler", "utf8mb4_unicode_520_ci", "bert-base-multilingual-cased-v2",
+    "/usr/lib/python3/dist-packages/keyring", "2024-05-17T10-22-31-backup", "getUserAccountDetails2", "azureKeyVaultSecretRef01", "example_token_value_1_",
+)
+
+
+def test_names_that_no_dictionary_holds_are_left():
+    """Pronounceable names of syllables and numbers, in several styles, and names as they occur."""
+    rng = random.Random(23)
+    syllables = "ba re ti con ver lo mi na ser tra po der in ex qu sto fi gra mo ple zu ka shi ron tel".split()
+    reported = 0
+    for k in range(300):
+        words = ["".join(rng.choices(syllables, k=rng.randint(2, 4))) for _ in range(rng.randint(2, 4))]
+        number = str(rng.randint(1, 99))
+        name = ["".join(w.title() for w in words) + number, "_".join(words) + "_" + number, "-".join([words[0], number, *words[1:]])][k % 3]
+        reported += bool(secrets.secret_spans(f"The token for {name} is described in the manual."))
+    assert reported <= 24  # 8 %: names of rare letters and names of few letters come near to random ones
+    assert not any(secrets.secret_spans(f"The token for {name} is described in the manual.") for name in NAMES)
+
+
+def test_words_of_the_corpus_prime_the_compressor(spark, make_docs, prose):
+    docs = make_docs([f"{prose(30, k)} KrzywulecHtrmpfqKlient{k} xqzvbnk_wrtplmk" for k in range(5)] + [None, ""])
+    words = secrets.corpus_words(docs)
+    assert {"krzywulec", "htrmpfq", "klient", "xqzvbnk", "wrtplmk"} <= set(words) and len(secrets.corpus_words(docs, most=3)) == 3
+    assert secrets.corpus_words(make_docs([]).limit(0)) == ()
+    name = "xqzvbnkWrtplmkHtrmpfq7"
+    assert secrets.Prime(words).novelty(name) < secrets.standard_prime().novelty(name)
+    key = "q7Zk2LmX9pRt4VbNw3Yc"
+    assert secrets.Prime(words).novelty(key) > secrets.LEAST_NOVELTY
