@@ -44,7 +44,8 @@ def sketch_of(words: Column, width: int = WIDTH, size: int = SIZE) -> Column:
 def with_sketch(df: DataFrame, text: Column, name: str, width: int = WIDTH, size: int = SIZE) -> DataFrame:
     """``df`` with the sketch of ``text`` in column ``name``.
 
-    Null and empty texts have an empty sketch; repeated rows keep theirs.
+    Null and empty texts have an empty sketch; repeated rows keep theirs.  A
+    column of that name is replaced.
     """
     words = "_words"
     while words in df.columns:
@@ -79,18 +80,21 @@ def distinct_shingles(sketch: Column, size: int = SIZE) -> Column:
 
 
 def merge_sketches(df: DataFrame, key: str, sketch: str, size: int = SIZE) -> DataFrame:
-    """``key, sketch``: one sketch for all rows of a key.
+    """``key, sketch``: one sketch for all rows of a key, under the key's name.
 
     Each task keeps ``size`` hashes of a key before the shuffle (a ranked
     limit), so a key of any number of rows stays small.  Keys whose sketches
-    are all empty or null get an empty one.
+    are all empty or null get an empty one; a null key is a key.  Repeated rows
+    change nothing, ties do not occur among distinct hashes, and an empty table
+    gives an empty result.  Names may hold any characters, and other columns
+    take no part.
     """
-    hashes = df.select(F.col(key), F.explode(sketch).alias("h")).distinct()
-    low = hashes.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("h"))).where(F.col("rank") <= size)
-    merged = low.groupBy(key).agg(F.sort_array(F.collect_list("h")).alias("_low"))
-    keys = df.select(key).distinct().withColumnRenamed(key, "_key")
-    found = keys.join(merged, keys["_key"].eqNullSafe(merged[key]), "left")
-    return found.select(F.col("_key").alias(key), F.coalesce("_low", F.array().cast("array<bigint>")).alias("sketch"))
+    rows = df.select(named(key).alias("k"), named(sketch).alias("s"))
+    hashes = rows.select("k", F.explode("s").alias("h")).distinct()
+    low = hashes.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("h"))).where(F.col("n") <= size)
+    merged = low.groupBy(F.col("k").alias("m")).agg(F.sort_array(F.collect_list("h")).alias("low"))
+    found = rows.select("k").distinct().join(merged, F.col("k").eqNullSafe(F.col("m")), "left")
+    return found.select("k", F.coalesce("low", F.array().cast("array<bigint>"))).toDF(key, "sketch")
 
 
 def _cuts(ids: DataFrame) -> list[int]:
@@ -155,7 +159,9 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text has its last floor(n / 4) code points replaced by the
     first as many (or all) of the next document.  Returns ``doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
-    n_shingles``.  Null texts are empty.  A text without words has an empty
+    n_shingles, edited_kept, n_together``: ``edited_kept`` is the share of the
+    text's shingles that the edited text contains, ``n_together`` the distinct
+    shingles of both, from their merged sketch.  Null texts are empty.  A text without words has an empty
     fingerprint, which is like another empty one only.
     """
     rows = docs.select(named(id_col).cast("long").alias("id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
@@ -176,4 +182,6 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         resemblance(F.col("sketch"), F.col("edited_sketch"), size).alias("near_edited"),
         resemblance(F.col("sketch"), following, size).alias("near_next"),
         F.round(distinct_shingles(F.col("sketch"), size), 3).alias("n_shingles"),
+        containment(F.col("sketch"), F.col("edited_sketch"), size).alias("edited_kept"),
+        F.round(distinct_shingles(_low_of_union(F.col("sketch"), F.col("edited_sketch"), size), size), 3).alias("n_together"),
     )

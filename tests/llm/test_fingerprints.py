@@ -78,3 +78,28 @@ def test_merge_and_containment(spark, prose):
     two = spark.createDataFrame([(low(brute(a)), low(brute(a) | brute(b)))], "a array<long>, b array<long>")
     inside, outside = two.select(fp.containment(F.col("a"), F.col("b")), fp.containment(F.col("b"), F.col("a"))).first()
     assert inside == 1.0 and abs(outside - 0.5) < 0.15
+
+
+@pytest.mark.parametrize(("key", "sketch"), [("rank", "n"), ("h", "k"), ("a.b", "s"), ("low", "m"), ("x`y", "rank")])
+def test_merging_under_any_names(spark, key, sketch):
+    rows = [(1, [3, 9], "x"), (1, [5, 7], "y"), (2, [9], "z"), (3, [], "z"), (3, None, "z"), (None, [4], "z"), (None, [4, 1], "z"), (1, [3, 9], "x")]
+    df = spark.createDataFrame(rows, "a int, b array<bigint>, h2 string").toDF(key, sketch, "rank2")
+    merged = fp.merge_sketches(df, key, sketch, 3)
+    assert merged.columns == [key, "sketch"]
+    assert {r[0]: r[1] for r in merged.collect()} == {1: [3, 5, 7], 2: [9], 3: [], None: [1, 4]}
+    assert fp.merge_sketches(df.limit(0), key, sketch).collect() == []
+
+
+def test_shares_and_counts_of_the_edited_text(spark):
+    texts = [" ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60)), "", None]
+    rows = {r["doc_id"]: r for r in fp.edited_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+    def shingles(text):
+        w = (text or "").split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+    for k, text in enumerate(texts):
+        n = len(text or "") // 4
+        edited = (text or "")[: len(text or "") - n] + (texts[(k + 1) % 4] or "")[:n]
+        a, b = shingles(text), shingles(edited)
+        assert rows[k]["edited_kept"] == pytest.approx(len(a & b) / len(a) if a else 1.0) and rows[k]["n_together"] == len(a | b)
