@@ -453,26 +453,60 @@ def heading(pose: Column) -> Column:
     return F.struct(pose[3].alias("x"), pose[7].alias("y"), pose[11].alias("z"), F.pmod(F.degrees(F.atan2(pose[2], pose[10])), F.lit(360.0)).alias("degrees"))
 
 
-def map_similarity(pred: DataFrame, gold: DataFrame, key: str = "map_id") -> DataFrame:
-    """``key, direction, rotation, coverage``: best agreement, over the four
-    quarter turns, of the pairwise directions of shared objects.
+# fixed values: directions in the order of a quarter turn, and other names for them
+FACINGS = ("up", "right", "down", "left")
+FACING_NAMES = {
+    "top": "up", "bottom": "down", "north": "up", "south": "down", "east": "right", "west": "left", "front": "inner", "back": "outer", "into": "inner",
+    "out": "outer", "inside": "inner", "outside": "outer", "forward": "inner", "backward": "outer",
+}
+
+
+def facing(name: Column) -> Column:
+    """A direction by its usual name; blank is null."""
+    low = F.lower(F.trim(name))
+    names = F.create_map(*(F.lit(x) for pair in FACING_NAMES.items() for x in pair))
+    return F.when(low != "", F.coalesce(F.try_element_at(names, low), low))
+
+
+def turned(name: Column, degrees: Column) -> Column:
+    """A direction after quarter turns; inner, outer and unknown ones stay."""
+    order = F.array(*map(F.lit, FACINGS))
+    at = F.array_position(order, name) - 1
+    return F.when(at >= 0, F.get(order, (at + degrees / 90).cast("int") % 4)).otherwise(name)
 
-    Both tables have key, name, x, y.  Pairs are formed inside one map, whose
+
+def map_similarity(pred: DataFrame, gold: DataFrame, key: str = "map_id") -> DataFrame:
+    """``key, direction, facing, overall, rotation, coverage`` under the best of
+    the four quarter turns of the predicted map.
+
+    ``direction`` is the agreement of the pairwise directions of shared objects,
+    ``facing`` the share of shared objects with a gold facing whose turned
+    facing is the same (1 if none has one), ``overall`` 0.7 and 0.3 of them; the
+    largest overall wins, then the smaller turn.  Both tables have key, name,
+    x, y and may have ``facing``.  Pairs are formed inside one map, whose
     objects are few; the turns are a fixed array of four.
     """
-    shared = gold.select(key, "name", F.col("x").alias("gx"), F.col("y").alias("gy")).join(pred.select(key, "name", "x", "y"), [key, "name"])
+    face = lambda df: (facing(F.col("facing")) if "facing" in df.columns else F.lit(None).cast("string"))
+    own = gold.select(key, "name", F.col("x").alias("gx"), F.col("y").alias("gy"), face(gold).alias("gf"))
+    shared = own.join(pred.select(key, "name", "x", "y", face(pred).alias("f")), [key, "name"])
     counts = gold.groupBy(key).agg(F.count("*").alias("_n")).join(shared.groupBy(key).agg(F.count("*").alias("_m")), key, "left")
-    other = shared.select(key, *(F.col(c).alias(f"o_{c}") for c in ("name", "gx", "gy", "x", "y")))
-    pairs = shared.join(other, key).where(F.col("name") < F.col("o_name"))
     turns = F.array(*(F.struct(F.lit(90 * k).alias("r"), F.lit(c).alias("c"), F.lit(s).alias("s")) for k, (c, s) in enumerate([(1, 0), (0, 1), (-1, 0), (0, -1)])))
-    rows = pairs.withColumn("t", F.explode(turns))
+    each = shared.withColumn("t", F.explode(turns))
+    has, right = F.count("gf"), F.count_if(turned(F.col("f"), F.col("t.r")) == F.col("gf"))
+    faces = each.groupBy(key, F.col("t.r").alias("r")).agg(F.when(has > 0, right / has).otherwise(1.0).alias("f"))
+
+    other = shared.select(key, *(F.col(c).alias(f"o_{c}") for c in ("name", "gx", "gy", "x", "y")))
+    rows = shared.join(other, key).where(F.col("name") < F.col("o_name")).withColumn("t", F.explode(turns))
     dx, dy = F.col("x") - F.col("o_x"), F.col("y") - F.col("o_y")
     tx, ty = F.col("t.c") * dx - F.col("t.s") * dy, F.col("t.s") * dx + F.col("t.c") * dy
     same = lambda a, b: (F.signum(a) == F.signum(b)).cast("double")
     agree = (same(tx, F.col("gx") - F.col("o_gx")) + same(ty, F.col("gy") - F.col("o_gy"))) / 2
     per = rows.groupBy(key, F.col("t.r").alias("r")).agg(F.avg(agree).alias("d"))
-    best = per.groupBy(key).agg(F.max("d").alias("direction"), F.max_by("r", F.struct(F.col("d"), -F.col("r"))).alias("rotation"))
-    return counts.join(best, key, "left").select(key, F.coalesce("direction", F.lit(0.0)).alias("direction"), "rotation", (F.coalesce("_m", F.lit(0)) / F.col("_n")).alias("coverage"))
+    both = faces.join(per, [key, "r"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))).withColumn("o", 0.7 * F.col("d") + 0.3 * F.col("f"))
+    best = both.groupBy(key).agg(F.max_by(F.struct("d", "f", "o", "r"), F.struct(F.round("o", 12), -F.col("r"))).alias("b"))
+    found = counts.join(best, key, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return found.select(key, zero("b.d").alias("direction"), zero("b.f").alias("facing"), zero("b.o").alias("overall"), F.col("b.r").alias("rotation"), (F.coalesce("_m", F.lit(0)) / F.col("_n")).alias("coverage"))
 
 
 def merged_masks(masks: DataFrame) -> DataFrame:

@@ -283,5 +283,6 @@ def met_maps_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MET28; tested on turned maps."""
     k = F.row_number().over(Window.partitionBy("map_id").orderBy("vec_id"))
     base = table(spark, sf_dir, "embeddings").withColumn("map_id", F.floor(F.col("vec_id") / 6)).withColumn("name", k.cast("string"))
-    side = lambda a, b: base.select("map_id", "name", F.col("embedding")[a].alias("x"), F.col("embedding")[b].alias("y"))
-    return rounded(P.map_similarity(side(3, 4).where("name <> '6'"), side(0, 1)))
+    names = F.array(*map(F.lit, ("North", "right", "down", "west", "inner", " ")))
+    side = lambda a, b, n: base.select("map_id", "name", F.col("embedding")[a].alias("x"), F.col("embedding")[b].alias("y"), F.get(names, (F.col("vec_id") % n).cast("int")).alias("facing"))
+    return rounded(P.map_similarity(side(3, 4, 5).where("name <> '6'"), side(0, 1, 6)))
