@@ -4,8 +4,8 @@ The test strings are windows of ``width`` consecutive words of the benchmark
 items (an item of fewer words is one window).  Windows of one length form a
 search table: a shift table over blocks of two words says how far the search
 may jump when a block cannot end a window; where the shift is zero, a window
-may end, and the hash of its suffix of ``length`` words leads to the places of
-the benchmark that are compared with the text word by word.
+may end, and the hash of its last words (``SUFFIX`` of them) leads to the bucket
+of benchmark windows that end so, which are compared with the text word by word.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from scorewright.llm.rows import named, with_arrow_columns
 from scorewright.sources.staging import staged
 
 WIDTH = 10
+#: Words at a window's end whose hash is its bucket.
+SUFFIX = 5
 #: Words of the benchmark that one task searches for at a time: about 300 MB of tables.
 BLOCK_WORDS = 1_000_000
 
@@ -46,7 +48,7 @@ class WindowTable:
 
     def __init__(self, length: int) -> None:
         self.length = length
-        self.block = min(2, length)
+        self.block, self.tail = min(2, length), min(SUFFIX, length)
         self.words: list[bytes] = []
         self.first: list[int] = []  # places where items begin
         self.items: list[str] = []
@@ -66,7 +68,7 @@ class WindowTable:
             if far < shift.get(key, m):
                 shift[key] = far
         for start in range(len(words) - m + 1):
-            key = hash(tuple(words[start : start + m]))
+            key = hash(tuple(words[start + m - self.tail : start + m]))
             had = suffix.get(key)
             if had is None:
                 suffix[key] = at + start
@@ -77,7 +79,7 @@ class WindowTable:
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, set[str]]]:
         """Start and items of each occurrence."""
-        m, b, n = self.length, self.block, len(words)
+        m, b, t, n = self.length, self.block, self.tail, len(words)
         jump, shift, suffix, known = m - b + 1, self.shift.get, self.suffix.get, self.words
         end = m
         while end <= n:
@@ -85,9 +87,9 @@ class WindowTable:
             if far:
                 end += far
                 continue
-            window = words[end - m : end]
-            places = suffix(hash(tuple(window)))
+            places = suffix(hash(tuple(words[end - t : end])))
             if places is not None:
+                window = words[end - m : end]
                 places = places if isinstance(places, list) else [places]
                 found = {self.items[bisect_right(self.first, p) - 1] for p in places if known[p : p + m] == window}
                 if found:

@@ -42,3 +42,18 @@ def test_stages_keep_columns_and_clean_documents(spark):
             ids = packing.token_ids(kept[r["doc_id"]])
             assert r["length"] == packing.pieces_of(len(ids) // 4 + 1)[0][1]
     assert langid.UNKNOWN == "und"
+
+
+def test_the_whole_pipeline_takes_odd_documents(spark, tmp_path, prose, make_docs):
+    """Nulls in any column, repeated rows, very long and empty texts, columns that operators use themselves, and no rows at all."""
+    rows = [(k, f"The {prose(60, k)} and the end of it is that", "en", "src0", 10, "x", k, "y") for k in range(12)]
+    rows += [rows[0], (None, rows[3][1], None, None, None, None, None, None), (None, None, None, None, None, None, None, None), (50, "", "en", None, 0, "", None, ""), (51, "the and of to in " * 40_000, None, "src1", 1, "x", 1, "y")]
+    docs = make_docs(rows)
+    for name, table in (("full", docs), ("none", docs.limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, rows[5][1]), (2, None), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path / "full")).collect()
+    ids = {r["doc_id"] for r in packed}
+    assert 5 not in ids and {0, 1, 2, 4} <= ids and 50 not in ids
+    assert sum(r["doc_id"] == 0 and r["piece"] == 0 for r in packed) == 1
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
