@@ -18,10 +18,14 @@ by hash, done on packed arrays:
 
 Steps 2 to 4 are two exchanges.  As rows of one n-gram each, the same join
 would shuffle several times the bytes of the texts (by estimate: 16 bytes for
-each word and order).  The number of ranges
-follows the bytes of the corpus, so a task holds about ``RANGE_BYTES`` of text
-in n-grams of one order, whatever the corpus; a request is as small as one
-n-gram at worst, so the packed rows are never more than plain ones would be.
+each word and order).  The number of ranges follows the bytes of the corpus,
+so a task holds about ``RANGE_BYTES`` of text in n-grams of one order.  A
+request costs about 65 bytes beside its n-grams, so it must not become small:
+every batch asks every range, and beyond a corpus of about 50 billion words
+batches and ranges grow with its square root, which keeps ``LEAST_REQUEST``
+n-grams in a request and the requests in proportion to the corpus (30 million
+words for a batch or a range at 20 trillion).  The number of words of the
+corpus is one number, read by the driver with its bytes.
 
 N-grams stand for their 56-bit hashes.  Two of a corpus of n distinct ones
 share a hash with probability n / 2^56 for each: 1e-7 at ten billion, so about
@@ -55,6 +59,8 @@ UNSEEN = 0.5
 BATCH_WORDS = 1_500_000
 #: Bytes of text whose n-grams of one order a hash range holds, about.
 RANGE_BYTES = 32 << 20
+#: N-grams that a request has at least, about.
+LEAST_REQUEST = 50
 #: Bytes of text whose batches one task reads, about.
 TASK_BYTES = 16 << 20
 #: Bits of an n-gram's hash, and bytes of a difference between sorted ones.
@@ -144,8 +150,19 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, batch_words: int) -> D
     return found.mapInArrow(run, _BATCH)
 
 
-def _text_bytes(docs: DataFrame, text_col: str) -> int:
-    return docs.agg(F.coalesce(F.sum(F.octet_length(named(text_col).cast("string")).cast("long")), F.lit(0)).alias("n")).first()["n"]
+def _corpus(docs: DataFrame, text_col: str) -> tuple[int, int]:
+    """Bytes and words of all texts."""
+    text = named(text_col).cast("string")
+    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+    row = docs.agg(F.sum(F.octet_length(text).cast("long")).alias("b"), F.sum(words.cast("long")).alias("w")).first()
+    return row["b"] or 0, row["w"] or 0
+
+
+def _layout(size: int, words: int, batch_words: int | None, ranges: int | None) -> tuple[int, int]:
+    """Words of a batch and number of ranges for a corpus."""
+    least = math.isqrt(LEAST_REQUEST * words)
+    per_range = max(RANGE_BYTES, least * size // max(words, 1))
+    return batch_words or max(BATCH_WORDS, least), ranges or max(1, -(-size // per_range))
 
 
 def _exploded(ids: bytes, vocabulary: bytes, lengths: list[int], order: int) -> Iterator[tuple]:
@@ -173,15 +190,11 @@ def _requests(batches: DataFrame, order: int, parts: int) -> DataFrame:
         names = [x.split()[0] for x in _ASKED.split(", ")]
         for frame in frames:
             for row in frame.itertuples():
-                # order 0: the number of words, summed like any count
-                yield pd.DataFrame([(row.batch, 0, 0, row.n_words, 0, b"", b"")], columns=names)
                 for n, (distinct, counts, _) in enumerate(_exploded(row.ids, row.vocabulary, row.lengths, order), 1):
                     cut = np.searchsorted(distinct, edges)
                     rows = []
-                    for part in range(parts):
+                    for part in np.flatnonzero(np.diff(cut)).tolist():
                         some, count = distinct[cut[part] : cut[part + 1]], counts[cut[part] : cut[part + 1]]
-                        if not len(some):
-                            continue
                         steps = np.diff(some)
                         width = STEP_BYTES if not len(steps) or int(steps.max()) >> (8 * STEP_BYTES) == 0 else 8
                         often = np.flatnonzero(count > 1)
@@ -223,9 +236,6 @@ def _by_range(asked: DataFrame, parts: int, order: int) -> DataFrame:
 
 def _answers(asked: DataFrame) -> DataFrame:
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if key[0] == 0:
-            words = pack(np.array([pdf["first"].sum()], np.uint64), 8)
-            return pd.DataFrame({"batch": pdf["batch"], "n": 0, "part": 0, "places": b"", "totals": words})
         parts, _, totals, back = _summed(pdf)
         rows, done = [], 0
         for row, (hashes, counts) in zip(pdf.itertuples(), parts, strict=True):
@@ -240,21 +250,21 @@ def _answers(asked: DataFrame) -> DataFrame:
 
 
 def count_table(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, batch_words: int = BATCH_WORDS, ranges: int | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, batch_words: int | None = None, ranges: int | None = None
 ) -> DataFrame:
     """``n, hash, count`` of every n-gram up to ``order``, partitioned by hash.
 
     The counts are those that ``score_documents`` joins.  Null and empty texts
     have none; repeated rows count each; an empty table gives an empty result.
     """
-    parts = ranges or max(1, -(-_text_bytes(docs, text_col) // RANGE_BYTES))
+    batch_words, parts = _layout(*_corpus(docs, text_col), batch_words, ranges)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, distinct, totals, _ = _summed(pdf)
         return pd.DataFrame({"n": key[0], "hash": distinct.astype(np.int64), "count": totals})
 
     asked = _by_range(_requests(numbered(docs, id_col, text_col, batch_words), order, parts), parts, order)
-    return asked.where("n > 0").groupBy("n", "part").applyInPandas(run, "n int, hash bigint, count bigint")
+    return asked.groupBy("n", "part").applyInPandas(run, "n int, hash bigint, count bigint")
 
 
 def _own_counts(at: np.ndarray, counts: np.ndarray, document: np.ndarray) -> np.ndarray:
@@ -296,7 +306,7 @@ def score_documents(
     text_col: str = "text",
     order: int = ORDER,
     alpha: float = ALPHA,
-    batch_words: int = BATCH_WORDS,
+    batch_words: int | None = None,
     ranges: int | None = None,
 ) -> DataFrame:
     """Per row: ``doc_id, n_words, n_seen, n_full, log_score``.
@@ -311,10 +321,10 @@ def score_documents(
 
     ``docs`` must read the same rows in the same order when a task is run
     again, as files do; stage anything else first.  ``ranges`` is the number
-    of hash ranges, by default one for each ``RANGE_BYTES`` of text.
+    of hash ranges, by default one for each ``RANGE_BYTES`` of text (see above).
     """
-    size = _text_bytes(docs, text_col)
-    parts = ranges or max(1, -(-size // RANGE_BYTES))
+    size, corpus = _corpus(docs, text_col)
+    batch_words, parts = _layout(size, corpus, batch_words, ranges)
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     batches = numbered(docs, id_col, text_col, batch_words).repartition(tasks, "batch")
     answers = _answers(_by_range(_requests(batches, order, parts), parts, order)).repartition(tasks, "batch")
@@ -331,7 +341,6 @@ def score_documents(
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in left.itertuples():
-            corpus = int(unpack(right.loc[right["n"] == 0, "totals"].iloc[0], 8)[0])
             lengths = np.asarray(row.lengths, np.int64)
             document = np.repeat(np.arange(len(lengths)), lengths)
             place = np.arange(len(document)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
