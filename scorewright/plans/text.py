@@ -184,11 +184,11 @@ def nrm_vqa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark, sf_dir, "documents").select("doc_id", E.vqa_form("text").alias("form"))
 
 
-@query("select lang, max(to_json([doc_id, n_chars])::varchar) as j from documents group by 1")
+@query("select doc_id, to_json([doc_id, n_chars])::varchar as j, to_json({'lang': lang, 'at': [doc_id]})::varchar as k from documents")
 def nrm_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NRM5."""
-    rows = table(spark, sf_dir, "documents").select("lang", E.stringified(F.array("doc_id", "n_chars")).alias("j"))
-    return rows.groupBy("lang").agg(F.max("j").alias("j"))
+    rows = table(spark, sf_dir, "documents")
+    return rows.select("doc_id", E.stringified(F.array("doc_id", "n_chars")).alias("j"), E.stringified(F.struct("lang", F.array("doc_id").alias("at"))).alias("k"))
 
 
 # --- metrics ------------------------------------------------------------------------
