@@ -87,9 +87,14 @@ def win_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("reward", "step", "rolling_mean", "rolling_std", "saturation", "slope"), 9)
 
 
-@query()
+@query(f"""
+    with {_STEPS}, f as (select reward, step, mean, std, case reward when 'view' then 0.1 else 0.15 end as base, avg((std < 0.02 and abs(mean) < 0.05)::int) over w as saturation,
+        case when count(*) over w >= 5 then regr_slope(mean, step) over w else 0 end as slope, count(*) over w as n from e where reward in ('view', 'click')
+      window w as (partition by reward order by step rows between 49 preceding and current row)),
+    r as (select reward, step, base, case when n < 5 then 1 else greatest(0.1, least(2.0, std / base)) * (1 - greatest(0, saturation - 0.3) / 0.7) * (1 + greatest(0, least(1, -slope / (abs(mean) + 0.05)))) end as factor from f)
+    select reward, step, base::double as base_weight, round(base * factor, 6)::double as raw_weight, round(base * factor * sum(base) over (partition by step) / sum(base * factor) over (partition by step), 6)::double as weight from r""")
 def trj_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TRJ10; tested against plain Python."""
+    """TRJ10."""
     return rounded(RO.adaptive_weights(_steps(spark, sf_dir), {"view": 0.1, "click": 0.15}, {"view": 0.1, "click": 0.15}))
 
 
