@@ -250,6 +250,8 @@ def _edits(a, b, swaps: bool = False) -> int:
     the steps down the column, so a column costs a few integer operations."""
     if not len(a) or not len(b):
         return len(a) + len(b)
+    if len(a) < len(b):  # fewer and wider columns: the distance is the same either way
+        a, b = b, a
     where: dict = {}
     for k, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << k

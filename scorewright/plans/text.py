@@ -216,22 +216,22 @@ def met_mra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    with f as (select doc_id, lower(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g')) as t, lower(coalesce(source, '')) as c from documents),
-    t as (select f.doc_id, trim(regexp_replace(f.t, '\s+', ' ', 'g')) as a, f.t as ra, trim(regexp_replace(coalesce(n.t, ''), '\s+', ' ', 'g')) as b, coalesce(n.t, '') as rb, f.c from f left join f n on n.doc_id = f.doc_id + 1),
+    with f as (select doc_id, lower(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g')) as t, lower(coalesce(source, '')) as c, lang from documents),
+    t as (select f.doc_id, f.lang, trim(regexp_replace(f.t, '\s+', ' ', 'g')) as a, f.t as ra, trim(regexp_replace(coalesce(n.t, ''), '\s+', ' ', 'g')) as b, coalesce(n.t, '') as rb, f.c from f left join f n on n.doc_id = f.doc_id + 1),
     d as (select *, levenshtein(a, b) as ab, levenshtein(a, c) as ac from t),
     s as (select *, 1 - least(coalesce(ab / nullif(greatest(len(ra), len(rb)), 0), 0), coalesce(ac / nullif(greatest(len(ra), len(c)), 0), 0)) as s from d)
     select doc_id, ab as edit, round(case when s >= 0.5 then s else 0 end, 6) as anls, round(case when s >= 0.1 then s else 0 end, 6) as anls_loose,
-      round(coalesce(1 - ab / nullif(greatest(len(a), len(b)), 0), 1), 6) as near, (coalesce(1 - ab / nullif(greatest(len(a), len(b)), 0), 1) >= 0.3)::int::double as close from s""")
+      round(coalesce(1 - ab / nullif(greatest(len(a), len(b)), 0), 1), 6) as near, (1 - levenshtein(trim(c), 'src' || lang) / greatest(len(trim(c)), len('src' || lang)) >= 0.6)::int::double as close from s""")
 def met_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MET3, MET4, MET12, MET24: whole documents against the next one (and their source, as a second reference)."""
     ascii_ = lambda c: F.lower(F.regexp_replace(c, r"[^\x00-\x7F]", "?"))
-    source = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("source", F.lit(""))).alias("c"))
-    rows = _beside(spark, sf_dir).join(source, "doc_id").select("doc_id", ascii_("p").alias("ra"), ascii_("r").alias("rb"), "c")
-    form = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    rows = rows.withColumns({"a": form("ra"), "b": form("rb")})
+    more = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("source", F.lit(""))).alias("c"))
+    rows = _beside(spark, sf_dir).join(more, "doc_id").select("doc_id", "lang", ascii_("p").alias("ra"), ascii_("r").alias("rb"), "c")
+    # the form that anls takes, so that one distance of each pair serves all
+    form = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    pair = (form("rb"), form("ra"))
     anls = lambda least: M.anls("ra", [F.col("rb"), F.col("c")], least, wide=True)
-    near = M.edit_similarity("a", "b", wide=True)
-    return rounded(rows.select("doc_id", M.edit_distance("a", "b", wide=True).alias("edit"), anls(0.5).alias("anls"), anls(0.1).alias("anls_loose"), near.alias("near"), M.near_match("a", "b", 0.3, wide=True).alias("close")))
+    return rounded(rows.select("doc_id", M.edit_distance(*pair, wide=True).alias("edit"), anls(0.5).alias("anls"), anls(0.1).alias("anls_loose"), M.edit_similarity(*pair, wide=True).alias("near"), M.near_match("c", F.concat(F.lit("src"), "lang"), 0.6).alias("close")))
 
 
 _NUMS = "case id % 4 when 0 then cast(pred as varchar(9)) when 1 then cast(gold as varchar(9)) || '%' when 2 then ' ' || p_brand else lower(p_brand) end"
