@@ -417,15 +417,68 @@ def ngrams(tokens: Text, n: Column | int) -> Column:
 REFUSALS = ("I can't", "I cannot", "sorry", "无法", "抱歉")
 
 
+#: Cells of the table of common runs of a text and a hidden text; beyond, a table of each run of words.
+SPAN_CELLS = 1 << 26
+#: From this length on difflib takes frequent characters for junk.
+JUNK_FROM = 200
+
+
+def _runs_table(text: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+    """Length of the longest common run that ends at each pair of places (of fewer than 256)."""
+    out = np.zeros((len(hidden), len(text)), np.uint8)
+    for j, c in enumerate(hidden):
+        if j:
+            np.add(out[j - 1, :-1], 1, out=out[j, 1:])
+        out[j, 0] = 1
+        if not j:
+            out[j] = 1
+        out[j] *= text == c
+    return np.ascontiguousarray(out.T)
+
+
+_STEPS = np.arange(1, 256, dtype=np.uint8)
+
+
+def _blocks(table: np.ndarray, text: np.ndarray, hidden: np.ndarray, least) -> int | None:
+    """Characters of the matching blocks that difflib finds in a table of
+    common runs: the longest run, the first of equal ones, then the same on
+    both sides of it.  ``text`` and ``hidden`` count their letters up to each
+    place.  ``least(most)`` says if so many characters would be too few; None
+    as soon as all that can still match are too few."""
+    most = lambda a, b, c, d: int(np.minimum(text[b] - text[a], hidden[d] - hidden[c]).sum())
+    whole = (0, table.shape[0], 0, table.shape[1])
+    todo, matched, open_ = [(most(*whole), *whole)], 0, most(*whole)
+    while todo:
+        held, a, b, c, d = todo.pop(todo.index(max(todo)))
+        part = table[a:b, c:d]
+        if a:
+            upto = min(b - a, len(_STEPS))
+            part = np.concatenate([np.minimum(part[:upto], _STEPS[:upto, None]), part[upto:]]) if upto < b - a else np.minimum(part, _STEPS[:upto, None])
+        if c:
+            part = np.minimum(part, _STEPS[: d - c])
+        i, j = divmod(int(part.argmax()), d - c)
+        size = int(part[i, j])
+        open_ -= held
+        matched += size
+        i, j = a + i + 1, c + j + 1
+        for side in ((a, i - size, c, j - size), (i, b, j, d)) if size else ():
+            if side[0] < side[1] and side[2] < side[3] and (can := most(*side)):
+                open_ += can
+                todo.append((can, *side))
+        if least(matched + open_):
+            return None
+    return matched
+
+
 def _span(pred: str, hidden: str) -> tuple[float, list[str]]:
     """Similarity and words of the run of predicted words, as many as the
     hidden text has, whose matching-blocks ratio to that text is largest, the
     first of equal ones; only runs with a word of the text are looked at.
 
     The characters that a run has in common with the text, as bags, bound its
-    ratio, and so does the longest common subsequence; bags slide over the
-    words.  Runs are taken by their bound, and the ratio is computed only where
-    both bounds reach the best so far.
+    ratio; bags slide over the words.  Runs are taken by their bound, their
+    blocks are looked up in one table of common runs, and a run is left as soon
+    as its blocks and what may still match cannot reach the best so far.
     """
     import difflib
 
@@ -433,45 +486,57 @@ def _span(pred: str, hidden: str) -> tuple[float, list[str]]:
     n, runs = len(gold), len(words) - len(gold) + 1
     if not n or runs < 1:
         return 0.0, []
-    letters = {c: k for k, c in enumerate(dict.fromkeys(hidden))}
-    bags, known = np.zeros((len(words) + 1, len(letters) + 2), np.int64), set(gold)
-    for k, w in enumerate(words, 1):
-        for c in w:
-            if c in letters:
-                bags[k, letters[c]] += 1
-        bags[k, -2:] = len(w), w in known
-    bags = bags.cumsum(axis=0)
-    held = bags[n:] - bags[:runs]
-    if " " in letters:
-        held[:, letters[" "]] += n - 1
-    have = np.array([hidden.count(c) for c in letters])
-    sizes = held[:, -2] + n - 1 + len(hidden)
-    bound = 2.0 * np.minimum(held[:, :-2], have).sum(axis=1) / sizes
-    where: dict = {}
-    for k, c in enumerate(hidden):
-        where[c] = where.get(c, 0) | 1 << k
-    full, matcher = (1 << len(hidden)) - 1, difflib.SequenceMatcher(None, "", hidden)
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
+    text, sought, known = " ".join(words), codes(hidden), set(gold)
+    if not known.intersection(words):
+        return 0.0, []
+    letters = codes(text)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+    first_at, end_at = starts[:runs], starts[n:] - 1
+    hits = np.concatenate([[0], np.cumsum(np.fromiter((w in known for w in words), np.int64, len(words)))])
+    total = end_at - first_at + len(sought)
+    common, kinds = np.zeros(runs, np.int64), np.unique(sought)
+    for c in kinds:
+        upto = np.concatenate([[0], np.cumsum(letters == c)])
+        common += np.minimum(upto[end_at] - upto[first_at], np.count_nonzero(sought == c))
+    bound = 2.0 * common / total
+    counts = lambda x: np.concatenate([np.zeros((1, len(kinds)), np.int32), np.cumsum(x[:, None] == kinds, axis=0, dtype=np.int32)])
+    junk = len(hidden) >= JUNK_FROM
+    whole = None if junk or len(letters) * len(sought) > SPAN_CELLS else _runs_table(letters, sought)
+    upto, own = counts(letters[:0] if whole is None else letters), counts(sought)
+    matcher = difflib.SequenceMatcher(None, "", hidden) if junk else None
     best, first, chosen = 0.0, -1, []
-    for at in np.argsort(-bound, kind="stable").tolist():
+    tried = np.flatnonzero(hits[n:] > hits[:runs])
+    for at in tried[np.argsort(-bound[tried], kind="stable")].tolist():
         worse = lambda top: top < best or (top == best and at > first)  # noqa: B023, E731
         if bound[at] < best:
             break
-        if not held[at, -1] or worse(bound[at]):
+        if worse(bound[at]):
             continue
-        run = " ".join(words[at : at + n])
-        row = full
-        for c in run:
-            hit = row & where.get(c, 0)
-            row = ((row + hit) | (row - hit)) & full
-        if worse(2.0 * (len(hidden) - row.bit_count()) / sizes[at]):
-            continue
-        matcher.set_seq1(run)
-        ratio = matcher.ratio()
+        a, b, size = int(first_at[at]), int(end_at[at]), int(total[at])
+        if junk:
+            matcher.set_seq1(text[a:b])
+            ratio = matcher.ratio()
+        else:
+            table = _runs_table(letters[a:b], sought) if whole is None else _clipped_rows(whole[a:b])
+            found = _blocks(table, counts(letters[a:b]) if whole is None else upto[a : b + 1], own, lambda most: worse(2.0 * most / size))  # noqa: B023
+            if found is None:
+                continue
+            ratio = 2.0 * found / size
         if ratio > best or (ratio == best > 0 and at < first):
             best, first, chosen = ratio, at, words[at : at + n]
     return best, chosen
 
 
+def _clipped_rows(rows: np.ndarray) -> np.ndarray:
+    """Rows of a table of common runs as if the text began with them."""
+    out = rows.copy()
+    upto = min(len(out), 255)
+    np.minimum(out[:upto], _STEPS[:upto, None], out=out[:upto])
+    return out
+
+
 def hidden_span(pred: Text, hidden: Text) -> Column:
     """Struct similarity, span, precision, recall, f1, jaccard, rouge1, exact
     of the run of predicted words nearest to the hidden text (Arrow batches).

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,25 @@ def test_whole_texts(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     same = lambda wide: df.select(M.edit_distance("a", "b", wide), M.edit_similarity("a", "b", wide), M.near_match("a", "b", 0.4, wide), M.anls("a", [F.col("b"), F.lit("ab")] if wide else F.array("b", F.lit("ab")), 0.2, wide)).collect()
     assert [tuple(r) for r in same(True)] == [tuple(r) for r in same(False)]
+
+
+def test_spans_take_few_comparisons():
+    """Blocks are difflib's, and a run is left as soon as it cannot reach the best."""
+    rng = random.Random(12)
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le"), "<u4")
+    counts = lambda t, kinds: np.array([[t[:k].count(c) for c in kinds] for k in range(len(t) + 1)])
+    for _ in range(300):
+        a, b = ("".join(rng.choices("ab c", k=rng.randint(1, 60))) for _ in range(2))
+        want = sum(x.size for x in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+        args = (M._runs_table(codes(a), codes(b)), counts(a, set(b)), counts(b, set(b)))
+        asked = []
+        assert M._blocks(*args, lambda most: bool(asked.append(most))) == want  # noqa: B023
+        assert all(x >= y for x, y in zip(asked, asked[1:])) and asked[-1] == want
+        assert M._blocks(*args, lambda most: True) is None
+    whole, text = M.SPAN_CELLS, " ".join(rng.choices(["ab", "c", "abc", "b"], k=300))
+    found = M._span(text, "c ab b abc c")
+    try:
+        M.SPAN_CELLS = 0
+        assert M._span(text, "c ab b abc c") == found
+    finally:
+        M.SPAN_CELLS = whole
