@@ -13,12 +13,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scorewright.functions.extract import _c
 from scorewright.functions.metrics import _sum
+from scorewright.operators import grams
 from scorewright.sources.staging import staged
 
 # --- one-column aggregates (AGG1-AGG5) ----------------------------------------
@@ -265,40 +268,99 @@ def error_rate(df: DataFrame, by: list[str], distance: str, length: str) -> Data
     return df.groupBy(*by).agg(F.when(total > 0, F.sum(distance) / total).alias("error_rate"))
 
 
+#: Tokens of the items that one task weighs at once, about.
+CIDER_TOKENS = 1_000_000
+
+
+def _item_bags(rows: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, grams.Bags]:
+    """Item, reference (-1: the prediction) and length of each token list of ``rows``, and their n-grams."""
+    pred, refs = rows.column("p").combine_chunks(), rows.column("r").combine_chunks()
+    each = refs.flatten()
+    size = lambda x: x.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    many = size(refs)
+    item = np.concatenate([np.arange(len(rows)), np.repeat(np.arange(len(rows)), many)])
+    ref = np.concatenate([np.full(len(rows), -1), np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)])
+    lengths = np.concatenate([size(pred), size(each)])
+    return item, ref, lengths, grams.bags(pa.concat_arrays([pred.flatten(), each.flatten()]), lengths, most)
+
+
+def _document_frequencies(rows: DataFrame, most: int, ranges: int) -> DataFrame:
+    """``_g, hashes, counts``: for each group of items the n-grams that the
+    references of two items or more have, with the number of those items.
+
+    A group hands its different n-grams, packed and sorted, to ranges of the
+    hashes; a range sums them and answers each group.
+    """
+
+    def hand(group: pa.Table) -> pa.Table:
+        item, ref, _, made = _item_bags(group, most)
+        found, at = np.unique(made.gram, return_inverse=True)
+        listed = ref[made.bag] >= 0
+        pairs = np.unique(item[made.bag[listed]] * len(found) + at[listed])
+        parts = grams.packed(found, np.bincount(pairs % max(len(found), 1), minlength=len(found)), ranges)
+        g = group.column("_g")[0].as_py()
+        return pa.table({"_range": [k for k, _, _ in parts], "_g": [g] * len(parts), "hashes": [h for _, h, _ in parts], "counts": [c for _, _, c in parts]}, pa.schema([("_range", pa.int32()), ("_g", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())]))
+
+    def answer(part: pa.Table) -> pa.Table:
+        hashes, counts, sizes = grams.unpacked(part.column("hashes"), part.column("counts"))
+        found, at = np.unique(hashes, return_inverse=True)
+        total = np.bincount(at, weights=counts, minlength=len(found)).astype(np.uint32)[at]
+        ends = np.cumsum(sizes)
+        cut = [(hashes[a:b][total[a:b] > 1], total[a:b][total[a:b] > 1]) for a, b in zip(ends - sizes, ends, strict=True)]
+        return pa.table({"_g": part.column("_g"), "hashes": pa.array([h.tobytes() for h, _ in cut], pa.binary()), "counts": pa.array([c.tobytes() for _, c in cut], pa.binary())})
+
+    handed = rows.groupBy("_g").applyInArrow(hand, "_range int, _g long, hashes binary, counts binary")
+    return handed.groupBy("_range").applyInArrow(answer, "_g long, hashes binary, counts binary")
+
+
 def cider(df: DataFrame, id_col: str, pred: str, refs: str, most: int = 4, sigma: float = 6.0) -> DataFrame:
     """``id, cider``: mean over references and orders of TF-IDF cosines, with
     clipped predicted weights and a length penalty, times 10.
 
-    The document frequency of an n-gram counts the items with it in any
-    reference; it is a table joined by n-gram.
+    The document frequency of an n-gram counts the items (rows) with it in any
+    reference.  Items lie in groups of about ``CIDER_TOKENS`` tokens by a hash
+    of their id; n-grams travel as packed hashes (``operators/grams.py``), once
+    to the range that counts them, and only those of two items or more come
+    back.  A null prediction or reference has no n-grams; an item without
+    references has a null value.
     """
-    side = []
-    for n in range(1, most + 1):
-        got = df.select(F.col(id_col).alias("_id"), F.lit(-1).alias("_r"), F.size(pred).alias("_len"), F.explode(gram_counts(F.col(pred), n)).alias("_g"))
-        listed = df.select(F.col(id_col).alias("_id"), F.posexplode(refs).alias("_r", "_t"))
-        ref = listed.select("_id", "_r", F.size("_t").alias("_len"), F.explode(gram_counts(F.col("_t"), n)).alias("_g"))
-        side.append(got.union(ref).withColumn("_n", F.lit(n)))
-    grams = side[0]
-    for more in side[1:]:
-        grams = grams.union(more)
-    tf = staged(grams.groupBy("_id", "_r", "_len", "_n", "_g").agg(F.count("*").alias("_tf")), "grams")  # read four times
-    frequency = tf.where("_r >= 0").groupBy("_n", "_g").agg(F.count_distinct("_id").alias("_df"))
-    items = df.agg(F.count("*").alias("_items"))
-    weighed = tf.join(frequency, ["_n", "_g"], "left").crossJoin(F.broadcast(items))  # one row
-    weight = F.col("_tf") * (F.log(F.col("_items").cast("double")) - F.log(F.greatest(F.coalesce("_df", F.lit(1)), F.lit(1)).cast("double")))
-    weighed = weighed.select("_id", "_r", "_len", "_n", "_g", weight.alias("_w"))
-    norms = weighed.groupBy("_id", "_r", "_len", "_n").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    p, r = weighed.where("_r < 0"), weighed.where("_r >= 0")
-    dots = r.join(p.select("_id", "_n", "_g", F.col("_w").alias("_pw")), ["_id", "_n", "_g"])
-    dots = dots.groupBy("_id", "_r", "_n").agg(F.sum(F.least("_pw", "_w") * F.col("_w")).alias("_dot"))
-    own = norms.where("_r < 0").select("_id", "_n", F.col("_norm").alias("_pnorm"), F.col("_len").alias("_plen"))
-    pairs = norms.where("_r >= 0").join(dots, ["_id", "_r", "_n"], "left").join(own, ["_id", "_n"], "left")
-    near = F.exp(-F.pow(F.col("_plen") - F.col("_len"), 2) / (2 * sigma * sigma))
-    value = F.when((F.col("_norm") > 0) & (F.col("_pnorm") > 0), F.coalesce("_dot", F.lit(0.0)) / (F.col("_norm") * F.col("_pnorm")) * near).otherwise(0.0)
-    summed = pairs.groupBy("_id").agg(F.sum(value).alias("_s"))
-    count = df.select(F.col(id_col).alias("_id"), F.size(refs).alias("_refs"))
-    out = count.join(summed, "_id", "left")
-    return out.select(F.col("_id").alias(id_col), (10 * F.coalesce("_s", F.lit(0.0)) / (most * F.col("_refs"))).alias("cider"))
+    length = F.coalesce(F.size(pred), F.lit(0)) + F.coalesce(F.aggregate(refs, F.lit(0), lambda n, r: n + F.coalesce(F.size(r), F.lit(0))), F.lit(0))
+    given = staged(df.select(F.col(id_col).alias("_id"), F.col(pred).cast("array<string>").alias("p"), F.col(refs).cast("array<array<string>>").alias("r"), length.cast("long").alias("_tokens")), "items")
+    items, tokens = given.agg(F.count("*"), F.coalesce(F.sum("_tokens"), F.lit(0))).first()
+    groups = tokens // CIDER_TOKENS + 1
+    rows = given.drop("_tokens").withColumn("_g", F.pmod(F.xxhash64("_id"), F.lit(groups)))
+    kind = df.schema[id_col].dataType
+
+    def weigh(own: pa.Table, totals: pa.Table) -> pa.Table:
+        item, ref, lengths, made = _item_bags(own, most)
+        n = len(own)
+        found, at = np.unique(made.gram, return_inverse=True)
+        known, counts, _ = grams.unpacked(totals.column("hashes"), totals.column("counts"))
+        frequency = np.ones(len(found))
+        frequency[np.searchsorted(found, known)] = counts
+        pairs, tf = np.unique(made.bag * max(len(found), 1) + at, return_counts=True)
+        bag, gram = pairs // max(len(found), 1), pairs % max(len(found), 1)
+        order = np.zeros(len(found), np.int64)
+        order[at] = made.order
+        cell, weight = bag * (most + 1) + order[gram], tf * (math.log(max(items, 1)) - np.log(frequency[gram]))
+        norm = np.sqrt(np.bincount(cell, weights=weight * weight, minlength=len(lengths) * (most + 1))).reshape(-1, most + 1)
+        mine = np.searchsorted(bag, n)  # bags of predictions come first, in the order of the items
+        key = item[bag[mine:]] * len(found) + gram[mine:]
+        place = np.minimum(np.searchsorted(pairs[:mine], key), max(mine - 1, 0))
+        both = pairs[place] == key if mine else np.zeros(len(key), bool)
+        least = np.minimum(weight[place], weight[mine:])[both] * weight[mine:][both]
+        dot = np.bincount(cell[mine:][both], weights=least, minlength=len(lengths) * (most + 1)).reshape(-1, most + 1)
+        at_ref = np.arange(n, len(lengths))
+        below = norm[at_ref] * norm[item[at_ref]]
+        near = np.exp(-((lengths[item[at_ref]] - lengths[at_ref]) ** 2) / (2 * sigma * sigma))
+        value = np.divide(dot[at_ref], below, out=np.zeros_like(below), where=below > 0).sum(axis=1) * near
+        many = np.bincount(item[at_ref], minlength=n)
+        mean = np.divide(10 * np.bincount(item[at_ref], weights=value, minlength=n), most * many, out=np.full(n, np.nan), where=many > 0)
+        return pa.table({"_id": own.column("_id"), "cider": pa.array(mean, from_pandas=True)})
+
+    totals = _document_frequencies(rows, most, (groups + 1) // 2)
+    schema = T.StructType([T.StructField("_id", kind), T.StructField("cider", T.DoubleType())])
+    return rows.groupBy("_g").cogroup(totals.groupBy("_g")).applyInArrow(weigh, schema).withColumnRenamed("_id", id_col)
 
 
 # --- groups that must be right as a whole (AGG14, AGG16-AGG21, AGG43) -------------

@@ -226,3 +226,18 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "audit")).count() == 4
     io.write_submission(log, str(tmp_path / "sub"), "doc_id", "task")
     assert set(spark.read.json(str(tmp_path / "sub")).columns) == {"doc_id", "answer"}
+
+
+def test_cider_over_groups_of_items(spark, monkeypatch):
+    """The value does not depend on the groups that n-grams are counted in; they travel packed."""
+    rng = random.Random(21)
+    line = lambda: rng.choices("a b c d e".split(), k=rng.randint(0, 12))
+    rows = [(k, line(), [line() for _ in range(rng.randint(1, 3))]) for k in range(120)] + [(200, None, [["a"]]), (201, ["a"], None), (202, ["a"], []), (203, ["a"], [None, ["a"]])]
+    df = spark.createDataFrame(rows, "id long, p array<string>, r array<array<string>>").repartition(3)
+    one = {r["id"]: r["cider"] for r in A.cider(df, "id", "p", "r").collect()}
+    monkeypatch.setattr(A, "CIDER_TOKENS", 100)
+    assert {r["id"]: r["cider"] for r in A.cider(df, "id", "p", "r").collect()} == pytest.approx(one, nan_ok=True)
+    assert len(one) == len(rows) and one[200] == 0 and one[201] is None and one[202] is None and one[203] > 0
+    given = df.select(F.col("id").alias("_id"), "p", "r", (F.col("id") % 5).alias("_g"))
+    assert A._document_frequencies(given, 4, 3).count() <= 15
+    assert A.cider(df.limit(0), "id", "p", "r").collect() == []
