@@ -1,15 +1,19 @@
 """Near copies by the Jaccard similarity of five-word shingles.
 
 This is the near-duplicate operator at the setting of corpus stages: five
-words and a similarity of 0.8 or more.  SimHash cannot give it: there a
-similarity of 0.8 is an expected distance of 10 of 64 bits with a deviation of
-3 (measured: 27 % of the pairs at 0.80 to 0.85 lie within 7 bits), and chains
-of segments with budgets for 17 bits leave no exact segment to look up.
+words and a similarity of 0.8 or more.  Candidates come from the classes of
+SimHash (``simhash.near_links``) and from minimum hashes, since SimHash alone
+loses most pairs there: a similarity of 0.8 is an expected distance of 10 of
+64 bits with a deviation of 3 (measured: 27 % of the pairs at 0.80 to 0.85 lie
+within 7 bits), and chains of segments with budgets for 17 bits leave no exact
+segment to look up.
 
 1. Equal texts are one node (MD5 of the text), sorted by its smallest id.
-2. A node gets ``BANDS`` keys of ``ROWS`` minimum hashes each.  Two texts of
-   similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS: 0.997 at
-   0.8, more above, 0.12 at 0.5.
+2. A node gets the fingerprint of its five-word shingles; the class that
+   fingerprints of ``BITS`` differing bits or fewer connect is its first key.
+   ``BANDS`` keys of ``ROWS`` minimum hashes each follow.  Two texts of
+   similarity s share one of those with probability 1 - (1 - s^ROWS)^BANDS:
+   0.997 at 0.8, more above, 0.12 at 0.5.
 3. Nodes of one key are compared by their exact similarity.  In each round the
    smallest nodes of a key, its hubs (1, 2, 4, ... of them), are compared with
    all others of the key; a node that reaches the threshold with a smaller one
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.llm.rows import named
-from scorewright.llm.simhash import SEED, shingle_bounds
+from scorewright.llm.simhash import SEED, fingerprint, near_links, shingle_bounds
 from scorewright.operators.graph import connected_components
 from scorewright.sources.staging import staged
 
@@ -39,6 +43,8 @@ WIDTH = 5
 #: Least similarity of near copies, in hundredths.
 LEAST = 80
 BANDS, ROWS = 32, 8
+#: Differing bits at which fingerprints are linked.
+BITS = 3
 #: Shingles that are hashed at once.
 CHUNK = 4096
 
@@ -84,7 +90,7 @@ def _place(none: Column, number: Column, node: Column) -> Column:
 
 
 def with_keys(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``node, none, id, keys`` for every row; none marks a null id."""
+    """``node, none, id, fp, keys`` for every row; none marks a null id, fp is the fingerprint."""
     long_id = named(id_col).cast("long")
     rows = docs.select(
         _node(named(text_col)).alias("node"),
@@ -95,12 +101,22 @@ def with_keys(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [band_keys(t, width) for t in batch.column(3).to_pylist()]
+            texts = batch.column(3).to_pylist()
+            made = [band_keys(t, width) for t in texts]
+            fps = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64)
             flat = pa.array(np.concatenate(made) if made else np.array([], np.int64))
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], keys], names=["node", "none", "id", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps.view(np.int64)), keys], names=["node", "none", "id", "fp", "keys"])
 
-    return rows.mapInArrow(run, "node binary, none boolean, id long, keys array<long>")
+    return rows.mapInArrow(run, "node binary, none boolean, id long, fp long, keys array<long>")
+
+
+def simhash_keys(nodes: DataFrame) -> DataFrame:
+    """``place, key`` of the nodes (``place, fp``) whose SimHash class has others."""
+    prints = staged(nodes.groupBy("fp").agg(F.count("*").alias("n")), "fingerprints")
+    classes = connected_components(near_links(prints.select("fp"), BITS)).withColumnRenamed("node", "fp")
+    shared = prints.join(classes, "fp", "left").where("n > 1 or component is not null").select("fp", F.coalesce("component", "fp").alias("key"))
+    return nodes.select("place", "fp").join(shared, "fp").select("place", "key")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, least: int, width: int) -> DataFrame:
@@ -153,9 +169,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     prints = staged(with_keys(docs, id_col, text_col, width), "prints")
     first = F.min(F.struct("none", "id")).alias("first")
-    nodes = prints.groupBy("node").agg(first, F.any_value("keys").alias("keys")).select("node", "first.none", "first.id", "keys")
+    nodes = prints.groupBy("node").agg(first, F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")).select("node", "first.none", "first.id", "fp", "keys")
     nodes = staged(nodes.withColumn("place", _place(F.col("none"), F.col("id"), F.col("node"))), "nodes")
-    keyed = nodes.select("place", F.explode("keys").alias("key"))
+    keyed = simhash_keys(nodes).union(nodes.select("place", F.explode("keys").alias("key")))
     several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     live = staged(keyed.join(several, "key", "left_semi").select("key", F.col("place").alias("node")), "live")
     shared = live.select(F.col("node").alias("place"), F.lit(True).alias("shared")).distinct()

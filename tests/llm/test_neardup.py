@@ -70,3 +70,16 @@ def test_rows_ids_and_odd_texts(make_docs):
     assert neardup.keep_one(docs.limit(0)).collect() == []
     kept = {r["doc_id"] for r in neardup.keep_one(make_docs(rows_of(ODD))).collect()}
     assert kept == {0, 3, 4, 5, 6, 7, 8, 9}
+
+
+def test_classes_of_simhash_are_candidates(make_docs, monkeypatch):
+    """A copy that shares no minimum hashes is found by its fingerprint; one that is not alike stays."""
+    rng = random.Random(17)
+    words = [f"w{rng.random()}" for _ in range(2000)]
+    near = list(words)
+    near[1000] = "other"
+    docs = make_docs([" ".join(words), " ".join(near), " ".join(rng.sample(words, 900)), "", None])
+    monkeypatch.setattr(neardup, "band_keys", lambda text, width=5: neardup.np.array([hash((text, k)) for k in range(neardup.BANDS)], dtype=neardup.np.int64))
+    assert {r["doc_id"] for r in neardup.keep_one(docs).collect()} == {0, 2, 3}
+    keys = neardup.simhash_keys(neardup.with_keys(docs, "doc_id", "text", 5).withColumnRenamed("id", "place")).collect()
+    assert {r["place"] for r in keys} == {0, 1, 3, 4} and len({r["key"] for r in keys}) == 2
