@@ -167,26 +167,48 @@ def _clipped(pred: Column, refs: Column, most: int) -> Column:
 
     @F.pandas_udf("array<bigint>")
     def run(p: pd.Series, r: pd.Series) -> pd.Series:
-        def grams(x, n: int) -> Counter:
-            return Counter(x[k : k + n] for k in range(len(x) - n + 1)) if isinstance(x, str) else Counter(zip(*(x[k:] for k in range(n)), strict=False))
-
-        def matches(x, refs) -> list[int] | None:
-            if x is None or refs is None:
-                return None
-            x, refs = (x if isinstance(x, str) else list(x)), [y if isinstance(y, str) else list(y) for y in refs if y is not None]
-            out = []
-            for n in range(1, most + 1):
-                best: Counter = Counter()
-                for y in refs:
-                    best |= grams(y, n)
-                out.append(sum((grams(x, n) & best).values()))
-            return out
-
-        return pd.Series([matches(x, y) for x, y in zip(p, r, strict=True)])
+        return pd.Series([None if x is None or y is None else _matches(x, [z for z in y if z is not None], most) for x, y in zip(p, r, strict=True)])
 
     return run(pred, refs)
 
 
+def _matches(x, refs: list, most: int) -> list[int]:
+    """Matches of each order.  Tokens are numbered, so that an n-gram is one
+    integer of 64 bits; where the numbers are too many for that, it is the
+    number of its first words and the last word, numbered again."""
+    sizes = np.array([len(y) for y in (x, *refs)])
+    if isinstance(x, str):
+        flat = np.frombuffer("".join((x, *refs)).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    else:
+        known: dict = {}
+        flat = np.array([known.setdefault(t, len(known)) for y in (x, *refs) for t in y], np.uint64)
+    width = int(flat.max()).bit_length() if len(flat) else 1
+    if width * most > 64:
+        flat = np.unique(flat, return_inverse=True)[1].astype(np.uint64)
+        width = int(flat.max()).bit_length()
+    ends = np.cumsum(sizes)
+    starts, now, out = ends - sizes, flat, []
+    for n in range(1, most + 1):
+        if n > 1:
+            if width * n > 64:
+                now = np.unique(now, return_inverse=True)[1].astype(np.uint64)
+            if int(now.max(initial=0)).bit_length() + width > 64:
+                raise ValueError("too many different n-grams in one row")
+            now = now[:-1] << np.uint64(width) | flat[n - 1 :]
+        if sizes[0] < n:
+            return out + [0] * (most + 1 - n)
+        own, many = np.unique(now[: ends[0] - n + 1], return_counts=True)
+        best = np.zeros(len(own), np.int64)
+        for a, b in zip(starts[1:].tolist(), ends[1:].tolist(), strict=True):
+            if b - a < n:
+                continue
+            theirs, have = np.unique(now[a : b - n + 1], return_counts=True)
+            at = np.minimum(np.searchsorted(theirs, own), len(theirs) - 1)
+            np.maximum(best, np.where(theirs[at] == own, have[at], 0), out=best)
+        out.append(int(np.minimum(best, many).sum()))
+    return out
+
+
 def bleu_tokens(text: str | Column) -> Column:
     """Tokens for BLEU: punctuation and symbols stand alone, case is kept."""
     return F.filter(F.split(F.regexp_replace(_c(text), r"([\p{P}\p{S}])", " $1 "), r"\s+"), lambda t: t != "")

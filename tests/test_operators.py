@@ -241,3 +241,23 @@ def test_cider_over_groups_of_items(spark, monkeypatch):
     given = df.select(F.col("id").alias("_id"), "p", "r", (F.col("id") % 5).alias("_g"))
     assert A._document_frequencies(given, 4, 3).count() <= 15
     assert A.cider(df.limit(0), "id", "p", "r").collect() == []
+
+
+def test_matches_of_packed_grams():
+    """Clipped matches are those of bags, whether tokens fit into 64 bits or are numbered again."""
+    rng = random.Random(31)
+    grams = lambda t, n: Counter(tuple(t[k : k + n]) for k in range(len(t) - n + 1))
+    for many in (2, 30, 40_000):
+        for _ in range(60):
+            x, *refs = ([f"w{rng.randrange(many)}" for _ in range(rng.choice([0, 1, 5, 80, 300]))] for _ in range(rng.randint(1, 4)))
+            for a, rs in ((x, refs), ("".join(chr(97 + len(w)) + w + "\U0001f600" * (many == 30) for w in x), ["".join(y) for y in refs])):
+                for most in (4, 6):
+                    want = []
+                    for n in range(1, most + 1):
+                        best = Counter()
+                        for y in rs:
+                            best |= grams(y, n)
+                        want.append(sum((grams(a, n) & best).values()))
+                    assert A._matches(a, rs, most) == want
+    long = [f"w{k}" for k in range(70_000)]
+    assert A._matches(long, [long[5:] + ["x"] * 9], 4) == [69_995, 69_994, 69_993, 69_992]
