@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -81,48 +82,89 @@ def _figures(past: np.ndarray, new: np.ndarray, n: int) -> np.ndarray:
     return np.column_stack([means, slope, k])
 
 
+#: A waiting step, packed; microseconds of a bucket of them; rows whose figures are made at once, about.
+STEP = np.dtype([("ts", "<i8"), ("step", "<i8"), ("mean", "<f8"), ("std", "<f8"), ("flag", "<f8")])
+BUCKET, AT_ONCE = 3_600_000_000, 10_000
+
+
 class RewardFigures(StatefulProcessor):
     """State of a reward: steps that the watermark has not passed, and the last
     ``n - 1`` that it has.  A timer at the earliest waiting step wakes the key
     when the watermark passes it; what is behind the watermark then is taken in
-    the order of event time and step, whatever batch it came in."""
+    the order of event time and step, whatever batch it came in.
+
+    Waiting steps lie packed in buckets of event time, and a few buckets at a
+    time are read and come out, so a worker never holds all that waits.
+    """
 
     def __init__(self, key: str, n: int) -> None:
         self.key, self.n = key, n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts bigint, step bigint, mean double, std double, flag double")
+        self.waiting = handle.getMapState("waiting", "bucket bigint, part bigint", "steps binary")
+        self.parts = handle.getValueState("parts", "n bigint")
         self.past = handle.getListState("past", "mean double, std double, flag double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first = None
+        first, part = None, self.parts.get()[0] if self.parts.exists() else 0
         for pdf in rows:
-            at = pdf["ts"].astype("datetime64[us]").astype("int64")
-            values = pdf[["mean", "std", "flag"]].astype("float64").itertuples(index=False, name=None)
-            found = [(int(t), int(s), *v) for t, s, v in zip(at, pdf["step"], values, strict=True)]
-            if found:
-                self.waiting.appendList(found)
-                first = min([t for t, *_ in found] + ([] if first is None else [first]))
+            if not len(pdf):
+                continue
+            found = np.zeros(len(pdf), STEP)
+            found["ts"] = pdf["ts"].astype("datetime64[us]").astype("int64")
+            for c in STEP.names[1:]:
+                found[c] = pdf[c].astype(STEP[c])
+            bucket = found["ts"] // BUCKET
+            order = np.argsort(bucket, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                self.waiting.updateValue((int(bucket[own[0]]), part), (found[own].tobytes(),))
+                part += 1
+            first = min(int(found["ts"].min()), first if first is not None else int(found["ts"].min()))
         if first is not None:
+            self.parts.update((part,))
             self.handle.registerTimer(first // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get())
-        ready, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        if rest:
-            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        keys = sorted((int(k[0]), int(k[1])) for k in self.waiting.keys())
         past = np.array(list(self.past.get()), float).reshape(-1, 3)
-        new = np.array([r[2:] for r in ready], float).reshape(-1, 3)
-        made = _figures(past, new, self.n)
-        kept = np.concatenate([past, new])[-(self.n - 1) :] if self.n > 1 else past[:0]
-        if len(kept):
-            self.past.put([tuple(map(float, r)) for r in kept])
-        columns = [pd.Series([key[0]] * len(ready), dtype=object), [r[1] for r in ready], *new[:, :2].T, *made[:, :4].T, made[:, 4].astype("int64")]
-        yield pd.DataFrame(dict(zip(("reward", "step", "mean", "std", "rolling_mean", "rolling_std", "saturation", "slope", "n"), columns, strict=True)))
+        held: list[np.ndarray] = []
+        later = next((b * BUCKET for b, _ in keys if b * BUCKET > passed), None)
+        for bucket, own in groupby((k for k in keys if k[0] * BUCKET <= passed), key=lambda k: k[0]):
+            own = list(own)
+            steps = np.concatenate([np.frombuffer(self.waiting.getValue(k)[0], STEP) for k in own])
+            for k in own:
+                self.waiting.removeKey(k)
+            rest = steps[steps["ts"] > passed]
+            if len(rest):  # only in the bucket that the watermark is in
+                self.waiting.updateValue(own[0], (rest.tobytes(),))
+                later = int(rest["ts"].min())
+            ready = steps[steps["ts"] <= passed]
+            held.append(ready[np.lexsort((ready["step"], ready["ts"]))])
+            if sum(map(len, held)) >= AT_ONCE:
+                made, past = self._made(key[0], past, np.concatenate(held))
+                held = []
+                yield made
+        made, past = self._made(key[0], past, np.concatenate([*held, np.zeros(0, STEP)]))
+        yield made
+        if len(past):
+            self.past.put([tuple(map(float, r)) for r in past])
+        if later is not None:
+            self.handle.registerTimer(later // 1000 + 1)
+
+    def _made(self, name, past: np.ndarray, steps: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+        """Figures of steps in order, and what comes before the next ones."""
+        frames = []
+        for at in range(0, max(len(steps), 1), AT_ONCE):
+            some = steps[at : at + AT_ONCE]
+            new = np.column_stack([some["mean"], some["std"], some["flag"]])
+            made = _figures(past, new, self.n)
+            past = np.concatenate([past, new])[-(self.n - 1) :] if self.n > 1 else past[:0]
+            columns = [pd.Series([name] * len(some), dtype=object), some["step"], *new[:, :2].T, *made[:, :4].T, made[:, 4].astype("int64")]
+            frames.append(pd.DataFrame(dict(zip(("reward", "step", "mean", "std", "rolling_mean", "rolling_std", "saturation", "slope", "n"), columns, strict=True))))
+        return pd.concat(frames, ignore_index=True), past
 
     def close(self) -> None:
         pass

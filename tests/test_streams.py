@@ -83,3 +83,36 @@ def test_first_valid_responses_over_batches(spark, tmp_path):
         found = ST.tail_responses(spark.readStream.schema(schema).parquet(source), "1 day")
         found.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).format("parquet").option("path", sink).start().awaitTermination()
     assert sorted(r["cache_key"] for r in spark.read.parquet(sink).collect()) == ["k0", "k1", "k2", "k4", "k5"]
+
+
+def test_waiting_steps_come_out_in_parts(monkeypatch):
+    """A processor holds a few buckets at a time, and the figures do not depend on it."""
+    rng, n = random.Random(8), 20
+
+    class Store(dict):
+        getValue = dict.__getitem__  # noqa: N815
+        updateValue, removeKey = dict.__setitem__, dict.__delitem__  # noqa: N815
+        exists = lambda self: "v" in self
+        get = lambda self, *a: self["v"] if self.exists() else ()
+        update = put = lambda self, v: self.__setitem__("v", v)
+
+    timers = []
+    handle = type("H", (), {"getMapState": lambda s, *a: Store(), "getValueState": lambda s, *a: Store(), "getListState": lambda s, *a: Store(), "registerTimer": lambda s, t: timers.append(t)})()
+    rows = [(k, rng.random() if rng.random() < 0.9 else None, rng.random(), 0.0, DAY + datetime.timedelta(minutes=3 * k)) for k in range(3000)]
+    given = ST.pd.DataFrame(rng.sample(rows, len(rows)), columns=["step", "mean", "std", "flag", "ts"])
+    mark = int(rows[2500][4].replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+    got = []
+    for at_once in (10_000, 100):
+        monkeypatch.setattr(ST, "AT_ONCE", at_once)
+        p = ST.RewardFigures("reward", n)
+        p.init(handle)
+        for a in range(0, 3000, 700):
+            list(p.handleInputRows(("view",), iter([given[a : a + 700]]), None))
+        times = type("T", (), {"getCurrentWatermarkInMs": lambda s: mark})()
+        frames = list(p.handleExpiredTimer(("view",), times, None))
+        assert len(frames) == 1 if at_once > 5000 else max(map(len, frames)) < 200
+        got.append(ST.pd.concat(frames, ignore_index=True))
+        assert got[-1]["step"].tolist() == list(range(2501))
+        assert timers[-1] == int(rows[2501][4].replace(tzinfo=datetime.timezone.utc).timestamp() * 1000) + 1
+        assert sum(len(v[0]) for v in p.waiting.values()) == 499 * ST.STEP.itemsize
+    ST.pd.testing.assert_frame_equal(*got, rtol=1e-9)
