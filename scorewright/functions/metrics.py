@@ -56,15 +56,15 @@ def mra(pred: Text, gold: Text, zero: str = "zero", signed: bool = False) -> Col
 
 
 def edit_distance(a: Text, b: Text, wide: bool = False) -> Column:
-    """Edit distance of characters.  ``wide`` is for whole texts: a column of
-    the table in one integer (Arrow batches), where the built-in distance takes
-    a step for each pair of characters."""
+    """Edit distance of characters.  ``wide`` is for whole texts: 64
+    rows of the table in one integer (Arrow batches), where the built-in
+    distance takes a step for each pair of characters."""
     if not wide:
         return F.levenshtein(_c(a), _c(b))
 
     @F.pandas_udf("int")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else _edits(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+        return _edits_column(a, b)
 
     return run(_c(a), _c(b))
 
@@ -268,6 +268,121 @@ def _edits(a, b, swaps: bool = False) -> int:
     return distance
 
 
+#: Blocks of 64 rows that are stepped together; cells of the table of places of one pair, beyond which it is taken alone.
+LANES, PLACES = 16384, 1 << 26
+
+
+def _numbered(x, known: dict) -> np.ndarray:
+    if isinstance(x, str):
+        return np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return np.array([known.setdefault(t, len(known)) for t in x], np.int64)
+
+
+def _edits_many(pairs: list[tuple]) -> list[int]:
+    """Edit distances of many pairs of texts or token lists.
+
+    A column of a pair's table is blocks of 64 rows.  A block needs the one
+    above it in the same column and itself in the column before, so block k
+    works on column t - k in step t, and the blocks of all pairs of a group are
+    stepped together as arrays.  Pairs of about the same number of steps are a group.
+    """
+    out, work, known = [0] * len(pairs), [], {}
+    for at, (a, b) in enumerate(pairs):
+        a, b = _numbered(a, known), _numbered(b, known)
+        if len(a) < len(b):
+            a, b = b, a
+        if not len(b):
+            out[at] = len(a)
+        elif len(a) != len(b) or (a != b).any():
+            kinds = np.unique(a)
+            if len(kinds) * len(a) > PLACES:
+                out[at] = _edits(a.tolist(), b.tolist())
+            else:
+                work.append((len(b) + -(-len(a) // 64), at, a, b, kinds))
+    work.sort(key=lambda w: (-w[0], w[1]))
+    group, lanes = [], 0
+    for w in work:
+        blocks = -(-len(w[2]) // 64)
+        if group and (lanes + blocks > LANES or 4 * w[0] < 3 * group[0][0]):
+            _step_group(group, out)
+            group, lanes = [], 0
+        group.append(w)
+        lanes += blocks
+    if group:
+        _step_group(group, out)
+    return out
+
+
+def _step_group(group: list[tuple], out: list[int]) -> None:
+    """Distances of the pairs of a group into ``out``."""
+    steps = group[0][0]
+    tables, columns, place, row, first, last, top = [np.zeros(1, np.uint64)], [], [], [], [], [], []
+    filled, listed, lanes = 1, 0, 0
+    for _, _, a, b, kinds in group:
+        blocks = -(-len(a) // 64)
+        padded = np.full(blocks * 64, -1, np.int64)
+        padded[: len(a)] = a
+        tables.append(np.packbits(padded == kinds[:, None], axis=1, bitorder="little").view(np.uint64).ravel())
+        tables.append(np.zeros(blocks, np.uint64))  # of what the first text does not have
+        code = np.minimum(np.searchsorted(kinds, b), len(kinds) - 1)
+        code = np.where(kinds[code] == b, code, len(kinds))
+        none = filled + len(kinds) * blocks
+        columns += [np.full(blocks, none), filled + code * blocks, np.full(steps - len(b), none)]
+        row.append(np.arange(blocks))
+        place.append(listed + blocks - np.arange(blocks))
+        first.append(lanes)
+        last.append(lanes + blocks - 1)
+        top.append((len(a) - 1) % 64)
+        filled, listed, lanes = filled + (len(kinds) + 1) * blocks, listed + blocks + steps, lanes + blocks
+    table, columns = np.concatenate(tables), np.concatenate(columns)
+    place, row, first, last = np.concatenate(place), np.concatenate(row), np.array(first), np.array(last)
+    top, long, begin = np.array(top, np.uint64), np.array([len(b) for _, _, _, b, _ in group]), row[last]
+    one, end = np.uint64(1), np.uint64(63)
+    up, down = np.full(lanes, ~np.uint64(0)), np.zeros(lanes, np.uint64)
+    more_in, less_in = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64)
+    match, same, more, less, high = (np.empty(lanes, np.uint64) for _ in range(5))
+    at = np.empty(lanes, np.int64)
+    distance = np.array([len(a) for _, _, a, _, _ in group])
+    for t in range(steps):
+        more_in[first], less_in[first] = one, 0
+        columns.take(place, out=at, mode="clip")
+        place += 1
+        at += row
+        table.take(at, out=match, mode="clip")
+        np.bitwise_or(match, down, out=high)
+        match |= less_in
+        np.bitwise_and(match, up, out=same)
+        same += up
+        same ^= up
+        same |= match
+        np.bitwise_or(same, up, out=more)
+        np.invert(more, out=more)
+        more |= down
+        np.bitwise_and(up, same, out=less)
+        live = (t >= begin) & (t - begin < long)
+        distance += np.where(live, (more[last] >> top & one).astype(np.int64) - (less[last] >> top & one).astype(np.int64), 0)
+        np.left_shift(more, one, out=same)
+        same |= more_in
+        np.left_shift(less, one, out=match)
+        match |= less_in
+        np.right_shift(more[:-1], end, out=more_in[1:])
+        np.right_shift(less[:-1], end, out=less_in[1:])
+        np.bitwise_or(high, same, out=up)
+        np.invert(up, out=up)
+        up |= match
+        np.bitwise_and(same, high, out=down)
+    for (_, where, *_), d in zip(group, distance.tolist(), strict=True):
+        out[where] = d
+
+
+def _edits_column(a: pd.Series, b: pd.Series) -> pd.Series:
+    held = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and y is not None]
+    out: list = [None] * len(a)
+    for k, d in zip(held, _edits_many([(a.iloc[k], b.iloc[k]) for k in held]), strict=True):
+        out[k] = d
+    return pd.Series(out, dtype="Int32")
+
+
 def _common(x: list, y: list) -> int:
     """Length of the longest common subsequence, a column of the table in one
     integer: its zero bits are the steps."""

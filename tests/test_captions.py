@@ -119,3 +119,27 @@ def test_spans_take_few_comparisons():
         assert M._span(text, "c ab b abc c") == found
     finally:
         M.SPAN_CELLS = whole
+
+
+def test_distances_of_many_pairs(monkeypatch):
+    """Pairs of any lengths stepped together have the distances of the plain table."""
+
+    def plain_distance(a, b):
+        row = list(range(len(b) + 1))
+        for x in a:
+            last, row = row, [row[0] + 1]
+            for k, y in enumerate(b):
+                row.append(min(last[k] + (x != y), last[k + 1] + 1, row[k] + 1))
+        return row[-1]
+
+    rng = random.Random(15)
+    sizes = [0, 1, 2, 63, 64, 65, 127, 128, 129, 200]
+    text = lambda: "".join(rng.choices("ab\U0001f600c", k=rng.choice(sizes)))
+    pairs = [(text(), text()) for _ in range(150)] + [(text() * 2, "x" * rng.choice(sizes)) for _ in range(20)]
+    pairs += [(a, a[:50] + "z" + a[51:]) for a, _ in pairs[:20]] + [(list(a), list(b)) for a, b in pairs[:40]]
+    want = [plain_distance(a, b) for a, b in pairs]
+    assert M._edits_many(pairs) == want and M._edits_many([]) == []
+    for lanes, places in ((2, M.PLACES), (M.LANES, 300)):
+        monkeypatch.setattr(M, "LANES", lanes)
+        monkeypatch.setattr(M, "PLACES", places)
+        assert M._edits_many(pairs) == want
