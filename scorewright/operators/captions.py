@@ -61,9 +61,11 @@ def caption_objects(captions: DataFrame, key: str, text: str, dictionary: DataFr
     index = phrase_index(dictionary)
     longest = index.agg(F.max(-F.get("forms", F.lit(0))["rank"])).first()[0] or 1
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
-    ahead = F.transform(F.col("_w"), lambda w, k: F.slice(F.col("_w"), k + 1, longest))
-    places = captions.select(F.col(key), words.alias("_w")).select(key, F.posexplode(ahead).alias("_at", "_ahead"))
-    both = places.join(index, F.get("_ahead", F.lit(0)) == F.col("first"))
+    # the words, and the words from the next one on, ... side by side: compiled, where a function of each word is not
+    later = [F.slice("_w", F.lit(k + 1), F.greatest(F.size("_w") - k, F.lit(0))).alias(f"w{k}") for k in range(longest)]
+    places = captions.select(F.col(key), words.alias("_w")).select(key, F.posexplode(F.arrays_zip(*later)).alias("_at", "_next"))
+    ahead = F.array(*(F.col("_next")[k.name] for k in places.schema["_next"].dataType.fields))
+    both = places.join(index, F.col("_next")[places.schema["_next"].dataType.fields[0].name] == F.col("first")).withColumn("_ahead", ahead)
     fits = F.filter("forms", lambda f: F.slice(F.col("_ahead"), 1, F.size(f["parts"])) == f["parts"])
     found = both.select(key, "_at", F.get(fits, F.lit(0)).alias("_f")).where("_f is not null")
     match = F.struct(F.col("_at").alias("at"), (-F.col("_f.rank")).alias("size"), F.col("_f.word").alias("word"), F.col("_f.object").alias("object"))
