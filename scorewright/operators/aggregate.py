@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import functools
 import math
-from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
