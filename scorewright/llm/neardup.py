@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewright.llm.rows import named
+from scorewright.llm.rows import named, pieces
 from scorewright.llm.simhash import SEED, fingerprint, near_links, shingle_bounds
 from scorewright.operators.graph import connected_components
 from scorewright.sources.staging import staged
@@ -100,7 +100,7 @@ def with_keys(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             texts = batch.column(3).to_pylist()
             made = [band_keys(t, width) for t in texts]
             fps = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64)

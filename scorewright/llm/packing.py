@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorewright.llm.rows import named
+from scorewright.llm.rows import named, pieces
 from scorewright.sources.staging import staged
 
 CAPACITY = 1024
@@ -46,7 +46,7 @@ RANK_PARTS = 64
 #: The vocabulary's added token, one id wherever it stands in a text.
 ADDED, ADDED_ID = "<|endoftext|>", 50256
 #: Words that a task keeps the ids of.
-CACHE = 400_000
+CACHE = 1 << 17
 
 
 class _Words(dict):
@@ -192,7 +192,7 @@ def _first_level(docs: DataFrame, id_col: str, text_col: str, capacity: int, sla
         node, fit, number = TaskContext.get().partitionId(), BestFit(capacity), 0
         for batch in batches:
             items = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in (row for piece in pieces(batch) for row in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True)):
                 ids = memoryview(token_ids(text, path) + end)
                 for k, (at, n) in enumerate(pieces_of(len(ids) // 4, capacity)):
                     items.append((doc_id, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])))

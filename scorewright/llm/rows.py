@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of a batch that a task turns into Python objects at once, about.
+PIECE = 1 << 20
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``PIECE`` bytes, so that a worker, which
+    lives on from task to task and keeps what it once took, never holds a
+    batch of texts twice."""
+    rows = max(1, batch.num_rows * PIECE // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def named(column: str) -> Column:
     """A top-level column by its name, whatever characters the name has."""
     return F.col(f"`{column.replace('`', '``')}`")
@@ -39,7 +52,7 @@ def with_arrow_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             arrays = make(*(batch.column(n + k).to_pylist() for k in range(m)))
             names = [*batch.schema.names[:n], *(f"n{k}" for k in range(len(arrays)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *arrays], names=names)

@@ -1,10 +1,12 @@
 """Operators take tables with odd column names, keep them, and do not mind nulls, repeats or no rows."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorewright.llm import decontam, fingerprints, langid, lmscore, neardup, packing, secrets, sharding, simhash
+from scorewright.llm.rows import PIECE, pieces, with_arrow_columns
 
 ODD_NAMES = ["a.b", "x-y", "_h", "_text", "c0", "i0", "n0", "node", "key", "hits", "spans", "redacted", "lang", "post", "host", "_words", "back`tick"]
 
@@ -88,3 +90,16 @@ def test_shard_folders_need_a_free_name(docs, tmp_path):
     assert back.count() == 7 and set(back.columns) == {*docs.columns, "shard"}
     with pytest.raises(ValueError, match="shard"):
         sharding.write_shards(docs.withColumn("shard", F.lit(1)), str(tmp_path / "b"), 2)
+
+
+def test_batches_become_objects_in_pieces(spark):
+    rows = spark.createDataFrame([(k, "x" * 100_000) for k in range(40)] + [(40, None), (41, "")], "id long, text string").coalesce(1)
+    start = lambda: lambda texts: [pa.array([sum(len(t or "") for t in texts)] * len(texts), pa.int64())]
+    out, back = with_arrow_columns(rows, [F.col("text")], start, "held long", ["id"])
+    got = out.select(*back, "held").collect()
+    assert sorted(r["id"] for r in got) == list(range(42))
+    assert 0 < max(r["held"] for r in got) <= 2 * PIECE
+    batch = pa.RecordBatch.from_pydict({"t": ["y" * n for n in range(3000)]})
+    found = list(pieces(batch))
+    assert len(found) > 1 and pa.Table.from_batches(found).equals(pa.Table.from_batches([batch]))
+    assert list(pieces(batch.slice(0, 0))) == []
