@@ -269,7 +269,7 @@ def _edits(a, b, swaps: bool = False) -> int:
 
 
 #: Blocks of 64 rows that are stepped together; cells of the table of places of one pair, beyond which it is taken alone.
-LANES, PLACES = 16384, 1 << 26
+LANES, PLACES = 8192, 1 << 26
 
 
 def _numbered(x, known: dict) -> np.ndarray:
@@ -278,8 +278,9 @@ def _numbered(x, known: dict) -> np.ndarray:
     return np.array([known.setdefault(t, len(known)) for t in x], np.int64)
 
 
-def _edits_many(pairs: list[tuple]) -> list[int]:
-    """Edit distances of many pairs of texts or token lists.
+def _edits_many(pairs: list[tuple], swaps: bool = False) -> list[int]:
+    """Edit distances of many pairs of texts or token lists, with ``swaps`` of
+    neighbours or without.
 
     A column of a pair's table is blocks of 64 rows.  A block needs the one
     above it in the same column and itself in the column before, so block k
@@ -296,7 +297,7 @@ def _edits_many(pairs: list[tuple]) -> list[int]:
         elif len(a) != len(b) or (a != b).any():
             kinds = np.unique(a)
             if len(kinds) * len(a) > PLACES:
-                out[at] = _edits(a.tolist(), b.tolist())
+                out[at] = _edits(a.tolist(), b.tolist(), swaps)
             else:
                 work.append((len(b) + -(-len(a) // 64), at, a, b, kinds))
     work.sort(key=lambda w: (-w[0], w[1]))
@@ -304,16 +305,16 @@ def _edits_many(pairs: list[tuple]) -> list[int]:
     for w in work:
         blocks = -(-len(w[2]) // 64)
         if group and (lanes + blocks > LANES or 4 * w[0] < 3 * group[0][0]):
-            _step_group(group, out)
+            _step_group(group, out, swaps)
             group, lanes = [], 0
         group.append(w)
         lanes += blocks
     if group:
-        _step_group(group, out)
+        _step_group(group, out, swaps)
     return out
 
 
-def _step_group(group: list[tuple], out: list[int]) -> None:
+def _step_group(group: list[tuple], out: list[int], swaps: bool) -> None:
     """Distances of the pairs of a group into ``out``."""
     steps = group[0][0]
     tables, columns, place, row, first, last, top = [np.zeros(1, np.uint64)], [], [], [], [], [], []
@@ -339,28 +340,42 @@ def _step_group(group: list[tuple], out: list[int]) -> None:
     top, long, begin = np.array(top, np.uint64), np.array([len(b) for _, _, _, b, _ in group]), row[last]
     one, end = np.uint64(1), np.uint64(63)
     up, down = np.full(lanes, ~np.uint64(0)), np.zeros(lanes, np.uint64)
-    more_in, less_in = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64)
+    more_in, less_in, swap_in = (np.zeros(lanes, np.uint64) for _ in range(3))
     match, same, more, less, high = (np.empty(lanes, np.uint64) for _ in range(5))
+    before, apart, swap = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64), np.empty(lanes, np.uint64)
     at = np.empty(lanes, np.int64)
-    distance = np.array([len(a) for _, _, a, _, _ in group])
+    # the last rows' steps along the row, for each column
+    rose, fell = (np.empty((steps, len(group)), np.uint64) for _ in range(2))
     for t in range(steps):
         more_in[first], less_in[first] = one, 0
         columns.take(place, out=at, mode="clip")
         place += 1
         at += row
         table.take(at, out=match, mode="clip")
+        if swaps:  # of this column's letter and the one before it
+            np.bitwise_and(apart, match, out=apart)
+            np.left_shift(apart, one, out=swap)
+            swap_in[first] = 0
+            swap |= swap_in
+            swap &= before
+            np.right_shift(apart[:-1], end, out=swap_in[1:])
+            before[:] = match
         np.bitwise_or(match, down, out=high)
         match |= less_in
         np.bitwise_and(match, up, out=same)
         same += up
         same ^= up
         same |= match
+        if swaps:
+            same |= swap
+            high |= same
+            np.invert(high, out=apart)
         np.bitwise_or(same, up, out=more)
         np.invert(more, out=more)
         more |= down
         np.bitwise_and(up, same, out=less)
-        live = (t >= begin) & (t - begin < long)
-        distance += np.where(live, (more[last] >> top & one).astype(np.int64) - (less[last] >> top & one).astype(np.int64), 0)
+        more.take(last, out=rose[t], mode="clip")
+        less.take(last, out=fell[t], mode="clip")
         np.left_shift(more, one, out=same)
         same |= more_in
         np.left_shift(less, one, out=match)
@@ -371,8 +386,9 @@ def _step_group(group: list[tuple], out: list[int]) -> None:
         np.invert(up, out=up)
         up |= match
         np.bitwise_and(same, high, out=down)
-    for (_, where, *_), d in zip(group, distance.tolist(), strict=True):
-        out[where] = d
+    for k, (_, where, a, _, _) in enumerate(group):
+        seen = slice(begin[k], begin[k] + long[k])
+        out[where] = len(a) + int((rose[seen, k] >> top[k] & one).sum()) - int((fell[seen, k] >> top[k] & one).sum())
 
 
 def _edits_column(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -397,34 +413,34 @@ def _common(x: list, y: list) -> int:
     return len(x) - row.bit_count()
 
 
-def _pandas_similarity(kind: str):
-    import difflib
-
-    def similarity(a, b) -> float | None:
-        if a is None or b is None:
-            return None
-        a, b = (x if isinstance(x, str) else x.tolist() for x in (a, b))
-        if kind == "ratcliff":
-            return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
-        return 1.0 if not (a or b) else 1 - _edits(a, b, swaps=True) / max(len(a), len(b))
+def damerau_similarity(a: Text, b: Text) -> Column:
+    """1 - distance with swaps / longer length (Arrow batches: no expression
+    has swaps)."""
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return run
+        held = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and y is not None]
+        pairs, out = [(a.iloc[k], b.iloc[k]) for k in held], [None] * len(a)
+        for k, (x, y), d in zip(held, pairs, _edits_many(pairs, swaps=True), strict=True):
+            out[k] = 1 - d / max(len(x), len(y)) if len(x) or len(y) else 1.0
+        return pd.Series(out, dtype="float64")
 
-
-def damerau_similarity(a: Text, b: Text) -> Column:
-    """1 - distance with swaps / longer length (Arrow batches: no expression
-    has swaps)."""
-    return _pandas_similarity("damerau")(_c(a), _c(b))
+    return run(_c(a), _c(b))
 
 
 def ratcliff_similarity(a: Text, b: Text) -> Column:
     """Matching-blocks similarity of two texts or two token arrays (Arrow
     batches: a recursive search)."""
-    return _pandas_similarity("ratcliff")(_c(a), _c(b))
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        import difflib
+
+        lists = lambda x: x if isinstance(x, str) else x.tolist()
+        ratio = lambda x, y: difflib.SequenceMatcher(None, lists(x), lists(y), autojunk=False).ratio()
+        return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return run(_c(a), _c(b))
 
 
 # --- boxes, points, intervals -------------------------------------------------

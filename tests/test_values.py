@@ -266,3 +266,15 @@ def test_readers(spark, tmp_path):
     small = io.read_spread(spark, str(tmp_path / "cache"))
     assert small.count() == 2 and small.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert json.loads(spark.createDataFrame([(1,)], "a int").select(E.stringified(F.struct("a"))).first()[0]) == {"a": 1}
+
+
+def test_swaps_of_many_pairs_are_stepped_together(spark):
+    rng = random.Random(12)
+    turned = lambda t: "".join(t[k : k + 2][:: rng.choice((1, -1))] for k in range(rng.randint(0, 1), len(t), 2))
+    texts = ["".join(rng.choices("abcé", k=n)) for n in (0, 1, 2, 63, 64, 65, 127, 128, 129, 200, 700) for _ in range(4)]
+    pairs = [(t, turned(t)) for t in texts] + list(zip(texts, reversed(texts), strict=True)) + [(list("abc"), ["b", "a", "x"])]
+    assert M._edits_many(pairs, swaps=True) == [table_distance(a, b, True) for a, b in pairs]
+    df = spark.createDataFrame([*pairs[:-1], (None, "a"), ("a", None)], "p string, h string").repartition(3)
+    for r in df.select("p", "h", M.damerau_similarity("p", "h").alias("d")).collect():
+        want = None if r["p"] is None or r["h"] is None else 1 - table_distance(r["p"], r["h"], True) / max(len(r["p"]), len(r["h"]), 1)
+        assert r["d"] == (want if want is None else pytest.approx(want))
