@@ -23,6 +23,12 @@ def nullif_empty(x: Column) -> Column:
     return F.when(x != "", x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value evaluated once for each row, also where
+    the body looks at it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def first_match(x: Text, pattern: str, group: int = 1) -> Column:
     """Group of the first match; null if there is none or it is empty."""
     return nullif_empty(F.regexp_extract(_c(x), pattern, group))

@@ -278,3 +278,15 @@ def test_swaps_of_many_pairs_are_stepped_together(spark):
     for r in df.select("p", "h", M.damerau_similarity("p", "h").alias("d")).collect():
         want = None if r["p"] is None or r["h"] is None else 1 - table_distance(r["p"], r["h"], True) / max(len(r["p"]), len(r["h"]), 1)
         assert r["d"] == (want if want is None else pytest.approx(want))
+
+
+def test_bags_are_counted_in_batches(spark):
+    rng = random.Random(13)
+    bag = lambda: rng.choices(["a", "b", "the", "x y", ""], k=rng.randint(0, 12))
+    rows = [(k, bag(), bag()) for k in range(200)] + [(200, None, ["a"]), (201, ["a"], None), (202, [None, "a", None], [None, None, "a", "a"]), (203, [], [])]
+    df = spark.createDataFrame(rows, "id int, a array<string>, b array<string>").repartition(5)
+    out = df.select("id", M.token_overlap(F.col("a"), F.col("b")).alias("n"))
+    assert "sort_array" not in out._jdf.queryExecution().toString()
+    got = {r["id"]: r["n"] for r in out.collect()}
+    assert got[200] is None and got[201] is None and got[202] == 2  # nulls count once
+    assert all(got[k] == sum((Counter(a) & Counter(b)).values()) for k, a, b in rows[:200])
