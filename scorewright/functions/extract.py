@@ -431,9 +431,11 @@ def vqa_form(x: Text) -> Column:
     bare = F.get(F.transform(F.array(text), marked), 0)
     bare = F.array_join(F.split(bare, r"\.(?!\d)", STOPS + 1), "")
     numbers, contractions = (F.create_map(*(F.lit(v) for pair in t.items() for v in pair)) for t in (NUMBER_WORDS, CONTRACTIONS))
-    words = F.transform(F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(numbers, w), w))
+    # a map is searched from its start, the names of its keys by their hashes
+    known = lambda w, names, table: F.when(w.isin(*names), F.try_element_at(table, w)).otherwise(w)
+    words = F.transform(F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != ""), lambda w: known(w, NUMBER_WORDS, numbers))
     words = F.filter(words, lambda w: ~w.isin(*ARTICLES))
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(contractions, w), w)), " ")
+    return F.array_join(F.transform(words, lambda w: known(w, CONTRACTIONS, contractions)), " ")
 
 
 def qa_form(x: Text) -> Column:

@@ -290,3 +290,9 @@ def test_bags_are_counted_in_batches(spark):
     got = {r["id"]: r["n"] for r in out.collect()}
     assert got[200] is None and got[201] is None and got[202] == 2  # nulls count once
     assert all(got[k] == sum((Counter(a) & Counter(b)).values()) for k, a, b in rows[:200])
+
+
+def test_contractions_are_known_by_hash(spark):
+    out = spark.createDataFrame([("Dont eat none of THE two apples youve got",)], "t string").select(E.vqa_form("t").alias("form"))
+    assert out.first()[0] == "don't eat 0 of 2 apples you've got"
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("INSET") >= 2
