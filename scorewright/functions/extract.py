@@ -232,18 +232,25 @@ def choice_letter(x: Text, choices: Text, key: Text | None = None) -> Column:
         found = F.transform(_c(choices), lambda t, k: F.struct(place(t, F.chr(k + 65)).alias("at"), F.chr(k + 65).alias("v")))
         return F.array_max(F.filter(found, lambda s: s["at"] > 0))["v"]
 
-    def back(needle: Column, hay: Column = response) -> Column:
-        return F.when(hay.contains(needle), F.length(hay) - F.instr(F.reverse(hay), F.reverse(needle)))
-
-    marked = last(lambda t, v: F.coalesce(back(F.concat(F.lit("("), v, F.lit(")"))), F.lit(0)))
-    spaced = last(lambda t, v: F.coalesce(back(F.concat(F.lit(" "), v, F.lit(" "))), F.lit(0)))
-    dotted = last(lambda t, v: F.coalesce(back(F.concat(v, F.lit("."))), F.lit(0)))
-    worded = last(lambda t, v: F.coalesce(F.when(F.length(t) > 0, back(F.lower(t), F.lower(response))), F.lit(0)))
-    many = F.size(F.split(F.trim(response), r"\s+")) > 5
-    picked = F.coalesce(marked, spaced, dotted, F.when(many, worded))
+    def both(text: Column) -> Column:
+        return let(text, lambda t: F.struct(t.alias("text"), F.reverse(t).alias("turned")))
+
+    def back(needle: Column, hay: Column) -> Column:
+        return F.when(hay["text"].contains(needle), F.length(hay["text"]) - F.instr(hay["turned"], F.reverse(needle)))
+
+    def picked(hay: Column) -> Column:
+        marked = last(lambda t, v: F.coalesce(back(F.concat(F.lit("("), v, F.lit(")")), hay), F.lit(0)))
+        spaced = last(lambda t, v: F.coalesce(back(F.concat(F.lit(" "), v, F.lit(" ")), hay), F.lit(0)))
+        dotted = last(lambda t, v: F.coalesce(back(F.concat(v, F.lit(".")), hay), F.lit(0)))
+        low = both(F.lower(hay["text"]))
+        worded = let(low, lambda h: last(lambda t, v: F.coalesce(F.when(F.length(t) > 0, back(F.lower(t), h)), F.lit(0))))
+        many = F.size(F.split(F.trim(hay["text"]), r"\s+", 6)) > 5
+        return F.coalesce(marked, spaced, dotted, F.when(many, worded))
+
+    found = let(both(response), picked)
     if key is None:
-        return picked
-    return F.coalesce(picked, F.get(letters, F.pmod(F.xxhash64(_c(key)), F.size(_c(choices)).cast("long")).cast("int")))
+        return found
+    return F.coalesce(found, F.get(letters, F.pmod(F.xxhash64(_c(key)), F.size(_c(choices)).cast("long")).cast("int")))
 
 
 def unique_option(x: Text, choices: Text) -> Column:
@@ -251,12 +258,14 @@ def unique_option(x: Text, choices: Text) -> Column:
     letter of the only option whose text occurs; null if none or several."""
     tokens = F.split(F.trim(F.regexp_replace(_c(x), r"[\.\(\),:;!\*#{}\[\]]", " ")), r"\s+")
     letters = F.transform(_c(choices), lambda t, k: F.chr(k + 65))
-    named = F.filter(letters, lambda v: F.array_contains(tokens, v))
-    worded = F.filter(
-        F.transform(_c(choices), lambda t, k: F.when((F.length(t) > 0) & F.lower(_c(x)).contains(F.lower(t)), F.chr(k + 65))),
-        lambda v: v.isNotNull(),
-    )
-    return F.coalesce(F.when(F.size(named) == 1, F.get(named, 0)), F.when(F.size(worded) == 1, F.get(worded, 0)))
+    only = lambda found: let(found, lambda f: F.when(F.size(f) == 1, F.get(f, 0)))
+    named = let(tokens, lambda own: F.filter(letters, lambda v: F.array_contains(own, v)))
+
+    def worded(low: Column) -> Column:
+        held = F.transform(_c(choices), lambda t, k: F.when((F.length(t) > 0) & low.contains(F.lower(t)), F.chr(k + 65)))
+        return F.filter(held, lambda v: v.isNotNull())
+
+    return F.coalesce(only(named), only(let(F.lower(_c(x)), worded)))
 
 
 def yes_no_label(x: Text) -> Column:

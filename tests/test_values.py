@@ -292,6 +292,14 @@ def test_bags_are_counted_in_batches(spark):
     assert all(got[k] == sum((Counter(a) & Counter(b)).values()) for k, a, b in rows[:200])
 
 
+def test_texts_are_cut_and_turned_once(spark):
+    rows = spark.createDataFrame([("I say (B) or C.", ["x", "say"]), ("so it is the word apple in the end", ["pear", "Apple"]), (None, ["a", "b"])], "resp string, words array<string>")
+    out = rows.select(E.choice_letter("resp", "words").alias("letter"), E.unique_option("resp", "words").alias("unique"))
+    assert [tuple(r) for r in out.collect()] == [("B", "B"), ("B", "B"), (None, None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 2 and plan.count("lower(resp") <= 1
+
+
 def test_contractions_are_known_by_hash(spark):
     out = spark.createDataFrame([("Dont eat none of THE two apples youve got",)], "t string").select(E.vqa_form("t").alias("form"))
     assert out.first()[0] == "don't eat 0 of 2 apples you've got"
