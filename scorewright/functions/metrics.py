@@ -257,25 +257,34 @@ def near_match(a: Text, b: Text, threshold: float = 0.9, wide: bool = False) ->
 def _edits(a, b, swaps: bool = False) -> int:
     """Edit distance of two sequences, with ``swaps`` of neighbours or without
     (optimal alignment).  A column of the table is one integer whose bits are
-    the steps down the column, so a column costs a few integer operations."""
+    the steps down the column, so a column costs a few integer operations; the
+    last column's steps lead from its first cell to the distance.  Bits beyond
+    the length may be set in between: they reach no bit below."""
     if not len(a) or not len(b):
         return len(a) + len(b)
     if len(a) < len(b):  # fewer and wider columns: the distance is the same either way
         a, b = b, a
-    where: dict = {}
+    asked, where = set(b), {}
     for k, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << k
-    full, last, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+        if x in asked:
+            where[x] = where.get(x, 0) | 1 << k
+    full = (1 << len(a)) - 1
     up, down, same, before = full, 0, 0, 0
     for y in b:
         match = where.get(y, 0)
-        swap = ((~same & match) << 1) & before if swaps else 0
-        same = ((((match & up) + up) ^ up) | match | down | swap) & full
-        more, less = (down | ~(same | up)) & full, same & up
-        distance += bool(more & last) - bool(less & last)
-        more, less = (more << 1 | 1) & full, less << 1 & full
-        up, down, before = (less | ~(same | more)) & full, more & same, match
-    return distance
+        if match:
+            swap = (((same ^ full) & match) << 1) & before if swaps else 0
+            same = (((match & up) + up) ^ up) | match | down | swap
+            more = (down | ((same | up) ^ full)) << 1 | 1
+            up = ((same & up) << 1 | ((same | more) ^ full)) & full
+            down = more & same
+        else:  # what the other does not have
+            same = down
+            more = (down | ((down | up) ^ full)) << 1 | 1
+            up = ((down | more) ^ full) & full
+            down &= more
+        before = match
+    return len(b) + up.bit_count() - (down & full).bit_count()
 
 
 #: Blocks of 64 rows that are stepped together; cells of the table of places of one pair, beyond which it is taken alone.
@@ -538,10 +547,35 @@ def token_edit(a: Text, b: Text) -> Column:
     return run(_c(a), _c(b))
 
 
-def mixed_error_rate(pred: Text, gold: Text) -> Column:
-    """Token distance over the longer array."""
-    n = F.greatest(F.size(_c(pred)), F.size(_c(gold)))
-    return F.when(n == 0, 0.0).otherwise(token_edit(pred, gold) / n)
+#: Letters stay, all else is a space: every byte of a character beyond ASCII is too.
+_LETTERS = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
+
+
+def word_edit(a: Text, b: Text) -> Column:
+    """``distance, a, b``: edit distance of the words of two texts (runs of the
+    letters a to z once lowered) and the numbers of words; null for null texts.
+    Arrow batches: the texts go over, since arrays of their words cost more
+    than the distances."""
+
+    @F.arrow_udf("distance int, a int, b int")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        found = []
+        for x, y in zip(a.cast(pa.large_binary()), b.cast(pa.large_binary()), strict=True):
+            if x.is_valid and y.is_valid:
+                x, y = (t.as_py().translate(_LETTERS).split() for t in (x, y))
+                found.append((_edits(x, y), len(x), len(y)))
+            else:
+                found.append((None, None, None))
+        names = ["distance", "a", "b"]
+        return pa.StructArray.from_arrays([pa.array([f[k] for f in found], pa.int32()) for k in range(3)], names)
+
+    return run(F.lower(_c(a)), F.lower(_c(b)))
+
+
+def mixed_error_rate(edit: Text) -> Column:
+    """Distance of ``word_edit`` over the longer text's words."""
+    n = F.greatest(_c(edit)["a"], _c(edit)["b"])
+    return F.when(n == 0, 0.0).otherwise(_c(edit)["distance"] / n)
 
 
 def ngrams(tokens: Text, n: Column | int) -> Column:

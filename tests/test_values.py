@@ -4,6 +4,7 @@ import difflib
 import json
 import math
 import random
+import re
 from collections import Counter
 from statistics import stdev
 
@@ -17,6 +18,7 @@ from scorewright.functions import trajectory as T
 from scorewright.operators import aggregate as A
 from scorewright.operators import requests as R
 from scorewright.operators import sampling, spatial, stats
+from scorewright.plans import text
 from scorewright.sources import io
 
 
@@ -304,3 +306,32 @@ def test_contractions_are_known_by_hash(spark):
     out = spark.createDataFrame([("Dont eat none of THE two apples youve got",)], "t string").select(E.vqa_form("t").alias("form"))
     assert out.first()[0] == "don't eat 0 of 2 apples you've got"
     assert out._jdf.queryExecution().optimizedPlan().toString().count("INSET") >= 2
+
+
+def test_words_of_texts_go_to_the_distances_as_texts(spark, tmp_path):
+    """Arrays of all words were split in expressions and sent over, which cost more than the distances."""
+    rng = random.Random(18)
+    made = lambda n: "".join(rng.choices(["Ab", "cd ", "é", "\n", "KK", "İ", "x-", "9", "ß", "Σ ", "\U0001f600", "the "], k=n))
+    texts = [None, "", "  ", "One two", "one TWO three", *(made(n) for n in (1, 5, 30, 63, 64, 65, 200, 400) for _ in range(3))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' lang").write.parquet(str(tmp_path / "documents.parquet"))
+    got = text.met_words(spark, str(tmp_path))
+    words = [re.findall("[a-z]+", (t or "").lower()) for t in texts] + [[]]
+    want = {}
+    for k, (a, b) in enumerate(zip(words, words[1:], strict=False)):
+        d = table_distance(a, b)
+        want[k] = (d, len(b), pytest.approx(d / max(len(a), len(b), 1), abs=1e-6))
+    assert {r["doc_id"]: (r["distance"], r["ref_len"], r["mixed"]) for r in got.collect()} == want
+    rate = text.agg_error_rate(spark, str(tmp_path)).first()["error_rate"]
+    assert rate == pytest.approx(sum(d for d, _, _ in want.values()) / sum(n for _, n, _ in want.values()), abs=1e-6)
+    assert "split(" not in got._jdf.queryExecution().executedPlan().toString()
+    pair = spark.createDataFrame([(None, "a"), ("a", None), ("a b", "b")], "p string, r string")
+    found = [tuple(r[0]) if r[0] else None for r in pair.select(M.word_edit("p", "r")).collect()]
+    assert found == [(None, None, None), (None, None, None), (1, 2, 1)]
+
+
+def test_distances_of_long_lists_with_few_common_tokens():
+    rng = random.Random(19)
+    for n, m in ((1, 300), (29, 31), (30, 200), (60, 61), (150, 149), (300, 2)):
+        a, b = ([rng.choice(letters) for _ in range(k)] for k, letters in ((n, "abcdefgh"), (m, "ghijklmnopa")))
+        for x, y in ((a, b), (b, a), (a, a[::-1])):
+            assert M._edits(x, y) == table_distance(x, y) and M._edits(x, y, swaps=True) == table_distance(x, y, True)
