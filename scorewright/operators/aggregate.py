@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -291,35 +293,138 @@ def error_rate(df: DataFrame, by: list[str], distance: str, length: str) -> Data
 
 #: Tokens of the items that one task weighs at once, about.
 CIDER_TOKENS = 1_000_000
+#: Bytes of a text for a token, about.
+TOKEN_BYTES = 6
+#: So many low bits of whole-number ids differ within a run of rows that stay together.
+RUN_BITS = 5
 
 
-def _item_bags(rows: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, grams.Bags]:
-    """Item, reference (-1: the prediction) and length of each token list of ``rows``, and their n-grams."""
-    pred, refs = rows.column("p").combine_chunks(), rows.column("r").combine_chunks()
-    each = refs.flatten()
-    size = lambda x: x.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-    many = size(refs)
-    item = np.concatenate([np.arange(len(rows)), np.repeat(np.arange(len(rows)), many)])
-    ref = np.concatenate([np.full(len(rows), -1), np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)])
-    lengths = np.concatenate([size(pred), size(each)])
-    return item, ref, lengths, grams.bags(pa.concat_arrays([pred.flatten(), each.flatten()]), lengths, most)
+class _Lists(NamedTuple):
+    """Token lists that lie one after the other in ``words``; items by their
+    id and the list of their prediction, references by item and list."""
+
+    words: pa.Array
+    lengths: np.ndarray
+    ids: pa.Array
+    pred: np.ndarray
+    item: np.ndarray
+    ref: np.ndarray
 
 
-def _document_frequencies(rows: DataFrame, most: int, ranges: int) -> DataFrame:
-    """``_g, hashes, counts``: for each group of items the n-grams that the
-    references of two items or more have, with the number of those items.
+def _item_lists(rows: pa.Table) -> _Lists:
+    """Of items with tokens ``p`` and arrays of tokens ``r``."""
+    pred, refs = rows.column("p").combine_chunks(), rows.column("r").combine_chunks()
+    each, n = refs.flatten(), len(rows)
+    size = lambda x: x.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    words, lengths = pa.concat_arrays([pred.flatten(), each.flatten()]), np.concatenate([size(pred), size(each)])
+    return _Lists(words, lengths, rows.column("_id").combine_chunks(), np.arange(n), np.repeat(np.arange(n), size(refs)), n + np.arange(len(each)))
+
+
+def _next_lists(rows: pa.Table) -> _Lists:
+    """Of texts in runs of ids, each (of those with ``_own``) an item against
+    those with the next id, or against an empty list; a text is one list for both."""
+    ids, run = rows.column("_id").combine_chunks(), rows.column("_run").to_numpy()
+    split = pc.ascii_split_whitespace(rows.column("_text").combine_chunks())
+    words = split.flatten()
+    filled = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(filled)])
+    ends = np.cumsum(split.value_lengths().to_numpy().astype(np.int64))
+    lengths = np.diff(upto[np.concatenate([[0], ends])])
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    place = ids.fill_null(0).to_numpy().astype(np.int64) + run  # with one step between runs
+    listed = np.flatnonzero(known)
+    listed = listed[np.argsort(place[listed], kind="stable")]
+    own = np.flatnonzero(rows.column("_own").to_numpy())
+    low, high = (np.searchsorted(place[listed], place[own] + 1, side) for side in ("left", "right"))
+    many = np.where(known[own], high - low, 0)
+    pairs = np.maximum(many, 1)
+    pred, at = np.repeat(own, pairs), np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs) + np.repeat(low, pairs)
+    ref = np.append(listed, len(rows))[np.where(np.repeat(many > 0, pairs), at, len(listed))]
+    return _Lists(words.filter(pa.array(filled)), np.append(lengths, 0), ids.take(pa.array(pred)), pred, np.arange(len(pred)), ref)
+
+
+class _Order(NamedTuple):
+    """N-grams of one order: the different ones, those that are asked for, and
+    which (``gram``) each list (``bag``, ascending) has how often."""
+
+    different: np.ndarray
+    asked: np.ndarray
+    bag: np.ndarray
+    gram: np.ndarray
+    times: np.ndarray
+
+
+def _counted(lists: _Lists, most: int, least: int = 1, pair_totals: np.ndarray | None = None, only: bool = False) -> Iterator[_Order]:
+    """Orders ``least`` to ``most``.  With totals of the words and pairs of
+    words (in order), longer n-grams are asked for if all their pairs are in
+    two items or more: an n-gram is in no more items than its parts.  ``only``
+    leaves out those that are not asked for."""
+    bag = np.repeat(np.arange(len(lists.lengths)), lists.lengths)
+    pairs, words = None, np.zeros(0, np.uint64)
+    for n, (grams_at, own) in enumerate(grams.by_order(lists.words, lists.lengths, most), 1):
+        known = pair_totals is not None and n > 2 and len(own) > 0
+        whole = np.logical_and.reduce([pairs[k : k + len(own)] for k in range(n - 1)]) if known else own
+        held = own & whole if only else own
+        if n == 1 < least:
+            words = np.unique(grams_at)
+            continue
+        different, at = np.unique(grams_at[held], return_inverse=True)
+        if n == 1:
+            words = different
+        if n == 2 and pair_totals is not None:
+            pairs = np.zeros(len(own), bool)
+            pairs[own] = (pair_totals[np.searchsorted(np.sort(np.concatenate([words, different])), different)] > 1)[at]
+        if n < least:
+            continue
+        asked = np.ones(len(different), bool)
+        if known:
+            asked[at] = whole[held]
+        wide = max(len(different), 1)
+        key, times = np.unique(bag[: len(held)][held] * wide + at, return_counts=True)
+        lists_of = np.repeat(np.arange(len(lists.lengths)), np.diff(np.searchsorted(key, np.arange(len(lists.lengths) + 1) * wide)))
+        yield _Order(different, asked, lists_of, key - lists_of * wide, times)
+
+
+def _of_references(lists: _Lists, bag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each reference in turn the places that its list has in ``bag``, and whose they are."""
+    starts, ends = np.searchsorted(bag, lists.ref, "left"), np.searchsorted(bag, lists.ref, "right")
+    many = ends - starts
+    owner = np.repeat(np.arange(len(many)), many)
+    return np.arange(len(owner)) + np.repeat(starts - (np.cumsum(many) - many), many), owner
+
+
+def _totals(answers: pa.Table, part: int) -> np.ndarray:
+    """Numbers of items in the order of the sorted n-grams that were asked for."""
+    rows = sorted((x for x in answers.to_pylist() if x["_part"] == part), key=lambda x: x["_range"])
+    return np.concatenate([np.zeros(0, np.uint32), *(grams.unpacked_counts(x["counts"], x["many"]) for x in rows)])
+
+
+def _document_frequencies(rows: DataFrame, most: int, ranges: int, lists: Callable[[pa.Table], _Lists] = _item_lists, pairs: DataFrame | None = None) -> DataFrame:
+    """``_g, _part, _range, many, counts``: for each group of items, in order
+    of the n-grams that it asked for, the number of items that have them in a reference.
 
     A group hands its different n-grams, packed and sorted, to ranges of the
-    hashes; a range sums them and answers each group.
+    hashes; a range sums them and answers each group.  With the answers for
+    ``pairs`` of words only longer n-grams are asked for, and only those whose
+    pairs of words are all in two items or more: others are in one at most.
     """
 
-    def hand(group: pa.Table) -> pa.Table:
-        item, ref, _, made = _item_bags(group, most)
-        found, at = np.unique(made.gram, return_inverse=True)
-        listed = ref[made.bag] >= 0
-        pairs = np.unique(item[made.bag[listed]] * len(found) + at[listed])
-        parts = grams.packed(found, np.bincount(pairs % max(len(found), 1), minlength=len(found)), ranges)
-        g = group.column("_g")[0].as_py()
+    part_of = int(pairs is not None)
+
+    def hand(group: pa.Table, answers: pa.Table | None) -> pa.Table:
+        own = lists(group)
+        several = len(own.item) > len(np.unique(own.item))
+        asked, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for x in _counted(own, most) if answers is None else _counted(own, most, 3, _totals(answers, 0), True):
+            at, owner = _of_references(own, x.bag)
+            gram = x.gram[at]
+            if several:
+                gram = np.unique(own.item[owner] * max(len(x.different), 1) + gram) % max(len(x.different), 1)
+            asked.append(x.different)
+            counts.append(np.bincount(gram, minlength=len(x.different)))
+        order = np.argsort(found := np.concatenate(asked))
+        parts = grams.packed(found[order], np.concatenate(counts)[order], ranges)
+        g = group.column("_g")[0].as_py() if len(group) else 0
         return pa.table({"_range": [k for k, _, _ in parts], "_g": [g] * len(parts), "hashes": [h for _, h, _ in parts], "counts": [c for _, _, c in parts]}, pa.schema([("_range", pa.int32()), ("_g", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())]))
 
     def answer(part: pa.Table) -> pa.Table:
@@ -327,11 +432,49 @@ def _document_frequencies(rows: DataFrame, most: int, ranges: int) -> DataFrame:
         found, at = np.unique(hashes, return_inverse=True)
         total = np.bincount(at, weights=counts, minlength=len(found)).astype(np.uint32)[at]
         ends = np.cumsum(sizes)
-        cut = [(hashes[a:b][total[a:b] > 1], total[a:b][total[a:b] > 1]) for a, b in zip(ends - sizes, ends, strict=True)]
-        return pa.table({"_g": part.column("_g"), "hashes": pa.array([h.tobytes() for h, _ in cut], pa.binary()), "counts": pa.array([c.tobytes() for _, c in cut], pa.binary())})
-
-    handed = rows.groupBy("_g").applyInArrow(hand, "_range int, _g long, hashes binary, counts binary")
-    return handed.groupBy("_range").applyInArrow(answer, "_g long, hashes binary, counts binary")
+        packed = [grams.packed_counts(total[a:b]) for a, b in zip(ends - sizes, ends, strict=True)]
+        return pa.table({"_g": part.column("_g"), "_part": pa.array([part_of] * len(sizes), pa.int32()), "_range": part.column("_range"), "many": sizes, "counts": pa.array(packed, pa.binary())})
+
+    handing = "_range int, _g long, hashes binary, counts binary"
+    groups = rows.groupBy("_g")
+    handed = groups.applyInArrow(lambda group: hand(group, None), handing) if pairs is None else groups.cogroup(pairs.groupBy("_g")).applyInArrow(hand, handing)
+    return handed.groupBy("_range").applyInArrow(answer, "_g long, _part int, _range int, many long, counts binary")
+
+
+def _cider(rows: DataFrame, kind: T.DataType, items: int, groups: int, lists: Callable[[pa.Table], _Lists], most: int, sigma: float) -> DataFrame:
+    """``_id, cider`` of rows in groups ``_g`` that ``lists`` reads; ``items`` in all."""
+
+    def weigh(group: pa.Table, answers: pa.Table) -> pa.Table:
+        own = lists(group)
+        totals = [_totals(answers, k) for k in range(2)]
+        counted = list(_counted(own, most, 1, totals[0]))
+        known = [np.sort(np.concatenate([np.zeros(0, np.uint64), *(x.different[x.asked] for x in part)])) for part in (counted[:2], counted[2:])]
+        gap = own.lengths[own.pred[own.item]] - own.lengths[own.ref]
+        value = np.zeros(len(own.ref))
+        for n, x in enumerate(counted, 1):
+            frequency = np.ones(len(x.different))
+            frequency[x.asked] = np.maximum(totals[n > 2][np.searchsorted(known[n > 2], x.different[x.asked])], 1)
+            weight = x.times * (math.log(max(items, 1)) - np.log(frequency))[x.gram]
+            norm = np.sqrt(np.bincount(x.bag, weights=weight * weight, minlength=len(own.lengths)))
+            at, owner = _of_references(own, x.bag)
+            wide = max(len(x.different), 1)
+            pairs, key = x.bag * wide + x.gram, own.pred[own.item][owner] * wide + x.gram[at]
+            place = np.minimum(np.searchsorted(pairs, key), max(len(pairs) - 1, 0))
+            both = pairs[place] == key if len(pairs) else np.zeros(len(key), bool)
+            dot = np.bincount(owner[both], weights=np.minimum(weight[place[both]], weight[at[both]]) * weight[at[both]], minlength=len(own.ref))
+            below = norm[own.ref] * norm[own.pred[own.item]]
+            value += np.divide(dot, below, out=np.zeros_like(below), where=below > 0)
+        value *= np.exp(-(gap**2) / (2 * sigma * sigma))
+        many = np.bincount(own.item, minlength=len(own.pred))
+        mean = np.divide(10 * np.bincount(own.item, weights=value, minlength=len(own.pred)), most * many, out=np.full(len(own.pred), np.nan), where=many > 0)
+        return pa.table({"_id": own.ids, "cider": pa.array(mean, from_pandas=True)})
+
+    ranges = (groups + 1) // 2
+    totals = _document_frequencies(rows, min(most, 2), ranges, lists)
+    if most > 2:
+        totals = totals.unionAll(_document_frequencies(rows, most, ranges, lists, totals))
+    schema = T.StructType([T.StructField("_id", kind), T.StructField("cider", T.DoubleType())])
+    return rows.groupBy("_g").cogroup(totals.groupBy("_g")).applyInArrow(weigh, schema)
 
 
 def cider(df: DataFrame, id_col: str, pred: str, refs: str, most: int = 4, sigma: float = 6.0) -> DataFrame:
@@ -341,47 +484,35 @@ def cider(df: DataFrame, id_col: str, pred: str, refs: str, most: int = 4, sigma
     The document frequency of an n-gram counts the items (rows) with it in any
     reference.  Items lie in groups of about ``CIDER_TOKENS`` tokens by a hash
     of their id; n-grams travel as packed hashes (``operators/grams.py``), once
-    to the range that counts them, and only those of two items or more come
-    back.  A null prediction or reference has no n-grams; an item without
-    references has a null value.
+    to the range that counts them, and only counts come back.  A null
+    prediction or reference has no n-grams; an item without references has a
+    null value.
     """
     length = F.coalesce(F.size(pred), F.lit(0)) + F.coalesce(F.aggregate(refs, F.lit(0), lambda n, r: n + F.coalesce(F.size(r), F.lit(0))), F.lit(0))
     given = staged(df.select(F.col(id_col).alias("_id"), F.col(pred).cast("array<string>").alias("p"), F.col(refs).cast("array<array<string>>").alias("r"), length.cast("long").alias("_tokens")), "items")
     items, tokens = given.agg(F.count("*"), F.coalesce(F.sum("_tokens"), F.lit(0))).first()
     groups = tokens // CIDER_TOKENS + 1
     rows = given.drop("_tokens").withColumn("_g", F.pmod(F.xxhash64("_id"), F.lit(groups)))
-    kind = df.schema[id_col].dataType
-
-    def weigh(own: pa.Table, totals: pa.Table) -> pa.Table:
-        item, ref, lengths, made = _item_bags(own, most)
-        n = len(own)
-        found, at = np.unique(made.gram, return_inverse=True)
-        known, counts, _ = grams.unpacked(totals.column("hashes"), totals.column("counts"))
-        frequency = np.ones(len(found))
-        frequency[np.searchsorted(found, known)] = counts
-        pairs, tf = np.unique(made.bag * max(len(found), 1) + at, return_counts=True)
-        bag, gram = pairs // max(len(found), 1), pairs % max(len(found), 1)
-        order = np.zeros(len(found), np.int64)
-        order[at] = made.order
-        cell, weight = bag * (most + 1) + order[gram], tf * (math.log(max(items, 1)) - np.log(frequency[gram]))
-        norm = np.sqrt(np.bincount(cell, weights=weight * weight, minlength=len(lengths) * (most + 1))).reshape(-1, most + 1)
-        mine = np.searchsorted(bag, n)  # bags of predictions come first, in the order of the items
-        key = item[bag[mine:]] * len(found) + gram[mine:]
-        place = np.minimum(np.searchsorted(pairs[:mine], key), max(mine - 1, 0))
-        both = pairs[place] == key if mine else np.zeros(len(key), bool)
-        least = np.minimum(weight[place], weight[mine:])[both] * weight[mine:][both]
-        dot = np.bincount(cell[mine:][both], weights=least, minlength=len(lengths) * (most + 1)).reshape(-1, most + 1)
-        at_ref = np.arange(n, len(lengths))
-        below = norm[at_ref] * norm[item[at_ref]]
-        near = np.exp(-((lengths[item[at_ref]] - lengths[at_ref]) ** 2) / (2 * sigma * sigma))
-        value = np.divide(dot[at_ref], below, out=np.zeros_like(below), where=below > 0).sum(axis=1) * near
-        many = np.bincount(item[at_ref], minlength=n)
-        mean = np.divide(10 * np.bincount(item[at_ref], weights=value, minlength=n), most * many, out=np.full(n, np.nan), where=many > 0)
-        return pa.table({"_id": own.column("_id"), "cider": pa.array(mean, from_pandas=True)})
-
-    totals = _document_frequencies(rows, most, (groups + 1) // 2)
-    schema = T.StructType([T.StructField("_id", kind), T.StructField("cider", T.DoubleType())])
-    return rows.groupBy("_g").cogroup(totals.groupBy("_g")).applyInArrow(weigh, schema).withColumnRenamed("_id", id_col)
+    return _cider(rows, df.schema[id_col].dataType, items, groups, _item_lists, most, sigma).withColumnRenamed("_id", id_col)
+
+
+def cider_of_next(df: DataFrame, id_col: str, text: str, most: int = 4, sigma: float = 6.0) -> DataFrame:
+    """``cider`` of the lower-cased words of each text (between white space)
+    against the text with the next whole-number id as its only reference; the
+    last has an empty one.
+
+    Runs of 2^``RUN_BITS`` ids stay together, with the text after them, so a
+    text is moved once and its n-grams are counted once for both of its sides.
+    """
+    ids = df.select(F.col(id_col).cast("long").alias("_id"))
+    items = ids.join(ids.select((F.col("_id") - 1).alias("_id")), "_id", "left").count()
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    groups = size // (TOKEN_BYTES * CIDER_TOKENS) + 1
+    run = lambda c: F.shiftright(c, RUN_BITS)
+    key, at = F.col(id_col).cast("long"), F.coalesce("_run", F.xxhash64("_text"))
+    rows = df.select(F.col(id_col).alias("_id"), F.lower(F.coalesce(text, F.lit(""))).alias("_text"), F.explode(F.array_distinct(F.array(run(key), run(key - 1)))).alias("_run"), run(key).alias("_of"))
+    rows = rows.select("_id", "_text", F.coalesce("_run", F.lit(0)).alias("_run"), F.col("_run").eqNullSafe(F.col("_of")).alias("_own"), F.pmod(F.xxhash64(at), F.lit(groups)).alias("_g"))
+    return _cider(rows, df.schema[id_col].dataType, items, groups, _next_lists, most, sigma).withColumnRenamed("_id", id_col)
 
 
 # --- groups that must be right as a whole (AGG14, AGG16-AGG21, AGG43) -------------

@@ -7,11 +7,12 @@ from collections import Counter
 from statistics import NormalDist, stdev
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from scorewright.operators import aggregate as A
-from scorewright.operators import rollouts, sampling, spatial, stats
+from scorewright.operators import grams, rollouts, sampling, spatial, stats
 from scorewright.operators.graph import connected_components
 from scorewright.sources import io
 
@@ -243,6 +244,49 @@ def test_cider_over_groups_of_items(spark, monkeypatch):
     assert A.cider(df.limit(0), "id", "p", "r").collect() == []
 
 
+def test_cider_of_the_next_text(spark, monkeypatch):
+    """Texts in runs of ids give what pairs of token arrays give: ids that are missing, null, negative or there twice, texts that are null or blank."""
+    rng = random.Random(23)
+    words = "a b c D \u00c9t\u00e9 \u4f60\u597d x\u00a0y " + "long" * 20
+    line = lambda: "".join(rng.choice(words.split(" ")) + rng.choice([" ", "  ", "\n", "\t\x0b", "\r\n"]) for _ in range(rng.randint(0, 14)))
+    rows = [(k, line()) for k in [*range(-70, 100), 130, 131, 131, 132, 132, 1 << 60, (1 << 60) + 1]] + [(140, None), (141, " \n"), (142, "a b"), (None, "a b c"), (None, "b c")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    tokens = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
+    after = df.select((F.col("id") - 1).alias("id"), F.col("text").alias("r"))
+    pairs = df.join(after, "id", "left").select("id", tokens("text").alias("p"), F.array(tokens("r")).alias("r"))
+    listed = lambda out: sorted(((r["id"] is None, r["id"] or 0, round(r["cider"], 9)) for r in out.collect()))
+    want = listed(A.cider(pairs, "id", "p", "r"))
+    assert len(want) == len(rows) + 3 and listed(A.cider_of_next(df, "id", "text")) == want
+    monkeypatch.setattr(A, "CIDER_TOKENS", 60)
+    assert listed(A.cider_of_next(df, "id", "text")) == want
+    assert A.cider_of_next(df.limit(0), "id", "text").collect() == []
+
+
+def test_longer_grams_of_rare_pairs_are_not_moved(spark):
+    """A group asks for an n-gram of three words or more only if all its pairs are in two items; packed hashes take few bytes."""
+    rows = [(k, [f"w{k}a", "x", "y", "z", f"w{k}b"], [[f"w{k}a", "x", "y", "z", f"w{k}b"]], k % 2) for k in range(40)]
+    given = spark.createDataFrame(rows, "_id long, p array<string>, r array<array<string>>, _g long")
+    pairs = A._document_frequencies(given, 2, 1)
+    longer = A._document_frequencies(given, 4, 1, A._item_lists, pairs)
+    assert {r["_g"]: r["many"] for r in pairs.collect()} == {0: 3 + 40 + 2 + 40, 1: 3 + 40 + 2 + 40}
+    assert [(r["many"], grams.unpacked_counts(r["counts"], r["many"]).tolist()) for r in longer.collect()] == [(1, [40])] * 2
+    hashes = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 50_000, dtype=np.uint64)) * np.uint64(2)
+    counts = np.random.default_rng(4).choice([1, 2, 254, 255, 256, 70_000], len(hashes), p=[0.9, 0.06, 0.01, 0.01, 0.01, 0.01])
+    for many in (1, 7):
+        parts = grams.packed(hashes, counts, many)
+        back = grams.unpacked(pa.chunked_array([[h for _, h, _ in parts]]), pa.chunked_array([[c for _, _, c in parts]]))
+        assert (back[0] == hashes).all() and (back[1] == counts).all() and sum(len(h) + len(c) for _, h, c in parts) < 7 * len(hashes)
+
+
+def test_hashes_of_words():
+    """Equal words have equal hashes, others not: of any length, with zero bytes, null, in a slice."""
+    words = [None, "", "\0", "\0\0", "a", "a\0", "abcdefgh", "abcdefgh\0", "abcdefghi", *("q" * k for k in range(2, 140)), "\u4f60\u597d"]
+    own = grams.word_hashes(pa.array(words))
+    assert len(set(own.tolist())) == len(words)
+    assert grams.word_hashes(pa.array(["x", *words[::-1], "y"])[1:-1]).tolist() == own[::-1].tolist()
+    assert len(grams.word_hashes(pa.array([], pa.string()))) == 0 and grams.word_hashes(pa.array(["", None])).tolist() == own[[1, 0]].tolist()
+
+
 def test_matches_of_packed_grams():
     """Clipped matches are those of bags, whether tokens fit into 64 bits or are numbered again."""
     rng = random.Random(31)
