@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -592,8 +594,14 @@ def ngrams(tokens: Text, n: Column | int) -> Column:
 REFUSALS = ("I can't", "I cannot", "sorry", "无法", "抱歉")
 
 
-#: Cells of the table of common runs of a text and a hidden text; beyond, a table of each run of words.
-SPAN_CELLS = 1 << 26
+#: Places where a text and its hidden text have four characters in common that are looked at at once, about.
+SPAN_CELLS = 1 << 22
+#: Characters in runs of words that are stepped at once, about.
+SPAN_LETTERS = 1 << 21
+#: Common runs from this length on are listed; shorter ones are met in passing.
+LISTED_FROM = 4
+#: Hidden texts from this length on are left to difflib.
+LONG_FROM = 1 << 11
 #: From this length on difflib takes frequent characters for junk.
 JUNK_FROM = 200
 
@@ -619,7 +627,8 @@ def _blocks(table: np.ndarray, text: np.ndarray, hidden: np.ndarray, least) -> i
     common runs: the longest run, the first of equal ones, then the same on
     both sides of it.  ``text`` and ``hidden`` count their letters up to each
     place.  ``least(most)`` says if so many characters would be too few; None
-    as soon as all that can still match are too few."""
+    as soon as all that can still match are too few.  The plain form of
+    ``_matched``, for one pair."""
     most = lambda a, b, c, d: int(np.minimum(text[b] - text[a], hidden[d] - hidden[c]).sum())
     whole = (0, table.shape[0], 0, table.shape[1])
     todo, matched, open_ = [(most(*whole), *whole)], 0, most(*whole)
@@ -645,73 +654,254 @@ def _blocks(table: np.ndarray, text: np.ndarray, hidden: np.ndarray, least) -> i
     return matched
 
 
-def _span(pred: str, hidden: str) -> tuple[float, list[str]]:
-    """Similarity and words of the run of predicted words, as many as the
-    hidden text has, whose matching-blocks ratio to that text is largest, the
-    first of equal ones; only runs with a word of the text are looked at.
+def _codes(t: str) -> np.ndarray:
+    return np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
 
-    The characters that a run has in common with the text, as bags, bound its
-    ratio; bags slide over the words.  Runs are taken by their bound, their
-    blocks are looked up in one table of common runs, and a run is left as soon
-    as its blocks and what may still match cannot reach the best so far.
-    """
-    import difflib
 
-    words, gold = pred.split(), hidden.split()
-    n, runs = len(gold), len(words) - len(gold) + 1
-    if not n or runs < 1:
-        return 0.0, []
-    codes = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
-    text, sought, known = " ".join(words), codes(hidden), set(gold)
-    if not known.intersection(words):
-        return 0.0, []
-    letters = codes(text)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-    first_at, end_at = starts[:runs], starts[n:] - 1
-    hits = np.concatenate([[0], np.cumsum(np.fromiter((w in known for w in words), np.int64, len(words)))])
-    total = end_at - first_at + len(sought)
-    common, kinds = np.zeros(runs, np.int64), np.unique(sought)
-    for c in kinds:
-        upto = np.concatenate([[0], np.cumsum(letters == c)])
-        common += np.minimum(upto[end_at] - upto[first_at], np.count_nonzero(sought == c))
-    bound = 2.0 * common / total
-    counts = lambda x: np.concatenate([np.zeros((1, len(kinds)), np.int32), np.cumsum(x[:, None] == kinds, axis=0, dtype=np.int32)])
-    junk = len(hidden) >= JUNK_FROM
-    whole = None if junk or len(letters) * len(sought) > SPAN_CELLS else _runs_table(letters, sought)
-    upto, own = counts(letters[:0] if whole is None else letters), counts(sought)
-    matcher = difflib.SequenceMatcher(None, "", hidden) if junk else None
-    best, first, chosen = 0.0, -1, []
-    tried = np.flatnonzero(hits[n:] > hits[:runs])
-    for at in tried[np.argsort(-bound[tried], kind="stable")].tolist():
-        worse = lambda top: top < best or (top == best and at > first)  # noqa: B023, E731
-        if bound[at] < best:
+def _grams_of(text: np.ndarray, hidden: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For 1 to ``LISTED_FROM`` characters: which different run of so many of
+    the hidden text begins at each place of it, and at each place of the text
+    (if none, one more than there are)."""
+    kinds, kind = np.unique(hidden, return_inverse=True)
+    number = np.full(int(max(text.max(), hidden.max())) + 1, len(kinds), np.uint16)
+    number[kinds] = np.arange(len(kinds))
+    own, of_text = [kind], [number[text].astype(np.int64)]
+    for k in range(2, LISTED_FROM + 1):
+        if len(hidden) < k or len(text) < k:
             break
-        if worse(bound[at]):
-            continue
-        a, b, size = int(first_at[at]), int(end_at[at]), int(total[at])
+        wide, known = len(kinds) + 1, int(own[-1].max()) + 1
+        code = own[-1][: len(hidden) - k + 1] * wide + kind[k - 1 :]
+        different, at = np.unique(code, return_inverse=True)
+        found = np.full((known + 1) * wide, len(different), np.int64)
+        found[different] = np.arange(len(different))
+        own.append(at)
+        of_text.append(found[of_text[-1][: len(text) - k + 1] * wide + of_text[0][k - 1 :]])
+    return own, of_text
+
+
+def _common_runs(text: np.ndarray, hidden: np.ndarray, of_text: np.ndarray, own: np.ndarray, k: int, junk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place in the text, place in the hidden text and length of each common
+    run of ``k`` characters or more, none of them ``junk``, that no longer one
+    holds, from the runs of k that begin at each place of both."""
+    n, order, many = len(text), np.argsort(own, kind="stable"), np.append(np.bincount(own), 0)
+    starts = np.cumsum(many) - many
+    if k == 1:
+        many = np.where(junk, 0, many)
+    rows = np.flatnonzero(many[of_text])
+    times = many[of_text[rows]]
+    outer, inner = np.concatenate([[-1], np.where(junk[text], -1, text), [-1]]), np.concatenate([[-2], np.where(junk[hidden], -2, hidden), [-2]])
+    found: tuple[list, list] = ([], [])
+    pieces = np.cumsum(times) // SPAN_CELLS if SPAN_CELLS else np.arange(len(rows))
+    edges = [0, *(np.flatnonzero(np.diff(pieces)) + 1).tolist(), len(rows)]
+    for low, high in zip(edges, edges[1:], strict=False):
+        some, at = times[low:high], rows[low:high]
+        i = np.repeat(at, some)
+        j = order[np.arange(len(i)) + np.repeat(starts[of_text[at]] - (np.cumsum(some) - some), some)]
+        for out, edge in zip(found, (outer[i] != inner[j], outer[i + k + 1] != inner[j + k + 1]), strict=True):
+            out.append(((j - i + n) * (n + 1) + i)[edge])  # by diagonal, then by row
+    first, last = (np.sort(np.concatenate(x)) for x in found)
+    i = first % (n + 1)
+    return i, first // (n + 1) - n + i, last - first + k
+
+
+class _Tried(NamedTuple):
+    """Runs of words of one text (``at``: which) that are held against its
+    hidden text of ``width``, their characters, the long common runs in them,
+    and the rows of ``ahead``, of 1, 2, ... characters, for each character of
+    the text: where in the hidden text what begins there comes next."""
+
+    at: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    of: np.ndarray
+    row: np.ndarray
+    column: np.ndarray
+    length: np.ndarray
+    table: np.ndarray
+    ahead: np.ndarray
+    width: int
+
+
+def _matched(batch: list[_Tried], junk: bool) -> np.ndarray:
+    """Characters of the matching blocks that difflib finds for each run of
+    words of ``batch``, all runs in steps: of each part of each run the longest
+    common run, the first of equal ones, then the same on both sides of it.
+
+    Long common runs are listed.  In a part without one of more than k
+    characters those of k are taken in order of the text, each at its next
+    place: what lies before it has none of k.  With ``junk`` all runs without
+    junk are listed; the longest one, or none at the beginning of the part,
+    grows on both sides by whatever is equal there.
+    """
+    least = 1 if junk else LISTED_FROM
+    shift = lambda x: np.cumsum([0, *x])[:-1]
+    rows_of, runs_of, tables_of = (shift([f(x) for x in batch]) for f in (lambda x: x.table.shape[1], lambda x: len(x.at), lambda x: len(x.ahead)))
+    join = lambda f: np.concatenate([f(k, x) for k, x in enumerate(batch)], axis=-1)
+    low, high, width = join(lambda k, x: x.low + rows_of[k]), join(lambda k, x: x.high + rows_of[k]), np.repeat([x.width for x in batch], [len(x.at) for x in batch])
+    ahead, table = join(lambda k, x: x.ahead), join(lambda k, x: tables_of[k] + x.table)
+    part, row, column, length = join(lambda k, x: x.of + runs_of[k]), join(lambda k, x: x.row + rows_of[k]), join(lambda k, x: x.column), join(lambda k, x: x.length)
+    whose, a, b, c, d = np.arange(len(low)), low, high, np.zeros(len(low), np.int64), width
+    matched, left, last = np.zeros(len(low), np.int64), [], (1 << 36) - 1
+    while len(whose):
+        best = np.zeros(len(whose), np.int64)
+        np.maximum.at(best, part, (length << 48) + ((last - (row - low[whose[part]])) << 12) + 4095 - column)
+        size, i, j = best >> 48, last - (best >> 12 & last) + low[whose], 4095 - (best & 4095)
         if junk:
-            matcher.set_seq1(text[a:b])
-            ratio = matcher.ratio()
+            i, j = np.where(size, i, a), np.where(size, j, c)
+            for side in (-1, 1):
+                more = np.arange(len(whose))
+                while len(more):
+                    y, x = (i[more] - 1, j[more] - 1) if side < 0 else (i[more] + size[more], j[more] + size[more])
+                    can = (y >= a[more]) & (y < b[more]) & (x >= c[more]) & (x < d[more])
+                    more, y, x = more[can], y[can], x[can]
+                    more = more[ahead[table[0, y] + x] == x]
+                    size[more] += 1
+                    if side < 0:
+                        i[more] -= 1
+                        j[more] -= 1
         else:
-            table = _runs_table(letters[a:b], sought) if whole is None else _clipped_rows(whole[a:b])
-            found = _blocks(table, counts(letters[a:b]) if whole is None else upto[a : b + 1], own, lambda most: worse(2.0 * most / size))  # noqa: B023
-            if found is None:
-                continue
-            ratio = 2.0 * found / size
+            left.append([x[size == 0] for x in (whose, a, b, c, d)])
+        split = np.flatnonzero(size)
+        size, i, j = size[split], i[split], j[split]
+        np.add.at(matched, whose[split], size)
+        new = np.zeros(len(whose), np.int64)
+        new[split] = np.arange(len(split))
+        part = new[part]  # a part with a listed run has been split
+        fit = np.minimum(length, np.minimum(i[part] - row, j[part] - column))
+        gone = np.maximum(np.maximum(i[part] + size[part] - row, j[part] + size[part] - column), 0)
+        before, after = np.flatnonzero(fit >= least), np.flatnonzero(length - gone >= least)
+        part, row, column, length = (np.concatenate(x) for x in ((part[before], part[after] + len(split)), (row[before], (row + gone)[after]), (column[before], (column + gone)[after]), (fit[before], (length - gone)[after])))
+        whose, a, b, c, d = (np.concatenate(x) for x in ((whose[split],) * 2, (a[split], i + size), (i, b[split]), (c[split], j + size), (j, d[split])))
+    for k in () if junk else range(LISTED_FROM - 1, 0, -1):
+        whose, a, b, c, d = (np.concatenate(x) for x in zip(*left, strict=True)) if left else np.zeros((5, 0), np.int64)
+        at, left = a, []
+        while len(whose):
+            open_ = (at + k <= b) & (c + k <= d)
+            shut = ~open_ & (a < b) & (c < d)
+            left.append([x[shut] for x in (whose, a, b, c, d)])
+            whose, a, b, c, d, at = (x[open_] for x in (whose, a, b, c, d, at))
+            next_ = ahead[table[k - 1, at] + c]
+            hit = next_ + k <= d
+            np.add.at(matched, whose[hit], k)
+            if k > 1:
+                left.append([whose[hit], a[hit], at[hit], c[hit], next_[hit]])
+            at = at + np.where(hit, k, 1)
+            a, c = np.where(hit, at, a), np.where(hit, next_ + k, c)
+    return matched
+
+
+def _tried(words: list[str], gold: list[str], hidden: str) -> Iterator[_Tried]:
+    """The runs of words with a word of the hidden text, in order, in pieces of about ``SPAN_LETTERS`` characters."""
+    n, runs, known = len(gold), len(words) - len(gold) + 1, set(gold)
+    hits = np.concatenate([[0], np.cumsum(np.fromiter(map(known.__contains__, words), np.int64, len(words)))])
+    at = np.flatnonzero(hits[n:] > hits[:runs])
+    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+    low, high = starts[at], starts[at + n] - 1
+    letters, sought = _codes(" ".join(words)), _codes(hidden)
+    width = len(sought)
+    own, of_text = _grams_of(letters, sought)
+    times = np.append(np.bincount(own[0]), 0)
+    junk = times > (width // 100 + 1 if width >= JUNK_FROM else width)  # as difflib has it
+    least = 1 if width >= JUNK_FROM else LISTED_FROM
+    table, tables, filled = np.zeros((LISTED_FROM - 1, len(letters)), np.int64), [], 0
+    for k in range(LISTED_FROM - 1):
+        here, rows = (own[k], of_text[k]) if k < len(own) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        none = int(here.max(initial=-1)) + 1
+        ahead = np.full((none + 1, width + 1), width)
+        ahead[here, np.arange(len(here))] = np.arange(len(here))
+        tables.append(np.minimum.accumulate(ahead[:, ::-1], axis=1)[:, ::-1].ravel())
+        table[k] = filled + none * (width + 1)
+        table[k, : len(rows)] = filled + rows * (width + 1)
+        filled += len(tables[-1])
+    ahead, none = np.concatenate(tables), np.zeros(0, np.int64)
+    i, j, length = _common_runs(of_text[0], own[0], of_text[least - 1], own[least - 1], least, junk) if len(own) >= least else (none, none, none)
+    first, last = np.searchsorted(high, i + least), np.searchsorted(low, i + length - least, "right")
+    many = np.cumsum(np.bincount(first, minlength=len(at) + 1) - np.bincount(np.maximum(last, first), minlength=len(at) + 1))[:-1]
+    edges = [0, *(np.flatnonzero(np.diff(np.cumsum(high - low + many) // SPAN_LETTERS)) + 1).tolist(), len(at)]
+    for p, q in zip(edges, edges[1:], strict=False):
+        one, end = np.clip(first, p, q), np.clip(last, p, q)
+        times = np.maximum(end - one, 0)
+        run = np.repeat(np.arange(len(i)), times)
+        of = np.arange(len(run)) + np.repeat(one - (np.cumsum(times) - times), times)
+        gone = np.maximum(low[of] - i[run], 0)
+        size = np.minimum(i[run] + length[run], high[of]) - i[run] - gone
+        base, upto = int(low[p]), int(high[q - 1])
+        yield _Tried(at[p:q], low[p:q] - base, high[p:q] - base, of - p, i[run] + gone - base, j[run] + gone, size, table[:, base:upto], ahead, width)
+
+
+def _long_span(words: list[str], gold: list[str], hidden: str) -> tuple[float, int]:
+    """Largest ratio and its place for very long hidden texts, run by run."""
+    import difflib
+
+    n, known, letters = len(gold), set(gold), Counter(hidden)
+    matcher, best, first = difflib.SequenceMatcher(None, "", hidden), 0.0, -1
+    tried = []
+    for at in range(len(words) - n + 1):
+        run = words[at : at + n]
+        if known.intersection(run):
+            text = " ".join(run)
+            tried.append((-2.0 * sum((Counter(text) & letters).values()) / (len(text) + len(hidden)), at, text))
+    for bound, at, text in sorted(tried):
+        if -bound < best:
+            break
+        matcher.set_seq1(text)
+        ratio = matcher.ratio()
         if ratio > best or (ratio == best > 0 and at < first):
-            best, first, chosen = ratio, at, words[at : at + n]
-    return best, chosen
+            best, first = ratio, at
+    return best, first
+
 
+def _spans(pairs: list[tuple[str, str]]) -> list[tuple[float, list[str]]]:
+    """Similarity and words of the run of predicted words, as many as the
+    hidden text has, whose matching-blocks ratio to that text is largest, the
+    first of equal ones; only runs with a word of the text are looked at.
 
-def _clipped_rows(rows: np.ndarray) -> np.ndarray:
-    """Rows of a table of common runs as if the text began with them."""
-    out = rows.copy()
-    upto = min(len(out), 255)
-    np.minimum(out[:upto], _STEPS[:upto, None], out=out[:upto])
+    Runs of many texts are held against their hidden texts together; their
+    common runs of characters are looked up once for each text.
+    """
+    out: list[tuple[float, list[str]]] = [(0.0, [])] * len(pairs)
+    waiting: dict[bool, list[tuple[int, _Tried]]] = {False: [], True: []}
+    held = {False: 0, True: 0}
+    best: dict[int, tuple[float, int]] = {}
+
+    def step(junk: bool) -> None:
+        found, at = _matched([x for _, x in waiting[junk]], junk), 0
+        for k, x in waiting[junk]:
+            ratios = 2.0 * found[at : at + len(x.at)] / (x.high - x.low + x.width)
+            at += len(x.at)
+            top = int(ratios.argmax())
+            if ratios[top] > best.get(k, (0.0, -1))[0]:
+                best[k] = float(ratios[top]), int(x.at[top])
+        waiting[junk].clear()
+        held[junk] = 0
+
+    for k, (pred, hidden) in enumerate(pairs):
+        words, gold = pred.split(), hidden.split()
+        if not gold or len(words) < len(gold) or set(gold).isdisjoint(words):
+            continue
+        if len(hidden) >= LONG_FROM:
+            best[k] = _long_span(words, gold, hidden)
+            continue
+        for x in _tried(words, gold, hidden):
+            junk = len(hidden) >= JUNK_FROM
+            waiting[junk].append((k, x))
+            held[junk] += int((x.high - x.low).sum()) + len(x.of) + len(x.ahead) + x.table.shape[1]
+            if held[junk] >= SPAN_LETTERS:
+                step(junk)
+    for junk in waiting:
+        if waiting[junk]:
+            step(junk)
+    for k, (ratio, at) in best.items():
+        if ratio > 0:
+            words = pairs[k][0].split()
+            out[k] = ratio, words[at : at + len(pairs[k][1].split())]
     return out
 
 
+def _span(pred: str, hidden: str) -> tuple[float, list[str]]:
+    return _spans([(pred, hidden)])[0]
+
+
 def hidden_span(pred: Text, hidden: Text) -> Column:
     """Struct similarity, span, precision, recall, f1, jaccard, rouge1, exact
     of the run of predicted words nearest to the hidden text (Arrow batches).
@@ -723,11 +913,11 @@ def hidden_span(pred: Text, hidden: Text) -> Column:
     """
     fields = "similarity double, span string, precision double, recall double, f1 double, jaccard double, rouge1 double, exact double"
 
-    def score(p: str | None, h: str | None) -> tuple:
+    refused = lambda p: any(x in p for x in REFUSALS) or "sorry" in p.lower()
+
+    def score(p: str | None, h: str | None, ratio: float, run: list[str]) -> tuple:
         if p is None or h is None:
             return (None,) * 8
-        refused = any(x in p for x in REFUSALS) or "sorry" in p.lower()
-        ratio, run = (0.0, []) if refused else _span(p, h)
         if not run:
             return (0.0, "", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
         gold = h.split()
@@ -737,7 +927,8 @@ def hidden_span(pred: Text, hidden: Text) -> Column:
 
     @F.pandas_udf(fields)
     def run(p: pd.Series, h: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([score(x, y) for x, y in zip(p, h, strict=True)], columns=[f.split()[0] for f in fields.split(", ")])
+        spans = _spans([("", "") if x is None or y is None or refused(x) else (x, y) for x, y in zip(p, h, strict=True)])
+        return pd.DataFrame([score(x, y, *z) for x, y, z in zip(p, h, spans, strict=True)], columns=[f.split()[0] for f in fields.split(", ")])
 
     return run(_c(pred), _c(hidden))
 

@@ -143,3 +143,39 @@ def test_distances_of_many_pairs(monkeypatch):
         monkeypatch.setattr(M, "LANES", lanes)
         monkeypatch.setattr(M, "PLACES", places)
         assert M._edits_many(pairs) == want
+
+
+def test_spans_of_many_texts_are_stepped_together(monkeypatch):
+    """Runs of words of many texts are held against their hidden texts in one batch, with difflib's blocks; so are pieces of it."""
+    rng = random.Random(14)
+    pairs = []
+    for letters in ("ab", "abc\u00e9", "etaoin shr", "\U0001f600\u4f60a\ud800"):
+        word = lambda: "".join(rng.choices(letters.replace(" ", ""), k=rng.choice([1, 1, 2, 3, 5, 9])))  # noqa: B023, E731
+        for _ in range(40):
+            words = [word() for _ in range(rng.randint(0, 70))]
+            gold = words[(k := rng.randint(0, 60)) : k + rng.randint(1, 12)] if rng.random() < 0.5 else [word() for _ in range(rng.randint(0, 12))]
+            pairs.append((" ".join(words), rng.choice([" ", "  "]).join(w if rng.random() < 0.8 else word() for w in gold)))
+    pairs += [("a" * 50, "a"), ("a " * 90, "a " * 20), ("ab " * 60, "ba " * 30), ("x" * 3000 + " y", "x y"), ("a b", ""), ("", "a"), ("a", "a"), ("", "")]
+    pairs += [(" ".join(["ab", "ba", "abba"] * 60), " ".join(["abba", "b", "ab"] * 25))]
+
+    def want(p, h):
+        words, gold = p.split(), h.split()
+        best, run = 0.0, []
+        for k in range(len(words) - len(gold) + 1 if gold else 0):
+            one = words[k : k + len(gold)]
+            if set(one) & set(gold) and (ratio := difflib.SequenceMatcher(None, " ".join(one), h).ratio()) > best:
+                best, run = ratio, one
+        return best, run
+
+    for letters in ("abcde", "etaoinshrdlcumwfgypbvkjxqz", "a" * 20 + "bcdefghijklmnopqrstuvw"):
+        words = ["".join(rng.choices(letters, k=rng.randint(1, 8))) for _ in range(90)]
+        pairs += [(" ".join(words), " ".join(w if rng.random() < 0.6 else w[::-1] for w in words[k : k + n])) for k, n in ((3, 50), (20, 55), (0, 70))]
+    assert sum(len(h) >= M.JUNK_FROM for _, h in pairs) > 7
+    calls, plain = [], M._matched
+    monkeypatch.setattr(M, "_matched", lambda batch, junk: calls.append(len(batch)) or plain(batch, junk))
+    all_of_them = [want(*x) for x in pairs]
+    assert M._spans(pairs) == all_of_them and len(calls) == 2 and calls[0] > 50
+    for name, value in (("SPAN_LETTERS", 300), ("SPAN_CELLS", 0), ("LONG_FROM", 5)):
+        monkeypatch.setattr(M, name, value)
+        assert M._spans(pairs) == all_of_them
+    assert len(calls) > 100
