@@ -7,6 +7,7 @@ side; nothing is collected.  ``by`` may be empty for one overall row.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -292,7 +293,7 @@ def error_rate(df: DataFrame, by: list[str], distance: str, length: str) -> Data
 
 
 #: Tokens of the items that one task weighs at once, about.
-CIDER_TOKENS = 2_000_000
+CIDER_TOKENS = 1_000_000
 #: Bytes of a text for a token, about.
 TOKEN_BYTES = 6
 #: So many low bits of whole-number ids differ within a run of rows that stay together.
@@ -461,26 +462,30 @@ def _document_frequencies(rows: DataFrame, most: int, ranges: int, lists: Callab
 def _cider(rows: DataFrame, kind: T.DataType, items: int, groups: int, lists: Callable[[pa.Table], _Lists], most: int, sigma: float) -> DataFrame:
     """``_id, cider`` of rows in groups ``_g`` that ``lists`` reads; ``items`` in all."""
 
+    def cosine(own: _Lists, x: _Order, known: np.ndarray, total: np.ndarray) -> np.ndarray:
+        frequency = np.ones(len(x.different))
+        frequency[x.asked] = np.maximum(total[np.searchsorted(known, x.different[x.asked])], 1)
+        weight = x.times * (math.log(max(items, 1)) - np.log(frequency))[x.gram]
+        norm = np.sqrt(np.bincount(x.bag, weights=weight * weight, minlength=len(own.lengths)))
+        at, owner = _of_references(own, x.bag)
+        wide = max(len(x.different), 1)
+        pairs, key = x.bag * wide + x.gram, own.pred[own.item][owner] * wide + x.gram[at]
+        place = np.minimum(np.searchsorted(pairs, key), max(len(pairs) - 1, 0))
+        both = pairs[place] == key if len(pairs) else np.zeros(len(key), bool)
+        dot = np.bincount(owner[both], weights=np.minimum(weight[place[both]], weight[at[both]]) * weight[at[both]], minlength=len(own.ref))
+        below = norm[own.ref] * norm[own.pred[own.item]]
+        return np.divide(dot, below, out=np.zeros_like(below), where=below > 0)
+
     def weigh(group: pa.Table, answers: pa.Table) -> pa.Table:
         own = lists(group)
         totals = [_totals(answers, k) for k in range(2)]
-        counted = list(_counted(own, most, 1, totals[0]))
-        known = [np.sort(np.concatenate([np.zeros(0, np.uint64), *(x.different[x.asked] for x in part)])) for part in (counted[:2], counted[2:])]
         gap = own.lengths[own.pred[own.item]] - own.lengths[own.ref]
-        value = np.zeros(len(own.ref))
-        for n, x in enumerate(counted, 1):
-            frequency = np.ones(len(x.different))
-            frequency[x.asked] = np.maximum(totals[n > 2][np.searchsorted(known[n > 2], x.different[x.asked])], 1)
-            weight = x.times * (math.log(max(items, 1)) - np.log(frequency))[x.gram]
-            norm = np.sqrt(np.bincount(x.bag, weights=weight * weight, minlength=len(own.lengths)))
-            at, owner = _of_references(own, x.bag)
-            wide = max(len(x.different), 1)
-            pairs, key = x.bag * wide + x.gram, own.pred[own.item][owner] * wide + x.gram[at]
-            place = np.minimum(np.searchsorted(pairs, key), max(len(pairs) - 1, 0))
-            both = pairs[place] == key if len(pairs) else np.zeros(len(key), bool)
-            dot = np.bincount(owner[both], weights=np.minimum(weight[place[both]], weight[at[both]]) * weight[at[both]], minlength=len(own.ref))
-            below = norm[own.ref] * norm[own.pred[own.item]]
-            value += np.divide(dot, below, out=np.zeros_like(below), where=below > 0)
+        value, counted = np.zeros(len(own.ref)), _counted(own, most, 1, totals[0])
+        for total, orders in zip(totals, (2, None), strict=True):
+            part = list(itertools.islice(counted, orders))
+            known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(x.different[x.asked] for x in part)]))
+            for x in part:
+                value += cosine(own, x, known, total)
         value *= np.exp(-(gap**2) / (2 * sigma * sigma))
         many = np.bincount(own.item, minlength=len(own.pred))
         mean = np.divide(10 * np.bincount(own.item, weights=value, minlength=len(own.pred)), most * many, out=np.full(len(own.pred), np.nan), where=many > 0)
