@@ -293,7 +293,7 @@ def error_rate(df: DataFrame, by: list[str], distance: str, length: str) -> Data
 
 
 #: Tokens of the items that one task weighs at once, about.
-CIDER_TOKENS = 1_000_000
+CIDER_TOKENS = 1_500_000
 #: Bytes of a text for a token, about.
 TOKEN_BYTES = 6
 #: So many low bits of whole-number ids differ within a run of rows that stay together.
@@ -323,7 +323,7 @@ def _item_lists(rows: pa.Table) -> _Lists:
 
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of each group ``_g`` in a batch as one compressed piece: texts take half the disk when they move."""
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
     for batch in batches:
         g = batch.column("_g").to_numpy()
         order = np.argsort(g, kind="stable")
